@@ -3,17 +3,20 @@
 Two suffixes that agree on their first ``min_bytes`` bytes are one repeated window; nothing beyond that depth matters.
 The order is built by most-significant-digit passes, each a Spark shuffle that keeps only groups still larger than one:
 
-1. digit one: a window's *anchor*, the smallest-hash 20-gram inside it. Equal windows have equal anchors, and
-   neighbouring windows share one, so about one row per 16 bytes is dealt out instead of one per byte. Anchors that
+1. digit one: a window's *anchor*, the smallest-hash 28-gram inside it. Equal windows have equal anchors, and
+   neighbouring windows share one, so about one row per 12 bytes is dealt out instead of one per byte. Anchors that
    occur in one document only are done.
 2. digit two: the whole *segment* of consecutive windows that own a repeated anchor. A segment met in a smaller
    document is covered; an anchor with one segment only is done.
-3. the windows themselves, for anchors with several segments (the edges of repeated passages): a byte-exact order,
-   first inside each batch by 8-byte digits, then across batches.
+3. the windows themselves, for anchors with several segments (the edges of repeated passages): first inside each batch
+   by radix passes over their bytes, 8 at a time, then across batches.
+
+Whole copies of a smaller document are known by the hash of their text and take no part. Texts travel once, compressed,
+to partitions by doc_id; every later pass brings its short lists there.
 
 Every map side first settles what one Arrow batch can settle alone (a key seen in two of its documents is repeated
 whatever the rest holds), so a key that a third of all rows share sends one row per batch and not one per document.
-Segments are compared by 64-bit hash within a 48-bit anchor; windows at edges by their bytes.
+Across batches, segments are compared by a 64-bit hash within a 48-bit anchor and windows by a 96-bit hash.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import Batches, runs_of
 
 MIN_BYTES = 50
-ANCHOR_BYTES = 20
+ANCHOR_BYTES = 28
 SLICE = 1 << 20
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _NONE = np.uint64(1 << 63)
@@ -107,8 +111,7 @@ class Slice:
 def _slices(texts: list, width: int, k: int):
     """Slices of about a megabyte; a longer document is cut so that each window lies in one slice."""
     pieces, size = [], 0
-    for i, t in enumerate(texts):
-        b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else (t or b"")
+    for i, b in enumerate(texts):
         for s in range(0, max(0, len(b) - width + 1), SLICE):
             pieces.append((i, s, b[s : s + SLICE + width - 1]))
             size += len(pieces[-1][2])
@@ -119,6 +122,18 @@ def _slices(texts: list, width: int, k: int):
         yield Slice(pieces, width, k)
 
 
+def _pack(batches: Batches) -> Batches:
+    for rows in batches:
+        raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
+        blobs = [zstandard.ZstdCompressor(level=1).compress(b) for b in raw]
+        yield _batch([rows.column(0), rows.column(2), pa.array(blobs, pa.binary())], ["doc_id", "th", "blob"])
+
+
+def _unpack(column: pa.Array) -> list[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(b) for b in column.to_pylist()]
+
+
 def radix_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal rows of a byte matrix by most-significant-digit passes of 8 bytes: (row numbers in order, group of each).
 
@@ -156,7 +171,7 @@ def _anchor_map(width: int, k: int):
         for rows in batches:
             docs = rows.column(0).to_numpy(zero_copy_only=False)
             keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s in _slices(rows.column(1).to_pylist(), width, k):
+            for s in _slices(_unpack(rows.column(1)), width, k):
                 keys.append(s.key)
                 owners.append(docs[s.rows])
             key, doc = _distinct_pairs(np.concatenate(keys), np.concatenate(owners))
@@ -218,7 +233,7 @@ def _segment_map(width: int, k: int):
             docs, wanted = rows.column(0).to_numpy(zero_copy_only=False), rows.column(2)
             keys, shs, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             repeated = np.unique(wanted.flatten().to_numpy(zero_copy_only=False))
-            for s in _slices(rows.column(1).to_pylist(), width, k):
+            for s in _slices(_unpack(rows.column(1)), width, k):
                 which = np.flatnonzero(_member(s.key, repeated))
                 keys.append(s.key[which])
                 shs.append(s.segment_hash(which))
@@ -282,7 +297,7 @@ def _segment_reduce(batches: Batches) -> Batches:
         yield _batch([np.concatenate(x) for x in zip(*out)], ["doc", "sh", "edge"])
 
 
-_WINDOWS = "win binary, doc long, sh long, mask long, direct boolean"
+_WINDOWS = "win long, more int, doc long, sh long, bit byte, direct boolean"
 
 
 def _window_map(width: int, k: int):
@@ -292,7 +307,7 @@ def _window_map(width: int, k: int):
         for rows in batches:
             docs, ids = rows.column(0).to_numpy(zero_copy_only=False), rows.column(2)
             wanted = np.unique(ids.flatten().to_numpy(zero_copy_only=False))
-            for s in _slices(rows.column(1).to_pylist(), width, k):
+            for s in _slices(_unpack(rows.column(1)), width, k):
                 sh = s.segment_hash(np.arange(len(s.at)))
                 which = np.flatnonzero(_member(sh, wanted))
                 if not len(which):
@@ -313,31 +328,30 @@ def _window_map(width: int, k: int):
                     rest[live] = False
                     rest[live[g]] = True
                 pick = direct | rest
-                flat = pa.Array.from_buffers(pa.binary(width), int(pick.sum()), [None, pa.py_buffer(np.ascontiguousarray(win[pick]))])
-                yield _batch([flat.cast(pa.binary()), doc[pick], sh[pick], np.int64(1) << bit[pick], direct[pick]], ["win", "doc", "sh", "mask", "direct"])
+                h = _window_hash(s.u, at[pick], width)
+                more = (_window_hash(s.u, at[pick] + 1, width - 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield _batch([h.view(np.int64), more, doc[pick], sh[pick], bit[pick].astype(np.int8), direct[pick]], ["win", "more", "doc", "sh", "bit", "direct"])
 
     return run
 
 
 def _window_reduce(batches: Batches) -> Batches:
-    """Rows come in byte order of the windows, smaller documents first."""
-    last, low = None, None
-    for rows in batches:
-        win, doc, direct = rows.column(0).to_pylist(), _col(rows, "doc"), _col(rows, "direct")
-        pick = direct.copy()
-        for i in np.flatnonzero(~direct):
-            if win[i] != last:
-                last, low = win[i], doc[i]
-            elif doc[i] > low:
-                pick[i] = True
-        yield _batch([doc[pick], _col(rows, "sh")[pick], _col(rows, "mask")[pick]], ["doc", "sh", "mask"])
+    """Rows come in the order of the windows, smaller documents first."""
+    for t in _keyed_runs(batches, "win"):
+        win, more, doc, sh, bit, direct = (_col(t, c) for c in ("win", "more", "doc", "sh", "bit", "direct"))
+        covered = direct.copy()
+        rest = np.flatnonzero(~direct)
+        if len(rest):
+            w, m = win[rest], more[rest]
+            new = np.r_[True, (w[1:] != w[:-1]) | (m[1:] != m[:-1])]
+            covered[rest] = doc[rest] > doc[rest][new][np.cumsum(new) - 1]
+        yield _batch([doc[covered], sh[covered], np.int64(1) << bit[covered].astype(np.int64)], ["doc", "sh", "mask"])
 
 
 def _remove(width: int, k: int, with_text: bool):
     def run(batches: Batches) -> Batches:
         for rows in batches:
-            texts, found = rows.column(1).to_pylist(), rows.column(2)
-            raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+            raw, found, copies = _unpack(rows.column(1)), rows.column(2), rows.column(3).to_pylist()
             gone = {i: np.zeros(len(raw[i]) + 1, np.int32) for i in range(len(raw)) if found[i].is_valid}
             part = sorted(gone)
             lists = {i: (np.array([x["sh"] for x in found[i].as_py()], np.int64), np.array([x["mask"] for x in found[i].as_py()], np.int64)) for i in part}
@@ -368,7 +382,9 @@ def _remove(width: int, k: int, with_text: bool):
                     if removed:
                         spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum())
                         kept = np.frombuffer(b, np.uint8)[~cut].tobytes()
-                extra = (texts[i] if not removed else kept.decode("utf-8", "ignore"),) if with_text else ()
+                elif copies[i] and len(b) >= width:
+                    removed, spans, kept = len(b), 1, b""
+                extra = (kept.decode("utf-8", "ignore"),) if with_text else ()
                 out.append((len(b), removed, spans, hashlib.sha256(kept).hexdigest(), *extra))
             cols = list(zip(*out)) or [()] * (4 + with_text)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -389,24 +405,30 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     width, k = min_bytes, min(ANCHOR_BYTES, min_bytes)
     if not 16 <= min_bytes <= 82:
         raise ValueError("min_bytes must be 16 to 82: a segment's windows are kept as one 64-bit mask")
-    pair = docs.select("doc_id", "text")  # no cast: an alias would keep Spark from reusing the exchange of the texts
+    pair = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     known = pair.where("doc_id is not null")
-    anchors = known.where(F.octet_length("text") >= min_bytes).mapInArrow(_anchor_map(width, k), _ANCHORS)
+    hashes = known.select("doc_id", "th", F.xxhash64("text", F.lit(1)).alias("th2"), F.octet_length("text").alias("n"))
+    first = hashes.groupBy("th", "th2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = hashes.join(first.drop("last"), ["th", "th2", "n"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy")).agg(F.collect_set("th").alias("ths"))
+    text = known.mapInArrow(_pack, "doc_id long, th long, blob binary").repartition("doc_id")
+    own = text.join(copies, text.doc_id == copies.copy, "left").where("ths is null or not array_contains(ths, th)")
+    anchors = own.select("doc_id", "blob").mapInArrow(_anchor_map(width, k), _ANCHORS)
     dealt = anchors.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.col("key"))).sortWithinPartitions("key", "doc")
     keys = dealt.mapInArrow(_anchor_reduce, "doc long, key long").groupBy("doc").agg(F.collect_list("key").alias("keys"))
-    text = known.repartition("doc_id")
-    joined = text.join(keys, text.doc_id == keys.doc).select("doc_id", "text", "keys")
+    joined = own.join(keys, own.doc_id == keys.doc).select("doc_id", "blob", "keys")
     segments = joined.mapInArrow(_segment_map(width, k), _SEGMENTS)
     dealt = segments.repartition(F.when(F.col("kind") >= 2, F.col("doc")).otherwise(F.col("key"))).sortWithinPartitions("key", "sh", "doc")
     found = dealt.mapInArrow(_segment_reduce, "doc long, sh long, edge boolean")
     edges = found.where("edge").groupBy("doc").agg(F.collect_list("sh").alias("shs"))
-    joined = text.join(edges, text.doc_id == edges.doc).select("doc_id", "text", "shs")
+    joined = text.join(edges, text.doc_id == edges.doc).select("doc_id", "blob", "shs")
     windows = joined.mapInArrow(_window_map(width, k), _WINDOWS)
-    dealt = windows.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.xxhash64("win"))).sortWithinPartitions("win", "doc")
+    dealt = windows.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.col("win"))).sortWithinPartitions("win", "more", "doc")
     at_edges = dealt.mapInArrow(_window_reduce, "doc long, sh long, mask long")
     covered = found.where("not edge").select("doc", "sh", F.lit(-1).cast("long").alias("mask")).union(at_edges)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("sh", "mask")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    joined = text.join(covered, text.doc_id == covered.doc, "left").select("doc_id", "text", "found")
-    lone = pair.where("doc_id is null").withColumn("found", F.lit(None).cast("array<struct<sh:long,mask:long>>"))
+    joined = text.join(covered, text.doc_id == covered.doc, "left").join(copies, text.doc_id == copies.copy, "left")
+    joined = joined.select("doc_id", "blob", "found", F.expr("coalesce(array_contains(ths, th), false)").alias("copied"))
+    lone = pair.where("doc_id is null").mapInArrow(_pack, "doc_id long, th long, blob binary")
+    lone = lone.select("doc_id", "blob", F.lit(None).cast("array<struct<sh:long,mask:long>>").alias("found"), F.lit(False).alias("copied"))
     return joined.union(lone).mapInArrow(_remove(width, k, with_text), schema)
