@@ -16,7 +16,7 @@ to partitions by doc_id; every later pass brings its short lists there.
 
 Every map side first settles what one Arrow batch can settle alone (a key seen in two of its documents is repeated
 whatever the rest holds), so a key that a third of all rows share sends one row per batch and not one per document.
-Across batches, segments are compared by a 64-bit hash within a 48-bit anchor and windows by a 96-bit hash.
+Across batches, segments are compared by a 64-bit hash within a 48-bit anchor and windows by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def _slices(texts: list, width: int, k: int):
 def _pack(batches: Batches) -> Batches:
     for rows in batches:
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
-        blobs = [zstandard.ZstdCompressor(level=1).compress(b) for b in raw]
+        blobs = [zstandard.ZstdCompressor(level=3).compress(b) for b in raw]
         yield _batch([rows.column(0), rows.column(2), pa.array(blobs, pa.binary())], ["doc_id", "th", "blob"])
 
 
@@ -161,7 +161,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[keep], b[keep]
 
 
-_ANCHORS = "key long, doc long, told boolean, direct boolean"
+_ANCHORS = "key long, doc long"  # key: the anchor, then a bit "the batch's documents are told", then a bit "tells one"
 
 
 def _anchor_map(width: int, k: int):
@@ -179,7 +179,9 @@ def _anchor_map(width: int, k: int):
             many = np.repeat(n > 1, n)
             first = np.zeros(len(key), bool)
             first[at] = True
-            yield _batch([np.r_[key[first], key[many]], np.r_[doc[first], doc[many]], np.r_[many[first], np.zeros(many.sum(), bool)], np.r_[np.zeros(first.sum(), bool), np.ones(many.sum(), bool)]], ["key", "doc", "told", "direct"])
+            key, doc = np.r_[key[first] << 2 | many[first] << 1, key[many] << 2 | 1], np.r_[doc[first], doc[many]]
+            order = np.argsort(doc, kind="stable")  # like beside like compresses
+            yield _batch([key[order], doc[order]], ["key", "doc"])
 
     return run
 
@@ -188,15 +190,15 @@ def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def _keyed_runs(batches: Batches, key: str = "key"):
-    """Tables of whole runs of a sorted key: what may go on is held back for the next batch."""
+def _keyed_runs(batches: Batches, key: str = "key", shift: int = 2):
+    """Tables of whole runs of a sorted key without its flags: what may go on is held back for the next batch."""
     held = None
     for rows in batches:
         t = pa.Table.from_batches([rows] if held is None else [*held, rows]).combine_chunks()
         if not t.num_rows:
             continue
         k = t.column(key).combine_chunks()
-        k = k.to_numpy(zero_copy_only=False)
+        k = k.to_numpy(zero_copy_only=False) >> shift
         last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
         held = t.slice(last).to_batches()
         if last:
@@ -213,7 +215,8 @@ def _col(t: pa.Table, name: str) -> np.ndarray:
 def _anchor_reduce(batches: Batches) -> Batches:
     """Documents of each key that occurs in two or more."""
     for t in _keyed_runs(batches):
-        key, doc, told, direct = (_col(t, c) for c in ("key", "doc", "told", "direct"))
+        key, doc = _col(t, "key"), _col(t, "doc")
+        told, direct, key = key & 2 > 0, key & 1 > 0, key >> 2
         out = [(doc[direct], key[direct])]
         key, doc, told = key[~direct], doc[~direct], told[~direct]
         at, n = runs_of(key)
@@ -224,7 +227,7 @@ def _anchor_reduce(batches: Batches) -> Batches:
         yield _batch([np.concatenate(x) for x in zip(*out)], ["doc", "key"])
 
 
-_SEGMENTS = "key long, sh long, doc long, kind byte"  # kinds: 0 open, 1 this key's rows of the batch are told, 2 covered, 3 edge
+_SEGMENTS = "key long, sh long, doc long"  # key: anchor (2, 3: doc), then two bits: 0 open, 1 the batch's rows are told, 2 covered, 3 edge
 
 
 def _segment_map(width: int, k: int):
@@ -268,15 +271,19 @@ def _segment_rows(key: np.ndarray, sh: np.ndarray, doc: np.ndarray) -> pa.Record
     mark = np.zeros(len(rep_key), bool)
     mark[at] = True
     mark &= edge
-    kind = np.r_[np.zeros((~edge).sum()), np.full(edge.sum(), 3), np.ones(mark.sum()), np.full(covered.sum(), 2)].astype(np.int8)
     parts = lambda a, c: np.r_[a[~edge], a[edge], a[mark], c[covered]]
-    return _batch([parts(rep_key, key), parts(rep_sh, sh), parts(rep_doc, doc), kind], ["key", "sh", "doc", "kind"])
+    kind = np.repeat([0, 3, 1, 2], [(~edge).sum(), edge.sum(), mark.sum(), covered.sum()])
+    key, sh, doc = parts(rep_key, key), parts(rep_sh, sh), parts(rep_doc, doc)
+    key = np.where(kind < 2, key, doc) << 2 | kind
+    order = np.argsort(doc, kind="stable")
+    return _batch([key[order], sh[order], doc[order]], ["key", "sh", "doc"])
 
 
 def _segment_reduce(batches: Batches) -> Batches:
     """(doc, sh, edge): covered segments and those whose windows have to be compared one by one."""
     for t in _keyed_runs(batches):
-        key, sh, doc, kind = (_col(t, c) for c in ("key", "sh", "doc", "kind"))
+        key, sh, doc = (_col(t, c) for c in ("key", "sh", "doc"))
+        kind, key = key & 3, key >> 2
         done = kind >= 2
         out = [(doc[done], sh[done], kind[done] == 3)]
         key, sh, doc, kind = key[~done], sh[~done], doc[~done], kind[~done]
@@ -285,6 +292,8 @@ def _segment_reduce(batches: Batches) -> Batches:
             told = np.repeat(np.logical_or.reduceat(kind == 1, at), n)
             open_ = kind == 0
             key, sh, doc, told = key[open_], sh[open_], doc[open_], told[open_]
+            order = np.lexsort((doc, sh, key))
+            key, sh, doc, told = key[order], sh[order], doc[order], told[order]
             at, n = runs_of(key)
         if len(at):
             new = np.r_[True, (key[1:] != key[:-1]) | (sh[1:] != sh[:-1])]
@@ -297,7 +306,7 @@ def _segment_reduce(batches: Batches) -> Batches:
         yield _batch([np.concatenate(x) for x in zip(*out)], ["doc", "sh", "edge"])
 
 
-_WINDOWS = "win long, more int, doc long, sh long, bit byte, direct boolean"
+_WINDOWS = "win long, doc long, direct boolean"
 
 
 def _window_map(width: int, k: int):
@@ -315,7 +324,7 @@ def _window_map(width: int, k: int):
                 n = s.n[which]
                 bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(s.at[which], n) + bit
-                doc, sh = np.repeat(docs[s.rows[which]], n), np.repeat(sh[which], n)
+                doc = np.repeat(docs[s.rows[which]], n)
                 win = np.lib.stride_tricks.sliding_window_view(s.buf, width)[at]
                 live, group = radix_groups(win)
                 direct, rest = np.zeros(len(at), bool), np.ones(len(at), bool)
@@ -329,50 +338,45 @@ def _window_map(width: int, k: int):
                     rest[live[g]] = True
                 pick = direct | rest
                 h = _window_hash(s.u, at[pick], width)
-                more = (_window_hash(s.u, at[pick] + 1, width - 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield _batch([h.view(np.int64), more, doc[pick], sh[pick], bit[pick].astype(np.int8), direct[pick]], ["win", "more", "doc", "sh", "bit", "direct"])
+                yield _batch([h.view(np.int64), doc[pick], direct[pick]], ["win", "doc", "direct"])
 
     return run
 
 
 def _window_reduce(batches: Batches) -> Batches:
     """Rows come in the order of the windows, smaller documents first."""
-    for t in _keyed_runs(batches, "win"):
-        win, more, doc, sh, bit, direct = (_col(t, c) for c in ("win", "more", "doc", "sh", "bit", "direct"))
+    for t in _keyed_runs(batches, "win", 0):
+        win, doc, direct = (_col(t, c) for c in ("win", "doc", "direct"))
         covered = direct.copy()
         rest = np.flatnonzero(~direct)
         if len(rest):
-            w, m = win[rest], more[rest]
-            new = np.r_[True, (w[1:] != w[:-1]) | (m[1:] != m[:-1])]
+            w = win[rest]
+            new = np.r_[True, w[1:] != w[:-1]]
             covered[rest] = doc[rest] > doc[rest][new][np.cumsum(new) - 1]
-        yield _batch([doc[covered], sh[covered], np.int64(1) << bit[covered].astype(np.int64)], ["doc", "sh", "mask"])
+        yield _batch([doc[covered], win[covered]], ["doc", "win"])
 
 
 def _remove(width: int, k: int, with_text: bool):
     def run(batches: Batches) -> Batches:
         for rows in batches:
-            raw, found, copies = _unpack(rows.column(1)), rows.column(2), rows.column(3).to_pylist()
-            gone = {i: np.zeros(len(raw[i]) + 1, np.int32) for i in range(len(raw)) if found[i].is_valid}
-            part = sorted(gone)
-            lists = {i: (np.array([x["sh"] for x in found[i].as_py()], np.int64), np.array([x["mask"] for x in found[i].as_py()], np.int64)) for i in part}
-            for s in _slices([raw[i] if i in gone else b"" for i in range(len(raw))], width, k):
+            raw, copies = _unpack(rows.column(1)), rows.column(4).to_pylist()
+            whole, parts = rows.column(2), rows.column(3)
+            gone = {i: np.zeros(len(raw[i]) + 1, np.int32) for i in range(len(raw)) if whole[i].is_valid and not copies[i]}
+            lists = {i: [np.sort(x[i].values.to_numpy(zero_copy_only=False)) for x in (whole, parts)] for i in gone}
+            for s in _slices([b if i in gone else b"" for i, b in enumerate(raw)], width, k):
                 for row in np.unique(s.rows):
                     own = np.flatnonzero(s.rows == row)
-                    ids, masks = lists[row]
-                    order = np.argsort(ids, kind="stable")
-                    ids, masks = ids[order], masks[order]
-                    at, n = runs_of(ids)
-                    masks, ids = np.bitwise_or.reduceat(masks, at), ids[at]
-                    sh = s.segment_hash(own)
-                    hit = _member(sh, ids)
-                    own, mask = own[hit], masks[np.searchsorted(ids, sh[hit])]
-                    n = s.n[own]
-                    bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    on = (np.repeat(mask, n) >> bit) & 1 == 1
-                    piece = s.piece[own]
-                    at = np.repeat(s.at[own] - s.starts[piece] + s.base[piece], n)[on] + bit[on]
-                    np.add.at(gone[row], at, 1)
-                    np.add.at(gone[row], at + width, -1)
+                    full = _member(s.segment_hash(own), lists[row][0])
+                    for runs, wins in ((own[full], None), (own[~full], lists[row][1])):
+                        n = s.n[runs]
+                        at = np.repeat(s.at[runs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        piece = np.repeat(s.piece[runs], n)
+                        if wins is not None:
+                            hit = _member(_window_hash(s.u, at, width).view(np.int64), wins) if len(wins) else np.zeros(len(at), bool)
+                            at, piece = at[hit], piece[hit]
+                        at = at - s.starts[piece] + s.base[piece]
+                        np.add.at(gone[row], at, 1)
+                        np.add.at(gone[row], at + width, -1)
             out = []
             for i, b in enumerate(raw):
                 removed, spans, kept = 0, 0, b
@@ -404,7 +408,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     """
     width, k = min_bytes, min(ANCHOR_BYTES, min_bytes)
     if not 16 <= min_bytes <= 82:
-        raise ValueError("min_bytes must be 16 to 82: a segment's windows are kept as one 64-bit mask")
+        raise ValueError("min_bytes must be 16 to 82: a segment is known by its first and last window, which have to meet")
     pair = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     known = pair.where("doc_id is not null")
     hashes = known.select("doc_id", "th", F.xxhash64("text", F.lit(1)).alias("th2"), F.octet_length("text").alias("n"))
@@ -413,22 +417,23 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     text = known.mapInArrow(_pack, "doc_id long, th long, blob binary").repartition("doc_id")
     own = text.join(copies, text.doc_id == copies.copy, "left").where("ths is null or not array_contains(ths, th)")
     anchors = own.select("doc_id", "blob").mapInArrow(_anchor_map(width, k), _ANCHORS)
-    dealt = anchors.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.col("key"))).sortWithinPartitions("key", "doc")
+    dealt = anchors.repartition(F.expr("if(key & 1 = 1, doc, key >> 2)")).sortWithinPartitions("key")
     keys = dealt.mapInArrow(_anchor_reduce, "doc long, key long").groupBy("doc").agg(F.collect_list("key").alias("keys"))
     joined = own.join(keys, own.doc_id == keys.doc).select("doc_id", "blob", "keys")
     segments = joined.mapInArrow(_segment_map(width, k), _SEGMENTS)
-    dealt = segments.repartition(F.when(F.col("kind") >= 2, F.col("doc")).otherwise(F.col("key"))).sortWithinPartitions("key", "sh", "doc")
+    dealt = segments.repartition(F.expr("if(key & 2 = 2, doc, key >> 2)")).sortWithinPartitions("key")
     found = dealt.mapInArrow(_segment_reduce, "doc long, sh long, edge boolean")
     edges = found.where("edge").groupBy("doc").agg(F.collect_list("sh").alias("shs"))
-    joined = text.join(edges, text.doc_id == edges.doc).select("doc_id", "blob", "shs")
+    joined = own.join(edges, own.doc_id == edges.doc).select("doc_id", "blob", "shs")
     windows = joined.mapInArrow(_window_map(width, k), _WINDOWS)
-    dealt = windows.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.col("win"))).sortWithinPartitions("win", "more", "doc")
-    at_edges = dealt.mapInArrow(_window_reduce, "doc long, sh long, mask long")
-    covered = found.where("not edge").select("doc", "sh", F.lit(-1).cast("long").alias("mask")).union(at_edges)
-    covered = covered.groupBy("doc").agg(F.collect_list(F.struct("sh", "mask")).alias("found"))
+    dealt = windows.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.col("win"))).sortWithinPartitions("win", "doc")
+    at_edges = dealt.mapInArrow(_window_reduce, "doc long, win long")
+    none = F.lit(None).cast("long")
+    covered = found.where("not edge").select("doc", "sh", none.alias("win")).union(at_edges.select("doc", none, "win"))
+    covered = covered.groupBy("doc").agg(F.collect_list("sh").alias("whole"), F.collect_list("win").alias("parts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     joined = text.join(covered, text.doc_id == covered.doc, "left").join(copies, text.doc_id == copies.copy, "left")
-    joined = joined.select("doc_id", "blob", "found", F.expr("coalesce(array_contains(ths, th), false)").alias("copied"))
+    joined = joined.select("doc_id", "blob", "whole", "parts", F.expr("coalesce(array_contains(ths, th), false)").alias("copied"))
     lone = pair.where("doc_id is null").mapInArrow(_pack, "doc_id long, th long, blob binary")
-    lone = lone.select("doc_id", "blob", F.lit(None).cast("array<struct<sh:long,mask:long>>").alias("found"), F.lit(False).alias("copied"))
+    lone = lone.select("doc_id", "blob", *(F.lit(None).cast("array<long>").alias(c) for c in ("whole", "parts")), F.lit(False).alias("copied"))
     return joined.union(lone).mapInArrow(_remove(width, k, with_text), schema)
