@@ -5,22 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm.bpe import encode_decode
 from granary.llm.common import table
+from granary.llm.lattice import near_duplicates
+from granary.llm.line_dedup import oracle as line_oracle
+from granary.llm.line_dedup import remove_boilerplate
 from granary.llm.packing import pack
+from granary.llm.simhash import simhash_groups
 from granary.llm.suffix_dedup import remove_repeats
 from granary.llm.token_counts import token_counts
+from granary.llm.vafile import ORACLE as TOP_K_ORACLE
+from granary.llm.vafile import top_k
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.md5("kept_text").alias("kept_md5"), "n_lines", "n_removed")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -30,8 +54,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op6_bpe, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_simhash, op5_lattice, op6_bpe, op7_top_k, op8_line_dedup, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_top_k": TOP_K_ORACLE, "op8_line_dedup": line_oracle()}
