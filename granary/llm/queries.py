@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm import langid, toxicity
 from granary.llm.bpe import encode_decode
 from granary.llm.common import table
 from granary.llm.lattice import near_duplicates
@@ -24,6 +25,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).drop("rejected")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -54,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_simhash, op5_lattice, op6_bpe, op7_top_k, op8_line_dedup, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_simhash, op5_lattice, op6_bpe, op7_top_k, op8_line_dedup, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

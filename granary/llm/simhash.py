@@ -117,3 +117,121 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments:
     low = led.groupBy("c").agg(F.min("first").alias("component_id"))
     named = led.join(low, "c").select(F.col("fp").alias("of"), "component_id")
     return rows.join(named, rows.fp == named.of, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDE_SEGMENTS = 10
+WIDE_WIDTH = 24
+WIDE_BITS = 36
+GROUP = 512
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
+    """240-bit SimHash as ten 24-bit integers, from four mixes of each shingle's hash; None-like zeros without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(WIDE_SEGMENTS, np.int32)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    n = max(1, len(words) - shingle + 1)
+    digest, count = xxhash.xxh64_intdigest, np.zeros(256, np.int64)
+    mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    for at in range(0, n, _CHUNK):
+        to = min(n, at + _CHUNK)
+        spans = zip(starts[at:to].tolist(), ends[min(shingle, len(words)) - 1 :][at:to].tolist())
+        h = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, to - at)
+        more = (h[:, None] ^ (h >> np.uint64(31))[:, None]) * mix
+        more = (more ^ (more >> np.uint64(29))) * mix[0]
+        bits = np.unpackbits(np.hstack([h[:, None], more ^ (more >> np.uint64(32))]).view(np.uint8), axis=1, bitorder="little")
+        count += bits.sum(0, dtype=np.int32)
+    on = (count[: WIDE_SEGMENTS * WIDE_WIDTH] * 2 > n).reshape(WIDE_SEGMENTS, WIDE_WIDTH)
+    return (on @ (1 << np.arange(WIDE_WIDTH))).astype(np.int32)
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = WIDE_BITS, group: int = GROUP) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, component_id: groups of texts whose word shingles are about 0.8 similar or more.
+
+    A Jaccard similarity of 0.8 is some 15 % differing bits, out of reach of a short fingerprint's small balls. So the
+    fingerprint has 240 bits in ten segments, each with a table; a text probes the ball of radius 1 round each segment
+    and full distances of what meets are verified, max_bits (15 %) or fewer being a link. Table rows are met in blocks of
+    ``group``, however many they are, and only spanning links leave a block. Texts without words link with nothing, null
+    texts among them; a null doc_id is alone. Equal fingerprints are one group.
+    """
+    def run(batches: Batches) -> Batches:
+        for rows in batches:
+            fps = np.array([wide_fingerprint(t, shingle) for t in rows.column(1).to_pylist()]).reshape(-1, WIDE_SEGMENTS)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), WIDE_SEGMENTS).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), flat], names=["doc_id", "fp"])
+
+    rows = durable(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<int>").withColumn("h", F.xxhash64("fp")))
+    live = rows.where("doc_id is not null and exists(fp, x -> x <> 0)")
+    first = durable(live.groupBy("h", "fp").agg(F.min("doc_id").alias("id")).select("id", "h", "fp"))
+    segment = first.select("id", F.posexplode("fp").alias("t", "key"))
+    home = segment.select("id", "t", "key", F.lit(True).alias("home"))
+    flips = F.explode(F.array(*[F.lit(1 << b) for b in range(WIDE_WIDTH)]))
+    probe = segment.select("id", "t", "key", flips.alias("m")).select("id", "t", F.col("key").bitwiseXOR(F.col("m")).alias("key"), F.lit(False).alias("home"))
+    sizes = home.groupBy("t", "key").agg(F.count("*").alias("n"))
+    # whole blocks of a row's homes; probers meet each block
+    parts = F.ceil(F.col("n") / group).cast("int")
+    homes = home.join(sizes.where("n > 1"), ["t", "key"]).select("id", "t", "key", "home", parts.alias("m"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("s"))
+    homes = homes.select("id", "t", "key", "home", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x")).select("id", "t", "key", "home", F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b"))
+    met = probe.join(sizes, ["t", "key"]).select("id", "t", "key", "home", F.explode(F.sequence(F.lit(0), parts - 1)).alias("a")).select("id", "t", "key", "home", "a", F.col("a").alias("b"))
+    alone = home.join(met.select("t", "key").distinct(), ["t", "key"]).join(sizes.where("n = 1").select("t", "key"), ["t", "key"]).select("id", "t", "key", "home", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    dealt = homes.union(met).union(alone).select("id", "home", F.xxhash64("t", "key", "a", "b").alias("g"))
+    full = dealt.join(first.select("id", "fp"), "id").select("g", "home", "id", "fp").repartition("g").sortWithinPartitions("g", F.desc("home"))
+    links = durable(full.mapInArrow(_verify_wide(max_bits), "src long, dst long").distinct())
+    comp = connected_components(links)
+    named = first.join(comp, first.id == comp.node, "left").select(F.col("h").alias("of"), F.coalesce("component", "id").alias("c"))
+    out = rows.join(named, rows.h == named.of, "left")
+    lone = F.col("doc_id").isNull() | ~F.exists("fp", lambda x: x != 0)
+    return out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+
+
+def _verify_wide(max_bits: int):
+    """Spanning links of each block: homes with homes, probers with homes; homes come first in a run."""
+
+    def run(batches: Batches) -> Batches:
+        from granary.llm.suffix_dedup import _batch, _keyed_runs, runs_of
+        from granary.llm.vafile import matrix
+
+        for t in _keyed_runs(batches, "g", 0):
+            g, home, ids = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("g", "home", "id"))
+            fp = matrix(t.column("fp"), np.uint32)
+            src, dst = [], []
+            at, n = runs_of(g)
+            for a, m in zip(at, n):
+                if m < 2:
+                    continue
+                homes = int(home[a : a + m].sum())
+                for lo in range(0, m, 2048):  # probers in strips, so that a block never holds more than homes x 2048
+                    strip = slice(a + lo, a + min(m, lo + 2048))
+                    d = sum(np.bitwise_count(fp[a : a + homes, None, c] ^ fp[None, strip, c]).astype(np.int16) for c in range(WIDE_SEGMENTS))
+                    i, j = np.nonzero(d <= max_bits)
+                    i, j = ids[a + i], ids[strip][j]
+                    near = i != j
+                    if near.any():
+                        x, y = _spanning(i[near], j[near])
+                        src.append(x)
+                        dst.append(y)
+            if src:
+                yield _batch([np.concatenate(src), np.concatenate(dst)], ["src", "dst"])
+
+    return run
+
+
+def _spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the smallest id of its component, for the links given."""
+    used, back = np.unique(np.r_[i, j], return_inverse=True)
+    a, b = back[: len(i)], back[len(i) :]
+    label = np.arange(len(used))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(used))
+    return used[label[other]], used[other]
