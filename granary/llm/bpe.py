@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Batches, texts
+from granary.llm.common import Batches, in_parts, texts
 
 NO_RANK = 1 << 40
 LONG_WORD = 400
@@ -223,7 +223,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Batches) -> Batches:
         path = vocabulary or default_vocabulary("word_bpe_49k.json")
         bpe, memo = load(path), _strings(path)
-        for rows in batches:
+        for rows in in_parts(batches):
             n, ids_hash, text_hash = [], [], []
             for t in texts(rows.column(1)):
                 memo.room()
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         bpe = load(vocabulary or default_vocabulary("word_bpe_49k.json"))
-        for rows in batches:
+        for rows in in_parts(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([bpe.ids(t) for t in texts(rows.column(1))], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -254,7 +254,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Batches) -> Batches:
         bpe = load(vocabulary or default_vocabulary("word_bpe_49k.json"))
         of = {x: b for b, x in enumerate(byte_letters())}
-        for rows in batches:
+        for rows in in_parts(batches):
             out = []
             for ids in rows.column(1).to_pylist():
                 tokens = [bpe.token[i] for i in ids or ()]

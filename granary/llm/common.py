@@ -19,10 +19,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: cuts the lineage and survives lost executors; the shuffle files behind it are let go."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +81,13 @@ def runs_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 Batches = Iterator[pa.RecordBatch]
+PART_BYTES = 8 << 20
+
+
+def in_parts(batches: Batches, limit: int = PART_BYTES) -> Batches:
+    """The same rows in batches of bounded size, so that a worker's memory does not follow the session's batch size."""
+    for rows in batches:
+        each = max(1, int(rows.num_rows * limit / max(1, rows.nbytes)))
+        for at in range(0, max(1, rows.num_rows), each):
+            yield rows.slice(at, each)
+        pa.default_memory_pool().release_unused()

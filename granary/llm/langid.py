@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import Batches
+from granary.llm.common import Batches, in_parts
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -127,7 +127,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     rows = known.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").select("lang", "text")
 
     def features(batches: Batches) -> Batches:
-        for b in batches:
+        for b in in_parts(batches):
             got = [np.unique(subwords(t), return_counts=True) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g for g, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["lang", "grams", "counts"])
 
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in in_parts(batches):
             got = [model.predict(t) for t in b.column(1).to_pylist()]
             bad = [lang == UND or score < model.threshold for lang, score in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(bad, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])

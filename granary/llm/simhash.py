@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Batches, connected_components, durable
+from granary.llm.common import Batches, connected_components, durable, in_parts
 
 SEED = 42
 CAP = 64
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp long. Null and empty texts have fingerprint zero."""
 
     def run(batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in in_parts(batches):
             fps = [fingerprint(t, shingle) for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -158,7 +158,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = WID
     texts among them; a null doc_id is alone. Equal fingerprints are one group.
     """
     def run(batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in in_parts(batches):
             fps = np.array([wide_fingerprint(t, shingle) for t in rows.column(1).to_pylist()]).reshape(-1, WIDE_SEGMENTS)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), WIDE_SEGMENTS).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column(0), flat], names=["doc_id", "fp"])

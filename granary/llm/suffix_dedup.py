@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Batches, runs_of
+from granary.llm.common import Batches, durable, in_parts, runs_of
 
 MIN_BYTES = 50
 ANCHOR_BYTES = 28
@@ -123,9 +123,9 @@ def _slices(texts: list, width: int, k: int):
 
 
 def _pack(batches: Batches) -> Batches:
-    for rows in batches:
+    for rows in in_parts(batches):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
-        blobs = [zstandard.ZstdCompressor(level=3).compress(b) for b in raw]
+        blobs = [zstandard.ZstdCompressor(level=1).compress(b) for b in raw]
         yield _batch([rows.column(0), rows.column(2), pa.array(blobs, pa.binary())], ["doc_id", "th", "blob"])
 
 
@@ -168,7 +168,7 @@ def _anchor_map(width: int, k: int):
     """(key, doc) once per key and batch; where a batch holds a key in several documents, these are told directly."""
 
     def run(batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in in_parts(batches):
             docs = rows.column(0).to_numpy(zero_copy_only=False)
             keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in _slices(_unpack(rows.column(1)), width, k):
@@ -232,7 +232,7 @@ _SEGMENTS = "key long, sh long, doc long"  # key: anchor (2, 3: doc), then two b
 
 def _segment_map(width: int, k: int):
     def run(batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in in_parts(batches):
             docs, wanted = rows.column(0).to_numpy(zero_copy_only=False), rows.column(2)
             keys, shs, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             repeated = np.unique(wanted.flatten().to_numpy(zero_copy_only=False))
@@ -313,7 +313,7 @@ def _window_map(width: int, k: int):
     """The windows of edge segments; equal ones of a batch are settled here, by radix passes over their bytes."""
 
     def run(batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in in_parts(batches):
             docs, ids = rows.column(0).to_numpy(zero_copy_only=False), rows.column(2)
             wanted = np.unique(ids.flatten().to_numpy(zero_copy_only=False))
             for s in _slices(_unpack(rows.column(1)), width, k):
@@ -358,7 +358,7 @@ def _window_reduce(batches: Batches) -> Batches:
 
 def _remove(width: int, k: int, with_text: bool):
     def run(batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in in_parts(batches):
             raw, copies = _unpack(rows.column(1)), rows.column(4).to_pylist()
             whole, parts = rows.column(2), rows.column(3)
             gone = {i: np.zeros(len(raw[i]) + 1, np.int32) for i in range(len(raw)) if whole[i].is_valid and not copies[i]}
@@ -422,7 +422,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     joined = own.join(keys, own.doc_id == keys.doc).select("doc_id", "blob", "keys")
     segments = joined.mapInArrow(_segment_map(width, k), _SEGMENTS)
     dealt = segments.repartition(F.expr("if(key & 2 = 2, doc, key >> 2)")).sortWithinPartitions("key")
-    found = dealt.mapInArrow(_segment_reduce, "doc long, sh long, edge boolean")
+    found = durable(dealt.mapInArrow(_segment_reduce, "doc long, sh long, edge boolean"))
     edges = found.where("edge").groupBy("doc").agg(F.collect_list("sh").alias("shs"))
     joined = own.join(edges, own.doc_id == edges.doc).select("doc_id", "blob", "shs")
     windows = joined.mapInArrow(_window_map(width, k), _WINDOWS)

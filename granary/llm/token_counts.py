@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import PerWord, RankBPE, default_vocabulary, load
-from granary.llm.common import Batches
+from granary.llm.common import Batches, in_parts
 
 RULES = ("first", "most")
 
@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame, rule: str = "first", vocabulary: str | None =
     def run(batches: Batches) -> Batches:
         path = vocabulary or default_vocabulary("byte_bpe_50k.json")
         names = ["doc_id", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
-        for rows in batches:
+        for rows in in_parts(batches):
             cols: list[list] = [[] for _ in names]
             ids = rows.column(0).to_pylist()
             for i in range(rows.num_rows):

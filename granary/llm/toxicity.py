@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import PerWord
-from granary.llm.common import Batches
+from granary.llm.common import Batches, in_parts
 from granary.llm.langid import fold
 
 BUCKETS = 1 << 18
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows = text.join(F.broadcast(pos_ids.union(unl_ids)), F.col("doc_id") == F.col("of")).select("kind", "text")
 
     def features(batches: Batches) -> Batches:
-        for b in batches:
+        for b in in_parts(batches):
             got = [np.unique(np.array([x for w in words(t) for x in buckets(w)], np.int32)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["kind", "buckets"])
 
@@ -136,7 +136,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
 
     def run(batches: Batches) -> Batches:
         memo = model.memo()
-        for b in batches:
+        for b in in_parts(batches):
             memo.room()
             s = [model.score(memo, t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
