@@ -70,7 +70,7 @@ def v_features(spark, d):
         "l_orderkey record_id", "l_linenumber feature_no",
         "case l_partkey % 8 when 0 then 'gene' when 1 then 'CDS' when 2 then 'regulatory' when 3 then 'tRNA' when 4 then 'rRNA' when 5 then 'promoter' when 6 then 'source' else 'mRNA' end type",
         "concat(case when l_suppkey % 2 = 0 then 'complement(' else '' end, l_partkey, '..', l_partkey + 90, case when l_suppkey % 2 = 0 then ')' else '' end) location",
-        "map_from_entries(filter(array(struct('gene' as key, case when l_suppkey % 3 <> 0 then array(concat('g', l_suppkey)) end as value), struct('locus_tag', array(concat('L', l_partkey))), struct('product', array(concat('product ', l_partkey % 40))), struct('organism', case when l_partkey % 8 = 6 then array(concat('organism ', l_suppkey % 9)) end), struct('regulatory_class', case when l_partkey % 8 = 2 then array('promoter') end), struct('translation', case when l_partkey % 8 = 1 then array(repeat('M', cast(l_quantity as int))) end)), x -> x.value is not null)) qualifiers",
+        "map_filter(map('gene', case when l_suppkey % 3 <> 0 then array(concat('g', l_suppkey)) end, 'locus_tag', array(concat('L', l_partkey)), 'product', array(concat('product ', l_partkey % 40)), 'organism', case when l_partkey % 8 = 6 then array(concat('organism ', l_suppkey % 9)) end, 'regulatory_class', case when l_partkey % 8 = 2 then array('promoter') end, 'translation', case when l_partkey % 8 = 1 then array(repeat('M', cast(l_quantity as int))) end), (k, v) -> v is not null) qualifiers",
     )
 
 
