@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from granary.operators.transcripts import format_timestamp
 
@@ -46,7 +47,7 @@ def fixed_interval(videos: DataFrame, cuts: DataFrame, seconds: int = 10) -> Dat
     return cuts.select("video_id", "frame_number", "ts").union(steps.select("video_id", F.floor(F.col("at") * F.col("fps")).alias("frame_number"), F.col("at").cast("double").alias("ts")))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sharpness(gray: pd.Series, width: pd.Series) -> pd.Series:
     """Variance of the 4-neighbour Laplacian, edges mirrored."""
 

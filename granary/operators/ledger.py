@@ -22,13 +22,14 @@ def append_tasks(requests: DataFrame, submitted_at: dt.datetime) -> DataFrame:
     )
 
 
-_QUEUE = (F.desc("priority"), F.asc("created_at"), F.asc("task_id"))
+def _queue() -> tuple[Column, ...]:
+    return F.desc("priority"), F.asc("created_at"), F.asc("task_id")
 
 
 def claim_next(tasks: DataFrame, k: int, workers: int = 1, as_of: dt.datetime | None = None) -> DataFrame:
     """The next k pending tasks by priority and age, dealt in turn to the workers."""
-    top = tasks.where("status = 'pending'").orderBy(*_QUEUE).limit(k)
-    rank = F.row_number().over(W.orderBy(*_QUEUE))  # over k rows only
+    top = tasks.where("status = 'pending'").orderBy(*_queue()).limit(k)
+    rank = F.row_number().over(W.orderBy(*_queue()))  # over k rows only
     out = top.withColumn("rank", rank.cast("long")).select("task_id", "rank", ((F.col("rank") - 1) % workers).cast("long").alias("worker"))
     return out if as_of is None else out.withColumn("started_at", F.lit(as_of).cast("timestamp"))
 
