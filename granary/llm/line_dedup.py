@@ -32,7 +32,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float =
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, band: float = BAND) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, kept_text, n_lines, n_removed.
+    """docs(doc_id, text, source) -> doc_id, text_hash (of the text before), kept_text, n_lines, n_removed.
 
     A line (trimmed of spaces) on min_sites distinct sources or more goes wherever it stands, unless such lines hold
     more than max_share of a document's characters: that document is a copy, not a page with boilerplate, and stays
@@ -52,6 +52,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: f
     whole = (F.size("lines") == F.size("kept")) | (gone > max_share * F.length("text"))
     return got.select(
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         F.when(whole, F.col("text")).otherwise(F.col("joined")).alias("kept_text"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("text").isNull() | whole, F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),

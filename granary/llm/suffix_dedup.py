@@ -126,7 +126,8 @@ def _pack(batches: Batches) -> Batches:
     for rows in in_parts(batches):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in rows.column(1).to_pylist()]
         blobs = [zstandard.ZstdCompressor(level=1).compress(b) for b in raw]
-        yield _batch([rows.column(0), rows.column(2), pa.array(blobs, pa.binary())], ["doc_id", "th", "blob"])
+        rest = range(3, rows.num_columns)
+        yield _batch([rows.column(0), rows.column(2), pa.array(blobs, pa.binary()), *(rows.column(k) for k in rest)], ["doc_id", "th", "blob", *(rows.schema.names[k] for k in rest)])
 
 
 def _unpack(column: pa.Array) -> list[bytes]:
@@ -392,16 +393,19 @@ def _remove(width: int, k: int, with_text: bool):
                 out.append((len(b), removed, spans, hashlib.sha256(kept).hexdigest(), *extra))
             cols = list(zip(*out)) or [()] * (4 + with_text)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield _batch([rows.column(0), *(pa.array(c, ty) for c, ty in zip(cols, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
+            rest = range(5, rows.num_columns)
+            columns = [rows.column(0), *(pa.array(c, ty) for c, ty in zip(cols, types)), *(rows.column(k) for k in rest)]
+            yield _batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text, *(rows.schema.names[k] for k in rest)])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop each byte covered by a ``min_bytes`` string that also starts in a document with a smaller doc_id.
 
     docs(doc_id long, text string) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, which leaves out
-    bytes of a character that was cut in two). Other input columns are ignored, whatever their names. Null text is an
+    bytes of a character that was cut in two). The columns named in ``keep`` come along; others are ignored, whatever their
+    names. Null text is an
     empty one; texts shorter than min_bytes stay whole. Rows with a null doc_id have no place in the order: they lose
     nothing and nothing is lost to them. Rows that share a doc_id are judged each against smaller ids only. An empty
     table gives an empty result.
@@ -409,12 +413,14 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     width, k = min_bytes, min(ANCHOR_BYTES, min_bytes)
     if not 16 <= min_bytes <= 82:
         raise ValueError("min_bytes must be 16 to 82: a segment is known by its first and last window, which have to meet")
-    pair = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    kept = {f"kept_{k}": kind for k, kind in docs.dtypes if k in keep}
+    pair = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), *[F.col(k[5:]).alias(k) for k in kept])
     known = pair.where("doc_id is not null")
     hashes = known.select("doc_id", "th", F.xxhash64("text", F.lit(1)).alias("th2"), F.octet_length("text").alias("n"))
     first = hashes.groupBy("th", "th2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = hashes.join(first.drop("last"), ["th", "th2", "n"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy")).agg(F.collect_set("th").alias("ths"))
-    text = known.mapInArrow(_pack, "doc_id long, th long, blob binary").repartition("doc_id")
+    packed = "doc_id long, th long, blob binary" + "".join(f", `{k}` {kind}" for k, kind in kept.items())
+    text = known.mapInArrow(_pack, packed).repartition("doc_id")
     own = text.join(copies, text.doc_id == copies.copy, "left").where("ths is null or not array_contains(ths, th)")
     anchors = own.select("doc_id", "blob").mapInArrow(_anchor_map(width, k), _ANCHORS)
     dealt = anchors.repartition(F.expr("if(key & 1 = 1, doc, key >> 2)")).sortWithinPartitions("key")
@@ -431,9 +437,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     none = F.lit(None).cast("long")
     covered = found.where("not edge").select("doc", "sh", none.alias("win")).union(at_edges.select("doc", none, "win"))
     covered = covered.groupBy("doc").agg(F.collect_list("sh").alias("whole"), F.collect_list("win").alias("parts"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", `{k}` {kind}" for k, kind in kept.items())
     joined = text.join(covered, text.doc_id == covered.doc, "left").join(copies, text.doc_id == copies.copy, "left")
-    joined = joined.select("doc_id", "blob", "whole", "parts", F.expr("coalesce(array_contains(ths, th), false)").alias("copied"))
-    lone = pair.where("doc_id is null").mapInArrow(_pack, "doc_id long, th long, blob binary")
-    lone = lone.select("doc_id", "blob", *(F.lit(None).cast("array<long>").alias(c) for c in ("whole", "parts")), F.lit(False).alias("copied"))
-    return joined.union(lone).mapInArrow(_remove(width, k, with_text), schema)
+    joined = joined.select("doc_id", "blob", "whole", "parts", F.expr("coalesce(array_contains(ths, th), false)").alias("copied"), *kept)
+    lone = pair.where("doc_id is null").mapInArrow(_pack, packed)
+    lone = lone.select("doc_id", "blob", *(F.lit(None).cast("array<long>").alias(c) for c in ("whole", "parts")), F.lit(False).alias("copied"), *kept)
+    out = joined.union(lone).mapInArrow(_remove(width, k, with_text), schema)
+    return out.withColumnsRenamed({k: k[5:] for k in kept})

@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Only confirmed toxic documents are labels; everything else is unlabelled and holds the class prior's share of toxic
-texts. With prior pi the risk is pi * E_pos[loss(+)] + max(0, E_unl[loss(-)] - pi * E_pos[loss(-)]); where the second
+Only confirmed toxic documents are labels. The unlabelled sample is drawn from all texts, whatever their label, so that it
+holds the class prior's share of toxic ones. With prior pi the risk is pi * E_pos[loss(+)] + max(0, E_unl[loss(-)] - pi * E_pos[loss(-)]); where the second
 term goes negative the model has begun to fit the unlabelled sample, and the step goes back along it.
 """
 
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     text = docs.where((fold(F.col("doc_id")) != 2) & F.col("text").isNotNull()).select("doc_id", "text")
     mixed = F.xxhash64("doc_id")
     pos_ids = yes.orderBy(mixed, "doc_id").limit(positives).select(F.col("doc_id").alias("of"), F.lit(1).alias("kind"))
-    unl_ids = text.select("doc_id").join(yes, "doc_id", "left_anti").orderBy(mixed, "doc_id").limit(unlabelled).select(F.col("doc_id").alias("of"), F.lit(0).alias("kind"))
+    unl_ids = text.select("doc_id").distinct().orderBy(mixed, "doc_id").limit(unlabelled).select(F.col("doc_id").alias("of"), F.lit(0).alias("kind"))
     rows = text.join(F.broadcast(pos_ids.union(unl_ids)), F.col("doc_id") == F.col("of")).select("kind", "text")
 
     def features(batches: Batches) -> Batches:
