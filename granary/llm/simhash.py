@@ -121,7 +121,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments:
 
 WIDE_SEGMENTS = 10
 WIDE_WIDTH = 24
-WIDE_BITS = 36
+WIDE_BITS = 40
 GROUP = 512
 
 
@@ -153,7 +153,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = WID
 
     A Jaccard similarity of 0.8 is some 15 % differing bits, out of reach of a short fingerprint's small balls. So the
     fingerprint has 240 bits in ten segments, each with a table; a text probes the ball of radius 1 round each segment
-    and full distances of what meets are verified, max_bits (15 %) or fewer being a link. Table rows are met in blocks of
+    and full distances of what meets are verified, max_bits (a sixth) or fewer being a link. Table rows are met in blocks of
     ``group``, however many they are, and only spanning links leave a block. Texts without words link with nothing, null
     texts among them; a null doc_id is alone. Equal fingerprints are one group.
     """
