@@ -22,16 +22,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives lost executors; the shuffle files behind it are let go."""
+def durable(df: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Reliable checkpoint: cuts the lineage and survives lost executors; the shuffle files behind it are let go.
+
+    partitioned: plan without adaptive execution, so that later joins know the result's hash partitioning and leave it.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({"spark.sql.adaptive.enabled": "false"} if partitioned else {})
+    before = {k: spark.conf.get(k, "false") for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         return df.checkpoint(eager=True)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ The order is built by most-significant-digit passes, each a Spark shuffle that k
    by radix passes over their bytes, 8 at a time, then across batches.
 
 Whole copies of a smaller document are known by the hash of their text and take no part. Texts travel once, compressed,
-to partitions by doc_id; every later pass brings its short lists there.
+to checkpointed partitions by doc_id; every later pass brings its short lists there.
 
 Every map side first settles what one Arrow batch can settle alone (a key seen in two of its documents is repeated
 whatever the rest holds), so a key that a third of all rows share sends one row per batch and not one per document.
@@ -420,7 +420,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     first = hashes.groupBy("th", "th2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = hashes.join(first.drop("last"), ["th", "th2", "n"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy")).agg(F.collect_set("th").alias("ths"))
     packed = "doc_id long, th long, blob binary" + "".join(f", `{k}` {kind}" for k, kind in kept.items())
-    text = known.mapInArrow(_pack, packed).repartition("doc_id")
+    text = durable(known.mapInArrow(_pack, packed).repartition("doc_id"), partitioned=True)
     own = text.join(copies, text.doc_id == copies.copy, "left").where("ths is null or not array_contains(ths, th)")
     anchors = own.select("doc_id", "blob").mapInArrow(_anchor_map(width, k), _ANCHORS)
     dealt = anchors.repartition(F.expr("if(key & 1 = 1, doc, key >> 2)")).sortWithinPartitions("key")
