@@ -151,13 +151,13 @@ ORACLES = {
     "k01_merge_pages": duck("select doc_id, md5(string_agg(page_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_no)) markdown_md5 from v_doc_pages group by 1", "v_doc_pages"),
     "k03_editable_or_scanned": duck("select doc_id, case when avg(case when length(regexp_replace(page_text, '^\\s+|\\s+$', '', 'g')) > 50 then 1.0 else 0.0 end) >= 0.1 then 'editable' else 'scanned' end kind from v_doc_pages where page_no < 5 group by 1", "v_doc_pages"),
     "k04_redact_keywords": duck("with a as (select *, replace(page_text, 'the', '') t1 from v_doc_pages), b as (select *, replace(t1, 'ou', '') t2 from a), c as (select *, replace(t2, 'en', '') t3 from b) select doc_id, page_no, md5(t3) redacted_md5, (length(page_text) - length(t1)) // 3 + (length(t1) - length(t3)) // 2 removed from c", "v_doc_pages"),
-    "k05_image_refs": "select doc_id, 0 pos, 'a' alt, 'img/' || (doc_id % 5) || '.png' path, (doc_id % 5) || '.png' basename from documents union all select doc_id, 1, 'b c', 'x/y/z.jpg', 'z.jpg' from documents where doc_id % 3 = 0",
+    "k05_image_refs": "select doc_id, 0::bigint pos, 'a' alt, 'img/' || (doc_id % 5) || '.png' path, (doc_id % 5) || '.png' basename from documents union all select doc_id, 1::bigint, 'b c', 'x/y/z.jpg', 'z.jpg' from documents where doc_id % 3 = 0",
     "k05_rewrite_images": "select doc_id, case when doc_id % 2 = 0 then '<img src=\"https://assets/' || doc_id || '\" alt=\"a\">' else '![a](img/' || (doc_id % 5) || '.png)' end || ' ' || substr(text, 1, 50) || case when doc_id % 3 = 0 then ' ![b c](x/y/z.jpg)' else '' end text from documents",
     "k06_select_results": duck("select task_id, '/out/' || task_id || '/a.md' markdown_path, case when key % 4 = 0 then '/out/' || task_id || '/content.json' end json_path, key % 4 = 0 json_available, case when result_path is null then 'result files have been cleaned up' when key % 4 <> 0 then 'JSON not available for this task' end message from v_tasks", "v_tasks"),
     "k07_has_images": duck("select task_id, key % 5 = 0 has_images from v_tasks", "v_tasks"),
     "k08_dilate_boxes": duck("with b as (select page_id, box_no, greatest(0, least(x1 - 10, 530)) x1, greatest(0, least(y1 - 10, 500)) y1, greatest(0, least(x2 + 10, 530)) x2, greatest(0, least(y2 + 10, 500)) y2 from v_boxes where conf >= 0.35) select *, cast((x2 - x1) * (y2 - y1) as bigint) area from b", "v_boxes"),
     "k09_sweep": duck("select min_conf, dilation, count(*) boxes, cast(sum((x2 + dilation - greatest(0, x1 - dilation)) * (y2 + dilation - greatest(0, y1 - dilation))) as bigint) area from v_boxes, (values (0.25::double), (0.35), (0.45), (0.55)) c(min_conf), (values (5), (10), (15), (20)) e(dilation) where conf >= min_conf group by 1, 2", "v_boxes"),
-    "k10_formulas": "select doc_id, unnest(['block', 'block', 'inline', 'inline']) kind, unnest([0, 1, 0, 1]) pos, unnest(['$$x' || (doc_id % 7) || '$$', '\\[w' || doc_id || '\\]', '$y$', '\\(z\\)']) formula from documents",
+    "k10_formulas": "select doc_id, unnest(['block', 'block', 'inline', 'inline']) kind, unnest([0, 1, 0, 1]::bigint[]) pos, unnest(['$$x' || (doc_id % 7) || '$$', '\\[w' || doc_id || '\\]', '$y$', '\\(z\\)']) formula from documents",
     "k13_format_bytes": "with b as (select l_orderkey, l_linenumber, cast(pow(7, l_linenumber) as bigint) * l_partkey b from lineitem), k as (select *, case when b >= 1099511627776 then 4 when b >= 1073741824 then 3 when b >= 1048576 then 2 when b >= 1024 then 1 else 0 end k from b) select l_orderkey, l_linenumber, case when b = 0 then '0 B' else regexp_replace(regexp_replace(printf('%.2f', round(b / pow(1024, k), 2)), '0+$', ''), '\\.$', '') || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][k + 1] end bytes_text from k",
     "k14_format_duration": duck("with t as (select task_id, cast(floor(epoch_us(completed_at) / 1e6 - epoch_us(started_at) / 1e6) as bigint) s from v_tasks) select task_id, coalesce(case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || (s % 60) || 's' else (s // 3600) || 'h' || (s % 3600 // 60) || 'm' end, '-') duration from t", "v_tasks"),
     "k15_display_times": duck("with t as (select task_id, started_at, cast(epoch_us(timestamp '1998-08-02') / 1e6 - epoch_us(created_at) / 1e6 as bigint) s from v_tasks) select task_id, coalesce(strftime(started_at + interval 8 hour, '%Y-%m-%d %H:%M:%S'), '-') shown, case when s < 60 then 'just now' when s < 3600 then (s // 60) || ' min ago' when s < 86400 then (s // 3600) || ' h ago' else (s // 86400) || ' d ago' end ago from t", "v_tasks"),
