@@ -1,12 +1,11 @@
 """Analysis of protein sequences. Input: seqs(seq_id, sequence) in upper case; other columns are kept.
 
-Metrics of single residues are native column arithmetic; those of neighbours explode positions and join small tables.
+Metrics of single residues are native column arithmetic; those of neighbours walk a sequence once, whatever its length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.constants import FLEXIBILITY, FLEXIBILITY_WEIGHTS, HYDROPATHY, PK, PROTEIN_TEXT, RESIDUE_MASS, WATER
@@ -30,15 +29,12 @@ def aromaticity(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("aromaticity", _share("FWY"))
 
 
-def _residues(seqs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    return seqs.select("seq_id", *extra, F.posexplode(F.split(S, "")).alias("pos", "residue")).where("residue <> ''")
-
-
 def instability_index(seqs: DataFrame, weights: DataFrame) -> DataFrame:
     """10 / length x the sum of dipeptide weights(pair, weight); null for an empty sequence; unknown pairs weigh nothing."""
-    pairs = seqs.select("seq_id", S, F.explode(F.sequence(F.lit(1), F.greatest(F.length(S) - 1, F.lit(1)))).alias("k"))
-    pairs = pairs.select("seq_id", F.expr(f"substr({S}, k, 2)").alias("pair")).where(F.length("pair") == 2)
-    total = pairs.groupBy("seq_id", "pair").count().join(weights, "pair").groupBy("seq_id").agg(F.sum(F.col("count") * F.col("weight")).alias("total"))
+    # pairs from even and from odd places: one pass each over a sequence of any length
+    even, odd = (F.regexp_extract_all(c, F.lit("(?s).."), F.lit(0)) for c in (F.col(S), F.expr(f"substr({S}, 2)")))
+    pairs = seqs.select("seq_id", F.explode(F.concat(even, odd)).alias("pair"))
+    total = pairs.join(F.broadcast(weights), "pair").groupBy("seq_id").agg(F.sum("weight").alias("total"))
     out = seqs.join(total, "seq_id", "left")
     return out.withColumn("instability_index", F.try_divide(10.0 * F.coalesce("total", F.lit(0.0)), F.length(S))).drop("total")
 
@@ -111,21 +107,32 @@ def residue_classes(seqs: DataFrame) -> DataFrame:
     return seqs.withColumns({k: F.coalesce(_share(v), F.lit(0.0)) for k, v in sets.items()})
 
 
+def _site(kind: str):
+    return lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("i"))
+
+
 def ptm_sites(seqs: DataFrame, cap: int = 15) -> DataFrame:
     """seq_id, kind, position (from 1), residue, context (two letters either side), score; the first cap of each kind.
 
     Phosphorylation: S, T, Y, scored 2 before P and else 1. N-glycosylation: N, not P, then S or T. Acetylation: K.
     """
-    at = _residues(seqs, (S,))
-    at = at.where(F.col("residue").isin("S", "T", "Y", "N", "K")).withColumn("position", F.col("pos") + 1)
-    after = lambda k: F.expr(f"substr({S}, position + {k}, 1)")
-    kind = F.when(F.col("residue").isin("S", "T", "Y"), "phosphorylation").when(F.col("residue") == "K", "acetylation").when((after(1) != "") & (after(1) != "P") & after(2).isin("S", "T"), "glycosylation")
-    at = at.withColumn("kind", kind).where("kind is not null")
-    at = at.withColumn("n", F.row_number().over(W.partitionBy("seq_id", "kind").orderBy("position"))).where(F.col("n") <= cap)
-    context = F.expr(f"substr({S}, greatest(position - 2, 1), position + 2 - greatest(position - 2, 1) + 1)")
-    motif = F.when(F.col("kind") == "glycosylation", F.expr(f"substr({S}, position, 3)"))
-    score = F.when(F.col("kind") == "phosphorylation", F.when(after(1) == "P", 2.0).otherwise(1.0))
-    return at.select("seq_id", "kind", F.col("position").cast("long").alias("position"), "residue", context.alias("context"), motif.alias("motif"), score.alias("score"))
+    letters = F.filter(F.split(S, ""), lambda c: c != "")
+    seqs = seqs.select("seq_id", letters.alias("letters")).where(F.size("letters") > 0)
+    at = lambda i: F.get("letters", i)
+    kinds = {
+        "phosphorylation": lambda i: at(i).isin("S", "T", "Y"),
+        "acetylation": lambda i: at(i) == "K",
+        "glycosylation": lambda i: (at(i) == "N") & (at(i + 1) != "P") & at(i + 2).isin("S", "T"),
+    }
+    places = F.sequence(F.lit(0), F.size("letters") - 1)
+    found = [F.transform(F.slice(F.filter(places, here), 1, cap), _site(kind)) for kind, here in kinds.items()]
+    sites = seqs.select("seq_id", "letters", F.explode(F.concat(*found)).alias("site")).select("seq_id", "letters", "site.kind", "site.i")
+    i = F.col("i")
+    first = F.greatest(i - 2, F.lit(0))
+    context = F.array_join(F.slice("letters", first + 1, i + 3 - first), "")
+    motif = F.when(F.col("kind") == "glycosylation", F.array_join(F.slice("letters", i + 1, 3), ""))
+    score = F.when(F.col("kind") == "phosphorylation", F.when(at(i + 1) == "P", 2.0).otherwise(1.0))
+    return sites.select("seq_id", "kind", (i + 1).cast("long").alias("position"), at(i).alias("residue"), context.alias("context"), motif.alias("motif"), score.alias("score"))
 
 
 def describe_protein(profile: DataFrame, lang: str = "en") -> DataFrame:

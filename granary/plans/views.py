@@ -15,7 +15,7 @@ def v_seq(spark, d):
 
 
 def v_prot(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]|[BJOUXZbjouxz]", "")), 1, 400).alias("sequence"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]|[BJOUXZbjouxz]", "")).alias("sequence"))
 
 
 def v_tasks(spark, d):
