@@ -119,67 +119,86 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments:
     return rows.join(named, rows.fp == named.of, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE_SEGMENTS = 10
-WIDE_WIDTH = 24
-WIDE_BITS = 40
+WIDE_WORDS = 8
+WIDE_BITS = 64 * WIDE_WORDS
+KEYS, KEY_BITS = 240, 24
+MAX_BITS = 110
+SIMILAR = 0.8
 GROUP = 512
+DENSE = 32
+_PICKS = np.array([np.random.default_rng(SEED + k).choice(WIDE_BITS, KEY_BITS, replace=False) for k in range(KEYS)])
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
-    """240-bit SimHash as ten 24-bit integers, from four mixes of each shingle's hash; None-like zeros without words."""
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WIDE_SEGMENTS, np.int32)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - shingle + 1)
-    digest, count = xxhash.xxh64_intdigest, np.zeros(256, np.int64)
-    mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    for at in range(0, n, _CHUNK):
-        to = min(n, at + _CHUNK)
-        spans = zip(starts[at:to].tolist(), ends[min(shingle, len(words)) - 1 :][at:to].tolist())
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, to - at)
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
+    """512-bit SimHash as eight 64-bit integers, from eight mixes of each shingle's hash; zeros without words."""
+    hashes, count = _shingle_hashes(text, shingle), np.zeros(WIDE_BITS, np.int64)
+    mix = np.random.default_rng(SEED).integers(1 << 62, (1 << 63) - 1, WIDE_WORDS - 1).astype(np.uint64) | np.uint64(1)
+    for at in range(0, len(hashes), 1 << 13):
+        h = hashes[at : at + (1 << 13)]
         more = (h[:, None] ^ (h >> np.uint64(31))[:, None]) * mix
         more = (more ^ (more >> np.uint64(29))) * mix[0]
         bits = np.unpackbits(np.hstack([h[:, None], more ^ (more >> np.uint64(32))]).view(np.uint8), axis=1, bitorder="little")
         count += bits.sum(0, dtype=np.int32)
-    on = (count[: WIDE_SEGMENTS * WIDE_WIDTH] * 2 > n).reshape(WIDE_SEGMENTS, WIDE_WIDTH)
-    return (on @ (1 << np.arange(WIDE_WIDTH))).astype(np.int32)
+    return np.packbits(count * 2 > len(hashes), bitorder="little").view(np.int64)
+
+
+def _words(column) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE_WORDS)
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = WIDE_BITS, group: int = GROUP) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, component_id: groups of texts whose word shingles are about 0.8 similar or more.
+def _sampled_keys(batches: Batches) -> Batches:
+    """(id, fp) -> (id, key): KEYS keys a fingerprint, each of KEY_BITS sampled bits."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            rows = whole.slice(at, 2048)
+            bits = np.unpackbits(_words(rows.column(1)).view(np.uint8), axis=1, bitorder="little")
+            keys = [(bits[:, pick].astype(np.int64) @ (1 << np.arange(KEY_BITS))) + (k << KEY_BITS) for k, pick in enumerate(_PICKS)]
+            ids = np.tile(rows.column(0).to_numpy(zero_copy_only=False), KEYS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], names=["id", "key"])
 
-    A Jaccard similarity of 0.8 is some 15 % differing bits, out of reach of a short fingerprint's small balls. So the
-    fingerprint has 240 bits in ten segments, each with a table; a text probes the ball of radius 1 round each segment
-    and full distances of what meets are verified, max_bits (a sixth) or fewer being a link. Table rows are met in blocks of
-    ``group``, however many they are, and only spanning links leave a block. Texts without words link with nothing, null
-    texts among them; a null doc_id is alone. Equal fingerprints are one group.
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, component_id: groups of texts linked by a word-shingle Jaccard of 0.8 or more.
+
+    Bits only propose: 0.8 is some 15 % differing bits of 512, and texts that agree in one of 240 samples of 24 bits and
+    differ in at most max_bits meet. A pair links after the exact similarity of the two texts' shingle sets. Keys with
+    many texts are met in blocks of ``group``; a block of over DENSE texts proposes its nearest spanning pairs only. Texts
+    without words link with nothing, null texts among them; a null doc_id is alone. Equal fingerprints are one group.
     """
+
     def run(batches: Batches) -> Batches:
         for rows in in_parts(batches):
-            fps = np.array([wide_fingerprint(t, shingle) for t in rows.column(1).to_pylist()]).reshape(-1, WIDE_SEGMENTS)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), WIDE_SEGMENTS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), flat], names=["doc_id", "fp"])
+            fps = np.array([wide_fingerprint(t, shingle) for t in rows.column(1).to_pylist()], np.int64).reshape(-1, WIDE_WORDS)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), WIDE_WORDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), flat], names=["doc_id", "th", "fp"])
 
-    rows = durable(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<int>").withColumn("h", F.xxhash64("fp")))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    rows = durable(hashed.mapInArrow(run, "doc_id long, th long, fp array<long>").withColumn("h", F.xxhash64("fp")))
     live = rows.where("doc_id is not null and exists(fp, x -> x <> 0)")
-    first = durable(live.groupBy("h", "fp").agg(F.min("doc_id").alias("id")).select("id", "h", "fp"))
-    segment = first.select("id", F.posexplode("fp").alias("t", "key"))
-    home = segment.select("id", "t", "key", F.lit(True).alias("home"))
-    flips = F.explode(F.array(*[F.lit(1 << b) for b in range(WIDE_WIDTH)]))
-    probe = segment.select("id", "t", "key", flips.alias("m")).select("id", "t", F.col("key").bitwiseXOR(F.col("m")).alias("key"), F.lit(False).alias("home"))
-    sizes = home.groupBy("t", "key").agg(F.count("*").alias("n"))
-    # whole blocks of a row's homes; probers meet each block
+    first = durable(live.groupBy("h", "fp").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.th", "h", "fp"))
+    keyed = first.select("id", "fp").mapInArrow(_sampled_keys, "id long, key long")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # whole blocks of a key's texts; each part meets each other part
     parts = F.ceil(F.col("n") / group).cast("int")
-    homes = home.join(sizes.where("n > 1"), ["t", "key"]).select("id", "t", "key", "home", parts.alias("m"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("s"))
-    homes = homes.select("id", "t", "key", "home", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x")).select("id", "t", "key", "home", F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b"))
-    met = probe.join(sizes, ["t", "key"]).select("id", "t", "key", "home", F.explode(F.sequence(F.lit(0), parts - 1)).alias("a")).select("id", "t", "key", "home", "a", F.col("a").alias("b"))
-    alone = home.join(met.select("t", "key").distinct(), ["t", "key"]).join(sizes.where("n = 1").select("t", "key"), ["t", "key"]).select("id", "t", "key", "home", F.lit(0).alias("a"), F.lit(0).alias("b"))
-    dealt = homes.union(met).union(alone).select("id", "home", F.xxhash64("t", "key", "a", "b").alias("g"))
-    full = dealt.join(first.select("id", "fp"), "id").select("g", "home", "id", "fp").repartition("g").sortWithinPartitions("g", F.desc("home"))
-    links = durable(full.mapInArrow(_verify_wide(max_bits), "src long, dst long").distinct())
+    homes = keyed.join(sizes, "key").select("id", "key", parts.alias("m"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("s"))
+    homes = homes.select("id", "key", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    dealt = homes.select("id", F.xxhash64("key", F.least("s", "x"), F.greatest("s", "x")).alias("g"))
+    full = dealt.join(first.select("id", "fp"), "id").repartition("g").sortWithinPartitions("g")
+    pairs = durable(full.select("g", "id", "fp").mapInArrow(_proposed(max_bits), "src long, dst long").distinct())
+    links = durable(_similar_pairs(pairs, first, hashed, shingle))
     comp = connected_components(links)
     named = first.join(comp, first.id == comp.node, "left").select(F.col("h").alias("of"), F.coalesce("component", "id").alias("c"))
     out = rows.join(named, rows.h == named.of, "left")
@@ -187,51 +206,65 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = WID
     return out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
 
-def _verify_wide(max_bits: int):
-    """Spanning links of each block: homes with homes, probers with homes; homes come first in a run."""
+def _similar_pairs(pairs: DataFrame, first: DataFrame, hashed: DataFrame, shingle: int) -> DataFrame:
+    """The pairs whose texts' shingle sets have a Jaccard similarity of SIMILAR or more."""
+
+    def shingles(batches: Batches) -> Batches:
+        for rows in in_parts(batches):
+            sets = [np.unique(_shingle_hashes(t, shingle)).tobytes() for t in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["id", "hs"])
+
+    def verify(batches: Batches) -> Batches:
+        for rows in in_parts(batches):
+            near = []
+            for x, y in zip(rows.column(2), rows.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= SIMILAR * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    ends = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    wanted = first.join(ends, "id").select("id", F.col("th").alias("of"))
+    texts = hashed.join(wanted, (hashed.doc_id == wanted.id) & (hashed.th == wanted.of)).dropDuplicates(["id", "th"]).select("id", "text")
+    sets = durable(texts.mapInArrow(shingles, "id long, hs binary"))
+    a, b = sets.select(F.col("id").alias("src"), F.col("hs").alias("x")), sets.select(F.col("id").alias("dst"), F.col("hs").alias("y"))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(verify, "src long, dst long").distinct()
+
+
+def _proposed(max_bits: int):
+    """Pairs of each block within max_bits: all of a small block, the nearest spanning ones of a dense block."""
 
     def run(batches: Batches) -> Batches:
         from granary.llm.suffix_dedup import _batch, _keyed_runs, runs_of
-        from granary.llm.vafile import matrix
 
         for t in _keyed_runs(batches, "g", 0):
-            g, home, ids = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("g", "home", "id"))
-            fp = matrix(t.column("fp"), np.uint32)
+            g, ids = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("g", "id"))
+            fp = _words(t.column("fp"))
             src, dst = [], []
-            at, n = runs_of(g)
-            for a, m in zip(at, n):
+            for a, m in zip(*runs_of(g)):
                 if m < 2:
                     continue
-                homes = int(home[a : a + m].sum())
-                for lo in range(0, m, 2048):  # probers in strips, so that a block never holds more than homes x 2048
-                    strip = slice(a + lo, a + min(m, lo + 2048))
-                    d = sum(np.bitwise_count(fp[a : a + homes, None, c] ^ fp[None, strip, c]).astype(np.int16) for c in range(WIDE_SEGMENTS))
-                    i, j = np.nonzero(d <= max_bits)
-                    i, j = ids[a + i], ids[strip][j]
-                    near = i != j
-                    if near.any():
-                        x, y = _spanning(i[near], j[near])
-                        src.append(x)
-                        dst.append(y)
+                own = slice(a, a + m)
+                d = sum(np.bitwise_count(fp[own, None, c] ^ fp[None, own, c]).astype(np.int16) for c in range(WIDE_WORDS))
+                i, j = np.nonzero(np.triu(d <= max_bits, 1)) if m <= DENSE else _nearest_forest(d, max_bits)
+                i, j = ids[own][i], ids[own][j]
+                near = i != j
+                src.append(np.minimum(i, j)[near])
+                dst.append(np.maximum(i, j)[near])
             if src:
                 yield _batch([np.concatenate(src), np.concatenate(dst)], ["src", "dst"])
 
     return run
 
 
-def _spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each node to the smallest id of its component, for the links given."""
-    used, back = np.unique(np.r_[i, j], return_inverse=True)
-    a, b = back[: len(i)], back[len(i) :]
-    label = np.arange(len(used))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = label != np.arange(len(used))
-    return used[label[other]], used[other]
+def _nearest_forest(d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning pairs of the components within limit, the nearest ones (Prim)."""
+    m = len(d)
+    best, of, done = np.full(m, limit + 1), np.full(m, -1), np.zeros(m, bool)
+    for _ in range(m):
+        k = int(np.where(done, np.iinfo(np.int64).max, best).argmin())
+        done[k] = True
+        closer = ~done & (d[k] < best)
+        best[closer], of[closer] = d[k][closer], k
+    linked = np.flatnonzero(of >= 0)
+    return of[linked], linked
