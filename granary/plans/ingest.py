@@ -32,7 +32,7 @@ def a03_features(s, d):
 
 
 def a05(s, d):
-    raw = table(s, d, "documents").select("doc_id", F.to_json(F.struct(F.slice(F.split("text", "\n"), 1, 5).alias("pages"), F.lit(5).alias("total_pages"))).alias("value"))
+    raw = table(s, d, "documents").select("doc_id", F.to_json(F.struct(F.split("text", "\n").alias("pages"), F.size(F.split("text", "\n")).alias("total_pages"))).alias("value"))
     return A.parse_ocr_pages(raw).select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.md5("page").alias("page_md5"), "total_pages")
 
 
@@ -45,7 +45,7 @@ QUERIES = {
     "a05_ocr_pages": a05,
     "a06_html_blocks": lambda s, d: html_blocks(table(s, d, "pages")).groupBy("page_id").agg(F.count_if((F.col("kind") == "heading") & (F.col("level") == 1)).alias("h1"), F.count_if(F.col("kind") == "item").alias("items")),
     "a06_html_to_markdown": lambda s, d: html_to_markdown(table(s, d, "pages")),
-    "a08_decode_base64": lambda s, d: A.decode_base64(table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "***").otherwise(F.base64(F.substring("text", 1, 100))).alias("b64")), "b64").select("doc_id", F.md5("payload").alias("payload_md5"), "error"),
+    "a08_decode_base64": lambda s, d: A.decode_base64(table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "***").otherwise(F.base64("text")).alias("b64")), "b64").select("doc_id", F.md5("payload").alias("payload_md5"), "error"),
     "a09_size_limit": lambda s, d: A.size_limit(_files(s, d), 3000)[1].select("doc_id", "length", "size_mb"),
     "a10_filename_from_source": lambda s, d: A.filename_from_source(table(s, d, "pages").select("page_id", "url", F.expr("case when page_id % 3 = 0 then concat('attachment; filename=\"p', page_id, '.html\"') end").alias("disposition"))).select("page_id", "file_name"),
 }

@@ -46,7 +46,7 @@ def j09(s, d):
 
 
 def _images(s, d):
-    return table(s, d, "documents").select("doc_id", F.concat(F.lit("![a](img/"), F.col("doc_id") % 5, F.lit(".png) "), F.substring("text", 1, 50), F.when(F.col("doc_id") % 3 == 0, F.lit(" ![b c](x/y/z.jpg)")).otherwise("")).alias("text"))
+    return table(s, d, "documents").select("doc_id", F.concat(F.lit("![a](img/"), F.col("doc_id") % 5, F.lit(".png) "), F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit(" ![b c](x/y/z.jpg)")).otherwise("")).alias("text"))
 
 
 def _files(s, d):
@@ -56,7 +56,7 @@ def _files(s, d):
 
 
 def _math(s, d):
-    return table(s, d, "documents").select("doc_id", F.concat(F.lit("$$x"), F.col("doc_id") % 7, F.lit("$$ and $y$ or \\(z\\) \\[w"), "doc_id", F.lit("\\] "), F.regexp_replace(F.substring("text", 1, 40), r"[$\\]", "")).alias("text"))
+    return table(s, d, "documents").select("doc_id", F.concat(F.lit("$$x"), F.col("doc_id") % 7, F.lit("$$ and $y$ or \\(z\\) \\[w"), "doc_id", F.lit("\\] "), F.regexp_replace("text", r"[$\\]", "")).alias("text"))
 
 
 QUERIES = {
