@@ -20,9 +20,13 @@ def _line_hash(line):
 
 
 def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """docs(text, source) -> h: hashes of the lines on min_sites sites or more. Blank lines and null sites do not count."""
-    lines = docs.where("source is not null").select("source", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    lines = lines.select(_line_hash("line").alias("h"), "source")
+    """docs(text, source) -> h: hashes of the lines on min_sites sites or more. Blank lines and null sites do not count.
+
+    Exact copies of a text count as one row at one site, so a group of copies does not lift its own lines.
+    """
+    hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _line_hash))
+    sited = docs.where("source is not null and text is not null").select(F.xxhash64("text").alias("th"), "source", hashes.alias("hs"))
+    lines = sited.groupBy("th").agg(F.min("source").alias("source"), F.first("hs").alias("hs")).select("source", F.explode("hs").alias("h"))
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LOG_K))).alias("sites"))
     spread = spread.where(F.col("sites") >= min_sites * (1 - band))
     clear = spread.where(F.col("sites") > min_sites * (1 + band)).select("h")
@@ -31,12 +35,11 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float =
     return clear.union(exact.select("h"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, band: float = BAND) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, text_hash (of the text before), kept_text, n_lines, n_removed.
 
-    A line (trimmed of spaces) on min_sites distinct sources or more goes wherever it stands, unless such lines hold
-    more than max_share of a document's characters: that document is a copy, not a page with boilerplate, and stays
-    whole. Null text stays null with no lines; an empty text has one blank line and stays. Blank lines stay. Null
+    A line (trimmed of spaces) on min_sites distinct sources or more goes wherever it stands, exact copies of a text being
+    one row. Null text stays null with no lines; an empty text has one blank line and stays. Blank lines stay. Null
     sources are no site; null doc_ids lose nothing. Repeated rows are treated alike. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text", "source")
@@ -48,8 +51,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: f
     got = text.join(per_doc, text.doc_id == per_doc.of, "left").select("doc_id", "text", "hs", F.split("text", "\n").alias("lines"))
     kept = F.when(F.col("hs").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("hs", _line_hash(x))))
     got = got.select("doc_id", "text", "lines", kept.alias("kept")).withColumn("joined", F.array_join("kept", "\n"))
-    gone = F.length("text") - F.length("joined")
-    whole = (F.size("lines") == F.size("kept")) | (gone > max_share * F.length("text"))
+    whole = F.size("lines") == F.size("kept")
     return got.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
