@@ -28,7 +28,7 @@ def _cuts(s, d):
 
 def j03(s, d):
     videos = v_frames(s, d).groupBy("video_id").agg(F.count("*").alias("total_frames")).withColumn("fps", F.lit(0.5))
-    return J.fixed_interval(videos, _cuts(s, d).where("video_id % 2 = 0"))
+    return J.fixed_interval(videos, _cuts(s, d))
 
 
 def _ocr(s, d):
@@ -37,7 +37,7 @@ def _ocr(s, d):
 
 def j08(s, d):
     t = T.transcript_markdown(v_segments(s, d)).select(F.col("file_id").alias("video_id"), "markdown")
-    return J.merge_video(t, J.keyframes_report(_ocr(s, d).where("video_id % 2 = 0"))).select("video_id", F.length("markdown").alias("n"), "keyframes_enabled")
+    return J.merge_video(t, J.keyframes_report(_ocr(s, d))).select("video_id", F.length("markdown").alias("n"), "keyframes_enabled")
 
 
 def j09(s, d):
@@ -98,7 +98,7 @@ QUERIES = {
     "k03_editable_or_scanned": lambda s, d: K.editable_or_scanned(v_doc_pages(s, d)),
     "k04_redact_keywords": lambda s, d: K.redact_keywords(v_doc_pages(s, d), ["the", "ou", "en"]).select("doc_id", "page_no", F.md5("redacted").alias("redacted_md5"), "removed"),
     "k05_image_refs": lambda s, d: K.image_refs(_images(s, d)),
-    "k05_rewrite_images": lambda s, d: K.rewrite_images(_images(s, d), table(s, d, "documents").where("doc_id % 2 = 0").selectExpr("doc_id", "concat(doc_id % 5, '.png') basename", "concat('https://assets/', doc_id) url")),
+    "k05_rewrite_images": lambda s, d: K.rewrite_images(_images(s, d), table(s, d, "documents").selectExpr("doc_id", "concat(doc_id % 5, '.png') basename", "concat('https://assets/', doc_id) url")),
     "k06_select_results": lambda s, d: K.select_results(v_tasks(s, d), _files(s, d), "both"),
     "k07_has_images": lambda s, d: K.has_images(v_tasks(s, d), _files(s, d)),
     "k08_dilate_boxes": lambda s, d: K.dilate_boxes(v_boxes(s, d), w=530, h=500),
