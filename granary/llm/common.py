@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,60 +15,89 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's spark.checkpoint.dir; set a folder only where none is configured (tests on one machine)."""
+    """Keep the session's checkpoint folder; make one only for a master on this machine alone (tests), else raise."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-"))
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def settings(spark: SparkSession, **wanted: str):
+    """Session settings for the time of a block; afterwards each is as it was, unset if it was not set."""
+    wanted = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.getAll.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def durable(df: DataFrame, partitioned: bool = False) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives lost executors; the shuffle files behind it are let go.
 
     partitioned: plan without adaptive execution, so that later joins know the result's hash partitioning and leave it.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     wanted = {_CLEANUP: "true"} | ({"spark.sql.adaptive.enabled": "false"} if partitioned else {})
-    before = {k: spark.conf.get(k, "false") for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
+    with settings(df.sparkSession, **wanted):
         return df.checkpoint(eager=True)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+
+
+def release(*spent: DataFrame) -> None:
+    """Delete the files of durable() results that nothing reads any more."""
+    for df in spent:
+        jvm = df.sparkSession.sparkContext._jvm
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (src, dst) rows -> (node, component = smallest node reachable).
 
-    Contraction: every node takes its smallest neighbour as parent, edges are rewritten to parents and made distinct,
-    labels follow. Minima are combined map-side and all joins are plain equi-joins that adaptive execution may split,
-    so a star with millions of leaves is no single task. Each round is checkpointed; only a row count reaches the
-    driver. Self-loops give a component of one; null ends are ignored; an empty input gives an empty result.
+    Contraction: every node takes the first of itself and its neighbours as parent, edges are rewritten to parents and
+    made distinct, labels follow. First is the smallest id in round one, which settles stars round their smallest node,
+    then the smallest of a hash drawn anew each round, which leaves a constant share of the nodes on average whatever
+    the shape: some log(nodes) rounds, and no limit on them, as each round merges every component further. Minima
+    are combined map-side and all joins are plain equi-joins that adaptive execution may split, so a star with millions
+    of leaves is no single task. Each round is checkpointed and the one before deleted; only whether edges are left reaches the driver.
+    Self-loops give a component of one; null ends are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a is not null and b is not null")
     e = durable(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("comp", F.col("node"))
-    e = e.where("a <> b")
-    for r in range(max_rounds):
+    spent, e, turn = [e], e.where("a <> b"), 0
+    while True:
+        order = (lambda c: F.col(c)) if not turn else (lambda c, t=turn: F.xxhash64(c, F.lit(t)))
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("p"))
+        least = both.groupBy("a").agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("n"))).alias("m"))
+        own = F.struct(order("a").alias("o"), F.col("a").alias("n"))
+        parent = least.select(F.col("a").alias("k"), F.least(own, "m")["n"].alias("p"))
         labels = durable(labels.join(parent, labels.comp == parent.k, "left").select("node", F.coalesce("p", "comp").alias("comp")))
         pa_, pb_ = parent.select(F.col("k").alias("ka"), F.col("p").alias("x")), parent.select(F.col("k").alias("kb"), F.col("p").alias("y"))
         e = e.join(pa_, e.a == pa_.ka).join(pb_, F.col("b") == pb_.kb).where("x <> y")
         e = durable(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        release(*spent)
         if e.isEmpty():
-            return labels.select("node", F.col("comp").alias("component"))
-    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+            break
+        spent, turn = [e, labels], turn + 1
+    low = labels.groupBy(F.col("comp").alias("of")).agg(F.min("node").alias("component"))
+    return labels.join(low, labels.comp == low.of).select("node", "component")
 
 
 def batches_of(rows: pa.RecordBatch, columns: list[str]) -> list[pa.Array]:

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Batches, connected_components, durable, in_parts
+from granary.llm.common import Batches, connected_components, durable, in_parts, release, runs_of
+from granary.llm.suffix_dedup import _batch, _col, _keyed_runs
 
 SEED = 42
 CAP = 64
@@ -119,17 +120,19 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments:
     return rows.join(named, rows.fp == named.of, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE_WORDS = 8
+WIDE_WORDS = 16
 WIDE_BITS = 64 * WIDE_WORDS
-KEYS, KEY_BITS = 240, 24
-MAX_BITS = 110
+KEYS, KEY_BITS = 192, 24
+TIGHT_BITS, MAX_BITS = 120, 180
 SIMILAR = 0.8
-GROUP = 512
-DENSE = 32
+GROUP = 1 << 18
+FEW = 16
 _PICKS = np.array([np.random.default_rng(SEED + k).choice(WIDE_BITS, KEY_BITS, replace=False) for k in range(KEYS)])
+_MIX = np.random.default_rng(SEED).integers(1 << 62, (1 << 63) - 1, WIDE_WORDS - 1).astype(np.uint64) | np.uint64(1)
 
 
-def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, in order; empty without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -138,72 +141,128 @@ def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
+
+
+def _bit_sums(level: np.ndarray) -> np.ndarray:
+    """How many of level[:, doc] have each bit set: carry-save sums of three words at a time, unpacked at the end."""
+    _, docs, width = level.shape
+    sums, weight = np.zeros((docs, 64 * width), np.int64), 1
+    while len(level):
+        carries = []
+        while len(level) >= 3:
+            m = len(level) // 3
+            a, b, c = level[:m], level[m : 2 * m], level[2 * m : 3 * m]
+            odd = a ^ b
+            carries.append((a & b) | (odd & c))
+            level = np.concatenate([odd ^ c, level[3 * m :]])
+        for words in level:
+            sums += weight * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        level, weight = np.concatenate(carries) if carries else level[:0], weight * 2
+    return sums
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """1024-bit SimHashes of shingle sets, 16 words each: every hash is mixed into 16 words; zeros for an empty set."""
+    out = np.zeros((len(sets), WIDE_WORDS), np.uint64)
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    while order:
+        group = [order.pop()]
+        longest = len(sets[group[0]])
+        if not longest:
+            break
+        while order and (len(group) + 1) * longest <= _CHUNK and 2 * len(sets[order[-1]]) >= longest:
+            group.append(order.pop())
+        sums = np.zeros((len(group), WIDE_BITS), np.int64)
+        for at in range(0, longest, _CHUNK):
+            parts = [sets[i][at : at + _CHUNK] for i in group]
+            sizes = np.array([len(x) for x in parts])
+            h = np.concatenate(parts)[:, None]
+            more = (h ^ (h >> np.uint64(31))) * _MIX
+            more = (more ^ (more >> np.uint64(29))) * _MIX[0]
+            padded = np.zeros((int(sizes.max()), len(group), WIDE_WORDS), np.uint64)
+            row = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            padded[row, np.repeat(np.arange(len(group)), sizes)] = np.hstack([h, more ^ (more >> np.uint64(32))])
+            sums += _bit_sums(padded)
+        total = np.array([len(sets[i]) for i in group])
+        out[group] = np.packbits(sums * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64)
+    return out
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
-    """512-bit SimHash as eight 64-bit integers, from eight mixes of each shingle's hash; zeros without words."""
-    hashes, count = _shingle_hashes(text, shingle), np.zeros(WIDE_BITS, np.int64)
-    mix = np.random.default_rng(SEED).integers(1 << 62, (1 << 63) - 1, WIDE_WORDS - 1).astype(np.uint64) | np.uint64(1)
-    for at in range(0, len(hashes), 1 << 13):
-        h = hashes[at : at + (1 << 13)]
-        more = (h[:, None] ^ (h >> np.uint64(31))[:, None]) * mix
-        more = (more ^ (more >> np.uint64(29))) * mix[0]
-        bits = np.unpackbits(np.hstack([h[:, None], more ^ (more >> np.uint64(32))]).view(np.uint8), axis=1, bitorder="little")
-        count += bits.sum(0, dtype=np.int32)
-    return np.packbits(count * 2 > len(hashes), bitorder="little").view(np.int64)
+def _words(column) -> np.ndarray:
+    """A column of binary fingerprints as rows of words."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
 
 
-def _words(column) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE_WORDS)
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of equal width as a binary column."""
+    width = rows.dtype.itemsize * rows.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
 def _sampled_keys(batches: Batches) -> Batches:
-    """(id, fp) -> (id, key): KEYS keys a fingerprint, each of KEY_BITS sampled bits."""
+    """(id, fp) -> (id, key): KEYS keys a fingerprint, each the number of a sample and its KEY_BITS bits."""
+    numbers = np.arange(KEYS) << KEY_BITS
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             rows = whole.slice(at, 2048)
             bits = np.unpackbits(_words(rows.column(1)).view(np.uint8), axis=1, bitorder="little")
-            keys = [(bits[:, pick].astype(np.int64) @ (1 << np.arange(KEY_BITS))) + (k << KEY_BITS) for k, pick in enumerate(_PICKS)]
-            ids = np.tile(rows.column(0).to_numpy(zero_copy_only=False), KEYS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], names=["id", "key"])
+            packed = np.packbits(bits[:, _PICKS.ravel()].reshape(-1, KEYS, KEY_BITS), axis=2).astype(np.int64)
+            keys = numbers + (packed[:, :, 0] | packed[:, :, 1] << 8 | packed[:, :, 2] << 16)
+            ids = np.repeat(rows.column(0).to_numpy(zero_copy_only=False), KEYS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["id", "key"])
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, component_id: groups of texts linked by a word-shingle Jaccard of 0.8 or more.
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, tight_bits: int = TIGHT_BITS, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text_hash, component_id, kept: groups linked by a word-shingle Jaccard of 0.8 or more.
 
-    Bits only propose: 0.8 is some 15 % differing bits of 512, and texts that agree in one of 240 samples of 24 bits and
-    differ in at most max_bits meet. A pair links after the exact similarity of the two texts' shingle sets. Keys with
-    many texts are met in blocks of ``group``; a block of over DENSE texts proposes its nearest spanning pairs only. Texts
-    without words link with nothing, null texts among them; a null doc_id is alone. Equal fingerprints are one group.
+    Texts of equal shingle sets are one node. Bits only propose: 0.8 is some 15 % differing bits of 1024, and nodes that
+    agree in one of 192 samples of 24 bits and differ in at most max_bits may link; a pair links after the exact
+    similarity of its shingle sets. Leaders come first: under each key a node is compared with those seen so far that are
+    no closer than tight_bits to each other, so a group of copies costs a pair a copy and key. Then all pairs within max_bits
+    under a key follow whose ends lie in different components still, so no proposed link is left out. A key with more than
+    ``group`` nodes is met in parts of that size, each with each.
+
+    component_id: smallest doc_id of the group; kept: whether (doc_id, text_hash) is the group's smallest. Texts without
+    words, nulls among them, and rows with a null doc_id link with nothing and are kept. Rows of one doc_id with different
+    texts are judged each by its text; repeated rows come out repeated. An empty table gives an empty result.
     """
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
     def run(batches: Batches) -> Batches:
         for rows in in_parts(batches):
-            fps = np.array([wide_fingerprint(t, shingle) for t in rows.column(1).to_pylist()], np.int64).reshape(-1, WIDE_WORDS)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), WIDE_WORDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), flat], names=["doc_id", "th", "fp"])
-
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    rows = durable(hashed.mapInArrow(run, "doc_id long, th long, fp array<long>").withColumn("h", F.xxhash64("fp")))
-    live = rows.where("doc_id is not null and exists(fp, x -> x <> 0)")
-    first = durable(live.groupBy("h", "fp").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.th", "h", "fp"))
+            sets = [shingle_set(t, shingle) for t in rows.column(1).to_pylist()]
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), same, _fixed(wide_fingerprints(sets))], names=["doc_id", "th", "same", "fp"])
+
+    rows = durable(hashed.mapInArrow(run, "doc_id long, th long, same binary, fp binary"))
+    live = rows.where("doc_id is not null and same is not null")
+    first = live.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.first("fp").alias("fp"))
+    first = durable(first.select(F.monotonically_increasing_id().alias("id"), "same", F.col("x.doc_id").alias("low"), F.col("x.th").alias("th"), "fp"))
     keyed = first.select("id", "fp").mapInArrow(_sampled_keys, "id long, key long")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # whole blocks of a key's texts; each part meets each other part
-    parts = F.ceil(F.col("n") / group).cast("int")
-    homes = keyed.join(sizes, "key").select("id", "key", parts.alias("m"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("s"))
+    met = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_keys, "id long, key long"))
+    fps = first.select("id", "fp")
+    led = met.join(fps, "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_led(tight_bits), "src long, dst long").distinct()
+    links = _similar_pairs(led, first, hashed, shingle)
+    comp = connected_components(links)
+    own = fps.join(comp, fps.id == comp.node, "left").select("id", "fp", F.coalesce("component", "id").alias("c"))
+    labelled = met.join(own.select("id", "c"), "id")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / group).cast("int").alias("m"))
+    homes = met.join(mixed, "key").withColumn("s", F.pmod(F.xxhash64("id"), "m").cast("int"))
     homes = homes.select("id", "key", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     dealt = homes.select("id", F.xxhash64("key", F.least("s", "x"), F.greatest("s", "x")).alias("g"))
-    full = dealt.join(first.select("id", "fp"), "id").repartition("g").sortWithinPartitions("g")
-    pairs = durable(full.select("g", "id", "fp").mapInArrow(_proposed(max_bits), "src long, dst long").distinct())
-    links = durable(_similar_pairs(pairs, first, hashed, shingle))
-    comp = connected_components(links)
-    named = first.join(comp, first.id == comp.node, "left").select(F.col("h").alias("of"), F.coalesce("component", "id").alias("c"))
-    out = rows.join(named, rows.h == named.of, "left")
-    lone = F.col("doc_id").isNull() | ~F.exists("fp", lambda x: x != 0)
-    return out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+    rest = dealt.join(own, "id").repartition("g").sortWithinPartitions("g", "id").mapInArrow(_across(max_bits), "src long, dst long").distinct()
+    more = _similar_pairs(rest, first, hashed, shingle)
+    final = connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more))
+    named = first.join(final, first.id == final.node, "left").select("same", "low", "th", F.coalesce("component", "id").alias("c"))
+    head = named.groupBy("c").agg(F.min(F.struct("low", "th")).alias("head"))
+    named = named.join(head, "c").select(F.col("same").alias("of"), "head")
+    lone = F.col("doc_id").isNull() | F.col("head").isNull()
+    best = (F.col("doc_id") == F.col("head.low")) & (F.col("th") == F.col("head.th"))
+    out = rows.select("doc_id", "th", "same").join(named, F.col("same") == F.col("of"), "left")
+    return out.select("doc_id", F.col("th").alias("text_hash"), F.when(lone, F.col("doc_id")).otherwise(F.col("head.low")).alias("component_id"), (lone | best).alias("kept"))
 
 
 def _similar_pairs(pairs: DataFrame, first: DataFrame, hashed: DataFrame, shingle: int) -> DataFrame:
@@ -211,7 +270,7 @@ def _similar_pairs(pairs: DataFrame, first: DataFrame, hashed: DataFrame, shingl
 
     def shingles(batches: Batches) -> Batches:
         for rows in in_parts(batches):
-            sets = [np.unique(_shingle_hashes(t, shingle)).tobytes() for t in rows.column(1).to_pylist()]
+            sets = [shingle_set(t, shingle).tobytes() for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["id", "hs"])
 
     def verify(batches: Batches) -> Batches:
@@ -223,48 +282,119 @@ def _similar_pairs(pairs: DataFrame, first: DataFrame, hashed: DataFrame, shingl
                 near.append(both >= SIMILAR * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
-    ends = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    wanted = first.join(ends, "id").select("id", F.col("th").alias("of"))
-    texts = hashed.join(wanted, (hashed.doc_id == wanted.id) & (hashed.th == wanted.of)).dropDuplicates(["id", "th"]).select("id", "text")
-    sets = durable(texts.mapInArrow(shingles, "id long, hs binary"))
+    pairs = durable(pairs)
+    ends = pairs.select(F.col("src").alias("end")).union(pairs.select("dst")).distinct()
+    wanted = first.join(ends, first.id == ends.end).select("id", "low", F.col("th").alias("of"))
+    texts = hashed.join(wanted, (hashed.doc_id == wanted.low) & (hashed.th == wanted.of)).select("id", "text")
+    sets = durable(texts.mapInArrow(shingles, "id long, hs binary").dropDuplicates(["id"]))
     a, b = sets.select(F.col("id").alias("src"), F.col("hs").alias("x")), sets.select(F.col("id").alias("dst"), F.col("hs").alias("y"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(verify, "src long, dst long").distinct()
+    links = durable(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(verify, "src long, dst long"))
+    release(pairs, sets)
+    return links
 
 
-def _proposed(max_bits: int):
-    """Pairs of each block within max_bits: all of a small block, the nearest spanning ones of a dense block."""
+def _shared_keys(batches: Batches) -> Batches:
+    """Rows of the keys that two ids or more hold."""
+    for t in _keyed_runs(batches, "key", 0):
+        at, n = runs_of(_col(t, "key"))
+        yield from t.filter(pa.array(np.repeat(n > 1, n))).to_batches()
 
-    def run(batches: Batches) -> Batches:
-        from granary.llm.suffix_dedup import _batch, _keyed_runs, runs_of
 
-        for t in _keyed_runs(batches, "g", 0):
-            g, ids = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("g", "id"))
-            fp = _words(t.column("fp"))
-            src, dst = [], []
-            for a, m in zip(*runs_of(g)):
-                if m < 2:
-                    continue
-                own = slice(a, a + m)
-                d = sum(np.bitwise_count(fp[own, None, c] ^ fp[None, own, c]).astype(np.int16) for c in range(WIDE_WORDS))
-                i, j = np.nonzero(np.triu(d <= max_bits, 1)) if m <= DENSE else _nearest_forest(d, max_bits)
-                i, j = ids[own][i], ids[own][j]
-                near = i != j
-                src.append(np.minimum(i, j)[near])
-                dst.append(np.maximum(i, j)[near])
-            if src:
-                yield _batch([np.concatenate(src), np.concatenate(dst)], ["src", "dst"])
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(a[:, None, c] ^ b[None, :, c]).astype(np.int16) for c in range(WIDE_WORDS))
+
+
+def _few(key: np.ndarray, n: np.ndarray):
+    """Row pairs (earlier, later) under one key, lag by lag from the widest, for all runs of FEW rows or fewer at once."""
+    small = np.repeat(n, n) <= FEW
+    for lag in range(min(FEW, int(n.max(initial=1))) - 1, 0, -1):
+        i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]))
+        yield i, i + lag
+
+
+def _bits_between(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int16)
+
+
+def _led(tight_bits: int):
+    """Each id with an earlier one of its key within tight_bits: in long runs a leader, and only leaders are held."""
+
+    def long_run(fp, ids, leaders, names):
+        """Pairs of some rows of a run, and the leaders then."""
+        todo, out = np.arange(len(ids)), []
+        for at in range(0, len(leaders), 512):
+            near = _differing(fp[todo], leaders[at : at + 512]) <= tight_bits
+            hit = near.any(1)
+            out.append((names[at:][near[hit].argmax(1)], ids[todo[hit]]))
+            todo = todo[~hit]
+        while len(todo):
+            leaders, names = np.concatenate([leaders, fp[todo[:1]]]), np.r_[names, ids[todo[0]]]
+            hit = _differing(fp[todo], leaders[-1:])[:, 0] <= tight_bits
+            out.append((np.full(hit.sum() - 1, names[-1]), ids[todo[hit][1:]]))
+            todo = todo[~hit]
+        return out, leaders, names
+
+    def run(batches: Batches) -> Batches:
+        now, leaders, names, none = None, None, None, np.zeros((0, WIDE_WORDS), np.uint64)
+        for t in _keyed_pieces(batches, "key"):
+            key, ids, fp = _col(t, "key"), _col(t, "id"), _words(t.column("fp"))
+            at, n = runs_of(key)
+            first = np.full(len(key), -1)
+            for i, j in _few(key, n):
+                near = _bits_between(fp, i, j) <= tight_bits
+                first[j[near]] = i[near]
+            led = first >= 0
+            out = [(ids[first[led]], ids[led])]
+            for a, m in zip(at[n > FEW], n[n > FEW]):
+                if key[a] != now:
+                    now, leaders, names = key[a], none, ids[:0]
+                for b in range(a, a + m, 512):
+                    to = min(a + m, b + 512)
+                    more, leaders, names = long_run(fp[b:to], ids[b:to], leaders, names)
+                    out += more
+            yield _batch([np.concatenate(x) for x in zip(*out)], ["src", "dst"])
 
     return run
 
 
-def _nearest_forest(d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning pairs of the components within limit, the nearest ones (Prim)."""
-    m = len(d)
-    best, of, done = np.full(m, limit + 1), np.full(m, -1), np.zeros(m, bool)
-    for _ in range(m):
-        k = int(np.where(done, np.iinfo(np.int64).max, best).argmin())
-        done[k] = True
-        closer = ~done & (d[k] < best)
-        best[closer], of[closer] = d[k][closer], k
-    linked = np.flatnonzero(of >= 0)
-    return of[linked], linked
+def _keyed_pieces(batches: Batches, key: str):
+    """Tables that hold short runs whole; a run of over 4,096 rows comes in pieces of more than FEW rows, in order."""
+    held = None
+    for rows in in_parts(batches):
+        t = pa.Table.from_batches([rows] if held is None else [*held, rows])
+        k = _col(t, key)
+        if not len(k):
+            continue
+        last = int(np.searchsorted(k, k[-1]))
+        if len(k) - last > 4096:
+            last = len(k) - FEW - 1
+        held = t.slice(last).to_batches()
+        if last:
+            yield t.slice(0, last)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(max_bits: int):
+    """Pairs under one key within max_bits whose ends lie in different components."""
+
+    def run(batches: Batches) -> Batches:
+        for t in _keyed_runs(batches, "g", 0):
+            g, ids, c, fp = _col(t, "g"), _col(t, "id"), _col(t, "c"), _words(t.column("fp"))
+            at, n = runs_of(g)
+            out = [(ids[:0], ids[:0])]
+            for i, j in _few(g, n):
+                i, j = i[c[i] != c[j]], j[c[i] != c[j]]
+                near = _bits_between(fp, i, j) <= max_bits
+                out.append((ids[i[near]], ids[j[near]]))
+            for a, m in zip(at[n > FEW], n[n > FEW]):
+                for b in range(a, a + m, 512):
+                    to = min(a + m, b + 512)
+                    for d in range(b, a + m, 512):
+                        end = min(a + m, d + 512)
+                        i, j = np.nonzero((c[b:to, None] != c[None, d:end]) & (_differing(fp[b:to], fp[d:end]) <= max_bits))
+                        out.append((ids[b:to][i], ids[d:end][j]))
+            i, j = (np.concatenate(x) for x in zip(*out))
+            yield _batch([np.minimum(i, j), np.maximum(i, j)], ["src", "dst"])
+
+    return run

@@ -16,7 +16,7 @@ to checkpointed partitions by doc_id; every later pass brings its short lists th
 
 Every map side first settles what one Arrow batch can settle alone (a key seen in two of its documents is repeated
 whatever the rest holds), so a key that a third of all rows share sends one row per batch and not one per document.
-Across batches, segments are compared by a 64-bit hash within a 48-bit anchor and windows by a 64-bit hash.
+Across batches, segments and windows are compared by a 64-bit hash within a 48-bit anchor, 112 bits in all.
 """
 
 from __future__ import annotations
@@ -307,7 +307,7 @@ def _segment_reduce(batches: Batches) -> Batches:
         yield _batch([np.concatenate(x) for x in zip(*out)], ["doc", "sh", "edge"])
 
 
-_WINDOWS = "win long, doc long, direct boolean"
+_WINDOWS = "anchor long, win long, doc long, direct boolean"
 
 
 def _window_map(width: int, k: int):
@@ -322,10 +322,10 @@ def _window_map(width: int, k: int):
                 which = np.flatnonzero(_member(sh, wanted))
                 if not len(which):
                     continue
-                n = s.n[which]
-                bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(s.at[which], n) + bit
-                doc = np.repeat(docs[s.rows[which]], n)
+                n_of = s.n[which]
+                bit = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+                at = np.repeat(s.at[which], n_of) + bit
+                doc = np.repeat(docs[s.rows[which]], n_of)
                 win = np.lib.stride_tricks.sliding_window_view(s.buf, width)[at]
                 live, group = radix_groups(win)
                 direct, rest = np.zeros(len(at), bool), np.ones(len(at), bool)
@@ -339,20 +339,20 @@ def _window_map(width: int, k: int):
                     rest[live[g]] = True
                 pick = direct | rest
                 h = _window_hash(s.u, at[pick], width)
-                yield _batch([h.view(np.int64), doc[pick], direct[pick]], ["win", "doc", "direct"])
+                yield _batch([np.repeat(s.key[which], n_of)[pick], h.view(np.int64), doc[pick], direct[pick]], ["anchor", "win", "doc", "direct"])
 
     return run
 
 
 def _window_reduce(batches: Batches) -> Batches:
-    """Rows come in the order of the windows, smaller documents first."""
+    """Rows come in the order of the windows, smaller documents first; a window is known by its hash and its anchor."""
     for t in _keyed_runs(batches, "win", 0):
-        win, doc, direct = (_col(t, c) for c in ("win", "doc", "direct"))
+        anchor, win, doc, direct = (_col(t, c) for c in ("anchor", "win", "doc", "direct"))
         covered = direct.copy()
         rest = np.flatnonzero(~direct)
         if len(rest):
-            w = win[rest]
-            new = np.r_[True, w[1:] != w[:-1]]
+            w, k = win[rest], anchor[rest]
+            new = np.r_[True, (w[1:] != w[:-1]) | (k[1:] != k[:-1])]
             covered[rest] = doc[rest] > doc[rest][new][np.cumsum(new) - 1]
         yield _batch([doc[covered], win[covered]], ["doc", "win"])
 
@@ -432,7 +432,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     edges = found.where("edge").groupBy("doc").agg(F.collect_list("sh").alias("shs"))
     joined = own.join(edges, own.doc_id == edges.doc).select("doc_id", "blob", "shs")
     windows = joined.mapInArrow(_window_map(width, k), _WINDOWS)
-    dealt = windows.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.col("win"))).sortWithinPartitions("win", "doc")
+    dealt = windows.repartition(F.when(F.col("direct"), F.col("doc")).otherwise(F.col("win"))).sortWithinPartitions("win", "anchor", "doc")
     at_edges = dealt.mapInArrow(_window_reduce, "doc long, win long")
     none = F.lit(None).cast("long")
     covered = found.where("not edge").select("doc", "sh", none.alias("win")).union(at_edges.select("doc", none, "win"))
