@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 DIM = 16
 PER_LANG = 400  # labelled documents of each language that training sees at most
+MAX_LANGS = 200  # languages that training tells apart at most
 REJECTED = 0.002  # share of right answers on held-back rows that rejection may cost at most
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACE = re.compile(r"\s+")
 _CHUNK = 1 << 18
 
@@ -119,12 +121,24 @@ def fit(grams: list[np.ndarray], counts: list[np.ndarray], labels: list[str], se
     return LanguageModel(langs, table, bias.astype(float), temperature, threshold)
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
-    """Fit on at most per_lang labelled rows of each language outside the held-out fold, chosen by hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select(F.col("doc_id").alias("picked")).distinct()
-    rows = known.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").select("lang", "text")
+def chance(share):
+    """Whether a row is in a sample of that share of all rows, by a hash of doc_id and text."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share * (1 << 40)
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG, langs: int = MAX_LANGS) -> LanguageModel:
+    """Fit on at most per_lang labelled rows of each of the langs most frequent languages, outside the held-out fold.
+
+    Runs at once: a count by language, a scan that keeps some 1.5 times per_lang rows a language by a hash of doc_id and text,
+    and a fit on the driver of the first per_lang of these; repeated rows count once. The driver's input is bounded by
+    the two parameters.
+    """
+    known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", "lang", "text")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 1.5 * per_lang / r.n))])[F.col("lang")] if counts else F.lit(0.0)
+    some = known.where(F.col("text").isNotNull() & chance(share))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
+    rows = some.dropDuplicates(["lang", "doc_id", "text"]).withColumn("n", rank).where(F.col("n") <= per_lang).select("lang", "text")
 
     def features(batches: Batches) -> Batches:
         for b in in_parts(batches):
@@ -136,18 +150,22 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     return fit([got["grams"][i].values.to_numpy() for i in order], [got["counts"][i].values.to_numpy() for i in order], [got["lang"][i].as_py() for i in order])
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, lang_pred, score, rejected.
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, held_out, lang_pred, score, rejected, and the columns named in ``keep``.
 
     lang_pred is a learned language; und with score 0 where the text is null, empty or without a letter, or nothing was
     learned. rejected: und, or a score under the model's threshold. A null doc_id has held_out null. Repeated rows and
-    other columns make no difference; whole texts are read.
+    other columns make no difference; whole texts are read. An empty table gives none.
     """
+    kept = {f"kept_{k}": (k, kind) for k, kind in docs.dtypes if k in keep}
+    names = ["doc_id", "held_out", "lang_pred", "score", "rejected", *kept]
 
     def run(batches: Batches) -> Batches:
         for b in in_parts(batches):
             got = [model.predict(t) for t in b.column(1).to_pylist()]
             bad = [lang == UND or score < model.threshold for lang, score in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(bad, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(bad, pa.bool_()), *b.columns[3:]], names=names)
 
-    return docs.select("doc_id", "text", (fold(F.col("doc_id")) == 2).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean" + "".join(f", `{name}` {kind}" for name, (_, kind) in kept.items())
+    rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) == 2).alias("held_out"), *[F.col(k).alias(name) for name, (k, _) in kept.items()])
+    return rows.mapInArrow(run, schema).withColumnsRenamed({name: k for name, (k, _) in kept.items()})

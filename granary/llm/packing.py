@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.bpe import default_vocabulary, encode_raw
-from granary.llm.common import Batches, in_parts
+from granary.llm.bpe import CHUNK, default_vocabulary, encode_rows
+from granary.llm.common import Batches, in_parts, texts
 
 END_ID = 1
 WAITING = 512
@@ -146,9 +146,9 @@ def pack(docs: DataFrame, max_tokens: int = 2048, max_segments: int = 512, max_l
             rows, packer.rows = packer.rows, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 7)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for rows in in_parts(batches):
-            for doc, text, bearing in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
-                ids = np.frombuffer(encode_raw(path, text.as_py() or "") + end, "<u4")
+        for rows in in_parts(batches, CHUNK):
+            for doc, raw, bearing in zip(rows.column(0).to_pylist(), encode_rows(path, texts(rows.column(1))), rows.column(2).to_pylist()):
+                ids = np.frombuffer(raw + end, "<u4")
                 packer.add(doc, ids, len(ids) if bearing is None else min(max(0, bearing), len(ids)))
             yield flush()
         packer.finish()

@@ -6,50 +6,61 @@ span is joined with the section intervals, and a token over a boundary goes to t
 
 from __future__ import annotations
 
-from array import array
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.bpe import PerWord, RankBPE, default_vocabulary, load
-from granary.llm.common import Batches, in_parts
+from granary.llm.bpe import CHUNK, PerWord, default_vocabulary, known_words, load
+from granary.llm.common import Batches, in_parts, texts
 
 RULES = ("first", "most")
 
 
 @lru_cache(maxsize=4)
 def _spans(path: str) -> PerWord:
-    """piece -> (tokens, their first characters, their ends) as bytes of 32-bit integers"""
+    """piece -> (its tokens' first characters, their ends, the numbers of tokens and characters) as bytes of 32-bit integers"""
     bpe = load(path)
-    letters_of = {i: len(t) for i, t in bpe.token.items()}  # one letter of a token is one byte of text
-
-    def make(piece: str):
-        ends = list(accumulate([letters_of[i] for i in bpe.merge(piece)]))
-        starts = [0, *ends[:-1]]
-        if not piece.isascii():
-            char = [k for k, c in enumerate(piece) for _ in c.encode("utf-8", "surrogatepass")]
-            starts, ends = [char[x] for x in starts], [char[x - 1] + 1 for x in ends]
-        return len(ends), array("i", starts).tobytes(), array("i", ends).tobytes()
+    bytes_of = np.array([len(t) for t in bpe.names])  # one letter of a token is one byte of text
+
+    def make(pieces):
+        special = [w for w in pieces if w[0] == "\0" and w[1:] in bpe.special]
+        for w in special:
+            yield w, tuple(np.array(x, "<i4").tobytes() for x in ([0], [len(w) - 1], [1, len(w) - 1]))
+        pieces = list(set(pieces).difference(special))
+        for which, n, parts, text in bpe.merged(pieces):
+            own = np.arange(parts.shape[1]) < n[:, None]
+            ends = np.cumsum(np.where(own, bytes_of[parts], 0), 1)
+            char = np.cumsum((text & 0xC0) != 0x80, 1) - 1
+            row = np.arange(len(which))[:, None]
+            starts, ends = char[row, np.c_[np.zeros(len(which), int), ends[:, :-1]] % text.shape[1]][own], char[row, ends - 1][own] + 1
+            sizes = np.c_[n, [len(pieces[i]) for i in which]]
+            starts, ends, stop = starts.astype("<i4").tobytes(), ends.astype("<i4").tobytes(), (4 * np.cumsum(n)).tolist()
+            sizes = sizes.astype("<i4").tobytes()
+            for k, (i, a, b) in enumerate(zip(which.tolist(), [0, *stop], stop)):
+                yield pieces[i], (starts[a:b], ends[a:b], sizes[8 * k : 8 * k + 8])
 
     return PerWord(make)
 
 
+def spans_of(path: str, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Character spans of the tokens of each whole text; an added token is one token, as it stands."""
+    memo, out = _spans(path), [[b"", b"", b""] for _ in texts]
+    for row, pieces in known_words(load(path), memo, texts):
+        if pieces:
+            out[row] = [x + b"".join(y) for x, y in zip(out[row], zip(*map(memo.__getitem__, pieces)))]
+    spans = []
+    for starts, ends, sizes in out:
+        tokens, chars = np.frombuffer(sizes, "<i4").astype(np.int64).reshape(-1, 2).T
+        at = np.repeat(np.cumsum(chars) - chars, tokens)
+        spans.append((at + np.frombuffer(starts, "<i4"), at + np.frombuffer(ends, "<i4")))
+    return spans
+
+
 def token_spans(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Character spans of the tokens of a whole text."""
-    bpe: RankBPE = load(path)
-    memo = _spans(path)
-    memo.room()
-    pieces = bpe.words(text)
-    if not pieces:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = list(map(memo.__getitem__, pieces))
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    at = np.repeat(np.cumsum(size) - size, np.fromiter((g[0] for g in got), np.int64, len(got)))
-    return at + np.frombuffer(b"".join([g[1] for g in got]), "<i4"), at + np.frombuffer(b"".join([g[2] for g in got]), "<i4")
+    return spans_of(path, [text])[0]
 
 
 def line_sections(text: str) -> np.ndarray:
@@ -94,12 +105,10 @@ def token_counts(docs: DataFrame, rule: str = "first", vocabulary: str | None =
     def run(batches: Batches) -> Batches:
         path = vocabulary or default_vocabulary("byte_bpe_50k.json")
         names = ["doc_id", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
-        for rows in in_parts(batches):
+        for rows in in_parts(batches, CHUNK):
             cols: list[list] = [[] for _ in names]
-            ids = rows.column(0).to_pylist()
-            for i in range(rows.num_rows):
-                text = rows.column(1)[i].as_py() or ""
-                starts, ends = token_spans(path, text)
+            ids, whole = rows.column(0).to_pylist(), texts(rows.column(1))
+            for i, (text, (starts, ends)) in enumerate(zip(whole, spans_of(path, whole))):
                 if own:
                     got = rows.column(2)[i].as_py() or []
                     lo, hi = np.array([x["start"] for x in got], np.int64), np.array([x["end"] for x in got], np.int64)

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.bpe import PerWord
 from granary.llm.common import Batches, in_parts
-from granary.llm.langid import fold
+from granary.llm.langid import chance, fold
 
 BUCKETS = 1 << 18
 POSITIVES = 2000  # confirmed toxic documents that training sees at most
@@ -26,6 +25,7 @@ UNLABELLED = 8000  # unlabelled documents that training sees at most
 PREFIXES = (4, 5, 6)  # a word counts with its beginnings, which inflected and compounded forms share
 SIGNIFICANT = 5.0
 THRESHOLD = 0.3
+REMEMBERED = 300_000  # words a task keeps at most
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -39,16 +39,30 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+class Remembered(dict):
+    """word -> what ``make`` gives for it, each short word once; emptied when full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word):
+        got = self.make(word)
+        if len(word) < 64:
+            self[word] = got
+        return got
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def memo(self) -> PerWord:
+    def memo(self) -> Remembered:
         """word -> its buckets that carry weight"""
-        return PerWord(lambda w: tuple(b for b in buckets(w) if self.weights[b]))
+        return Remembered(lambda w: tuple(b for b in buckets(w) if self.weights[b]))
 
-    def score(self, memo: PerWord, text: str | None) -> float:
+    def score(self, memo: Remembered, text: str | None) -> float:
         used = {b for bs in map(memo.__getitem__, words(text)) for b in bs}
         z = self.bias + float(self.weights[sorted(used)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -99,20 +113,22 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seed: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> ToxicityModel:
-    """Fit on bounded samples, by hash of doc_id, of rows outside the held-out fold.
+    """Fit on bounded samples, by hash of doc_id and text, of rows outside the held-out fold.
 
-    prior: share of toxic texts; by default that among all labelled rows of the learning folds.
+    prior: share of toxic texts; by default that among all labelled rows of the learning folds. Runs at once: counts, one
+    scan of the documents that keeps ``positives`` toxic and ``unlabelled`` other rows on average, and a fit of no more
+    than these on the driver. Repeated rows count once.
     """
     known = labels.where(fold(F.col("doc_id")) != 2)
-    if prior is None:
-        prior = known.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-        prior = min(max(prior, 1e-4), 0.5)
-    yes = known.where("toxic = 1").select("doc_id").distinct()
-    text = docs.where((fold(F.col("doc_id")) != 2) & F.col("text").isNotNull()).select("doc_id", "text")
-    mixed = F.xxhash64("doc_id")
-    pos_ids = yes.orderBy(mixed, "doc_id").limit(positives).select(F.col("doc_id").alias("of"), F.lit(1).alias("kind"))
-    unl_ids = text.select("doc_id").distinct().orderBy(mixed, "doc_id").limit(unlabelled).select(F.col("doc_id").alias("of"), F.lit(0).alias("kind"))
-    rows = text.join(F.broadcast(pos_ids.union(unl_ids)), F.col("doc_id") == F.col("of")).select("kind", "text")
+    n_yes, mean = known.agg(F.count_if(F.col("toxic") == 1), F.avg(F.col("toxic").cast("double"))).first()
+    prior = (mean or 0.0) if prior is None else prior
+    text = docs.where((fold(F.col("doc_id")) != 2)).select("doc_id", "text")
+    n = text.count()
+    yes = known.where("toxic = 1").select(F.col("doc_id").alias("of")).distinct()
+    few = yes.where(F.pmod(F.xxhash64("of"), F.lit(1 << 40)) < min(1.0, positives / max(1, n_yes)) * (1 << 40)).limit(2 * positives)
+    either = F.array_compact(F.array(F.when(chance(F.lit(min(1.0, unlabelled / max(1, n)))), 0), F.when(F.col("of").isNotNull(), 1)))
+    rows = text.where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", F.explode(either).alias("kind"))
+    rows = rows.dropDuplicates(["kind", "doc_id", "text"]).select("kind", "text")
 
     def features(batches: Batches) -> Batches:
         for b in in_parts(batches):
@@ -124,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     kinds, feats = got["kind"].to_pylist(), got["buckets"]
     # copies of one text are one example
     pos, unl = [list({x.tobytes(): x for i in order if kinds[i] == kind for x in [feats[i].values.to_numpy()]}.values()) for kind in (1, 0)]
-    return fit(pos, unl, prior)
+    return fit(pos[:positives], unl[:unlabelled], prior)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -137,7 +153,8 @@ def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
     def run(batches: Batches) -> Batches:
         memo = model.memo()
         for b in in_parts(batches):
-            memo.room()
+            if len(memo) > REMEMBERED:
+                memo.clear()
             s = [model.score(memo, t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 

@@ -1,8 +1,9 @@
-"""Exact top-k by inner product with vector-approximation blocks.
+"""Exact top-k by inner product with vector-approximation files.
 
-Every vector has an approximation: its components' quantisation cells. For a query, a cell gives a lower and an upper
-bound of the score. Bounds of a whole block come first; exact vectors are then read in order of their upper bound until
-no unread one can reach the kth best. Query blocks meet candidate blocks of bounded size as separate tasks.
+Every vector has an approximation, a byte per component: its cell when the components are cut to the vector's own scale. A
+cell bounds the score with a query from both sides. The cells are scanned first: blocks of queries meet blocks of cells,
+and what cannot be among a query's k best by the bounds goes. Exact vectors are then read for the rest alone, in two
+steps: the k of the highest upper bounds, whose kth score then rules out all others that cannot reach it.
 """
 
 from __future__ import annotations
@@ -13,13 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import Batches
+from granary.llm.common import Batches, durable
 from granary.llm.suffix_dedup import _keyed_runs
 
-CELL_BITS = 6
-QUERY_BLOCK = 1024
-BLOCK = 4096
-READ = 32
+QUERY_BLOCK = 2048
+BLOCK = 8192
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
@@ -35,66 +34,111 @@ def matrix(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
     return out
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, cell_bits: int = CELL_BITS):
-    """Top k of one block for each query: (query id, vector id, score) rows, ties to the smaller id."""
-    low = (vectors >> cell_bits) << cell_bits
-    high = low + (1 << cell_bits) - 1
-    pos, neg = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-    lo, hi = low.astype(float), high.astype(float)
-    upper, lower = pos @ hi.T + neg @ lo.T, pos @ lo.T + neg @ hi.T
+def cells(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a byte per component, shift of each vector): a component v lies in [c << shift, (c + 1 << shift) - 1]."""
+    most = np.maximum(vectors, ~vectors).max(1, initial=0)
+    shift = np.maximum(0, np.ceil(np.log2(most + 1.0)).astype(np.int64) - 7)
+    return (vectors >> shift[:, None]).astype(np.int8), shift
+
+
+def bounds(queries: np.ndarray, cell: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores, query by candidate, in whole numbers as doubles, each moved out by the rounding."""
+    low = queries.astype(float) @ cell.T.astype(float) * np.exp2(shift)
+    slack = np.exp2(shift) - 1
+    down, up = np.minimum(queries, 0).sum(1, dtype=float), np.maximum(queries, 0).sum(1, dtype=float)
+    eps = np.abs(queries).sum(1, dtype=float)[:, None] * np.exp2(shift + 7) * 2.0**-40
+    return low + down[:, None] * slack - eps, low + up[:, None] * slack + eps
+
+
+def scan_block(queries: np.ndarray, query_ids: np.ndarray, cell: np.ndarray, shift: np.ndarray, ids: np.ndarray, k: int):
+    """(query, candidate, lower, upper) of those whose upper bound reaches the kth lower bound of the block."""
     out = []
-    for q in range(len(queries)):
-        own = ids == query_ids[q]
-        up, down = np.where(own, -np.inf, upper[q]), np.where(own, -np.inf, lower[q])
-        n = len(ids) - int(own.sum())
-        if not n:
-            continue
-        kth = np.partition(down, len(down) - k)[len(down) - k] if n >= k and len(down) > k else -np.inf
-        live = np.flatnonzero((up >= kth) & ~own)
-        live = live[np.argsort(-up[live], kind="stable")]
-        got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(live), READ):
-            if len(got) >= k and up[live[at]] < got[k - 1]:
-                break
-            part = live[at : at + READ]
-            got_ids, got = np.r_[got_ids, ids[part]], np.r_[got, vectors[part] @ queries[q]]
-            order = np.lexsort((got_ids, -got))[:k]
-            got_ids, got = got_ids[order], got[order]
-        out.append((np.full(len(got), query_ids[q]), got_ids, got))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, cell_bits: int = CELL_BITS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    for at in range(0, len(queries), 256):
+        own = query_ids[at : at + 256, None] == ids
+        lower, upper = bounds(queries[at : at + 256], cell, shift)
+        lower[own], upper[own] = -np.inf, -np.inf
+        kth = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf)
+        i, j = np.nonzero((upper >= kth[:, None]) & ~own)
+        out.append((query_ids[at + i], ids[j], lower[i, j], upper[i, j]))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
+
+
+def _dot(a: str, b: str):
+    """Inner product of two whole-number arrays, the shorter one padded with zeros; an error beyond 64 bits."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score: the k highest inner products of floor(scale * x).
 
-    is_query: condition naming the query rows; candidates are all other rows, rows with the query's own vec_id left out.
-    Vectors that are null or hold null or non-finite components, and rows with a null vec_id, take no part. Shorter
-    vectors count as padded with zeros. Repeated rows are candidates each. Fewer than k candidates: all of them.
+    is_query: condition naming the query rows; candidates are all other rows, rows with the query's own vec_id left out,
+    ties to the smaller vec_id. Vectors that are null or hold null or non-finite components, and rows with a null vec_id,
+    take no part. Shorter vectors count as padded with zeros. Repeated rows are candidates each, and one query. Of equal
+    candidates those of the k + 1 smallest ids alone can be among the k best and go on. Fewer than k candidates: all of
+    them. Other columns are ignored. Whole numbers beyond 2^31 a component raise an error rather than wrap around. Counts
+    and the scan of the cells run at once.
     """
     if k < 1:
         raise ValueError("k must be positive")
     fine = "vec_id is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
-    ints = vectors.where(fine).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-    n, nq = ints.select(F.count("*"), F.count_if(is_query)).first()
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
+    small = F.forall(whole, lambda x: F.abs(x) < 1 << 31)
+    ints = vectors.where(fine).select("vec_id", is_query.alias("asks"), F.when(small, whole).otherwise(F.raise_error(F.lit("a component is beyond 2^31"))).alias("v"))
+    same = W.partitionBy("same").orderBy("vec_id")
+    ints = durable(ints.withColumn("same", F.xxhash64("v", F.size("v"))))
+    cand = ints.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v")
+    asked = ints.where("asks").select("vec_id", "v").distinct()
+
+    def approximate(batches: Batches) -> Batches:
+        for b in batches:
+            lists = b.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            out = [None] * len(sizes)
+            for d in np.unique(sizes):
+                which = np.flatnonzero(sizes == d)
+                cell, shift = cells(matrix(lists.take(pa.array(which)), np.int64))
+                for i, c, s in zip(which, cell, shift):
+                    out[i] = bytes([s]) + c.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "cell"])
+
+    n, nq = cand.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-nq // query_block))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     part = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    cand = ints.select(numbers(query_blocks).alias("qb"), part(blocks).alias("cb"), F.lit(False).alias("query"), "vec_id", "v")
-    asked = ints.where(is_query).select(part(query_blocks).alias("qb"), numbers(blocks).alias("cb"), F.lit(True).alias("query"), "vec_id", "v")
-    met = cand.union(asked).select((F.col("qb").cast("long") * blocks + F.col("cb")).alias("pair"), "query", "vec_id", "v")
+    scanned = cand.mapInArrow(approximate, "vec_id long, cell binary").select(numbers(query_blocks).alias("qb"), part(blocks).alias("cb"), "vec_id", "cell", F.lit(None).cast("array<long>").alias("v"))
+    asking = asked.select(part(query_blocks).alias("qb"), numbers(blocks).alias("cb"), "vec_id", F.lit(None).cast("binary").alias("cell"), "v")
+    met = scanned.union(asking).select((F.col("qb").cast("long") * blocks + F.col("cb")).alias("pair"), "vec_id", "cell", "v")
 
-    def run(batches: Batches) -> Batches:
+    def scan(batches: Batches) -> Batches:
         for t in _keyed_runs(batches, "pair", 0):
-            pair, query, ids = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("pair", "query", "vec_id"))
-            v = matrix(t.column("v"), np.int64)
+            pair, ids, cell, v = (t.column(c).combine_chunks() for c in ("pair", "vec_id", "cell", "v"))
+            pair, ids, query = pair.to_numpy(), ids.to_numpy(), np.asarray(v.is_valid())
             cuts = np.r_[0, np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(pair)]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                q, x, i = query[a:b], v[a:b], ids[a:b]
-                got = search_block(x[q], i[q], x[~q], i[~q], k, cell_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
-
-    best = met.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                q, x = np.flatnonzero(query[a:b]) + a, np.flatnonzero(~query[a:b]) + a
+                if not len(q) or not len(x):
+                    continue
+                raw = cell.take(pa.array(x)).to_pylist()
+                width = max(1, max(map(len, raw)) - 1)
+                asks = matrix(v.take(pa.array(q)), np.int64)
+                width = max(width, asks.shape[1])
+                table = np.frombuffer(b"".join([r[1:].ljust(width, b"\0") for r in raw]), np.int8).reshape(-1, width)
+                asks = np.pad(asks, ((0, 0), (0, width - asks.shape[1])))
+                got = scan_block(asks, ids[q], table, np.array([r[0] for r in raw]), ids[x], k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "lower", "upper"])
+
+    left = durable(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(scan, "query_id long, vec_id long, lower double, upper double"))
+    order = lambda *by: W.partitionBy("query_id").orderBy(*by)
+    sure = left.withColumn("n", F.row_number().over(order(F.desc("lower"), "vec_id"))).where(F.col("n") == k).select("query_id", F.col("lower").alias("bar"))
+    live = durable(left.join(sure, "query_id", "left").where("bar is null or upper >= bar").select("query_id", "vec_id", "upper"))
+    exact = lambda pairs: pairs.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(cand, "vec_id").select("query_id", "vec_id", _dot("q", "v").alias("score"))
+    near = live.withColumn("n", F.row_number().over(order(F.desc("upper"), "vec_id"))).where(F.col("n") <= k).select("query_id", "vec_id").distinct()
+    read = durable(exact(near))
+    kth = read.withColumn("n", F.row_number().over(order(F.desc("score"), "vec_id"))).where(F.col("n") == k).select("query_id", F.col("score").alias("bar"))
+    rest = live.join(kth, "query_id", "left").where("bar is null or upper >= bar").select("query_id", "vec_id").distinct()
+    rest = rest.join(read.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_anti")
+    best = read.union(exact(rest))
+    rank = F.row_number().over(order(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
