@@ -15,48 +15,49 @@ from granary.llm.simhash import near_duplicate_groups
 from granary.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """docs with the new texts of changed(doc_id, text_hash, kept_text); rows are known by doc_id and the text they had."""
-    one = changed.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("had")).agg(F.min("kept_text").alias("now"))
-    joined = docs.join(one, (docs.doc_id == one.of) & (F.xxhash64(docs.text) == one.had), "left")
-    text = F.when(F.col("of").isNull(), F.col("text")).otherwise(F.col("now"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("of").isNull(), F.col("n_chars")).otherwise(F.length("now")).cast("long").alias("n_chars"))
+REST = ("lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not recognised go: no letters, or a score below the calibrated threshold."""
-    docs = docs.select(*COLUMNS)
-    model = train(docs)
-    verdict = identify(docs, model).select(F.col("doc_id").alias("id"), "rejected")
-    bad = verdict.where("rejected and id is not null").select("id").distinct()
-    return docs.join(bad, docs.doc_id == bad.id, "left_anti").select(*COLUMNS)
+    """Documents whose language is not recognised go: no letters (null and empty texts too), or a score below the calibrated
+    threshold. Each row is judged by its own text in the pass that keeps or drops it: null ids, repeated rows and rows of
+    one doc_id make no difference. Where no language is labelled nothing can be told, and all rows go."""
+    verdict = identify(docs.select(*COLUMNS, F.col("text").alias("whole")), train(docs), keep=(*REST, "whole"))
+    return verdict.where("not rejected").select("doc_id", F.col("whole").alias("text"), *REST)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over many sites go."""
-    docs = docs.select(*COLUMNS)
-    return _with_text(docs, remove_boilerplate(docs).where("n_removed > 0"))
+    """Lines spread over many sites go, wherever they stand; no row goes. Null texts stay null, rows with a null doc_id keep
+    all lines, repeated rows are treated alike; n_chars follows the text where lines went."""
+    kept = remove_boilerplate(docs, keep=REST)
+    n = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text")).cast("long")
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, stays of each group of near copies."""
+    """One document stays of each group of near copies: the smallest doc_id's, ties to the smaller hash of its text.
+
+    Rows are known by doc_id and text: of rows that share a doc_id only those whose text is a near copy go, and of rows that
+    share both one stays. Texts without words (null, empty) are no copies of each other and stay."""
     docs = docs.select(*COLUMNS)
-    groups = near_duplicate_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(groups, docs.doc_id == groups.id, "left_anti").select(*COLUMNS)
+    kept = near_duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("had")).distinct()
+    had = docs.withColumn("th", F.xxhash64("text"))
+    found = had.join(kept, had.doc_id.eqNullSafe(kept.of) & (had.th == kept.had), "left_semi")
+    return found.dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller doc_id has already go; a null text comes out empty."""
+    """Passages that a document with a smaller doc_id has already go; no row goes. A null text comes out empty; rows with a
+    null doc_id lose nothing; rows that share a doc_id are judged each against smaller ids."""
     kept = remove_repeats(docs.select(*COLUMNS), with_text=True, keep=("lang", "source", "n_chars"))
     n = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text")).cast("long")
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences for training."""
-    return pack(docs)
+    """Token sequences for training: pieces of documents, each id in one piece. A null or empty text is its end id alone;
+    null ids and repeated rows are packed like any other; an empty table gives no pieces."""
+    return pack(docs.select("doc_id", "text"))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("passages", passages), ("packing", packing)]
