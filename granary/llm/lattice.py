@@ -3,7 +3,8 @@
 A random rotation cuts a vector into blocks of eight numbers; each block is decoded to the nearest point of the E8
 lattice. Some blocks' points together name a cell of a table. A vector lies in its own cell and also probes the
 neighbouring ones nearest to it; whatever meets in a cell is verified by cosine in double precision. Each found pair is
-counted in one meeting place only, by a rule both sides can compute, so counts add up without writing pairs out.
+counted in one meeting place only, by a rule both sides can compute, so counts add up without writing pairs out. Equal
+vectors are one, with a weight, so that a vector of many copies is hashed and met once.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def _meet(cell: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> tuple[np.nd
     return (cell[i, t] == cell[j, t, :1]).any(1), (cell[j, t] == cell[i, t, :1]).any(1)
 
 
-def link_group(ids: np.ndarray, unit: np.ndarray, cell: np.ndarray, t: int, here: int, side: np.ndarray, cross: bool, threshold: float):
+def link_group(unit: np.ndarray, cell: np.ndarray, t: int, here: int, side: np.ndarray, cross: bool, threshold: float):
     """Links first met in this cell of this table: (index pairs). side: which half a row came from, for split groups."""
     home = cell[:, t, 0] == here
     cos = unit @ unit.T
@@ -102,7 +103,7 @@ def link_group(ids: np.ndarray, unit: np.ndarray, cell: np.ndarray, t: int, here
     i, j = np.nonzero(ok)
     if not len(i):
         return i, j
-    fresh = ids[i] != ids[j]
+    fresh = np.ones(len(i), bool)
     for earlier in range(t):
         a, b = _meet(cell, earlier, i, j)
         fresh &= ~(a | b)
@@ -130,19 +131,20 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, group: int = GROUP) -> DataFrame:
     """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept (vec_id = component_id).
 
-    Links have a cosine of threshold or more; recall is that of the tables. Vectors that are null, empty, zero or hold
-    null or non-finite components link with nothing and are components of their own. Rows of one vec_id are one vector
-    if equal; of unequal ones each may link, and counts add up. A null vec_id gets no links and a null component.
-    Vectors of another length than the most frequent one never link with those of that length. blocks should grow by
-    one for each 64-fold growth of the table.
+    Links have a cosine of threshold or more; recall is that of the tables. Equal vectors of different vec_ids are links.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are components of their
+    own. Rows of one vec_id are one vector if equal; of unequal ones each may link, also with each other, and counts add up.
+    A null vec_id gets no links and a null component. Vectors of different lengths never link. Other columns are ignored; an
+    empty table gives an empty result. blocks should grow by one for each 64-fold growth of the distinct vectors.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     fine = "vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
     live = rows.where(fine).distinct()
+    classes = durable(live.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")).withColumn("cid", F.monotonically_increasing_id()))
 
     def hashed(batches: Batches) -> Batches:
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(3)
             sizes = np.diff(lists.offsets.to_numpy())
             out = np.zeros((len(sizes), tables * (1 + probes)), np.int64)
             for d in np.unique(sizes):
@@ -152,20 +154,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = TA
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 out[which] = cells(unit, tables, blocks, probes, scale).reshape(len(which), -1) ^ (int(d) << 1)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), tables * (1 + probes)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, flat], names=["vec_id", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([*b.columns, flat], names=["vec_id", "rep", "w", "v", "cells"])
 
-    hashes = durable(live.mapInArrow(hashed, "vec_id long, v array<double>, cells array<long>"))
+    hashes = classes.select(F.col("cid").alias("vec_id"), "rep", "w", "v")
+    hashes = durable(hashes.mapInArrow(hashed, "vec_id long, rep long, w long, v array<double>, cells array<long>"))
     places = hashes.select("vec_id", F.posexplode("cells").alias("k", "cell")).select("vec_id", F.floor(F.col("k") / (1 + probes)).cast("int").alias("t"), (F.col("k") % (1 + probes) == 0).alias("home"), "cell").distinct()
     sizes = places.groupBy("t", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
     parts = F.ceil(F.col("n") / group).cast("int")
     dealt = places.join(sizes, ["t", "cell"]).select("vec_id", "t", "cell", parts.alias("m"), F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("s"))
     dealt = dealt.select("vec_id", "t", "cell", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     dealt = dealt.select("vec_id", "t", "cell", "s", F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b"))
-    full = dealt.join(hashes, "vec_id").select(F.xxhash64("t", "cell", "a", "b").alias("g"), "t", "cell", "s", (F.col("a") != F.col("b")).alias("cross"), "vec_id", "v", "cells")
+    full = dealt.join(hashes, "vec_id").select(F.xxhash64("t", "cell", "a", "b").alias("g"), "t", "cell", "s", (F.col("a") != F.col("b")).alias("cross"), "vec_id", "rep", "w", "v", "cells")
 
     def verify(batches: Batches) -> Batches:
         for tab in _keyed_runs(batches, "g", 0):
-            g, t, here, s, cross, ids = (tab.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("g", "t", "cell", "s", "cross", "vec_id"))
+            g, t, here, s, cross, ids, rep, weight = (tab.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("g", "t", "cell", "s", "cross", "vec_id", "rep", "w"))
             cell = matrix(tab.column("cells"), np.int64).reshape(len(g), tables, 1 + probes)
             x = matrix(tab.column("v"), float)
             unit = x / np.abs(x).max(1, keepdims=True)
@@ -175,22 +178,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = TA
                 if n < 2:
                     continue
                 w = slice(at, at + n)
-                i, j = link_group(ids[w], unit[w], cell[w], int(t[at]), int(here[at]), s[w], bool(cross[at]), threshold)
+                i, j = link_group(unit[w], cell[w], int(t[at]), int(here[at]), s[w], bool(cross[at]), threshold)
                 if len(i):
                     i, j = i + at, j + at
                     used, back = np.unique(np.r_[i, j], return_inverse=True)
-                    order = np.argsort(ids[used], kind="stable")
+                    order = np.argsort(rep[used], kind="stable")
                     place = np.empty(len(used), np.int64)
                     place[order] = np.arange(len(used))
                     label = _labels(len(used), place[back[: len(i)]], place[back[len(i) :]])
-                    out.append((ids[used][order], np.bincount(place[back], minlength=len(used)), ids[used][order][label]))
+                    links = np.bincount(place[back], np.r_[weight[j], weight[i]], len(used)).astype(np.int64)
+                    out.append((ids[used][order], links, rep[used][order], rep[used][order][label]))
             if out:
-                yield _batch([np.concatenate(c) for c in zip(*out)], ["vec_id", "links", "low"])
-
-    found = durable(full.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "vec_id long, links long, low long"))
-    count = found.groupBy("vec_id").agg(F.sum("links").alias("n"))
-    comp = connected_components(found.select(F.col("low").alias("src"), F.col("vec_id").alias("dst")))
-    known = comp.join(count, comp.node == count.vec_id).select("node", "component", "n")
+                yield _batch([np.concatenate(c) for c in zip(*out)], ["cid", "links", "rep", "low"])
+
+    found = durable(full.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "cid long, links long, rep long, low long"))
+    count = found.groupBy(F.col("cid").alias("of")).agg(F.sum("links").alias("n"))
+    sized = classes.join(count, classes.cid == count.of, "left").select("v", "rep", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"))
+    members = durable(live.join(sized, "v").where("n > 0").select("vec_id", "rep", "n"))
+    comp = connected_components(found.select(F.col("low").alias("src"), F.col("rep").alias("dst")).union(members.select("rep", "vec_id")))
+    total = members.groupBy(F.col("vec_id").alias("of")).agg(F.sum("n").alias("n"))
+    known = comp.join(total, comp.node == total.of).select("node", "component", "n")
     out = rows.select("vec_id").join(known, rows.vec_id == known.node, "left")
     comp_id = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), (F.col("vec_id") == comp_id).alias("kept"))
