@@ -123,9 +123,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments:
 WIDE_WORDS = 16
 WIDE_BITS = 64 * WIDE_WORDS
 KEYS, KEY_BITS = 192, 24
-TIGHT_BITS, MAX_BITS = 120, 180
+MAX_BITS = 180
 SIMILAR = 0.8
 GROUP = 1 << 18
+BLOCK_BYTES = 4 << 20
 FEW = 16
 _PICKS = np.array([np.random.default_rng(SEED + k).choice(WIDE_BITS, KEY_BITS, replace=False) for k in range(KEYS)])
 _MIX = np.random.default_rng(SEED).integers(1 << 62, (1 << 63) - 1, WIDE_WORDS - 1).astype(np.uint64) | np.uint64(1)
@@ -215,15 +216,14 @@ def _sampled_keys(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["id", "key"])
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, tight_bits: int = TIGHT_BITS, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, group: int = GROUP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_hash, component_id, kept: groups linked by a word-shingle Jaccard of 0.8 or more.
 
     Texts of equal shingle sets are one node. Bits only propose: 0.8 is some 15 % differing bits of 1024, and nodes that
-    agree in one of 192 samples of 24 bits and differ in at most max_bits may link; a pair links after the exact
-    similarity of its shingle sets. Leaders come first: under each key a node is compared with those seen so far that are
-    no closer than tight_bits to each other, so a group of copies costs a pair a copy and key. Then all pairs within max_bits
-    under a key follow whose ends lie in different components still, so no proposed link is left out. A key with more than
-    ``group`` nodes is met in parts of that size, each with each.
+    agree in one of 192 samples of 24 bits and differ in at most max_bits belong to one cluster. Under a key each node is
+    told once, by the first that reaches it, so a key of n nodes gives n rows and no pairs. The shingle sets of a cluster
+    then meet once, and every pair in it that is similar by the sets themselves links; again only what joins two parts is told.
+    A key of more than ``group`` nodes and a cluster of more than ``block_bytes`` of sets are met in parts, each with each.
 
     component_id: smallest doc_id of the group; kept: whether (doc_id, text_hash) is the group's smallest. Texts without
     words, nulls among them, and rows with a null doc_id link with nothing and are kept. Rows of one doc_id with different
@@ -235,27 +235,32 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, tight_bits: int = T
         for rows in in_parts(batches):
             sets = [shingle_set(t, shingle) for t in rows.column(1).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), same, _fixed(wide_fingerprints(sets))], names=["doc_id", "th", "same", "fp"])
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), same, sizes, _fixed(wide_fingerprints(sets))], names=["doc_id", "th", "same", "n", "fp"])
 
-    rows = durable(hashed.mapInArrow(run, "doc_id long, th long, same binary, fp binary"))
+    def sets_of(batches: Batches) -> Batches:
+        for rows in in_parts(batches):
+            sets = pa.array([shingle_set(t, shingle).tobytes() for t in rows.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], sets], names=["id", "c", "m", "hs"])
+
+    rows = durable(hashed.mapInArrow(run, "doc_id long, th long, same binary, n long, fp binary"))
     live = rows.where("doc_id is not null and same is not null")
-    first = live.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.first("fp").alias("fp"))
-    first = durable(first.select(F.monotonically_increasing_id().alias("id"), "same", F.col("x.doc_id").alias("low"), F.col("x.th").alias("th"), "fp"))
+    first = live.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    first = durable(first.select(F.monotonically_increasing_id().alias("id"), "same", F.col("x.doc_id").alias("low"), F.col("x.th").alias("th"), "n", "fp"))
     keyed = first.select("id", "fp").mapInArrow(_sampled_keys, "id long, key long")
     met = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_keys, "id long, key long"))
-    fps = first.select("id", "fp")
-    led = met.join(fps, "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_led(tight_bits), "src long, dst long").distinct()
-    links = _similar_pairs(led, first, hashed, shingle)
-    comp = connected_components(links)
-    own = fps.join(comp, fps.id == comp.node, "left").select("id", "fp", F.coalesce("component", "id").alias("c"))
-    labelled = met.join(own.select("id", "c"), "id")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / group).cast("int").alias("m"))
-    homes = met.join(mixed, "key").withColumn("s", F.pmod(F.xxhash64("id"), "m").cast("int"))
-    homes = homes.select("id", "key", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
-    dealt = homes.select("id", F.xxhash64("key", F.least("s", "x"), F.greatest("s", "x")).alias("g"))
-    rest = dealt.join(own, "id").repartition("g").sortWithinPartitions("g", "id").mapInArrow(_across(max_bits), "src long, dst long").distinct()
-    more = _similar_pairs(rest, first, hashed, shingle)
-    final = connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more))
+    dealt = _in_parts_of(met, met.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("m")).where("m > 1"))
+    near = dealt.join(first.select("id", "fp"), "id").repartition("g").sortWithinPartitions("g", "id").mapInArrow(_reached(max_bits), "src long, dst long")
+    cluster = connected_components(near)
+    release(met)
+    members = cluster.join(first.select("id", "n", "low", F.col("th").alias("of")), F.col("node") == F.col("id"))
+    sizes = members.groupBy(F.col("component").alias("c")).agg(F.ceil(F.sum(8 * F.col("n")) / block_bytes).cast("int").alias("m"))
+    wanted = members.join(sizes, F.col("component") == F.col("c")).select("id", "low", "of", "c", "m")
+    texts = hashed.join(wanted, (hashed.doc_id == wanted.low) & (hashed.th == wanted.of)).dropDuplicates(["doc_id", "th"]).select("text", "id", "c", "m")
+    sets = texts.mapInArrow(sets_of, "id long, c long, m int, hs binary").withColumn("s", F.pmod(F.xxhash64("id"), "m").cast("int"))
+    sets = sets.select("id", "hs", "c", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    sets = sets.select(F.xxhash64("c", F.least("s", "x"), F.greatest("s", "x")).alias("g"), "id", "s", "hs")
+    final = connected_components(sets.repartition("g").sortWithinPartitions("g").mapInArrow(_similar, "src long, dst long"))
     named = first.join(final, first.id == final.node, "left").select("same", "low", "th", F.coalesce("component", "id").alias("c"))
     head = named.groupBy("c").agg(F.min(F.struct("low", "th")).alias("head"))
     named = named.join(head, "c").select(F.col("same").alias("of"), "head")
@@ -265,32 +270,14 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, tight_bits: int = T
     return out.select("doc_id", F.col("th").alias("text_hash"), F.when(lone, F.col("doc_id")).otherwise(F.col("head.low")).alias("component_id"), (lone | best).alias("kept"))
 
 
-def _similar_pairs(pairs: DataFrame, first: DataFrame, hashed: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose texts' shingle sets have a Jaccard similarity of SIMILAR or more."""
-
-    def shingles(batches: Batches) -> Batches:
-        for rows in in_parts(batches):
-            sets = [shingle_set(t, shingle).tobytes() for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["id", "hs"])
-
-    def verify(batches: Batches) -> Batches:
-        for rows in in_parts(batches):
-            near = []
-            for x, y in zip(rows.column(2), rows.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= SIMILAR * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
-
-    pairs = durable(pairs)
-    ends = pairs.select(F.col("src").alias("end")).union(pairs.select("dst")).distinct()
-    wanted = first.join(ends, first.id == ends.end).select("id", "low", F.col("th").alias("of"))
-    texts = hashed.join(wanted, (hashed.doc_id == wanted.low) & (hashed.th == wanted.of)).select("id", "text")
-    sets = durable(texts.mapInArrow(shingles, "id long, hs binary").dropDuplicates(["id"]))
-    a, b = sets.select(F.col("id").alias("src"), F.col("hs").alias("x")), sets.select(F.col("id").alias("dst"), F.col("hs").alias("y"))
-    links = durable(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(verify, "src long, dst long"))
-    release(pairs, sets)
-    return links
+def _in_parts_of(met: DataFrame, large: DataFrame) -> DataFrame:
+    """met(id, key) -> id, g: the ids of a key meet in one place, those of a large(key, m) key in m parts, each with each."""
+    large = durable(large)
+    if large.isEmpty():
+        return met.select("id", F.col("key").alias("g"))
+    homes = met.join(large, "key", "left").select("id", "key", F.coalesce("m", F.lit(1)).alias("m")).withColumn("s", F.pmod(F.xxhash64("id"), "m").cast("int"))
+    homes = homes.select("id", "key", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    return homes.select("id", F.xxhash64("key", F.least("s", "x"), F.greatest("s", "x")).alias("g"))
 
 
 def _shared_keys(batches: Batches) -> Batches:
@@ -316,85 +303,63 @@ def _bits_between(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int16)
 
 
-def _led(tight_bits: int):
-    """Each id with an earlier one of its key within tight_bits: in long runs a leader, and only leaders are held."""
-
-    def long_run(fp, ids, leaders, names):
-        """Pairs of some rows of a run, and the leaders then."""
-        todo, out = np.arange(len(ids)), []
-        for at in range(0, len(leaders), 512):
-            near = _differing(fp[todo], leaders[at : at + 512]) <= tight_bits
-            hit = near.any(1)
-            out.append((names[at:][near[hit].argmax(1)], ids[todo[hit]]))
-            todo = todo[~hit]
-        while len(todo):
-            leaders, names = np.concatenate([leaders, fp[todo[:1]]]), np.r_[names, ids[todo[0]]]
-            hit = _differing(fp[todo], leaders[-1:])[:, 0] <= tight_bits
-            out.append((np.full(hit.sum() - 1, names[-1]), ids[todo[hit][1:]]))
-            todo = todo[~hit]
-        return out, leaders, names
-
-    def run(batches: Batches) -> Batches:
-        now, leaders, names, none = None, None, None, np.zeros((0, WIDE_WORDS), np.uint64)
-        for t in _keyed_pieces(batches, "key"):
-            key, ids, fp = _col(t, "key"), _col(t, "id"), _words(t.column("fp"))
-            at, n = runs_of(key)
-            first = np.full(len(key), -1)
-            for i, j in _few(key, n):
-                near = _bits_between(fp, i, j) <= tight_bits
-                first[j[near]] = i[near]
-            led = first >= 0
-            out = [(ids[first[led]], ids[led])]
-            for a, m in zip(at[n > FEW], n[n > FEW]):
-                if key[a] != now:
-                    now, leaders, names = key[a], none, ids[:0]
-                for b in range(a, a + m, 512):
-                    to = min(a + m, b + 512)
-                    more, leaders, names = long_run(fp[b:to], ids[b:to], leaders, names)
-                    out += more
-            yield _batch([np.concatenate(x) for x in zip(*out)], ["src", "dst"])
-
-    return run
-
-
-def _keyed_pieces(batches: Batches, key: str):
-    """Tables that hold short runs whole; a run of over 4,096 rows comes in pieces of more than FEW rows, in order."""
-    held = None
-    for rows in in_parts(batches):
-        t = pa.Table.from_batches([rows] if held is None else [*held, rows])
-        k = _col(t, key)
-        if not len(k):
-            continue
-        last = int(np.searchsorted(k, k[-1]))
-        if len(k) - last > 4096:
-            last = len(k) - FEW - 1
-        held = t.slice(last).to_batches()
-        if last:
-            yield t.slice(0, last)
-    if held:
-        yield pa.Table.from_batches(held)
-
+def _reached(max_bits: int):
+    """(src, dst) under one key within max_bits, enough to connect what lies so near: short runs give all pairs, in long ones
+    each row is told by the first that reaches it and is not looked at again."""
 
-def _across(max_bits: int):
-    """Pairs under one key within max_bits whose ends lie in different components."""
+    def tree(fp, ids):
+        rest, out = np.arange(len(ids)), []
+        while len(rest) > 1:
+            front, rest = rest[:1], rest[1:]
+            while len(front) and len(rest):
+                near = _differing(fp[front[:32]], fp[rest]) <= max_bits
+                hit = near.any(0)
+                out.append((ids[front[near[:, hit].argmax(0)]], ids[rest[hit]]))
+                front, rest = np.r_[front[32:], rest[hit]], rest[~hit]
+        return out
 
     def run(batches: Batches) -> Batches:
-        for t in _keyed_runs(batches, "g", 0):
-            g, ids, c, fp = _col(t, "g"), _col(t, "id"), _col(t, "c"), _words(t.column("fp"))
+        for t in _keyed_runs(in_parts(batches), "g", 0):
+            g, ids, fp = _col(t, "g"), _col(t, "id"), _words(t.column("fp"))
             at, n = runs_of(g)
             out = [(ids[:0], ids[:0])]
             for i, j in _few(g, n):
-                i, j = i[c[i] != c[j]], j[c[i] != c[j]]
                 near = _bits_between(fp, i, j) <= max_bits
                 out.append((ids[i[near]], ids[j[near]]))
             for a, m in zip(at[n > FEW], n[n > FEW]):
-                for b in range(a, a + m, 512):
-                    to = min(a + m, b + 512)
-                    for d in range(b, a + m, 512):
-                        end = min(a + m, d + 512)
-                        i, j = np.nonzero((c[b:to, None] != c[None, d:end]) & (_differing(fp[b:to], fp[d:end]) <= max_bits))
-                        out.append((ids[b:to][i], ids[d:end][j]))
-            i, j = (np.concatenate(x) for x in zip(*out))
-            yield _batch([np.minimum(i, j), np.maximum(i, j)], ["src", "dst"])
+                out += tree(fp[a : a + m], ids[a : a + m])
+            yield _batch([np.concatenate(x) for x in zip(*out)], ["src", "dst"])
 
     return run
+
+
+def _similar(batches: Batches) -> Batches:
+    """(src, dst) of each block whose shingle sets have a Jaccard similarity of SIMILAR or more, enough to connect all such.
+
+    Shared shingles are counted by postings: a set's shingles name the sets that hold them.
+    """
+    for t in _keyed_runs(in_parts(batches), "g", 0):
+        g, all_ids, all_sides, hs = _col(t, "g"), _col(t, "id"), _col(t, "s"), t.column("hs").to_pylist()
+        src, dst = [], []
+        for a, m in zip(*runs_of(g)):
+            ids, side, sets = all_ids[a : a + m], all_sides[a : a + m], [np.frombuffer(x, np.uint64) for x in hs[a : a + m]]
+            size = np.array([len(x) for x in sets])
+            owner, (_, feature, many) = np.repeat(np.arange(m), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            holders, start = owner[np.argsort(feature, kind="stable")], np.cumsum(many) - many
+            offset, label = np.cumsum(size) - size, np.arange(m)
+            crossing = side.min() < side.max()
+            for x in range(m):
+                f = feature[offset[x] : offset[x] + size[x]]
+                n = many[f]
+                if n.sum() == len(f):
+                    continue
+                at = np.repeat(start[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(holders[at], minlength=m)
+                like = (both >= SIMILAR * (size[x] + size - both)) & (label != label[x])
+                if crossing:
+                    like &= side != side[x]
+                found, one = np.unique(label[like], return_index=True)
+                src += [ids[x]] * len(found)
+                dst += ids[np.flatnonzero(like)[one]].tolist()
+                label[np.isin(label, found)] = label[x]
+        yield _batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
