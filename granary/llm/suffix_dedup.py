@@ -425,6 +425,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text: bool
     anchors = own.select("doc_id", "blob").mapInArrow(_anchor_map(width, k), _ANCHORS)
     dealt = anchors.repartition(F.expr("if(key & 1 = 1, doc, key >> 2)")).sortWithinPartitions("key")
     keys = dealt.mapInArrow(_anchor_reduce, "doc long, key long").groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    keys = durable(keys, partitioned=True)  # the anchors' shuffle files go before the next pass
     joined = own.join(keys, own.doc_id == keys.doc).select("doc_id", "blob", "keys")
     segments = joined.mapInArrow(_segment_map(width, k), _SEGMENTS)
     dealt = segments.repartition(F.expr("if(key & 2 = 2, doc, key >> 2)")).sortWithinPartitions("key")
