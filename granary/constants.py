@@ -130,6 +130,10 @@ PROTEIN_TEXT = {
         "gravy_highest": "Highly hydrophobic protein (GRAVY %.2f), very likely transmembrane or membrane-associated protein",
         "gravy_high": "GRAVY score %.2f, hydrophobic protein, likely a membrane protein",
         "gravy_lowest": "Highly hydrophilic protein (GRAVY %.2f), possibly secreted or extracellular protein", "gravy_low": "GRAVY score %.2f, hydrophilic protein",
+        "helix_rich": "Rich in α-helix (%.1f%%), possibly helical bundle or DNA-binding protein", "sheet_rich": "Rich in β-sheet (%.1f%%), possibly β-barrel or amyloid protein",
+        "structure": "Secondary structure prediction: α-helix %.1f%%, β-sheet %.1f%%", "aromatic": "High aromaticity (%.1f%%), may contain important aromatic residue clusters",
+        "phospho_many": "Numerous phosphorylation sites detected (%d), may be extensively regulated by phosphorylation",
+        "phospho": "Identified %d potential phosphorylation site(s)", "glyco": "Contains %d N-glycosylation site(s), may be a glycoprotein",
         "separator": "; ", "end": ".",
     },
     "zh": {
@@ -140,6 +144,38 @@ PROTEIN_TEXT = {
         "pi_highest": "强碱性蛋白（等电点 %.2f），可能富含赖氨酸和精氨酸", "pi_high": "等电点 %.2f，为碱性蛋白", "pi_middle": "等电点 %.2f，为中性蛋白",
         "gravy_highest": "高度疏水性蛋白（GRAVY %.2f），很可能为跨膜蛋白或膜结合蛋白", "gravy_high": "GRAVY 值 %.2f，为疏水性蛋白，可能为膜蛋白",
         "gravy_lowest": "高度亲水性蛋白（GRAVY %.2f），可能为分泌蛋白或细胞外蛋白", "gravy_low": "GRAVY 值 %.2f，为亲水性蛋白",
+        "helix_rich": "富含 α-螺旋（%.1f%%），可能为螺旋束蛋白或 DNA 结合蛋白", "sheet_rich": "富含 β-折叠（%.1f%%），可能为 β-桶状蛋白或淀粉样蛋白",
+        "structure": "二级结构预测：α-螺旋 %.1f%%，β-折叠 %.1f%%", "aromatic": "高芳香性（%.1f%%），可能包含重要的芳香族残基簇",
+        "phospho_many": "检测到大量磷酸化位点（%d 个），可能受到广泛的磷酸化调控", "phospho": "检测到 %d 个潜在磷酸化位点", "glyco": "包含 %d 个 N-糖基化位点，可能为糖蛋白",
         "separator": "；", "end": "。",
     },
 }
+
+RECORD_TEXT = {
+    "en": {
+        "organism": "This sequence is from %s", "length_gc": "Total length %s bp, GC content %.1f%%", "length": "Total length %s bp", "genes": "Contains %d gene(s) and %d coding sequence(s)",
+        "products": "Main encoded proteins include: %s", "rna": "Contains RNA features: %s", "regulatory": "Contains %d regulatory element(s)", "taxonomy": "Taxonomy: %s",
+        "references": "Contains %d reference(s)", "separator": "; ", "end": ".",
+    },
+    "zh": {
+        "organism": "该序列来自 %s", "length_gc": "全长 %s bp，GC 含量 %.1f%%", "length": "全长 %s bp", "genes": "包含 %d 个基因和 %d 个编码序列",
+        "products": "编码的主要蛋白质包括：%s", "rna": "包含 RNA 特征：%s", "regulatory": "包含 %d 个调控元件", "taxonomy": "分类学：%s",
+        "references": "包含 %d 篇参考文献", "separator": "；", "end": "。",
+    },
+}
+
+# Labels of the sequence reports.
+REPORT_TEXT = {
+    "en": {
+        "title": "FASTA Sequence Analysis Results", "statistics": "Statistics", "count": "Sequence Count", "total": "Total Length", "average": "Average Length", "shortest": "Shortest Sequence",
+        "longest": "Longest Sequence", "details": "Sequence Details", "meaning": "Biological Significance", "preview": "Sequence Preview", "gc": "GC Content", "orf": "Longest ORF",
+        "cpg": "CpG Islands", "complexity": "Sequence Complexity", "weight": "Molecular Weight", "pi": "Isoelectric Point", "stability": "Stability", "gravy": "Hydropathy (GRAVY)",
+        "structure": "Secondary Structure Prediction",
+    },
+    "zh": {
+        "title": "FASTA 序列解析结果", "statistics": "统计信息", "count": "序列数量", "total": "总长度", "average": "平均长度", "shortest": "最短序列",
+        "longest": "最长序列", "details": "序列详情", "meaning": "生物学意义", "preview": "序列预览", "gc": "GC 含量", "orf": "最长 ORF",
+        "cpg": "CpG 岛数量", "complexity": "序列复杂度", "weight": "分子量", "pi": "等电点", "stability": "稳定性", "gravy": "疏水性 (GRAVY)",
+        "structure": "二级结构预测",
+    },
+}

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.constants import RECORD_TEXT
+from granary.functions.text import sentence
+
 # Feature types of each group.
 REGULATORY = ("regulatory", "promoter", "enhancer", "terminator", "RBS", "TATA_signal", "polyA_signal")
 RNA = ("rRNA", "tRNA", "mRNA", "ncRNA", "misc_RNA")
@@ -76,14 +79,32 @@ def taxonomy_refs(records: DataFrame) -> DataFrame:
     return records.withColumns({"taxonomy_text": F.array_join(F.slice("taxonomy", 1, 3), " > "), "reference_count": F.coalesce(F.size("references"), F.lit(0)).cast("long")})
 
 
-def describe_record(summary: DataFrame) -> DataFrame:
-    """One sentence of a record's counts and first products."""
+def describe_record(records: DataFrame, features: DataFrame, lang: str = "en") -> DataFrame:
+    """A description of records(record_id, organism, length, gc_content, taxonomy array, reference_count) and their
+    features: organism, length with GC, genes and coding sequences, products of the first three of these, RNAs by type in
+    order of appearance, regulatory elements, taxonomy and references. A clause without its value is left out."""
+    t, kind = RECORD_TEXT[lang], F.col("type")
+    say = lambda key, *cols: F.format_string(t[key], *cols)
+    listed = lambda condition, value: F.array_sort(F.collect_list(F.when(condition, F.struct("feature_no", value.alias("x")))))
+    found = features.groupBy("record_id").agg(
+        F.count_if(kind == "gene").alias("genes"), F.count_if(kind == "CDS").alias("cds"), F.count_if(kind.isin(*REGULATORY)).alias("regulatory"),
+        listed(kind == "CDS", first_of("product")).alias("coding"), F.transform(listed(kind.isin(*RNA), kind), lambda i: i["x"]).alias("rna"),
+    )
+    r = records.join(found, "record_id", "left")
+    products = F.filter(F.transform(F.slice("coding", 1, 3), lambda i: i["x"]), lambda x: x.isNotNull() & (x != ""))
+    by_type = F.transform(F.array_distinct("rna"), lambda name: F.concat(F.size(F.filter("rna", lambda x: x == name)).cast("string"), F.lit(" "), name))
+    size, gc = F.format_number("length", 0), F.col("gc_content") * 100
     parts = [
-        F.format_string("%d annotated features", "features"), F.when(F.col("genes") > 0, F.format_string("%d gene(s)", "genes")), F.when(F.col("cds") > 0, F.format_string("%d coding sequence(s)", "cds")),
-        F.when(F.size("products") > 0, F.concat(F.lit("products: "), F.array_join(F.slice("products", 1, 3), ", "))),
-        F.when(F.col("rna") > 0, F.format_string("%d RNA(s)", "rna")), F.when(F.col("regulatory") > 0, F.format_string("%d regulatory element(s)", "regulatory")),
-    ]
-    return summary.withColumn("description", F.concat(F.concat_ws("; ", *parts), F.lit(".")))
+        F.when(F.col("organism") != "", say("organism", F.col("organism"))),
+        F.when(gc.isNotNull(), say("length_gc", size, F.round(gc + 1e-9, 1))).otherwise(say("length", size)),
+        F.when((F.col("genes") > 0) | (F.col("cds") > 0), say("genes", F.col("genes"), F.col("cds"))),
+        F.when(F.size(products) > 0, say("products", F.array_join(products, ", "))),
+        F.when(F.size("rna") > 0, say("rna", F.array_join(by_type, ", "))),
+        F.when(F.col("regulatory") > 0, say("regulatory", F.col("regulatory"))),
+        F.when(F.size("taxonomy") > 0, say("taxonomy", F.array_join(F.slice("taxonomy", 1, 3), " > "))),
+        F.when(F.col("reference_count") > 0, say("references", F.col("reference_count"))),
+    ]
+    return r.withColumn("description", sentence(parts, t["separator"], t["end"])).drop("genes", "cds", "regulatory", "coding", "rna")
 
 
 def record_totals(records: DataFrame, features: DataFrame, by: str = "file") -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,21 +111,33 @@ def formulas(docs: DataFrame, col: str = "text") -> DataFrame:
     return docs.select("doc_id", F.inline(F.concat(found("block", F.col(col), _BLOCK), found("inline", rest, _INLINE))))
 
 
-def json_paths(docs: DataFrame, id: str = "id", col: str = "json", max_level: int = 32) -> DataFrame:
-    """Id, path, depth of every object and array of a JSON text, dot-joined, to a level.
+def containers(text: str | None) -> list[tuple[str, int]]:
+    """(path, depth) of every object and array of one JSON text, dot-joined; none for bad JSON or a scalar."""
+    try:
+        todo, out = [("", 0, json.loads(text or ""))], []
+    except (ValueError, RecursionError):
+        return []
+    while todo:
+        path, depth, v = todo.pop()
+        if isinstance(v, (dict, list)):
+            out.append((path, depth))
+            items = v.items() if isinstance(v, dict) else enumerate(v)
+            todo += [(f"{path}.{k}" if depth else str(k), depth + 1, x) for k, x in items]
+    return out
+
+
+def json_paths(docs: DataFrame, id: str = "id", col: str = "json") -> DataFrame:
+    """Id, path, depth of every object and array of a JSON text, dot-joined, at every level.
 
-    One recursive step per level over VARIANT values; bad JSON has no paths.
+    One narrow pass; bad JSON has no paths, and nesting too deep for a JSON reader (thousands of levels) is bad JSON.
     """
-    level = docs.select(F.col(id).alias("id"), F.try_parse_json(col).alias("v")).where("v is not null").select("id", F.lit("").alias("path"), "v")
-    level = level.where("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
-    level.createOrReplaceTempView("granary_json_roots")
-    sql = f"""with recursive walk(id, path, depth, v) as (
-      select id, path, 0, v from granary_json_roots
-      union all
-      select w.id, case when w.path = '' then coalesce(e.key, cast(e.pos as string)) else concat(w.path, '.', coalesce(e.key, cast(e.pos as string))) end, w.depth + 1, e.value
-      from walk w, lateral variant_explode(w.v) e where w.depth < {max_level} and (schema_of_variant(e.value) like 'OBJECT%' or schema_of_variant(e.value) like 'ARRAY%'))
-    select id, path, cast(depth as bigint) depth from walk"""
-    return docs.sparkSession.sql(sql)
+    kind = dict(docs.dtypes)[id]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, *x) for i, text in zip(b["id"], b["json"]) for x in containers(text)], columns=["id", "path", "depth"])
+
+    return docs.select(F.col(id).alias("id"), F.col(col).cast("string").alias("json")).mapInPandas(run, f"id {kind}, path string, depth long")
 
 
 def json_shape(docs: DataFrame, id: str = "id", col: str = "json", width: int = 20) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,30 +37,35 @@ def claim_next(tasks: DataFrame, k: int, workers: int = 1, as_of: dt.datetime |
     return out if as_of is None else out.withColumn("started_at", F.lit(as_of).cast("timestamp"))
 
 
-def next_state(current: Column, worker: Column, requested: Column, by: Column) -> Column:
-    """C03, the rule: finishing needs a task in process, by its own worker where one is named; cancelling and resetting always work."""
-    finishing = requested.isin("completed", "failed")
-    mine = by.isNull() | worker.isNull() | (by == worker)
-    return ~finishing | ((current == "processing") & mine)
+def advance(status: str, worker: str | None, requested: str, by: str | None) -> tuple[bool, str, str | None]:
+    """C03, the rule: (accepted, status, worker) after a request. Finishing needs a task in process and, where a worker is
+    named, that it is the task's own; cancelling and resetting always work."""
+    if requested in ("completed", "failed") and not (status == "processing" and (not by or by == worker)):
+        return False, status, worker
+    return True, requested, by if requested == "processing" else None if requested == "pending" else worker
 
 
 def apply_transitions(events: DataFrame) -> DataFrame:
     """events(task_id, seq, requested_status, worker_id) -> with accepted and the status after each, in order of seq.
 
-    A fold over the ordered events of each task, in native expressions. One task's events are bounded by its retries.
+    Each task's events follow each other in one partition and only the last state is held, however many there are.
     """
-    ordered = events.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("seq", "requested_status", "worker_id"))).alias("log"))
-    state = F.struct(F.lit("pending").alias("status"), F.lit(None).cast("string").alias("worker"), F.array().cast("array<struct<seq:bigint,accepted:boolean,status:string>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ok = next_state(acc["status"], acc["worker"], e["requested_status"], e["worker_id"])
-        status = F.when(ok, e["requested_status"]).otherwise(acc["status"])
-        worker = F.when(~ok, acc["worker"]).when(e["requested_status"] == "pending", F.lit(None).cast("string")).when(e["requested_status"] == "processing", e["worker_id"]).otherwise(acc["worker"])
-        item = F.struct(e["seq"].cast("bigint").alias("seq"), ok.alias("accepted"), status.alias("status"))
-        return F.struct(status.alias("status"), worker.alias("worker"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    folded = ordered.select("task_id", F.aggregate("log", state, step)["out"].alias("out"))
-    return folded.select("task_id", F.inline("out"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, status, worker = None, "pending", None
+        for b in batches:
+            out = []
+            for task, _, requested, by in zip(*(c.to_pylist() for c in b.columns)):
+                if (task,) != now:
+                    now, status, worker = (task,), "pending", None
+                ok, status, worker = advance(status, worker, requested, by)
+                out.append((ok, status))
+            flags = [pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] for x in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *flags], names=["task_id", "seq", "accepted", "status"])
+
+    rows = events.select("task_id", F.col("seq").cast("long").alias("seq"), "requested_status", "worker_id")
+    kind = dict(rows.dtypes)["task_id"]
+    return rows.repartition("task_id").sortWithinPartitions("task_id", "seq").mapInArrow(run, f"task_id {kind}, seq long, accepted boolean, status string")
 
 
 def latest_state(events: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from granary.constants import CODE_LETTERS, CODE_RESIDUES, DNA_MASS, NUCLEOTIDE_TEXT, WATER
@@ -162,6 +164,23 @@ def tandem_runs(seqs: DataFrame, min_length: int = 10, max_length: int = 50) ->
     return seqs.select("seq_id", "sequence").mapInPandas(run, f"seq_id {kind}, period long, start long, matches long")
 
 
+def repeat_units(text: str, min_length: int, max_length: int, cap: int) -> list[tuple]:
+    """(rank, position, length, repeat_count, pattern) of one sequence, as tandem_repeats gives them."""
+    codes, found = np.frombuffer(text.encode("utf-32-le"), np.uint32), {}
+    for period in range(min(max_length, len(codes) // 3), min_length - 1, -1):
+        for start, size in zip(*runs_of_period(codes, period)):
+            for at in range(start, min(start + size - period, start + period) + 1):
+                found.setdefault(text[at : at + period], (int(at), period, int((start + size - at) // period + 1)))
+                if len(found) == cap:
+                    break
+            if len(found) == cap:
+                break
+        if len(found) == cap:
+            break
+    ranked = sorted(found.items(), key=lambda x: -x[1][1] * x[1][2])
+    return [(k + 1, at, n, c, u[:30] + "..." if len(u) > 30 else u) for k, (u, (at, n, c)) in enumerate(ranked)]
+
+
 def tandem_repeats(seqs: DataFrame, min_length: int = 10, max_length: int = 50, cap: int = 15) -> DataFrame:
     """seq_id, rank, position, length, repeat_count, pattern: each distinct unit once, at most cap of them.
 
@@ -170,30 +189,26 @@ def tandem_repeats(seqs: DataFrame, min_length: int = 10, max_length: int = 50,
     of discovery (period down, start up); rank is by length x repeat_count, ties by discovery. Patterns show 30 letters.
     """
 
-    def units(text: str) -> list[tuple]:
-        codes, found = np.frombuffer(text.encode("utf-32-le"), np.uint32), {}
-        for period in range(min(max_length, len(codes) // 3), min_length - 1, -1):
-            for start, size in zip(*runs_of_period(codes, period)):
-                for at in range(start, min(start + size - period, start + period) + 1):
-                    found.setdefault(text[at : at + period], (int(at), period, int((start + size - at) // period + 1)))
-                    if len(found) == cap:
-                        break
-                if len(found) == cap:
-                    break
-            if len(found) == cap:
-                break
-        ranked = sorted(found.items(), key=lambda x: -x[1][1] * x[1][2])
-        return [(k + 1, at, n, c, u[:30] + "..." if len(u) > 30 else u) for k, (u, (at, n, c)) in enumerate(ranked)]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *x) for i, text in zip(b["seq_id"], b["sequence"]) for x in units(text or "")]
+            rows = [(i, *x) for i, text in zip(b["seq_id"], b["sequence"]) for x in repeat_units(text or "", min_length, max_length, cap)]
             yield pd.DataFrame(rows, columns=["seq_id", "rank", "position", "length", "repeat_count", "pattern"])
 
     kind = dict(seqs.dtypes)["seq_id"]
     return seqs.select("seq_id", "sequence").mapInPandas(run, f"seq_id {kind}, rank long, position long, length long, repeat_count long, pattern string")
 
 
+def island_count(text: str, window: int = 200, step: int = 50, gc: float = 0.6, ratio: float = 0.6) -> int:
+    """How many windows of one sequence cpg_islands lists."""
+    codes = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    at = np.arange(0, max(0, len(codes) - window), step)
+    sums = lambda hit: np.r_[0, np.cumsum(hit)]
+    c, g, cg = sums(codes == ord("C")), sums(codes == ord("G")), sums((codes[:-1] == ord("C")) & (codes[1:] == ord("G")))
+    n_c, n_g, n = c[at + window] - c[at], g[at + window] - g[at], cg[at + window - 1] - cg[at]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return int((((n_c + n_g) / window >= gc) & (n > 0) & (n / (n_c * n_g / window) >= ratio)).sum())
+
+
 def cpg_islands(seqs: DataFrame, window: int = 200, step: int = 50, gc: float = 0.6, ratio: float = 0.6) -> DataFrame:
     """seq_id, start, end, gc_content, cpg_ratio of the windows that are CpG islands; a window that ends with the sequence is no candidate."""
     at = seqs.where(F.length("sequence") > window).select("seq_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - window - 1, F.lit(step))).alias("start"))
@@ -211,14 +226,22 @@ def dna_weight(seqs: DataFrame) -> DataFrame:
 
 
 def nucleotide_profile(seqs: DataFrame) -> DataFrame:
-    """All scalar metrics with counts of frames, islands and repeats; each metric is null on its own where undefined."""
+    """All scalar metrics with counts of frames, islands and repeats, in one pass; each metric is null on its own where undefined."""
     base = entropy(dna_weight(at_skew(gc_skew(gc_content(seqs)))))
     base = base.withColumn("length", F.length("sequence").cast("long"))
-    orfs = find_orfs(seqs).groupBy("seq_id").agg(F.max("length").alias("longest_orf"), F.count("*").alias("orf_count"))
-    islands = cpg_islands(seqs).groupBy("seq_id").agg(F.count("*").alias("cpg_count"))
-    repeats = tandem_repeats(seqs).groupBy("seq_id").agg(F.count("*").alias("repeat_count"))
-    out = base.join(orfs, "seq_id", "left").join(islands, "seq_id", "left").join(repeats, "seq_id", "left")
-    return out.fillna(0, ["longest_orf", "orf_count", "cpg_count", "repeat_count"])
+    at, names = base.columns.index("sequence"), ("longest_orf", "orf_count", "cpg_count", "repeat_count")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for text in b.column(at).to_pylist():
+                orfs = orfs_of(text or "", 100)
+                found.append((max((e - s for s, e, _ in orfs), default=0), len(orfs), island_count(text or ""), len(repeat_units(text or "", 10, 50, 15))))
+            counts = [pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 4)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *counts], names=[*b.schema.names, *names])
+
+    schema = T.StructType([*base.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    return base.mapInArrow(run, schema)
 
 
 def describe_nucleotide(profile: DataFrame, lang: str = "en") -> DataFrame:

@@ -30,30 +30,41 @@ def aromaticity(seqs: DataFrame) -> DataFrame:
 
 
 def instability_index(seqs: DataFrame, weights: DataFrame) -> DataFrame:
-    """10 / length x the sum of dipeptide weights(pair, weight); null for an empty sequence; unknown pairs weigh nothing."""
-    # pairs from even and from odd places: one pass each over a sequence of any length
-    even, odd = (F.regexp_extract_all(c, F.lit("(?s).."), F.lit(0)) for c in (F.col(S), F.expr(f"substr({S}, 2)")))
-    pairs = seqs.select("seq_id", F.explode(F.concat(even, odd)).alias("pair"))
-    total = pairs.join(F.broadcast(weights), "pair").groupBy("seq_id").agg(F.sum("weight").alias("total"))
-    out = seqs.join(total, "seq_id", "left")
-    return out.withColumn("instability_index", F.try_divide(10.0 * F.coalesce("total", F.lit(0.0)), F.length(S))).drop("total")
+    """10 / length x the sum of dipeptide weights(pair, weight); null for an empty sequence; unknown pairs weigh nothing.
+
+    The weights of the 26 x 26 pairs of letters become one array (a single row, broadcast) that each sequence is looked up
+    in, so no sequence is cut into rows or shuffled.
+    """
+    place = lambda c: F.ascii(c) - F.lit(ord("A"))
+    known = weights.where(F.col("pair").rlike("^[A-Z]{2}$")).select((place(F.col("pair")) * 26 + place(F.expr("substr(pair, 2)"))).alias("k"), "weight")
+    cells = F.map_from_entries(F.collect_list(F.struct("k", "weight")))
+    table = known.agg(cells.alias("of")).select(F.transform(F.sequence(F.lit(0), F.lit(675)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0.0))).alias("pair_weights"))
+    codes = F.transform(F.filter(F.split(S, ""), lambda c: c != ""), lambda c: F.when(c.between("A", "Z"), place(c)).otherwise(F.lit(None)))
+    out = seqs.crossJoin(F.broadcast(table)).withColumn("codes", codes)
+    pairs = F.zip_with(F.slice("codes", 1, F.greatest(F.size("codes") - 1, F.lit(0))), F.slice("codes", 2, F.greatest(F.size("codes") - 1, F.lit(0))), lambda x, y: F.coalesce(F.get("pair_weights", x * 26 + y), F.lit(0.0)))
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+    return out.withColumn("instability_index", F.try_divide(10.0 * total, F.length(S))).drop("pair_weights", "codes")
 
 
 def isoelectric_point(seqs: DataFrame, pk=PK, step: float = 0.01) -> DataFrame:
-    """the pH of a grid at which the net charge is nearest to zero, the lower one of two.
+    """the pH of a grid at which the net charge is nearest to zero, the lower one of two; null for an empty sequence.
 
-    Residue counts meet the grid inside the partition and each sequence's best pH is combined map-side, so only one row
-    a sequence and task is shuffled.
+    The charge falls as pH rises, so the last of every 38th grid point with no negative charge starts the stretch to search.
+    All of it happens in the row.
     """
-    counts = {f"n{k}": F.lit(1.0) if name.endswith("-term") else letter_count(S, name).cast("double") for k, (name, _, _) in enumerate(pk)}
-    counted = seqs.where(F.length(S) > 0).select("seq_id", *[c.alias(k) for k, c in counts.items()])
-    grid = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(round(14 / step)))).alias("k"))
-    ph, net = F.col("k") * F.lit(step), F.lit(0.0)
-    for k, (_, value, sign) in enumerate(pk):
-        net = net + F.col(f"n{k}") * sign / (1 + F.pow(F.lit(10.0), sign * (ph - value)))
-    grid = grid.select("seq_id", "k", F.round(F.abs(net), 9).alias("off"))
-    best = grid.groupBy("seq_id").agg(F.min(F.struct("off", "k"))["k"].alias("k"))
-    return seqs.join(best, "seq_id", "left").withColumn("isoelectric_point", F.col("k") * F.lit(step)).drop("k")
+    last, stride = round(14 / step), 38
+    counts = [F.lit(1.0) if name.endswith("-term") else letter_count(S, name).cast("double") for name, _, _ in pk]
+    out = seqs.withColumn("counts", F.array(*counts))
+
+    def net(k: Column) -> Column:
+        ph = k * F.lit(step)
+        return sum((F.get("counts", F.lit(i)) * sign / (1 + F.pow(F.lit(10.0), sign * (ph - value))) for i, (_, value, sign) in enumerate(pk)), F.lit(0.0))
+
+    start = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.lit(last), F.lit(stride)), lambda k: net(k) >= 0)), F.lit(0))
+    out = out.withColumn("start", start)
+    stretch = F.sequence(F.col("start"), F.least(F.col("start") + stride, F.lit(last)))
+    best = F.array_min(F.transform(stretch, lambda k: F.struct(F.round(F.abs(net(k)), 9).alias("off"), k.alias("k"))))
+    return out.withColumn("isoelectric_point", F.when(F.length(S) > 0, best["k"] * F.lit(step))).drop("counts", "start")
 
 
 def residue_percent(seqs: DataFrame) -> DataFrame:
@@ -135,13 +146,26 @@ def ptm_sites(seqs: DataFrame, cap: int = 15) -> DataFrame:
     return sites.select("seq_id", "kind", (i + 1).cast("long").alias("position"), at(i).alias("residue"), context.alias("context"), motif.alias("motif"), score.alias("score"))
 
 
+def ptm_counts(seqs: DataFrame, cap: int = 15) -> DataFrame:
+    """Numbers of phosphorylation and N-glycosylation sites, each cap at most, as F12 lists them."""
+    glyco = F.regexp_count(S, F.lit("N(?=[^P][ST])"))
+    return seqs.withColumns({"phosphorylation_sites": F.least(letter_count(S, "STY"), F.lit(cap)), "glycosylation_sites": F.least(glyco.cast("long"), F.lit(cap))})
+
+
 def describe_protein(profile: DataFrame, lang: str = "en") -> DataFrame:
-    """a description from thresholds on weight, stability, isoelectric point and hydropathy."""
+    """a description from thresholds on weight, stability, isoelectric point, hydropathy, helix and sheet, aromaticity and
+    the numbers of phosphorylation and glycosylation sites; a clause without its value is left out."""
     t = PROTEIN_TEXT[lang]
-    say = lambda key, col: F.format_string(t[key], col)
+    say = lambda key, *cols: F.format_string(t[key], *cols)
+    one, two = (lambda c, n=n: F.round(c + F.signum(c) * 1e-9, n) for n in (1, 2))
     kda, i, pi, g = F.col("protein_weight") / 1000, F.col("instability_index"), F.col("isoelectric_point"), F.col("gravy")
-    mass = F.when(kda > 100, say("mass_large", kda)).when(kda < 10, say("mass_small", kda)).when(kda > 0, say("mass", kda))
-    stable = F.when(i < 25, say("stable_very", i)).when(i < 40, say("stable", i)).when(i >= 40, say("unstable", i))
-    point = F.when(pi < 5, say("pi_lowest", pi)).when(pi < 6, say("pi_low", pi)).when(pi > 9, say("pi_highest", pi)).when(pi > 8, say("pi_high", pi)).when(pi.isNotNull(), say("pi_middle", pi))
-    water = F.when(g > 0.5, say("gravy_highest", g)).when(g > 0, say("gravy_high", g)).when(g < -0.5, say("gravy_lowest", g)).when(g.isNotNull(), say("gravy_low", g))
-    return profile.withColumn("description", sentence([mass, stable, point, water], t["separator"], t["end"]))
+    helix, sheet, rings, phos, glyco = F.col("helix") * 100, F.col("sheet") * 100, F.col("aromaticity"), F.col("phosphorylation_sites"), F.col("glycosylation_sites")
+    mass = F.when(kda > 100, say("mass_large", one(kda))).when(kda < 10, say("mass_small", one(kda))).when(kda > 0, say("mass", one(kda)))
+    stable = F.when(i < 25, say("stable_very", one(i))).when(i < 40, say("stable", one(i))).when(i >= 40, say("unstable", one(i)))
+    point = F.when(pi < 5, say("pi_lowest", two(pi))).when(pi < 6, say("pi_low", two(pi))).when(pi > 9, say("pi_highest", two(pi))).when(pi > 8, say("pi_high", two(pi))).when(pi.isNotNull(), say("pi_middle", two(pi)))
+    water = F.when(g > 0.5, say("gravy_highest", two(g))).when(g > 0, say("gravy_high", two(g))).when(g < -0.5, say("gravy_lowest", two(g))).when(g.isNotNull(), say("gravy_low", two(g)))
+    fold = F.when(helix > 40, say("helix_rich", one(helix))).when(sheet > 30, say("sheet_rich", one(sheet))).when(helix.isNotNull(), say("structure", one(helix), one(sheet)))
+    aromatic = F.when(rings > 0.15, say("aromatic", one(rings * 100)))
+    sites = F.when(phos > 10, say("phospho_many", phos)).when(phos > 0, say("phospho", phos))
+    sugar = F.when(glyco > 0, say("glyco", glyco))
+    return profile.withColumn("description", sentence([mass, stable, point, water, fold, aromatic, sites, sugar], t["separator"], t["end"]))

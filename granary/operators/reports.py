@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.constants import SUMMARY_TEXT
+from granary.constants import REPORT_TEXT, SUMMARY_TEXT
 
 
 def collection_stats(seqs: DataFrame, by: str = "file") -> DataFrame:
@@ -32,22 +33,41 @@ def sequence_json(profile: DataFrame, include_full: bool = True, keep: tuple[str
     return profile.select("seq_id", *keep, F.to_json(F.struct(*fields)).alias("json"))
 
 
-def _line(label: str, value: Column) -> Column:
-    return F.concat(F.lit(f"- **{label}**: "), value)
+def sequence_markdown(profile: DataFrame, by: str = "file", preview: int = 100, number: Column | None = None, lang: str = "en") -> DataFrame:
+    """A Markdown report of each collection as rows (by, part, markdown): part 0 is the head with the statistics, each
+    further part a sequence's section, so a report in order of part is whole and no collection meets in one cell.
 
+    profile: seq_id, length, sequence, and what there is of sequence_type, seq_description, description (its meaning) and
+    the metrics; a metric that is null or not there is left out. number: place of a sequence in its collection, by default
+    by rank of seq_id.
+    """
+    t, have = REPORT_TEXT[lang], set(profile.columns)
+    number = F.row_number().over(W.partitionBy(by).orderBy("seq_id")) if number is None else number
+    stats = profile.groupBy(by).agg(F.count("*").alias("n"), F.sum("length").alias("sum"), F.avg("length").alias("avg"), F.min("length").alias("min"), F.max("length").alias("max"))
+    whole = lambda c: F.format_number(F.coalesce(c, F.lit(0)), 0)
+    head = F.concat(
+        F.lit(f"# {t['title']}\n\n## 📊 {t['statistics']}\n\n- **{t['count']}**: "), F.col("n").cast("string"), F.lit(f"\n- **{t['total']}**: "), whole(F.col("sum")), F.lit(f" bp\n- **{t['average']}**: "),
+        F.format_string("%.0f", F.bround("avg")), F.lit(f" bp\n- **{t['shortest']}**: "), whole(F.col("min")), F.lit(f" bp\n- **{t['longest']}**: "), whole(F.col("max")), F.lit(f" bp\n\n## 🧬 {t['details']}\n"),
+    )
 
-def sequence_markdown(profile: DataFrame, by: str = "file", preview: int = 100) -> DataFrame:
-    """A Markdown report of each collection: statistics, then a section for each sequence in order of seq_id."""
-    p = sequence_preview(profile, preview)
+    def line(label: str, form: str, *values: Column) -> Column:
+        return F.when(values[0].isNotNull(), F.format_string(f"**{t[label]}**: {form}", *values))
+
+    col = lambda name: F.col(name) if name in have else F.lit(None).cast("double")
+    word = lambda name: F.col(name).cast("string") if name in have else F.lit(None).cast("string")
+    kind = F.col("sequence_type") if "sequence_type" in have else F.lit("nucleotide")
+    more_than = lambda name: F.when(col(name) > 0, col(name))
+    bases = [line("gc", "%.2f%%", F.round(col("gc_content") * 100 + 1e-9, 2)), line("orf", "%d bp", more_than("longest_orf").cast("long")), line("cpg", "%d", more_than("cpg_count").cast("long")), line("complexity", "%.2f", F.round(more_than("entropy") + 1e-9, 2))]
+    residues = [
+        line("weight", "%.1f kDa", F.round(col("protein_weight") / 1000 + 1e-9, 1)), line("pi", "%.2f", F.round(col("isoelectric_point") + 1e-9, 2)), line("stability", "%s", word("stability_class")),
+        line("gravy", "%.2f", F.round(col("gravy") + F.signum(col("gravy")) * 1e-9, 2)), line("structure", "α-helix %.1f%%, β-sheet %.1f%%", F.round(col("helix") * 100 + 1e-9, 1), F.round(col("sheet") * 100 + 1e-9, 1)),
+    ]
+    metrics = F.when(kind == "nucleotide", F.concat_ws("\n", *bases, F.lit(""))).when(kind == "protein", F.concat_ws("\n", *residues, F.lit("")))
+    p = sequence_preview(profile, preview).withColumn("part", number.cast("long"))
+    about = F.col("seq_description") if "seq_description" in have else F.col("seq_id").cast("string")
+    meaning = F.when(word("description") != "", F.concat(F.lit(f"**🔬 {t['meaning']}**:\n"), word("description"), F.lit("\n")))
     section = F.concat_ws(
-        "\n",
-        F.concat(F.lit("### "), F.col("seq_id").cast("string")),
-        _line("Length", F.concat(F.format_number("length", 0), F.lit(" bp"))),
-        _line("GC Content", F.format_string("%.2f%%", F.col("gc_content") * 100)),
-        _line("Longest ORF", F.concat(F.col("longest_orf").cast("string"), F.lit(" bp"))),
-        _line("CpG Islands", F.col("cpg_count").cast("string")),
-        F.concat(F.lit("```\n"), F.col("preview"), F.lit("\n```")),
-    )
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq_id", section.alias("text")))), lambda x: x["text"])
-    head = F.format_string("# Sequence Analysis\n\n- **Sequence Count**: %d\n- **Total Length**: %s bp\n", F.count("*"), F.format_number(F.sum("length"), 0))
-    return p.groupBy(by).agg(F.concat_ws("\n", F.array(head), parts).alias("markdown"))
+        "\n", F.concat(F.lit("### "), F.col("part").cast("string"), F.lit(". "), F.col("seq_id").cast("string"), F.lit("\n")), F.concat(F.lit("**Description**: "), about, F.lit("\n")),
+        F.concat(F.lit("**Length**: "), whole(F.col("length")), F.lit(" bp\n")), F.concat(F.lit(f"**{t['preview']}**:\n```\n"), F.col("preview"), F.lit("\n```\n")), meaning, metrics,
+    )
+    return stats.select(by, F.lit(0).cast("long").alias("part"), head.alias("markdown")).union(p.select(by, "part", section))

@@ -56,8 +56,8 @@ ORACLES = {
     "a03_genbank_features": "select 'V' || l_orderkey || '.1' record_id, row_number() over (partition by l_orderkey order by l_linenumber, case when l_suppkey % 2 = 0 then 'complement(' || l_partkey || '..' || (l_partkey + 90) || ')' else l_partkey || '..' || (l_partkey + 90) end, 'g' || l_suppkey) feature_no, case l_linenumber % 3 when 0 then 'CDS' when 1 then 'gene' else 'tRNA' end type, case when l_suppkey % 2 = 0 then 'complement(' || l_partkey || '..' || (l_partkey + 90) || ')' else l_partkey || '..' || (l_partkey + 90) end location, case when l_suppkey % 2 = 0 then -1 else 1 end strand, 'g' || l_suppkey gene, 'a long name ' || l_partkey product from lineitem",
     "a03_genbank_records": "select distinct 'V' || l_orderkey || '.1' record_id, 'L' || l_orderkey name, 'order ' || l_orderkey || ' of items' description, 'ACGTACGTACGT' sequence, 12::bigint length, 'Some thing' organism, 'Bacteria>Alpha>Beta' taxonomy, 1::bigint \"references\" from lineitem",
     "a04_transcripts": "select conv_id file_id, cast(sum(case when turn % 3 = 0 then 0 else length(text) end) as bigint) chars, count(*) n from conversations group by 1",
-    "a05_ocr_pages": "with p as (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) page_no, unnest(string_split(text, chr(10))) page from documents) select doc_id, page_no, md5(page) page_md5, 5::bigint total_pages from p where page_no < 5",
-    "a08_decode_base64": "select doc_id, case when doc_id % 4 <> 0 then md5(substr(text, 1, 100)) end payload_md5, case when doc_id % 4 = 0 then 'invalid base64' end error from documents",
+    "a05_ocr_pages": "with p as (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) page_no, unnest(string_split(text, chr(10))) page from documents) select doc_id, page_no, md5(page) page_md5, count(*) over (partition by doc_id) total_pages from p",
+    "a08_decode_base64": "select doc_id, case when doc_id % 4 <> 0 then md5(text) end payload_md5, case when doc_id % 4 = 0 then 'invalid base64' end error from documents",
     "a09_size_limit": "select doc_id, strlen(text) length, round(strlen(text) / 1048576, 2) size_mb from documents where strlen(text) > 3000",
     "a10_filename_from_source": "with p as (select *, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/')[-1] last from pages) select page_id, case when page_id % 3 = 0 then 'p' || page_id || '.html' when last <> '' then last else 'downloaded_file' end file_name from p",
 }

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from granary.constants import RECORD_TEXT
 from granary.operators import annotations as H
 from granary.operators import documents as K
 from granary.operators import frames as J
@@ -59,6 +60,13 @@ def _math(s, d):
     return table(s, d, "documents").select("doc_id", F.concat(F.lit("$$x"), F.col("doc_id") % 7, F.lit("$$ and $y$ or \\(z\\) \\[w"), "doc_id", F.lit("\\] "), F.regexp_replace("text", r"[$\\]", "")).alias("text"))
 
 
+def _records(s, d):
+    return table(s, d, "orders").selectExpr(
+        "o_orderkey record_id", "case when o_orderkey % 5 > 0 then concat('organism ', o_orderkey % 9) end organism", "cast(floor(o_totalprice) as bigint) length",
+        "case when o_orderkey % 7 > 0 then (o_orderkey % 1000) / 1000.0D end gc_content", "case when o_orderkey % 3 > 0 then array('a', o_orderstatus, o_orderpriority, 'z') end taxonomy", "o_orderkey % 4 reference_count",
+    )
+
+
 QUERIES = {
     "h01_features_strand": lambda s, d: H.with_strand(v_features(s, d)).select("record_id", "feature_no", "type", "location", "strand"),
     "h02_feature_type_counts": lambda s, d: H.feature_type_counts(v_features(s, d)),
@@ -70,7 +78,8 @@ QUERIES = {
     "h08_organisms": lambda s, d: H.organisms(v_features(s, d)).select("record_id", F.array_join("organisms", ",").alias("organisms")),
     "h09_scalar_annotations": lambda s, d: H.scalar_annotations(table(s, d, "orders").selectExpr("o_orderkey record_id", "map('priority', o_orderpriority, 'status', case when o_orderkey % 5 = 0 then '' else o_orderstatus end) annotations")),
     "h10_taxonomy_refs": lambda s, d: H.taxonomy_refs(table(s, d, "orders").selectExpr("o_orderkey record_id", "array('a', o_orderstatus, o_orderpriority, 'z') taxonomy", "sequence(1, cast(1 + o_orderkey % 3 as int)) references")).select("record_id", "taxonomy_text", "reference_count"),
-    "h11_describe_record": lambda s, d: H.describe_record(H.feature_summary(v_features(s, d))).select("record_id", "description"),
+    "h11_describe_record": lambda s, d: H.describe_record(_records(s, d), v_features(s, d)).select("record_id", "description"),
+    "h11_describe_record_zh": lambda s, d: H.describe_record(_records(s, d), v_features(s, d), "zh").select("record_id", "description"),
     "h12_record_totals": lambda s, d: H.record_totals(table(s, d, "orders").selectExpr("o_orderkey record_id", "o_orderpriority file", "cast(o_totalprice as bigint) length"), v_features(s, d)),
     "h12_record_json": lambda s, d: H.record_json(H.feature_summary(v_features(s, d))),
     "h12_record_markdown": lambda s, d: H.record_markdown(v_features(s, d)),
@@ -122,6 +131,27 @@ _REG = "('regulatory', 'promoter', 'enhancer', 'terminator', 'RBS', 'TATA_signal
 _RNA = "('rRNA', 'tRNA', 'mRNA', 'ncRNA', 'misc_RNA')"
 _SUMMARY = f"with u as (select record_id, count(*) features, count(*) filter (where type = 'gene') genes, count(*) filter (where type = 'CDS') cds, count(*) filter (where type in {_REG}) regulatory, count(*) filter (where type in {_RNA}) rna, coalesce(string_agg(coalesce(q_gene, q_locus), ',' order by feature_no, coalesce(q_gene, q_locus)) filter (where type = 'gene'), '') gene_names, coalesce(string_agg(q_product, ',' order by feature_no, q_product) filter (where type = 'CDS'), '') products, list(q_product order by feature_no, q_product) filter (where type = 'CDS') ps from v_features group by 1) "
 
+
+
+def _record_sql(lang: str) -> str:
+    t = RECORD_TEXT[lang]
+    say = lambda key, *values: f"printf('{t[key]}', {', '.join(values)})"
+    size, gc = "format('{:,}', length)", "round(100 * gc + 1e-9, 1)"
+    return duck(
+        f"""with n as (select record_id, type, count(*) n, min(feature_no) k from v_features where type in {_RNA} group by 1, 2),
+r as (select record_id, string_agg(n || ' ' || type, ', ' order by k, type) rna from n group by 1),
+p as (select record_id, list(q_product order by feature_no, q_product)[1:3] ps from v_features where type = 'CDS' group by 1),
+f as (select record_id, count(*) filter (where type = 'gene') genes, count(*) filter (where type = 'CDS') cds, count(*) filter (where type in {_REG}) reg from v_features group by 1),
+o as (select o_orderkey record_id, cast(floor(o_totalprice) as bigint) length, case when o_orderkey % 7 > 0 then (o_orderkey % 1000) / 1000::double end gc, o_orderkey, o_orderstatus, o_orderpriority from orders)
+select o.record_id, concat_ws('{t['separator']}', case when o_orderkey % 5 > 0 then {say('organism', "'organism ' || (o_orderkey % 9)")} end, case when gc is not null then {say('length_gc', size, gc)} else {say('length', size)} end,
+  case when genes > 0 or cds > 0 then {say('genes', 'genes', 'cds')} end, case when ps is not null then {say('products', "array_to_string(ps, ', ')")} end, case when rna is not null then {say('rna', 'rna')} end,
+  case when reg > 0 then {say('regulatory', 'reg')} end, case when o_orderkey % 3 > 0 then {say('taxonomy', "concat_ws(' > ', 'a', o_orderstatus, o_orderpriority)")} end,
+  case when o_orderkey % 4 > 0 then {say('references', 'o_orderkey % 4')} end) || '{t['end']}' description
+from o left join f using (record_id) left join p using (record_id) left join r using (record_id)""",
+        _F,
+    )
+
+
 ORACLES = {
     "h01_features_strand": duck("select record_id, feature_no, type, location, case when starts_with(location, 'complement') then -1 else 1 end strand from v_features", _F),
     "h02_feature_type_counts": duck("select record_id, type, count(*) n from v_features group by 1, 2", _F),
@@ -133,7 +163,8 @@ ORACLES = {
     "h08_organisms": duck("select record_id, string_agg(distinct q_organism, ',' order by q_organism) organisms from v_features where type = 'source' group by 1", _F),
     "h09_scalar_annotations": "select o_orderkey record_id, 'priority' name, o_orderpriority \"value\" from orders union all select o_orderkey, 'status', o_orderstatus from orders where o_orderkey % 5 <> 0",
     "h10_taxonomy_refs": "select o_orderkey record_id, 'a > ' || o_orderstatus || ' > ' || o_orderpriority taxonomy_text, 1 + o_orderkey % 3 reference_count from orders",
-    "h11_describe_record": duck(_SUMMARY + "select record_id, concat_ws('; ', features || ' annotated features', case when genes > 0 then genes || ' gene(s)' end, case when cds > 0 then cds || ' coding sequence(s)' end, case when cds > 0 then 'products: ' || array_to_string(ps[1:3], ', ') end, case when rna > 0 then rna || ' RNA(s)' end, case when regulatory > 0 then regulatory || ' regulatory element(s)' end) || '.' description from u", _F),
+    "h11_describe_record": _record_sql("en"),
+    "h11_describe_record_zh": _record_sql("zh"),
     "h12_record_totals": "with f as (select l_orderkey k, count(*) f from lineitem group by 1) select o_orderpriority file, count(*) records, cast(sum(cast(trunc(o_totalprice) as bigint)) as bigint) total_length, cast(sum(coalesce(f, 0)) as bigint) features from orders left join f on k = o_orderkey group by 1",
     "i01_normalize_segments": duck("select file_id, id, text, start_s, end_s, case when id % 3 <> 0 then speaker else 'SPEAKER_00' end speaker, 'NEUTRAL' emotion, case when id % 2 = 0 then 'en' else 'zh' end \"language\" from v_segments where file_id % 7 <> 0 union all select file_id, 0, text, 0, 0, 'SPEAKER_00', case when regexp_matches(text, '<\\|HAPPY\\|>') then 'HAPPY' else 'NEUTRAL' end, case when regexp_matches(text, '<\\|en\\|>') then 'en' else 'zh' end from v_segments where file_id % 7 = 0 qualify row_number() over (partition by file_id order by id) = 1", _S),
     "i03_parse_tags": duck("select file_id, id, case when id % 4 = 0 then 'en' else 'zh' end \"language\", case when id % 4 = 0 then 'HAPPY' else 'NEUTRAL' end emotion, case id % 4 when 1 then 'BGM' else 'Speech' end event from v_segments", _S),
@@ -152,7 +183,7 @@ ORACLES = {
     "k03_editable_or_scanned": duck("select doc_id, case when avg(case when length(regexp_replace(page_text, '^\\s+|\\s+$', '', 'g')) > 50 then 1.0 else 0.0 end) >= 0.1 then 'editable' else 'scanned' end kind from v_doc_pages where page_no < 5 group by 1", "v_doc_pages"),
     "k04_redact_keywords": duck("with a as (select *, replace(page_text, 'the', '') t1 from v_doc_pages), b as (select *, replace(t1, 'ou', '') t2 from a), c as (select *, replace(t2, 'en', '') t3 from b) select doc_id, page_no, md5(t3) redacted_md5, (length(page_text) - length(t1)) // 3 + (length(t1) - length(t3)) // 2 removed from c", "v_doc_pages"),
     "k05_image_refs": "select doc_id, 0::bigint pos, 'a' alt, 'img/' || (doc_id % 5) || '.png' path, (doc_id % 5) || '.png' basename from documents union all select doc_id, 1::bigint, 'b c', 'x/y/z.jpg', 'z.jpg' from documents where doc_id % 3 = 0",
-    "k05_rewrite_images": "select doc_id, case when doc_id % 2 = 0 then '<img src=\"https://assets/' || doc_id || '\" alt=\"a\">' else '![a](img/' || (doc_id % 5) || '.png)' end || ' ' || substr(text, 1, 50) || case when doc_id % 3 = 0 then ' ![b c](x/y/z.jpg)' else '' end text from documents",
+    "k05_rewrite_images": "select doc_id, '<img src=\"https://assets/' || doc_id || '\" alt=\"a\"> ' || text || case when doc_id % 3 = 0 then ' ![b c](x/y/z.jpg)' else '' end text from documents",
     "k06_select_results": duck("select task_id, '/out/' || task_id || '/a.md' markdown_path, case when key % 4 = 0 then '/out/' || task_id || '/content.json' end json_path, key % 4 = 0 json_available, case when result_path is null then 'result files have been cleaned up' when key % 4 <> 0 then 'JSON not available for this task' end message from v_tasks", "v_tasks"),
     "k07_has_images": duck("select task_id, key % 5 = 0 has_images from v_tasks", "v_tasks"),
     "k08_dilate_boxes": duck("with b as (select page_id, box_no, greatest(0, least(x1 - 10, 530)) x1, greatest(0, least(y1 - 10, 500)) y1, greatest(0, least(x2 + 10, 530)) x2, greatest(0, least(y2 + 10, 500)) y2 from v_boxes where conf >= 0.35) select *, cast((x2 - x1) * (y2 - y1) as bigint) area from b", "v_boxes"),
@@ -162,4 +193,6 @@ ORACLES = {
     "k14_format_duration": duck("with t as (select task_id, cast(floor(epoch_us(completed_at) / 1e6 - epoch_us(started_at) / 1e6) as bigint) s from v_tasks) select task_id, coalesce(case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || (s % 60) || 's' else (s // 3600) || 'h' || (s % 3600 // 60) || 'm' end, '-') duration from t", "v_tasks"),
     "k15_display_times": duck("with t as (select task_id, started_at, cast(epoch_us(timestamp '1998-08-02') / 1e6 - epoch_us(created_at) / 1e6 as bigint) s from v_tasks) select task_id, coalesce(strftime(started_at + interval 8 hour, '%Y-%m-%d %H:%M:%S'), '-') shown, case when s < 60 then 'just now' when s < 3600 then (s // 60) || ' min ago' when s < 86400 then (s // 3600) || ' h ago' else (s // 86400) || ' d ago' end ago from t", "v_tasks"),
     "k16_backend_labels": duck("select task_id, case backend when 'pipeline' then 'Document pipeline' else backend end label from v_tasks", "v_tasks"),
+    "k11_json_paths": "with e as (select event_id id, props::json p from events), t as (select id, unnest(['', 'a', 'a.b', 'a.b.1', 'p']) path, unnest([0, 1, 2, 3, 1]::bigint[]) depth from e), "
+    "k as (select id, p, unnest(json_keys(p)) k from e) select * from t union all select id, 'p.' || k, 2 from k where json_type(p, '$.\"' || k || '\"') in ('OBJECT', 'ARRAY')",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.constants import CODE_LETTERS, CODE_RESIDUES, DNA_MASS, FLEXIBILITY, HYDROPATHY, NUCLEOTIDE_TEXT, PK, RESIDUE_MASS, WATER
+from granary.constants import CODE_LETTERS, CODE_RESIDUES, DNA_MASS, FLEXIBILITY, HYDROPATHY, NUCLEOTIDE_TEXT, PK, PROTEIN_TEXT, REPORT_TEXT, RESIDUE_MASS, WATER
 from granary.operators import nucleotide as N
 from granary.operators import protein as P
 from granary.operators import reports as R
@@ -32,11 +32,16 @@ def profile(s, d):
     return p.select("seq_id", "length", *map(R6, ("gc_content", "gc_skew", "at_skew", "entropy")), F.round("dna_weight", 4).alias("dna_weight"), "longest_orf", "orf_count", "cpg_count", "repeat_count")
 
 
-def protein_profile(s, d):
+def protein_profile(s, d, lang="en"):
     p = v_prot(s, d)
-    for f in (P.protein_weight, P.isoelectric_point, P.gravy):
+    for f in (P.protein_weight, P.isoelectric_point, P.gravy, P.secondary_structure, P.aromaticity, P.ptm_counts):
         p = f(p)
-    return P.describe_protein(P.instability_index(p, pair_weights(s)))
+    return P.describe_protein(P.instability_index(p, pair_weights(s)), lang)
+
+
+def report(s, d):
+    p = N.describe_nucleotide(N.nucleotide_profile(v_seq(s, d)))
+    return R.sequence_markdown(p, number=F.col("seq_id") + 1).select("file", "part", F.md5("markdown").alias("markdown_md5"))
 
 
 QUERIES = {
@@ -69,11 +74,12 @@ QUERIES = {
     "f11_residue_classes": lambda s, d: P.residue_classes(v_prot(s, d)).select("seq_id", *map(R6, ("hydrophobic", "polar", "positive", "negative", "aromatic"))),
     "f12_ptm_sites": lambda s, d: P.ptm_sites(v_prot(s, d)),
     "f13_describe_protein": lambda s, d: protein_profile(s, d).select("seq_id", "description"),
+    "f13_describe_protein_zh": lambda s, d: protein_profile(s, d, "zh").select("seq_id", "description"),
     "g01_collection_stats": lambda s, d: R.collection_stats(v_seq(s, d)).withColumn("avg_length", F.round("avg_length", 6)),
     "g02_sequence_preview": lambda s, d: R.sequence_preview(v_seq(s, d)).select("seq_id", "preview"),
     "g03_collection_summary": lambda s, d: R.collection_summary(R.collection_stats(v_seq(s, d))).select("file", "summary"),
     "g04_sequence_json": lambda s, d: R.sequence_json(N.nucleotide_profile(v_seq(s, d))),
-    "g05_sequence_markdown": lambda s, d: R.sequence_markdown(N.nucleotide_profile(v_seq(s, d))),
+    "g05_sequence_markdown": report,
 }
 
 
@@ -149,6 +155,46 @@ def _profile_sql(select: str) -> str:
     return duck(body + select, "v_seq")
 
 
+_PI = f"""c as (select seq_id, {', '.join(f"{_n(n)} n_{n}" for n, _, _ in PK if not n.endswith('-term'))} from v_prot where length(sequence) > 0),
+g as (select seq_id, ph, round(abs({_CHARGE}), 9) off from c, (select k * 0.01::double ph from range(0, 1401) t(k))), b as (select seq_id, arg_min(ph, (off, ph)) isoelectric_point from g group by 1)"""
+
+
+def _protein_sql(lang: str) -> str:
+    t = PROTEIN_TEXT[lang]
+    rounded = lambda value, n: f"round({value} + sign({value}) * 1e-9, {n})"
+    say = lambda key, *values: f"printf('{t[key]}', {', '.join(values)})"
+    clauses = [
+        [("kda > 100", "mass_large", "kda", 1), ("kda < 10", "mass_small", "kda", 1), ("kda > 0", "mass", "kda", 1)],
+        [("i < 25", "stable_very", "i", 1), ("i < 40", "stable", "i", 1), ("i >= 40", "unstable", "i", 1)],
+        [("pi < 5", "pi_lowest", "pi", 2), ("pi < 6", "pi_low", "pi", 2), ("pi > 9", "pi_highest", "pi", 2), ("pi > 8", "pi_high", "pi", 2), ("pi is not null", "pi_middle", "pi", 2)],
+        [("g > 0.5", "gravy_highest", "g", 2), ("g > 0", "gravy_high", "g", 2), ("g < -0.5", "gravy_lowest", "g", 2), ("g is not null", "gravy_low", "g", 2)],
+        [("helix > 40", "helix_rich", "helix", 1), ("sheet > 30", "sheet_rich", "sheet", 1)],
+        [("rings > 15", "aromatic", "rings", 1)],
+    ]
+    text = [[f"when {test} then {say(key, rounded(value, n))}" for test, key, value, n in c] for c in clauses]
+    text[4].append(f"when helix is not null then {say('structure', rounded('helix', 1), rounded('sheet', 1))}")
+    text += [[f"when phos > 10 then {say('phospho_many', 'phos')}", f"when phos > 0 then {say('phospho', 'phos')}"], [f"when glyco > 0 then {say('glyco', 'glyco')}"]]
+    cases = ", ".join("case " + " ".join(c) + " end" for c in text)
+    return duck(
+        _INSTABILITY + f""", {_PI}, q as (select v.seq_id, case when length(sequence) > 0 then ({_weights(RESIDUE_MASS)} - (length(sequence) - 1) * {WATER}) / 1000 end kda, instability_index i, isoelectric_point pi,
+({_weights(HYDROPATHY)}) / nullif(length(sequence), 0) g, 100 * {_share('EMALK')} helix, 100 * {_share('VIYFWLT')} sheet, 100 * {_share('FWY')} rings, least({_n('STY')}, 15) phos,
+least(len(list_filter(range(1, length(sequence) - 1), lambda k: substr(sequence, k, 1) = 'N' and substr(sequence, k + 1, 1) <> 'P' and substr(sequence, k + 2, 1) in ('S', 'T'))), 15) glyco
+from v_prot v left join x using (seq_id) left join b using (seq_id)) select seq_id, concat_ws('{t['separator']}', {cases}) || '{t['end']}' description from q""",
+        "v_prot",
+    )
+
+
+_RT = REPORT_TEXT["en"]
+_REPORT = f"""select file, 0::bigint part, md5('# {_RT['title']}' || chr(10) || chr(10) || '## 📊 {_RT['statistics']}' || chr(10) || chr(10) || '- **{_RT['count']}**: ' || count(*) || chr(10) || '- **{_RT['total']}**: ' || format('{{:,}}', cast(sum(length(sequence)) as bigint)) || ' bp' || chr(10)
+  || '- **{_RT['average']}**: ' || cast(cast(round_even(avg(length(sequence)), 0) as bigint) as varchar) || ' bp' || chr(10) || '- **{_RT['shortest']}**: ' || format('{{:,}}', min(length(sequence))) || ' bp' || chr(10) || '- **{_RT['longest']}**: ' || format('{{:,}}', max(length(sequence))) || ' bp'
+  || chr(10) || chr(10) || '## 🧬 {_RT['details']}' || chr(10)) markdown_md5 from v_seq group by 1
+union all select file, seq_id + 1, md5(concat_ws(chr(10), '### ' || (seq_id + 1) || '. ' || seq_id || chr(10), '**Description**: ' || seq_id || chr(10), '**Length**: ' || format('{{:,}}', length(sequence)) || ' bp' || chr(10),
+  '**{_RT['preview']}**:' || chr(10) || '```' || chr(10) || case when length(sequence) > 100 then substr(sequence, 1, 100) || '...' else sequence end || chr(10) || '```' || chr(10),
+  '**🔬 {_RT['meaning']}**:' || chr(10) || description || chr(10), printf('**{_RT['gc']}**: %.2f%%', round(gc_content * 100 + 1e-9, 2)), case when longest_orf > 0 then '**{_RT['orf']}**: ' || longest_orf || ' bp' end,
+  case when cpg_count > 0 then '**{_RT['cpg']}**: ' || cpg_count end, case when entropy > 0 then printf('**{_RT['complexity']}**: %.2f', round(entropy + 1e-9, 2)) end, ''))
+from (select p.*, file, sequence, description from profile p join v_seq using (seq_id) join ({_DESCRIBE}) using (seq_id))"""
+
+
 ORACLES = {
     "e01_detect_type": duck(f"select seq_id, case when {_share('ATCGUN')} > 0.85 then 'nucleotide' else 'protein' end sequence_type from v_prot", "v_prot"),
     "e02_composition": duck("select seq_id, c letter, count(*) n from (select seq_id, unnest(string_split(sequence, '')) c from v_seq) where c <> '' group by 1, 2", "v_seq"),
@@ -176,8 +222,8 @@ b as (select seq_id, round(arg_min(ph, (off, ph)), 2) isoelectric_point from g g
     "f06_secondary_structure": duck(f"select seq_id, round({_share('EMALK')}, 6) helix, round({_share('NPGS')}, 6) turn, round({_share('VIYFWLT')}, 6) sheet from v_prot", "v_prot"),
     "f07_gravy": duck(f"select seq_id, round(({_weights(HYDROPATHY)}) / nullif(length(sequence), 0), 6) gravy from v_prot", "v_prot"),
     "f08_flexibility_mean": duck(f"""with r as (select seq_id, p, {_FLEX} x from (select seq_id, p, substr(sequence, cast(p as bigint), 1) c from (select seq_id, sequence, unnest(range(1, length(sequence) + 1)) p from v_prot))),
-w as (select a.seq_id, a.p, sum(b.x * (1 - 0.1875 * abs(b.p - a.p))) / 5.25 s, count(*) n from r a join r b on a.seq_id = b.seq_id and b.p between a.p - 4 and a.p + 4 group by 1, 2)
-select v.seq_id, round(coalesce(m, 0), 6) flexibility_mean from v_prot v left join (select seq_id, avg(s) m from w where n = 9 group by 1) using (seq_id)""", "v_prot"),
+w as (select seq_id, ({' + '.join(f"{1 - 0.1875 * abs(k)} * {'x' if not k else f'lead(x, {k}) over o' if k > 0 else f'lag(x, {-k}) over o'}" for k in range(-4, 5))}) / 5.25 s from r window o as (partition by seq_id order by p))
+select v.seq_id, round(coalesce(m, 0), 6) flexibility_mean from v_prot v left join (select seq_id, avg(s) m from w group by 1) using (seq_id)""", "v_prot"),
     "f09_stability_class": duck(_INSTABILITY + "select seq_id, case when instability_index < 40 then 'stable' when instability_index >= 40 then 'unstable' end stability_class from x", "v_prot"),
     "f10_charge_at_ph": duck(f"select seq_id, cast({_n('KR')} - {_n('DE')} as double) charge from v_prot", "v_prot"),
     "f11_residue_classes": duck("select seq_id, " + ", ".join(f"round(coalesce({_share(v)}, 0), 6) {k}" for k, v in {"hydrophobic": "AVILMFWP", "polar": "STNQ", "positive": "KRH", "negative": "DE", "aromatic": "FWY"}.items()) + " from v_prot", "v_prot"),
@@ -186,6 +232,9 @@ k as (select *, case when c in ('S', 'T', 'Y') then 'phosphorylation' when c = '
 select seq_id, kind, p "position", c residue, substr(sequence, cast(greatest(p - 2, 1) as bigint), cast(p + 3 - greatest(p - 2, 1) as bigint)) context,
   case when kind = 'glycosylation' then substr(sequence, cast(p as bigint), 3) end motif, case when kind = 'phosphorylation' then case when n1 = 'P' then 2.0::double else 1.0::double end end score
 from k where kind is not null qualify row_number() over (partition by seq_id, kind order by p) <= 15""", "v_prot"),
+    "f13_describe_protein": _protein_sql("en"),
+    "f13_describe_protein_zh": _protein_sql("zh"),
+    "g05_sequence_markdown": _profile_sql(_REPORT),
     "g01_collection_stats": duck("select file, count(*) n, cast(sum(length(sequence)) as bigint) total_length, round(avg(length(sequence)), 6) avg_length, min(length(sequence)) min_length, max(length(sequence)) max_length from v_seq group by 1", "v_seq"),
     "g02_sequence_preview": duck("select seq_id, case when length(sequence) > 100 then substr(sequence, 1, 100) || '...' else sequence end preview from v_seq", "v_seq"),
     "g03_collection_summary": duck("select file, printf('Contains %d biological sequence(s), total length %s bp', count(*), format('{:,}', cast(sum(length(sequence)) as bigint))) summary from v_seq group by 1", "v_seq"),

@@ -138,4 +138,9 @@ ORACLES = {
     "d08_patch_users": duck("select user_id, case when user_id % 3 = 0 and user_id % 2 = 0 then 'new' || user_id || '@example.org' else email end email, case when user_id % 9 = 0 then 'admin' else role end role, is_active from v_users", "v_users"),
     "d08_delete_users": duck("select key_id, user_id from v_keys where user_id not in (select user_id from v_users where user_id % 10 = 3)", "v_keys", "v_users"),
     "d09_validate_users": duck("select user_id, concat_ws(',', case when count(*) over (partition by email) > 1 then 'email_taken' end, case when not regexp_matches(username, '^[a-zA-Z0-9_-]+$') then 'username_format' end, case when length(username) not between 3 and 50 then 'username_length' end, case when count(*) over (partition by username) > 1 then 'username_taken' end) violations from v_users", "v_users"),
+    "c03_apply_transitions": """with recursive e as (select cast(user_id as varchar) task_id, event_id seq, row_number() over (partition by user_id order by event_id) k, ['processing', 'completed', 'pending', 'failed', 'processing', 'cancelled'][event_id % 6 + 1] req, 'w' || (event_id % 3) who from events),
+w as (select distinct task_id, 0::bigint k, null::bigint seq, 'pending' status, null::varchar worker, false accepted from e
+union all select task_id, k, seq, case when ok then req else status end, case when not ok then worker when req = 'pending' then null when req = 'processing' then who else worker end, ok
+from (select e.*, w.status, w.worker, req not in ('completed', 'failed') or (w.status = 'processing' and coalesce(w.worker = who, false)) ok from w join e on e.task_id = w.task_id and e.k = w.k + 1))
+select task_id, seq, accepted, status from w where k > 0""",
 }

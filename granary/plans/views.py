@@ -76,7 +76,7 @@ def v_features(spark, d):
 
 DUCK = {
     "v_seq": "select doc_id seq_id, upper(regexp_replace(text,'[^ACGTacgt]','','g')) sequence, source file from documents",
-    "v_prot": "select doc_id seq_id, substr(upper(regexp_replace(text,'[^A-Za-z]|[BJOUXZbjouxz]','','g')),1,400) sequence from documents",
+    "v_prot": "select doc_id seq_id, upper(regexp_replace(text,'[^A-Za-z]|[BJOUXZbjouxz]','','g')) sequence from documents",
     "v_tasks": """select cast(o_orderkey as varchar) task_id,
   concat('f',o_orderkey,case o_orderkey%6 when 0 then '.pdf' when 1 then '.fasta' when 2 then '.wav' when 3 then '.mp4' when 4 then '.docx' else '.xyz' end) file_name,
   case when o_orderstatus='O' then 'pending' when o_orderstatus='P' then 'processing' when o_orderkey%17=0 then 'failed' when o_orderkey%19=0 then 'cancelled' else 'completed' end status,

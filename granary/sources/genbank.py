@@ -25,8 +25,11 @@ def _field(key: str):
 
 
 def parse_genbank(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """raw(file, value), one record each -> records(record_id, file, name, description, sequence, length, organism, taxonomy, references), features."""
-    raw = raw.withColumn("value", F.regexp_replace("value", "\r", ""))
+    """raw(file, value), one record each -> records(record_id, file, name, description, sequence, length, organism, taxonomy, references), features.
+
+    Features carry their record's file and accession; records of one accession, in several files or one, are kept apart.
+    """
+    raw = raw.withColumn("value", F.regexp_replace("value", "\r", "")).withColumn("record_no", F.monotonically_increasing_id())
     accession = F.coalesce(F.substring_index(_field("VERSION"), " ", 1), F.substring_index(_field("ACCESSION"), " ", 1), F.substring_index(_field("LOCUS"), " ", 1))
     origin = F.regexp_extract("value", r"(?s)\nORIGIN[^\n]*\n(.*)", 1)
     source = F.regexp_extract("value", r"(?s)\n +ORGANISM +([^\n]*)((?:\n {12}[^\n]*)*)", 2)
@@ -38,13 +41,13 @@ def parse_genbank(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.regexp_count("value", F.lit(r"(?:^|\n)REFERENCE ")).cast("long").alias("references"),
     ).withColumn("length", F.length("sequence").cast("long"))
     table = F.regexp_extract("value", r"(?s)\nFEATURES[^\n]*\n(.*?)(?=\n\S|\z)", 1)
-    lines = raw.select(accession.alias("record_id"), F.posexplode(F.split(table, "\n")).alias("k", "line")).where(F.trim("line") != "")
+    lines = raw.select("record_no", "file", accession.alias("record_id"), F.posexplode(F.split(table, "\n")).alias("k", "line")).where(F.trim("line") != "")
     key = F.trim(F.substring("line", 6, 15))
-    w = W.partitionBy("record_id").orderBy("k")
+    w = W.partitionBy("record_no").orderBy("k")
     lines = lines.withColumn("type", F.nullif(key, F.lit(""))).withColumn("feature_no", F.sum(F.when(F.col("type").isNotNull(), 1).otherwise(0)).over(w))
     rest = F.trim(F.expr("substr(line, 22)"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", rest.alias("x")))), lambda x: x["x"]), "\n")
-    whole = lines.groupBy("record_id", "feature_no").agg(F.max("type").alias("type"), text.alias("text"))
+    whole = lines.groupBy("record_no", "feature_no").agg(F.first("file").alias("file"), F.first("record_id").alias("record_id"), F.max("type").alias("type"), text.alias("text"))
     parts = F.split("text", r"\n(?=/)")
     entry = lambda x: F.struct(F.regexp_extract(x, r"^/([^=\n]+)", 1).alias("key"), F.regexp_replace(F.regexp_replace(F.regexp_extract(x, r"(?s)=(.*)$", 1), r'^"|"$', ""), r"\n", " ").alias("value"))
     items = F.transform(F.filter(F.slice(parts, 2, 1000000), lambda x: x.startswith("/")), entry)
@@ -52,6 +55,6 @@ def parse_genbank(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.array_distinct(F.transform(items, lambda e: e["key"]))
     values = F.transform("names", lambda n: F.transform(F.filter("items", lambda e: e["key"] == n), tidy))
     location = F.replace(F.get(parts, F.lit(0)), F.lit("\n"), F.lit(""))
-    features = whole.select("record_id", F.col("feature_no").cast("long").alias("feature_no"), "type", location.alias("location"), items.alias("items"), names.alias("names"))
-    features = features.select("record_id", "feature_no", "type", "location", F.map_from_arrays("names", values).alias("qualifiers"))
+    features = whole.select("file", "record_id", F.col("feature_no").cast("long").alias("feature_no"), "type", location.alias("location"), items.alias("items"), names.alias("names"))
+    features = features.select("file", "record_id", "feature_no", "type", "location", F.map_from_arrays("names", values).alias("qualifiers"))
     return records, features

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.operators.ledger import advance
+
 
 def queue_monitor(events: DataFrame, window: str = "5 minutes", watermark: str = "1 hour") -> DataFrame:
     """events(ts timestamp, status) -> window_start, status, n. Works on streams (append mode) and tables alike."""
@@ -30,10 +32,7 @@ def transition_stream(events: DataFrame) -> DataFrame:
         out = []
         for r in rows.itertuples(index=False):
             by = None if pd.isna(r.worker_id) else r.worker_id
-            ok = r.requested_status not in ("completed", "failed") or (status == "processing" and (by is None or worker is None or by == worker))
-            if ok:
-                status = r.requested_status
-                worker = by if status == "processing" else None if status == "pending" else worker
+            ok, status, worker = advance(status, worker, r.requested_status, by)
             out.append((key[0], r.seq, bool(ok), status))
         state.update((status, worker))
         yield pd.DataFrame(out, columns=["task_id", "seq", "accepted", "status"])

@@ -8,9 +8,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import access, documents, frames, ledger, nucleotide, protein, routing, transcripts
+from granary.operators import access, annotations, documents, frames, ledger, nucleotide, protein, routing, transcripts
 from granary.sources import files
-from granary.sources.genbank import read_genbank
+from granary.sources.genbank import parse_genbank, read_genbank
 from granary.streaming.monitor import queue_monitor, transition_stream
 
 
@@ -87,7 +87,7 @@ def test_transitions_batch_and_stream_agree(spark, tmp_path):
     state, plain = {}, {}
     for t, k, asked, by in rows:
         s, w = state.get(t, ("pending", None))
-        ok = asked not in ("completed", "failed") or (s == "processing" and (by is None or w is None or by == w))
+        ok = asked not in ("completed", "failed") or (s == "processing" and (by is None or by == w))
         if ok:
             s, w = asked, by if asked == "processing" else None if asked == "pending" else w
         state[t], plain[t, k] = (s, w), (ok, s)
@@ -228,3 +228,41 @@ def test_partitions_do_not_matter(spark, sf_dir):
     began = time.time()
     assert rows(1) == rows(7)
     assert time.time() - began < 120
+
+
+def test_unowned_task_rejects_a_named_worker(spark):
+    log = [("a", 1, "processing", None), ("a", 2, "completed", "w1"), ("a", 3, "completed", None), ("b", 1, "processing", "w1"), ("b", 2, "failed", "w2"), ("b", 3, "failed", "w1"), (None, 1, "completed", None)]
+    got = ledger.apply_transitions(spark.createDataFrame(log, "task_id string, seq long, requested_status string, worker_id string")).collect()
+    assert {(r.task_id, r.seq): (r.accepted, r.status) for r in got} == {
+        ("a", 1): (True, "processing"), ("a", 2): (False, "processing"), ("a", 3): (True, "completed"),
+        ("b", 1): (True, "processing"), ("b", 2): (False, "processing"), ("b", 3): (True, "failed"), (None, 1): (False, "pending"),
+    }
+
+
+def test_records_of_one_accession_stay_apart(spark):
+    text = "LOCUS       A\nVERSION     V1.1\nFEATURES             Location/Qualifiers\n     gene            {at}\n                     /gene=\"{gene}\"\nORIGIN\n        1 acgt\n"
+    raw = spark.createDataFrame([("x.gb", text.format(at="1..2", gene="x")), ("y.gb", text.format(at="1..9", gene="y")), ("y.gb", text.format(at="3..4", gene="z"))], "file string, value string")
+    got = {(r.file, r.location, r.qualifiers["gene"][0]) for r in parse_genbank(raw)[1].collect()}
+    assert got == {("x.gb", "1..2", "x"), ("y.gb", "1..9", "y"), ("y.gb", "3..4", "z")}
+
+
+def test_json_paths_at_any_depth(spark):
+    deep = "[" * 60 + "1" + "]" * 60
+    got = documents.json_paths(spark.createDataFrame([(1, deep), (2, "{"), (3, None), (4, "5")], "id long, json string"))
+    assert sorted(r.depth for r in got.collect()) == list(range(60))
+
+
+def test_describe_record_and_protein_clauses(spark):
+    records = spark.createDataFrame([(1, "E. coli", 1200, 0.5, ["a", "b", "c", "d"], 2), (2, None, 5, None, None, 0)], "record_id long, organism string, length long, gc_content double, taxonomy array<string>, reference_count long")
+    features = spark.createDataFrame([(1, 1, "tRNA", {}), (1, 2, "rRNA", {}), (1, 3, "tRNA", {}), (1, 4, "CDS", {"product": ["p"]}), (1, 5, "promoter", {})], "record_id long, feature_no long, type string, qualifiers map<string,array<string>>")
+    got = {r.record_id: r.description for r in annotations.describe_record(records, features).collect()}
+    assert got == {
+        1: "This sequence is from E. coli; Total length 1,200 bp, GC content 50.0%; Contains 0 gene(s) and 1 coding sequence(s); Main encoded proteins include: p; Contains RNA features: 2 tRNA, 1 rRNA; Contains 1 regulatory element(s); Taxonomy: a > b > c; Contains 2 reference(s).",
+        2: "Total length 5 bp.",
+    }
+    p = spark.createDataFrame([(1, "NASNPSNNTT" + "FWY" * 3)], "seq_id long, sequence string")
+    for f in (protein.protein_weight, protein.isoelectric_point, protein.gravy, protein.secondary_structure, protein.aromaticity, protein.ptm_counts):
+        p = f(p)
+    one = protein.describe_protein(p.withColumn("instability_index", F.lit(50.0))).first()
+    assert one.glycosylation_sites == 3 and one.phosphorylation_sites == 7
+    assert "Unstable (instability index 50.0)" in one.description and one.description.endswith("High aromaticity (47.4%), may contain important aromatic residue clusters; Identified 7 potential phosphorylation site(s); Contains 3 N-glycosylation site(s), may be a glycoprotein.")
