@@ -85,9 +85,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: i
     small = F.forall(whole, lambda x: F.abs(x) < 1 << 31)
     ints = vectors.where(fine).select("vec_id", is_query.alias("asks"), F.when(small, whole).otherwise(F.raise_error(F.lit("a component is beyond 2^31"))).alias("v"))
     same = W.partitionBy("same").orderBy("vec_id")
-    ints = durable(ints.withColumn("same", F.xxhash64("v", F.size("v"))))
-    cand = ints.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v")
-    asked = ints.where("asks").select("vec_id", "v").distinct()
+    ints = durable(ints.groupBy("vec_id", "v").agg(F.count("*").alias("rows"), F.max("asks").alias("asks")).withColumn("same", F.xxhash64("v", F.size("v"))))
+    cand = ints.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "v", F.least("rows", F.lit(k)).cast("int").alias("rows"))
+    asked = ints.where("asks").select("vec_id", "v")
 
     def approximate(batches: Batches) -> Batches:
         for b in batches:
@@ -105,7 +105,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: i
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-nq // query_block))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     part = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    scanned = cand.mapInArrow(approximate, "vec_id long, cell binary").select(numbers(query_blocks).alias("qb"), part(blocks).alias("cb"), "vec_id", "cell", F.lit(None).cast("array<long>").alias("v"))
+    scanned = cand.select("vec_id", "v").mapInArrow(approximate, "vec_id long, cell binary").select(numbers(query_blocks).alias("qb"), part(blocks).alias("cb"), "vec_id", "cell", F.lit(None).cast("array<long>").alias("v"))
     asking = asked.select(part(query_blocks).alias("qb"), numbers(blocks).alias("cb"), "vec_id", F.lit(None).cast("binary").alias("cell"), "v")
     met = scanned.union(asking).select((F.col("qb").cast("long") * blocks + F.col("cb")).alias("pair"), "vec_id", "cell", "v")
 
@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: i
     order = lambda *by: W.partitionBy("query_id").orderBy(*by)
     sure = left.withColumn("n", F.row_number().over(order(F.desc("lower"), "vec_id"))).where(F.col("n") == k).select("query_id", F.col("lower").alias("bar"))
     live = durable(left.join(sure, "query_id", "left").where("bar is null or upper >= bar").select("query_id", "vec_id", "upper"))
-    exact = lambda pairs: pairs.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(cand, "vec_id").select("query_id", "vec_id", _dot("q", "v").alias("score"))
+    exact = lambda pairs: pairs.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(cand, "vec_id").select("query_id", "vec_id", _dot("q", "v").alias("score"), F.explode(F.sequence(F.lit(1), "rows"))).drop("col")
     near = live.withColumn("n", F.row_number().over(order(F.desc("upper"), "vec_id"))).where(F.col("n") <= k).select("query_id", "vec_id").distinct()
     read = durable(exact(near))
     kth = read.withColumn("n", F.row_number().over(order(F.desc("score"), "vec_id"))).where(F.col("n") == k).select("query_id", F.col("score").alias("bar"))

@@ -352,12 +352,15 @@ def test_packing_limits(spark, docs):
     bearing = np.minimum(pieces.doc_id % 50 * 3, pieces.doc_tokens)
     pieces["loss"] = np.maximum(0, pieces.start + pieces.length - np.maximum(pieces.start, pieces.doc_tokens - bearing))
     s = pieces.groupby("sequence_id")
-    assert (s.length.sum() <= 256).all() and (s.size() <= 3).sum() >= len(s) - 12 and (s.loss.sum() <= 100).sum() >= len(s) - 12
+    assert (s.length.sum() <= 256).all() and (s.size() <= 3).all() and (s.loss.sum() <= 100).all()
 
 
 def test_packing_odd(odd):
     p = packing.pack(odd).toPandas()
-    assert p.length.sum() == p.groupby(["doc_id", "doc_tokens"], dropna=False).doc_tokens.first().sum() + 2 + 0 * len(p) or len(p) >= len(ODD)
+    whole = p.sort_values("start").groupby(["doc_id", "doc_tokens"], dropna=False)
+    per_row = {(d, n): (g.length.sum(), n) for (d, n), g in whole}
+    assert all(total % n == 0 for total, n in per_row.values())  # repeated rows are packed each
+    assert p[p.start == 0].shape[0] == len(ODD) and (p[p.doc_id.isin([0, 1, 2])].doc_tokens == 1).all()
     assert packing.pack(odd.limit(0)).count() == 0
 
 
@@ -400,7 +403,7 @@ def test_line_dedup(spark, odd):
     rows = [(i, f"Shared line here\nown {i} " + "z" * 60 + "\n\nlast") for i in range(8)] + [(20, "Shared line here\nx"), (21, None)]
     got = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs_frame(spark, rows), min_sites=6).collect()}
     assert got[0].kept_text == "own 0 " + "z" * 60 + "\n" and got[0].n_removed == 2
-    assert got[20].kept_text == "Shared line here\nx" and got[20].n_removed == 0 and got[21].kept_text is None and got[21].n_lines == 0
+    assert got[20].kept_text == "x" and got[20].n_removed == 1 and got[21].kept_text is None and got[21].n_lines == 0
     assert line_dedup.remove_boilerplate(odd).count() == len(ODD) and line_dedup.remove_boilerplate(odd.limit(0)).count() == 0
 
 
