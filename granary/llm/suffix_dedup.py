@@ -3,8 +3,8 @@
 Two suffixes that agree on their first ``min_bytes`` bytes are one repeated window; nothing beyond that depth matters.
 The order is built by most-significant-digit passes, each a Spark shuffle that keeps only groups still larger than one:
 
-1. digit one: a window's *anchor*, the smallest-hash 28-gram inside it. Equal windows have equal anchors, and
-   neighbouring windows share one, so about one row per 12 bytes is dealt out instead of one per byte. Anchors that
+1. digit one: a window's *anchor*, the smallest-hash 24-gram inside it. Equal windows have equal anchors, and
+   neighbouring windows share one, so about one row per 14 bytes is dealt out instead of one per byte. Anchors that
    occur in one document only are done.
 2. digit two: the whole *segment* of consecutive windows that own a repeated anchor. A segment met in a smaller
    document is covered; an anchor with one segment only is done.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import Batches, durable, in_parts, runs_of
 
 MIN_BYTES = 50
-ANCHOR_BYTES = 28
+ANCHOR_BYTES = 24
 SLICE = 1 << 20
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _NONE = np.uint64(1 << 63)
