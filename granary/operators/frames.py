@@ -112,14 +112,35 @@ def keyframes_report(frames: DataFrame) -> DataFrame:
     item = F.struct("frame_number", "ts", "ocr_text")
     rows = F.array_sort(F.collect_list(F.struct("frame_number", section.alias("section"), item.alias("item"))))
     g = frames.groupBy("video_id").agg(rows.alias("rows"))
-    return g.select("video_id", F.concat(F.lit("## Key frames\n\n"), F.array_join(F.transform("rows", lambda x: x["section"]), "\n")).alias("markdown"), F.to_json(F.transform("rows", lambda x: x["item"])).alias("json"))
+    return g.select(
+        "video_id", F.concat(F.lit("## Key frames\n\n"), F.array_join(F.transform("rows", lambda x: x["section"]), "\n")).alias("markdown"),
+        F.to_json(F.transform("rows", lambda x: x["item"])).alias("json"), F.size("rows").cast("long").alias("total_keyframes"),
+    )
 
 
 def merge_video(transcripts: DataFrame, frames: DataFrame) -> DataFrame:
-    """transcripts(video_id, markdown) with the key-frame report after a blank line; enabled says whether there is one."""
-    f = frames.select("video_id", F.col("markdown").alias("frames_markdown"))
-    joined = transcripts.join(f, "video_id", "left")
-    return joined.select("video_id", F.concat_ws("\n\n", "markdown", "frames_markdown").alias("markdown"), F.col("frames_markdown").isNotNull().alias("keyframes_enabled"))
+    """transcripts(video_id, markdown[, file_name]) with what is known of the video and its key-frame report.
+
+    -> video_id, type, file_type, video_format, original_filename, markdown, keyframes_enabled, total_keyframes. The video's
+    lines go in before the first blank line, or in front where there is none; the report, without its title, follows at
+    the end. A null transcript stays null. file_name: by default the video_id.
+    """
+    f = frames.select("video_id", F.col("markdown").alias("report"), F.col("total_keyframes").alias("total"))
+    name = F.col("file_name") if "file_name" in transcripts.columns else F.col("video_id").cast("string")
+    t = transcripts.select("video_id", "markdown", name.alias("file_name"))
+    ext = F.regexp_extract("file_name", r"\.([^./]*)$", 1)
+    seen = F.col("report").isNotNull()
+    ocr = F.when(seen, F.format_string("**Key-frame OCR**: enabled (%d frames)\n", "total")).otherwise("**Key-frame OCR**: not enabled\n")
+    info = F.concat(F.lit("\n**Source file**: "), "file_name", F.lit(" (video)\n**Video format**: "), F.upper(ext), F.lit("\n"), ocr)
+    at = F.instr("markdown", "\n\n")
+    body = F.when(at > 0, F.concat(F.expr("substr(markdown, 1, instr(markdown, '\\n\\n') - 1)"), info, F.expr("substr(markdown, instr(markdown, '\\n\\n'))"))).otherwise(F.concat(info, "markdown"))
+    untitled = F.regexp_replace("report", r"^[^\n]*\n*", "")
+    tail = F.when(seen, F.concat(F.format_string("\n\n---\n\n# Key frames of the video\n\n> %d key frames were taken from the video and read\n\n", "total"), untitled)).otherwise("")
+    joined = t.join(f, "video_id", "left")
+    return joined.select(
+        "video_id", F.lit("video").alias("type"), F.lit("video").alias("file_type"), ext.alias("video_format"), F.col("file_name").alias("original_filename"),
+        F.concat(body, tail).alias("markdown"), seen.alias("keyframes_enabled"), F.coalesce("total", F.lit(0)).cast("long").alias("total_keyframes"),
+    )
 
 
 PROBE = "format struct<duration:string,size:string,format_name:string>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string>>"

@@ -106,11 +106,18 @@ def transcript_text(segments: DataFrame) -> DataFrame:
 
 
 def transcript_markdown(segments: DataFrame) -> DataFrame:
-    """Title, speakers, whole text, then a line per segment; NEUTRAL and Speech carry no symbol."""
+    """Title, language (of the first segment that names one), speakers, whole text, then a line per segment under its
+    speaker's name, given again where the speaker changes; NEUTRAL and Speech carry no symbol."""
     s = clean_tags(parse_tags(segments))
     mark = F.concat(F.when(F.col("emotion") == "NEUTRAL", "").otherwise(emotion_symbol("emotion")), F.when(F.col("event") == "Speech", "").otherwise(event_symbol("event")))
     line = F.trim(F.concat(F.lit("["), format_timestamp("start_s"), F.lit("] "), mark, F.lit(" "), F.col("clean_text")))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("id", c.alias("x")))), lambda x: x["x"])
-    body = s.groupBy("file_id").agg(ordered(line).alias("lines"), ordered(F.col("clean_text")).alias("texts"), F.array_sort(F.collect_set("speaker")).alias("speakers"))
-    text = F.concat_ws("\n", F.concat(F.lit("# Transcript "), F.col("file_id").cast("string")), F.lit(""), F.concat(F.lit("**Speakers**: "), F.array_join("speakers", ", ")), F.lit(""), F.lit("## Text"), F.lit(""), F.array_join("texts", " "), F.lit(""), F.lit("## Segments"), F.lit(""), F.array_join("lines", "\n"))
+    rows = F.array_sort(F.collect_list(F.struct("id", line.alias("line"), F.col("clean_text").alias("text"), F.coalesce("speaker", F.lit("SPEAKER_00")).alias("speaker"))))
+    body = s.groupBy("file_id").agg(rows.alias("rows"), F.array_sort(F.collect_set("speaker")).alias("speakers"), F.min_by("language", F.when(F.col("language").isNotNull(), F.col("id"))).alias("language"))
+    changed = lambda x, i: (i == 0) | (F.get("rows", i - 1)["speaker"] != x["speaker"])
+    named = F.transform("rows", lambda x, i: F.when(changed(x, i), F.concat(F.lit("\n**"), x["speaker"], F.lit("**:\n\n"), x["line"])).otherwise(x["line"]))
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("# Transcript "), F.col("file_id").cast("string")), F.lit(""), F.concat(F.lit("**Language**: "), F.coalesce(language_label("language"), F.lit("auto"))),
+        F.concat(F.lit("**Number of speakers**: "), F.size("speakers").cast("string")), F.when(F.size("speakers") > 0, F.concat(F.lit("**Speakers**: "), F.array_join("speakers", ", "))), F.lit(""),
+        F.lit("## Text"), F.lit(""), F.array_join(F.transform("rows", lambda x: x["text"]), " "), F.lit(""), F.lit("## Segments"), F.array_join(named, "\n"),
+    )
     return body.select("file_id", text.alias("markdown"))

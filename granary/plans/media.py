@@ -37,8 +37,8 @@ def _ocr(s, d):
 
 
 def j08(s, d):
-    t = T.transcript_markdown(v_segments(s, d)).select(F.col("file_id").alias("video_id"), "markdown")
-    return J.merge_video(t, J.keyframes_report(_ocr(s, d))).select("video_id", F.length("markdown").alias("n"), "keyframes_enabled")
+    t = T.transcript_markdown(v_segments(s, d)).select(F.col("file_id").alias("video_id"), "markdown", F.concat("file_id", F.lit(".mp4")).alias("file_name"))
+    return J.merge_video(t, J.keyframes_report(_ocr(s, d)))
 
 
 def j09(s, d):

@@ -266,3 +266,16 @@ def test_describe_record_and_protein_clauses(spark):
     one = protein.describe_protein(p.withColumn("instability_index", F.lit(50.0))).first()
     assert one.glycosylation_sites == 3 and one.phosphorylation_sites == 7
     assert "Unstable (instability index 50.0)" in one.description and one.description.endswith("High aromaticity (47.4%), may contain important aromatic residue clusters; Identified 7 potential phosphorylation site(s); Contains 3 N-glycosylation site(s), may be a glycoprotein.")
+
+
+def test_transcript_and_video_reports(spark):
+    seg = [("v", 0, "<|en|><|HAPPY|><|Speech|>hello", 0.0, 1.0, "A"), ("v", 1, "again", 1.0, 2.0, "A"), ("v", 2, "bye", 2.0, 3.0, "B")]
+    md = transcripts.transcript_markdown(spark.createDataFrame(seg, "file_id string, id long, text string, start_s double, end_s double, speaker string")).first().markdown
+    assert md.startswith("# Transcript v\n\n**Language**: English\n**Number of speakers**: 2\n**Speakers**: A, B\n\n## Text\n\n")
+    assert md.count("**A**:") == 1 and md.count("**B**:") == 1 and md.endswith("**B**:\n\n" + md.splitlines()[-1]) and md.splitlines()[-1].endswith("bye")
+    t = spark.createDataFrame([("v", "# T\n\nbody", "v.mp4"), ("w", "no break", "w.mkv"), ("x", None, "x.avi")], "video_id string, markdown string, file_name string")
+    ocr = frames.keyframes_report(spark.createDataFrame([("v", 1, 2.0, "text")], "video_id string, frame_number int, ts double, ocr_text string"))
+    got = {r.video_id: r for r in frames.merge_video(t, ocr).collect()}
+    assert got["v"].markdown.startswith("# T\n**Source file**: v.mp4 (video)\n**Video format**: MP4\n**Key-frame OCR**: enabled (1 frames)\n\n\nbody\n\n---\n\n# Key frames") and got["v"].markdown.endswith("text\n") and "## Key frames" not in got["v"].markdown
+    assert got["w"].markdown == "\n**Source file**: w.mkv (video)\n**Video format**: MKV\n**Key-frame OCR**: not enabled\nno break" and got["x"].markdown is None
+    assert (got["v"].type, got["v"].video_format, got["v"].total_keyframes, got["w"].keyframes_enabled) == ("video", "mp4", 1, False)
