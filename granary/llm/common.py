@@ -26,6 +26,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
 
 
 @contextmanager
@@ -45,10 +47,12 @@ def settings(spark: SparkSession, **wanted: str):
 def durable(df: DataFrame, partitioned: bool = False) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives lost executors; the shuffle files behind it are let go.
 
+    Arrow batches hold BATCH_BYTES at most, as texts of ten thousand rows would take many times that beside the heap.
+
     partitioned: plan without adaptive execution, so that later joins know the result's hash partitioning and leave it.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    wanted = {_CLEANUP: "true"} | ({"spark.sql.adaptive.enabled": "false"} if partitioned else {})
+    wanted = {_CLEANUP: "true", _ARROW_BYTES: str(BATCH_BYTES)} | ({"spark.sql.adaptive.enabled": "false"} if partitioned else {})
     with settings(df.sparkSession, **wanted):
         return df.checkpoint(eager=True)
 

@@ -23,6 +23,7 @@ from granary.llm.suffix_dedup import _batch, _col, _keyed_runs
 SEED = 42
 CAP = 64
 _CHUNK = 1 << 15
+_TOGETHER = 256  # texts whose bits are counted together
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -148,7 +149,7 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 def _bit_sums(level: np.ndarray) -> np.ndarray:
     """How many of level[:, doc] have each bit set: carry-save sums of three words at a time, unpacked at the end."""
     _, docs, width = level.shape
-    sums, weight = np.zeros((docs, 64 * width), np.int64), 1
+    sums, weight = np.zeros((docs, 64 * width), np.int32), 1
     while len(level):
         carries = []
         while len(level) >= 3:
@@ -158,7 +159,7 @@ def _bit_sums(level: np.ndarray) -> np.ndarray:
             carries.append((a & b) | (odd & c))
             level = np.concatenate([odd ^ c, level[3 * m :]])
         for words in level:
-            sums += weight * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            sums += weight * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int32)
         level, weight = np.concatenate(carries) if carries else level[:0], weight * 2
     return sums
 
@@ -172,7 +173,7 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
         longest = len(sets[group[0]])
         if not longest:
             break
-        while order and (len(group) + 1) * longest <= _CHUNK and 2 * len(sets[order[-1]]) >= longest:
+        while order and len(group) < _TOGETHER and (len(group) + 1) * longest <= _CHUNK and 2 * len(sets[order[-1]]) >= longest:
             group.append(order.pop())
         sums = np.zeros((len(group), WIDE_BITS), np.int64)
         for at in range(0, longest, _CHUNK):
