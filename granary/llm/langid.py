@@ -157,15 +157,16 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
     learned. rejected: und, or a score under the model's threshold. A null doc_id has held_out null. Repeated rows and
     other columns make no difference; whole texts are read. An empty table gives none.
     """
-    kept = {f"kept_{k}": (k, kind) for k, kind in docs.dtypes if k in keep}
-    names = ["doc_id", "held_out", "lang_pred", "score", "rejected", *kept]
+    kept = {f"kept_{k}": (k, kind) for k, kind in docs.dtypes if k in keep and k != "text"}
+    whole = ["text"] if "text" in keep else []
+    names = ["doc_id", "held_out", "lang_pred", "score", "rejected", *whole, *kept]
 
     def run(batches: Batches) -> Batches:
         for b in in_parts(batches):
             got = [model.predict(t) for t in b.column(1).to_pylist()]
             bad = [lang == UND or score < model.threshold for lang, score in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(bad, pa.bool_()), *b.columns[3:]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(bad, pa.bool_()), *[b.column(1) for _ in whole], *b.columns[3:]], names=names)
 
-    schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean" + "".join(f", `{name}` {kind}" for name, (_, kind) in kept.items())
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean" + ", text string" * len(whole) + "".join(f", `{name}` {kind}" for name, (_, kind) in kept.items())
     rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) == 2).alias("held_out"), *[F.col(k).alias(name) for name, (k, _) in kept.items()])
     return rows.mapInArrow(run, schema).withColumnsRenamed({name: k for name, (k, _) in kept.items()})
