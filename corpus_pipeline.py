@@ -22,8 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not recognised go: no letters (null and empty texts too), or a score below the calibrated
     threshold. Each row is judged by its own text in the pass that keeps or drops it: null ids, repeated rows and rows of
     one doc_id make no difference. Where no language is labelled nothing can be told, and all rows go."""
-    verdict = identify(docs.select(*COLUMNS, F.col("text").alias("whole")), train(docs), keep=(*REST, "whole"))
-    return verdict.where("not rejected").select("doc_id", F.col("whole").alias("text"), *REST)
+    return identify(docs, train(docs), keep=("text", *REST)).where("not rejected").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
