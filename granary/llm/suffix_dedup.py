@@ -192,18 +192,23 @@ def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
 
 
 def _keyed_runs(batches: Batches, key: str = "key", shift: int = 2):
-    """Tables of whole runs of a sorted key without its flags: what may go on is held back for the next batch."""
-    held = None
+    """Tables of whole runs of a sorted key without its flags: what may go on is held back, and joined once its run ends."""
+    held, open_key = [], None
     for rows in batches:
-        t = pa.Table.from_batches([rows] if held is None else [*held, rows]).combine_chunks()
-        if not t.num_rows:
+        if not rows.num_rows:
             continue
-        k = t.column(key).combine_chunks()
-        k = k.to_numpy(zero_copy_only=False) >> shift
+        k = rows.column(rows.schema.get_field_index(key)).to_numpy(zero_copy_only=False) >> shift
         last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-        held = t.slice(last).to_batches()
-        if last:
-            yield t.slice(0, last)
+        if held and (last or k[0] != open_key):
+            whole = int(np.searchsorted(k != open_key, True)) if k[0] == open_key else 0
+            yield pa.Table.from_batches([*held, rows.slice(0, whole)])
+            held = []
+            if last > whole:
+                yield pa.Table.from_batches([rows.slice(whole, last - whole)])
+        elif last:
+            yield pa.Table.from_batches([rows.slice(0, last)])
+        held.append(rows.slice(last))
+        open_key = k[-1]
     if held:
         yield pa.Table.from_batches(held)
 
