@@ -10,7 +10,8 @@ from granary.constants import PERMISSIONS, STATUSES
 from granary.operators import access as D
 from granary.operators import ledger as C
 from granary.operators import routing as B
-from granary.plans.views import duck, table, v_keys, v_snapshots, v_tasks, v_users
+from granary.plans.views import duck, stream_table, table, tasks_of, v_keys, v_snapshots, v_tasks, v_users
+from granary.streaming.lifecycle import drain, task_lifecycle
 from granary.streaming.monitor import queue_monitor
 
 AS_OF = dt.datetime(1998, 8, 1)
@@ -26,9 +27,26 @@ def _events(s, d):
     return table(s, d, "events").select(F.concat("user_id", F.lit("-"), "event_type").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
 
 
-def _log(s, d):
+def _log(s, d, events=None):
     states = F.array(*[F.lit(x) for x in ("processing", "completed", "pending", "failed", "processing", "cancelled")])
-    return table(s, d, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.get(states, (F.col("event_id") % 6).cast("int")).alias("requested_status"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("worker_id"))
+    return (table(s, d, "events") if events is None else events).select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.get(states, (F.col("event_id") % 6).cast("int")).alias("requested_status"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("worker_id"))
+
+
+def _requests(tasks):
+    """What a stream of the tasks' requests holds: a start for each that is started, an end for each that is ended."""
+    start = F.when(F.col("started_at").isNotNull(), F.struct(F.lit(1).alias("seq"), F.col("started_at").alias("ts"), F.lit("processing").alias("requested_status")))
+    end = F.when(F.col("completed_at").isNotNull(), F.struct(F.lit(2).alias("seq"), F.col("completed_at").alias("ts"), F.col("status").alias("requested_status")))
+    return tasks.select("task_id", "worker_id", F.inline(F.array_compact(F.array(start, end))))
+
+
+def c03_stream(s, d):
+    moves = drain(task_lifecycle(_log(s, d, stream_table(s, d, "events")), "1 day", None, None), "c03")
+    return moves.select("task_id", "seq", "accepted", "status")
+
+
+def c18_lifecycle(s, d):
+    life = drain(task_lifecycle(_requests(tasks_of(stream_table(s, d, "orders"))), "1 hour", 60, 30), "c18")
+    return life.select("task_id", "event", "at", "accepted", "status", F.col("retry_count").cast("long").alias("retry_count"))
 
 
 def c11(s, d):
@@ -76,6 +94,8 @@ QUERIES = {
     "c16_snapshot_change": lambda s, d: C.snapshot_change(v_snapshots(s, d)),
     "c17_worker_parts": lambda s, d: C.worker_parts(v_tasks(s, d)).groupBy("host", "device", "tail").agg(F.count("*").alias("n")),
     "c18_queue_monitor": lambda s, d: queue_monitor(_events(s, d)),
+    "c03_transition_stream": c03_stream,
+    "c18_task_lifecycle": c18_lifecycle,
     "d01_resolve_keys": lambda s, d: D.resolve_keys(v_keys(s, d).select(F.col("key_id").alias("request_id"), "presented"), v_keys(s, d), v_users(s, d), dt.datetime(2024, 1, 10)),
     "d02_key_expiry": lambda s, d: D.key_expiry(v_keys(s, d).drop("expires_at").withColumn("expires_days", F.expr("case when key_id % 4 <> 0 then cast(key_id % 90 as int) end"))).select("key_id", "expires_at"),
     "d03_list_users": lambda s, d: D.list_users(v_users(s, d), 50, 25).select("user_id", "username"),
@@ -100,6 +120,11 @@ def _four(tail: str) -> str:
     return duck(f"select task_id, status, priority, file_name from v_tasks {tail}", "v_tasks")
 
 
+_GUARD = """with recursive e as (select cast(user_id as varchar) task_id, event_id seq, row_number() over (partition by user_id order by event_id) k, ['processing', 'completed', 'pending', 'failed', 'processing', 'cancelled'][event_id % 6 + 1] req, 'w' || (event_id % 3) who from events{only}),
+w as (select distinct task_id, 0::bigint k, null::bigint seq, 'pending' status, null::varchar worker, false accepted from e
+union all select task_id, k, seq, case when ok then req else status end, case when not ok then worker when req = 'pending' then null when req = 'processing' then who else worker end, ok
+from (select e.*, w.status, w.worker, req not in ('completed', 'failed') or (w.status = 'processing' and coalesce(w.worker = who, false)) ok from w join e on e.task_id = w.task_id and e.k = w.k + 1))
+select task_id, seq, accepted, status from w where k > 0"""
 _OPT = "with o as (select task_id, key % 4 m, key % 20 w from v_tasks) "
 
 ORACLES = {
@@ -138,9 +163,13 @@ ORACLES = {
     "d08_patch_users": duck("select user_id, case when user_id % 3 = 0 and user_id % 2 = 0 then 'new' || user_id || '@example.org' else email end email, case when user_id % 9 = 0 then 'admin' else role end role, is_active from v_users", "v_users"),
     "d08_delete_users": duck("select key_id, user_id from v_keys where user_id not in (select user_id from v_users where user_id % 10 = 3)", "v_keys", "v_users"),
     "d09_validate_users": duck("select user_id, concat_ws(',', case when count(*) over (partition by email) > 1 then 'email_taken' end, case when not regexp_matches(username, '^[a-zA-Z0-9_-]+$') then 'username_format' end, case when length(username) not between 3 and 50 then 'username_length' end, case when count(*) over (partition by username) > 1 then 'username_taken' end) violations from v_users", "v_users"),
-    "c03_apply_transitions": """with recursive e as (select cast(user_id as varchar) task_id, event_id seq, row_number() over (partition by user_id order by event_id) k, ['processing', 'completed', 'pending', 'failed', 'processing', 'cancelled'][event_id % 6 + 1] req, 'w' || (event_id % 3) who from events),
-w as (select distinct task_id, 0::bigint k, null::bigint seq, 'pending' status, null::varchar worker, false accepted from e
-union all select task_id, k, seq, case when ok then req else status end, case when not ok then worker when req = 'pending' then null when req = 'processing' then who else worker end, ok
-from (select e.*, w.status, w.worker, req not in ('completed', 'failed') or (w.status = 'processing' and coalesce(w.worker = who, false)) ok from w join e on e.task_id = w.task_id and e.k = w.k + 1))
-select task_id, seq, accepted, status from w where k > 0""",
+    "c03_apply_transitions": _GUARD.format(only=""),
+    "c03_transition_stream": _GUARD.format(only=" where ts < (select max(ts) - interval 1 day from events)"),
+    "c18_task_lifecycle": duck("""with t as (select task_id, status, started_at s, completed_at c, completed_at > started_at + interval 60 minute late from v_tasks where started_at is not null),
+n as (select greatest(max(s), max(c)) - interval 1 hour as now from t),
+e as (select task_id, 'request' event, s "at", true accepted, 'processing' status, 0::bigint retry_count from t
+union all select task_id, 'reset', s + interval 60 minute, true, 'pending', 1 from t where coalesce(late, true)
+union all select task_id, 'request', c, not late or status = 'cancelled', case when late and status <> 'cancelled' then 'pending' else status end, late::bigint from t where c is not null
+union all select task_id, 'dropped', c + interval 30 day, true, status, 0 from t where c is not null and not late and status in ('completed', 'failed'))
+select e.* from e, n where "at" < now""", "v_tasks"),
 }

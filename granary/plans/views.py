@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files. A stream reads folders and patterns, so the name is written as one."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def v_seq(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("sequence"), F.col("source").alias("file"))
 
@@ -19,7 +24,11 @@ def v_prot(spark, d):
 
 
 def v_tasks(spark, d):
-    return table(spark, d, "orders").selectExpr(
+    return tasks_of(table(spark, d, "orders"))
+
+
+def tasks_of(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
         "cast(o_orderkey as string) task_id",
         "concat('f', o_orderkey, case o_orderkey % 6 when 0 then '.pdf' when 1 then '.fasta' when 2 then '.wav' when 3 then '.mp4' when 4 then '.docx' else '.xyz' end) file_name",
         "case when o_orderstatus = 'O' then 'pending' when o_orderstatus = 'P' then 'processing' when o_orderkey % 17 = 0 then 'failed' when o_orderkey % 19 = 0 then 'cancelled' else 'completed' end status",
