@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the session's checkpoint folder; make one only for a master on this machine alone (tests), else raise."""
     sc = spark.sparkContext
@@ -71,7 +74,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+FINISH = 1 << 18
+
+
+def _settle(batches: Batches) -> Batches:
+    """(node, smallest node of its component) of all edges given."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for rows in batches:
+        for a, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["k", "p"])
+
+
+def connected_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """Components of an undirected graph given as (src, dst) rows -> (node, component = smallest node reachable).
 
     Contraction: every node takes the first of itself and its neighbours as parent, edges are rewritten to parents and
@@ -79,14 +103,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     then the smallest of a hash drawn anew each round, which leaves a constant share of the nodes on average whatever
     the shape: some log(nodes) rounds, and no limit on them, as each round merges every component further. Minima
     are combined map-side and all joins are plain equi-joins that adaptive execution may split, so a star with millions
-    of leaves is no single task. Each round is checkpointed and the one before deleted; only whether edges are left reaches the driver.
+    of leaves is no single task. Each round is checkpointed and the one before deleted; only the number of edges left reaches
+    the driver. Once no more than FINISH are left, rounds would cost more than they do: one task settles them, whatever the
+    size of the input, with the same result.
     Self-loops give a component of one; null ends are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a is not null and b is not null")
     e = durable(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("comp", F.col("node"))
     spent, e, turn = [e], e.where("a <> b"), 0
-    while True:
+    while (left := e.count()) > finish:
         order = (lambda c: F.col(c)) if not turn else (lambda c, t=turn: F.xxhash64(c, F.lit(t)))
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("n"))).alias("m"))
@@ -97,9 +123,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = e.join(pa_, e.a == pa_.ka).join(pb_, F.col("b") == pb_.kb).where("x <> y")
         e = durable(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         release(*spent)
-        if e.isEmpty():
-            break
         spent, turn = [e, labels], turn + 1
+    if left:
+        root = e.coalesce(1).mapInArrow(_settle, "k long, p long")
+        labels = durable(labels.join(root, labels.comp == root.k, "left").select("node", F.coalesce("p", "comp").alias("comp")))
+        release(*spent)
     low = labels.groupBy(F.col("comp").alias("of")).agg(F.min("node").alias("component"))
     return labels.join(low, labels.comp == low.of).select("node", "component")
 
@@ -122,7 +150,6 @@ def runs_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, n])
 
 
-Batches = Iterator[pa.RecordBatch]
 PART_BYTES = 8 << 20
 
 

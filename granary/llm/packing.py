@@ -39,11 +39,22 @@ class Packer:
         self.room, self.held = self.room_of.copy(), []
 
     def close(self) -> None:
-        at = 0
-        for doc, ids, start, total in self.held:
-            self.emit(doc, ids, start, total, at)
-            at += len(ids)
-        self.next_id += 1
+        """Emit the open sequence. One that its other limits end before it is full is cut into powers of two, which need no
+        padding."""
+        held, self.held = self.held, []
+        left = sum(len(x[1]) for x in held)
+        whole, held = int(self.room_of[0]), held[::-1]
+        while left:
+            want, at = whole if left == whole else 1 << (left.bit_length() - 1), 0
+            left -= want
+            while at < want:
+                doc, ids, start, total = held.pop()
+                piece = ids[: want - at]
+                self.emit(doc, piece, start, total, at)
+                at += len(piece)
+                if len(piece) < len(ids):
+                    held.append((doc, ids[len(piece) :], start + len(piece), total))
+            self.next_id += 1
         self.open_new()
 
     def emit(self, doc, ids, start, total, at) -> None:
@@ -103,43 +114,30 @@ class Packer:
             self.free.append(k)
 
     def finish(self) -> None:
-        """Empty the waiting set; the last sequence, if not full, is cut into powers of two, which need no padding."""
+        """Empty the waiting set; the last sequence is closed as it is."""
         while (self.demand[:, 1] > 0).any():
             self.step()
-        if not self.held:
-            return
-        held, self.held = self.held, []
-        left = sum(len(x[1]) for x in held)
-        while left:
-            want, at = 1 << (left.bit_length() - 1), 0
-            left -= want
-            while at < want:
-                doc, ids, start, total = held.pop(0)
-                piece = ids[: want - at]
-                self.emit(doc, piece, start, total, at)
-                at += len(piece)
-                if len(piece) < len(ids):
-                    held.insert(0, (doc, ids[len(piece) :], start + len(piece), total))
-            self.next_id += 1
+        self.close()
 
 
-def pack(docs: DataFrame, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, max_tokens: int = 2048, max_segments: int | None = None, max_loss: int | None = None, vocabulary: str | None = None) -> DataFrame:
     """docs(doc_id, text[, loss_tokens]) -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and an end id of 1; every id lies in exactly one piece. loss_tokens: how many of the last ids
     bear loss (the answer of an instruction; absent or null: all). No sequence exceeds max_tokens, max_segments or
-    max_loss (default max_tokens). Null text is an empty one: a document of the end id alone. Null doc_ids and repeated
+    max_loss (default max_tokens, which is no further limit); one that these end early is cut into powers of two. Null text is an empty one: a document of the end id alone. Null doc_ids and repeated
     rows are packed like any other; other columns are ignored. An empty table gives no pieces. sequence_id is
     (partition, running number), so a task that runs again makes the same rows from the same split.
     """
     loss_limit = max_tokens if max_loss is None else max_loss
-    if min(max_tokens, max_segments, loss_limit) < 1:
+    segments = max_tokens if max_segments is None else max_segments
+    if min(max_tokens, segments, loss_limit) < 1:
         raise ValueError("limits must be positive")
     loss = F.col("loss_tokens").cast("long") if "loss_tokens" in docs.columns else F.lit(None).cast("long")
 
     def run(batches: Batches) -> Batches:
         path = vocabulary or default_vocabulary("word_bpe_49k.json")
-        packer = Packer(TaskContext.get().partitionId() << 36, max_tokens, max_segments, loss_limit)
+        packer = Packer(TaskContext.get().partitionId() << 36, max_tokens, segments, loss_limit)
         end = np.array([END_ID], "<u4").tobytes()
 
         def flush():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Batches, in_parts
+from granary.llm.common import Batches, durable, in_parts, release
 from granary.llm.langid import chance, fold
 
 BUCKETS = 1 << 18
@@ -116,8 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Fit on bounded samples, by hash of doc_id and text, of rows outside the held-out fold.
 
     prior: share of toxic texts; by default that among all labelled rows of the learning folds. Runs at once: counts, one
-    scan of the documents that keeps ``positives`` toxic and ``unlabelled`` other rows on average, and a fit of no more
-    than these on the driver. Repeated rows count once.
+    scan of the documents that keeps ``positives`` toxic and ``unlabelled`` other rows on average, and a fit on the driver.
+    Of what the scan keeps, which is more where ids have many texts, only the first ``positives`` and ``unlabelled`` rows by
+    a hash reach the driver. Repeated rows count once.
     """
     known = labels.where(fold(F.col("doc_id")) != 2)
     n_yes, mean = known.agg(F.count_if(F.col("toxic") == 1), F.avg(F.col("toxic").cast("double"))).first()
@@ -128,14 +129,17 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     few = yes.where(F.pmod(F.xxhash64("of"), F.lit(1 << 40)) < min(1.0, positives / max(1, n_yes)) * (1 << 40)).limit(2 * positives)
     either = F.array_compact(F.array(F.when(chance(F.lit(min(1.0, unlabelled / max(1, n)))), 0), F.when(F.col("of").isNotNull(), 1)))
     rows = text.where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", F.explode(either).alias("kind"))
-    rows = rows.dropDuplicates(["kind", "doc_id", "text"]).select("kind", "text")
+    rows = rows.dropDuplicates(["kind", "doc_id", "text"]).select("kind", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text")
 
     def features(batches: Batches) -> Batches:
         for b in in_parts(batches):
-            got = [np.unique(np.array([x for w in words(t) for x in buckets(w)], np.int32)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["kind", "buckets"])
+            got = [np.unique(np.array([x for w in words(t) for x in buckets(w)], np.int32)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], names=["kind", "h", "buckets"])
 
-    got = rows.mapInArrow(features, "kind int, buckets array<int>").toArrow()
+    kept = durable(rows.mapInArrow(features, "kind int, h long, buckets array<int>"))
+    first = lambda kind, n: kept.where(F.col("kind") == kind).orderBy("h", "buckets").limit(n)
+    got = first(1, positives).union(first(0, unlabelled)).select("kind", "buckets").toArrow()
+    release(kept)
     order = sorted(range(got.num_rows), key=lambda i: (got["kind"][i].as_py(), got["buckets"][i].values.to_numpy().tobytes()))
     kinds, feats = got["kind"].to_pylist(), got["buckets"]
     # copies of one text are one example

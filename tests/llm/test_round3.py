@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import hnsw, negatives, prefix_trie, vafile
+from granary.llm import hnsw, negatives, packing, prefix_trie, toxicity, vafile
 from granary.llm import queries as Q
 from granary.llm.suffix_dedup import _keyed_runs
 
@@ -272,3 +272,35 @@ def test_keyed_runs_are_whole_and_linear():
         assert sum(t.num_rows for t in _keyed_runs((batch([7] * 20_000) for _ in range(n)), "key", 0)) == n * 20_000
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0]
+
+
+# --- packing and the toxicity sample
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_segments": 7}, {"max_loss": 100}])
+def test_short_texts_are_packed_without_padding(spark, limits):
+    rows = [(i, [None, "a", "b c"][i % 3]) for i in range(3000)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), max_tokens=256, **limits).toPandas()
+    room = pieces.groupby("sequence_id")["length"].agg(["sum", "size"])
+    assert room["sum"].max() <= 256 and room["size"].max() <= limits.get("max_segments", 256)
+    assert all(n == 256 or n & (n - 1) == 0 for n in room["sum"])
+    for _, p in pieces.groupby("sequence_id"):
+        p = p.sort_values("offset")
+        assert p["offset"].tolist() == [0, *p["length"].cumsum().tolist()[:-1]]
+    whole = pieces.groupby("doc_id").agg(n=("length", "sum"), of=("doc_tokens", "max"))
+    assert len(whole) == 3000 and (whole["n"] == whole["of"]).all()
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """One toxic id with very many texts does not bring them all to the driver."""
+    toxic = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.createDataFrame([(toxic, f"bad words number {k}") for k in range(4000)] + [(1000 + k, f"good text {k} here") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(toxic, 0, 1)] + [(1000 + k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda pos, unl, prior, **_: seen.update(pos=len(pos), unl=len(unl)))
+    arrived = []
+    frame = type(docs)
+    whole = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: arrived.append(t := whole(self)) or t)
+    toxicity.train(docs, labels, positives=3, unlabelled=20)
+    assert seen["pos"] <= 3 and seen["unl"] <= 20 and arrived[0].num_rows <= 23
