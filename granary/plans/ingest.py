@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from granary.operators import annotations as H
 from granary.plans.views import duck, table, v_seq
+from granary.functions.shared import shared_folder
+from granary.sources import fasta as FA
 from granary.sources import files as A
 from granary.sources.genbank import parse_genbank
 from granary.sources.html import html_blocks, html_to_markdown
@@ -17,7 +19,26 @@ def _files(s, d):
 
 def a02(s, d):
     raw = v_seq(s, d).select("file", F.col("seq_id").alias("key"), F.concat(F.lit(">s"), "seq_id", F.lit(" from "), "file", F.lit("\n"), F.regexp_replace("sequence", "(.{60})", "$1\n")).alias("value"))
-    return A.fasta_records(raw, F.col("key")).select("file", "seq_id", "description", F.md5("sequence").alias("sequence_md5"), "length")
+    return FA.fasta_records(raw, F.col("key")).select("file", "seq_id", "description", F.md5("sequence").alias("sequence_md5"), "length")
+
+
+def _fasta_files(s, d):
+    """Sequence files of a thousand records each in the shared folder, in order of seq_id."""
+    path = shared_folder(s, "fasta")
+    lines = F.concat(F.lit(">s"), "seq_id", F.lit(" of "), "file", F.lit("\n"), F.regexp_replace("sequence", "(.{60})", "$1\n"))
+    rows = v_seq(s, d).select(F.floor(F.col("seq_id") / 1000).alias("thousand"), "seq_id", lines.alias("value"))
+    rows.repartition("thousand").sortWithinPartitions("thousand", "seq_id").drop("seq_id").write.partitionBy("thousand").text(path)
+    return f"{path}/thousand=*"
+
+
+def a02_files(s, d):
+    return FA.read_fasta(s, _fasta_files(s, d)).select(F.regexp_extract("file", "thousand=([0-9]+)", 1).cast("long").alias("thousand"), "ord", "seq_id", "description", F.md5("sequence").alias("sequence_md5"), "length")
+
+
+def a02_chunks(s, d):
+    chunks, records = FA.read_fasta_chunks(s, _fasta_files(s, d), 1000)
+    named = chunks.join(records.select("seq_id", "name"), "seq_id")
+    return named.select("name", "chunk", "start", F.md5("text").alias("text_md5"), F.md5("ahead").alias("ahead_md5"))
 
 
 def _flat_files(s, d):
@@ -39,6 +60,8 @@ def a05(s, d):
 QUERIES = {
     "a01_classify_files": lambda s, d: A.classify_files(_files(s, d)).groupBy("kind", "is_result").agg(F.count("*").alias("n")),
     "a02_fasta_records": a02,
+    "a02_read_fasta": a02_files,
+    "a02_read_fasta_chunks": a02_chunks,
     "a03_genbank_features": a03_features,
     "a03_genbank_records": lambda s, d: parse_genbank(_flat_files(s, d))[0].select("record_id", "name", "description", "sequence", "length", "organism", F.array_join("taxonomy", ">").alias("taxonomy"), "references"),
     "a04_transcripts": lambda s, d: A.parse_transcripts(table(s, d, "conversations").select(F.col("conv_id").alias("file_id"), "turn", F.when(F.col("turn") % 3 == 0, "[]").otherwise(F.to_json(F.array(F.struct("text")))).alias("value"))).groupBy("file_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")),
@@ -53,6 +76,8 @@ QUERIES = {
 ORACLES = {
     "a01_classify_files": "with f as (select case doc_id % 3 when 0 then 'md' when 1 then 'json' else 'other' end kind, doc_id % 4 <> 0 and doc_id % 3 < 2 is_result from documents) select kind, is_result, count(*) n from f group by 1, 2",
     "a02_fasta_records": duck("select file, 's' || seq_id seq_id, 's' || seq_id || ' from ' || file description, md5(sequence) sequence_md5, length(sequence) length from v_seq", "v_seq"),
+    "a02_read_fasta": duck("select seq_id // 1000 thousand, row_number() over (partition by seq_id // 1000 order by seq_id) ord, 's' || seq_id seq_id, 's' || seq_id || ' of ' || file description, md5(sequence) sequence_md5, length(sequence) length from v_seq", "v_seq"),
+    "a02_read_fasta_chunks": duck("with c as (select seq_id, sequence, unnest(range(0, greatest(1, (length(sequence) + 999) // 1000))) chunk from v_seq) select 's' || seq_id as name, chunk, chunk * 1000 \"start\", md5(substr(sequence, cast(chunk * 1000 + 1 as bigint), 1000)) text_md5, md5(substr(sequence, cast(chunk * 1000 + 1001 as bigint), 256)) ahead_md5 from c", "v_seq"),
     "a03_genbank_features": "select 'V' || l_orderkey || '.1' record_id, row_number() over (partition by l_orderkey order by l_linenumber, case when l_suppkey % 2 = 0 then 'complement(' || l_partkey || '..' || (l_partkey + 90) || ')' else l_partkey || '..' || (l_partkey + 90) end, 'g' || l_suppkey) feature_no, case l_linenumber % 3 when 0 then 'CDS' when 1 then 'gene' else 'tRNA' end type, case when l_suppkey % 2 = 0 then 'complement(' || l_partkey || '..' || (l_partkey + 90) || ')' else l_partkey || '..' || (l_partkey + 90) end location, case when l_suppkey % 2 = 0 then -1 else 1 end strand, 'g' || l_suppkey gene, 'a long name ' || l_partkey product from lineitem",
     "a03_genbank_records": "select distinct 'V' || l_orderkey || '.1' record_id, 'L' || l_orderkey name, 'order ' || l_orderkey || ' of items' description, 'ACGTACGTACGT' sequence, 12::bigint length, 'Some thing' organism, 'Bacteria>Alpha>Beta' taxonomy, 1::bigint \"references\" from lineitem",
     "a04_transcripts": "select conv_id file_id, cast(sum(case when turn % 3 = 0 then 0 else length(text) end) as bigint) chars, count(*) n from conversations group by 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.constants import CODE_LETTERS, CODE_RESIDUES, DNA_MASS, FLEXIBILITY, HYDROPATHY, NUCLEOTIDE_TEXT, PK, PROTEIN_TEXT, REPORT_TEXT, RESIDUE_MASS, WATER
+from granary.operators import chromosomes as X
 from granary.operators import nucleotide as N
 from granary.operators import protein as P
 from granary.operators import reports as R
@@ -32,6 +33,15 @@ def profile(s, d):
     return p.select("seq_id", "length", *map(R6, ("gc_content", "gc_skew", "at_skew", "entropy")), F.round("dna_weight", 4).alias("dna_weight"), "longest_orf", "orf_count", "cpg_count", "repeat_count")
 
 
+def _chunks(s, d):
+    return X.chunk_sequences(v_seq(s, d), 1000)
+
+
+def chunk_profile(s, d):
+    p = X.nucleotide_profile(_chunks(s, d))
+    return p.select("seq_id", "length", *map(R6, ("gc_content", "gc_skew", "at_skew", "entropy")), F.round("dna_weight", 4).alias("dna_weight"), "longest_orf", "orf_count", "cpg_count", "repeat_count")
+
+
 def protein_profile(s, d, lang="en"):
     p = v_prot(s, d)
     for f in (P.protein_weight, P.isoelectric_point, P.gravy, P.secondary_structure, P.aromaticity, P.ptm_counts):
@@ -51,6 +61,11 @@ QUERIES = {
     "e04_gc_skew": lambda s, d: N.gc_skew(v_seq(s, d)).select("seq_id", R6("gc_skew")),
     "e05_at_skew": lambda s, d: N.at_skew(v_seq(s, d)).select("seq_id", R6("at_skew")),
     "e06_find_orfs": lambda s, d: N.find_orfs(v_seq(s, d)),
+    "e06_orfs_of_chunks": lambda s, d: X.find_orfs(_chunks(s, d)),
+    "e11_runs_of_chunks": lambda s, d: X.tandem_runs(_chunks(s, d)),
+    "e11_repeats_of_chunks": lambda s, d: X.tandem_repeats(_chunks(s, d)),
+    "e12_islands_of_chunks": lambda s, d: X.cpg_islands(_chunks(s, d)).select("seq_id", "start", "end", R6("gc_content"), R6("cpg_ratio")),
+    "e15_profile_of_chunks": chunk_profile,
     "e07_orf_summary": lambda s, d: N.orf_summary(N.find_orfs(v_seq(s, d))).select("seq_id", "longest", "orfs", F.array_join(F.transform("top", lambda x: x["start"].cast("string")), ",").alias("top")),
     "e08_translate_six_frames": e08,
     "e09_reverse_complement": lambda s, d: v_seq(s, d).select("seq_id", F.md5(N.reverse_complement("sequence")).alias("rc_md5")),
@@ -239,3 +254,6 @@ from k where kind is not null qualify row_number() over (partition by seq_id, ki
     "g02_sequence_preview": duck("select seq_id, case when length(sequence) > 100 then substr(sequence, 1, 100) || '...' else sequence end preview from v_seq", "v_seq"),
     "g03_collection_summary": duck("select file, printf('Contains %d biological sequence(s), total length %s bp', count(*), format('{:,}', cast(sum(length(sequence)) as bigint))) summary from v_seq group by 1", "v_seq"),
 }
+
+# chunks change nothing
+ORACLES |= {"e06_orfs_of_chunks": ORACLES["e06_find_orfs"], "e11_runs_of_chunks": ORACLES["e11_tandem_runs"], "e11_repeats_of_chunks": ORACLES["e11_tandem_repeats"], "e12_islands_of_chunks": ORACLES["e12_cpg_islands"], "e15_profile_of_chunks": ORACLES["e15_nucleotide_profile"]}

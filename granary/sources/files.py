@@ -1,9 +1,8 @@
-"""Reading and writing files as tables."""
+"""Reading and writing files as tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.transcripts import ITEM
@@ -24,24 +23,6 @@ def classify_files(files: DataFrame) -> DataFrame:
     return files.withColumns({"kind": kind, "is_result": result})
 
 
-def read_fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """File, ord, seq_id, name, description, sequence, length. Records split on the line separator, so large files are read in parallel."""
-    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value")
-    return fasta_records(raw, F.row_number().over(W.partitionBy("file").orderBy("block", "mid")))
-
-
-def fasta_records(raw: DataFrame, order: Column) -> DataFrame:
-    """Records from text pieces (file, value), each from a header, with or without its sign, to the next."""
-    text = F.regexp_replace("value", r"^\s*>", "")
-    head = F.trim(F.regexp_replace(F.substring_index(text, "\n", 1), "\r", ""))
-    body = F.when(F.instr(text, "\n") > 0, F.regexp_replace(F.expr("substr(t, instr(t, '\n') + 1)"), r"\s", "")).otherwise("")
-    rows = raw.withColumn("t", text).where(F.trim(F.regexp_replace("value", r"[\s>]", "")) != "")
-    seq_id = F.substring_index(F.regexp_replace(head, r"\s+", " "), " ", 1)
-    rows = rows.select("*", seq_id.alias("seq_id"), seq_id.alias("name"), head.alias("description"), body.alias("sequence"))
-    keep = [c for c in raw.columns if c not in ("value", "block", "mid")]
-    return rows.select(*keep, order.cast("long").alias("ord"), "seq_id", "name", "description", "sequence", F.length("sequence").cast("long").alias("length"))
-
-
 def read_transcripts(spark: SparkSession, paths) -> DataFrame:
     """file_id, text, text_segments of JSON lists with one object; an empty list is a transcript without segments."""
     raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_id"), "value")

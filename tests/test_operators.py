@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import access, annotations, documents, frames, ledger, nucleotide, protein, routing, transcripts
-from granary.sources import files
+from granary.sources import fasta, files
 from granary.sources.genbank import parse_genbank, read_genbank
 from granary.streaming.monitor import queue_monitor, transition_stream
 
@@ -168,7 +168,7 @@ def test_read_fasta_and_inventory(spark, tmp_path):
     (tmp_path / "x.fasta").write_text(">one first record\nACGT\nAC\n>two\nGG\n\n")
     (tmp_path / "r.md").write_text("x")
     (tmp_path / "page_1" / "p.md").write_text("x")
-    rows = files.read_fasta(spark, str(tmp_path / "x.fasta")).orderBy("ord").collect()
+    rows = fasta.read_fasta(spark, str(tmp_path / "x.fasta")).orderBy("ord").collect()
     assert [(r.seq_id, r.description, r.sequence, r.length) for r in rows] == [("one", "one first record", "ACGTAC", 6), ("two", "two", "GG", 2)]
     inv = {r.path.rsplit("/", 1)[1]: (r.kind, r.is_result) for r in files.file_inventory(spark, str(tmp_path)).collect()}
     assert inv == {"x.fasta": ("other", False), "r.md": ("md", True), "p.md": ("md", False)}
@@ -211,7 +211,7 @@ def test_access_and_registry(spark, tmp_path):
     v = {r.user_id: r.violations for r in access.validate_users(u).collect()}
     assert v == {1: ["email_taken"], 2: ["email_taken", "username_length"], 3: ["username_format"]}
     reg = routing.FormatRegistry()
-    reg.register("fasta", (".fa",), lambda s, p, o: files.read_fasta(s, p))
+    reg.register("fasta", (".fa",), lambda s, p, o: fasta.read_fasta(s, p))
     (tmp_path / "x.FA").write_text(">a\nAC\n")
     assert reg.read_any(spark, [str(tmp_path / "x.FA")])["fasta"].count() == 1
     with pytest.raises(ValueError):
