@@ -130,6 +130,7 @@ GROUP = 1 << 18
 BLOCK_BYTES = 4 << 20
 FEW = 16
 SMALL = 256  # texts of so many distinct shingles or fewer meet by shingles, not by bits
+SMALL_BITS = 290
 COUNTS = 1 << 18
 _PICKS = np.array([np.random.default_rng(SEED + k).choice(WIDE_BITS, KEY_BITS, replace=False) for k in range(KEYS)])
 _MIX = np.random.default_rng(SEED).integers(1 << 62, (1 << 63) - 1, WIDE_WORDS - 1).astype(np.uint64) | np.uint64(1)
@@ -219,57 +220,59 @@ def _sampled_keys(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["id", "key"])
 
 
-def _prefix_keys(level: np.ndarray):
-    """(id, hs) -> (id, key): the rarest shingles of each set, so many that two sets of SIMILAR share one at least.
+def _prefix_keys(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of SIMILAR share one at least.
 
     level: how common each bucket of shingles is. Any order of shingles that all sets agree on will do; this one puts what
     very many texts hold, such as a common passage, last.
     """
+    rank = np.lexsort((hashes, level[hashes % np.uint64(COUNTS)]))
+    return hashes[rank[: len(hashes) - int(np.ceil(SIMILAR * len(hashes) - 1e-9)) + 1]]
 
-    def run(batches: Batches) -> Batches:
-        for rows in batches:
-            ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                h = np.frombuffer(x, np.uint64)
-                rank = np.lexsort((h, level[h % np.uint64(COUNTS)]))
-                pick = h[rank[: len(h) - int(np.ceil(SIMILAR * len(h) - 1e-9)) + 1]].view(np.int64)
-                keys.append(pick)
-                ids.append(np.full(len(pick), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["id", "key"])
 
-    return run
+def _shingle_levels(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The logarithm of how many texts of SMALL shingles or fewer hold one of each bucket: one pass, COUNTS numbers a task."""
+
+    def run(batches: Batches) -> Batches:
+        count = np.zeros(COUNTS, np.int64)
+        for rows in in_parts(batches):
+            for t in rows.column(0).to_pylist():
+                if t and len(t) < 1 << 17:
+                    h = shingle_set(t, shingle)
+                    if len(h) * SIMILAR <= SMALL:
+                        np.add.at(count, (h % np.uint64(COUNTS)).astype(np.int64), 1)
+        held = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count[held])], names=["bucket", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    level = np.zeros(COUNTS, np.uint8)
+    level[counts["bucket"].to_numpy(np.int64)] = np.log2(counts["n"].to_numpy(float)).astype(np.uint8)
+    return level
 
 
-def _bucket_counts(batches: Batches) -> Batches:
-    """(id, hs) -> (bucket, n): how many sets hold a shingle of each bucket, counted per partition."""
-    count = np.zeros(COUNTS, np.int64)
+def _unpacked(batches: Batches) -> Batches:
+    """(id, keys) -> (id, key)"""
     for rows in batches:
-        x = rows.column(1).combine_chunks() if isinstance(rows.column(1), pa.ChunkedArray) else rows.column(1)
-        flat = np.frombuffer(b"".join(x.to_pylist()), np.uint64)
-        count += np.bincount((flat % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-    held = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count[held])], names=["bucket", "n"])
+        keys = [np.frombuffer(x, np.int64) for x in rows.column(1).to_pylist()]
+        ids = np.repeat(rows.column(0).to_numpy(zero_copy_only=False), [len(x) for x in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], names=["id", "key"])
 
 
-def _small_links(small: DataFrame, block_bytes: int) -> DataFrame:
-    """small(id, hs) -> (src, dst): all that is needed to connect sets of SIMILAR or more, each pair decided by the sets."""
-    counts = small.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # COUNTS rows at most
-    level = np.zeros(COUNTS, np.uint8)
-    level[counts["bucket"].to_numpy(np.int64)] = np.log2(counts["n"].to_numpy(float)).astype(np.uint8)
-    keyed = small.mapInArrow(_prefix_keys(level), "id long, key long")
+def _near(first: DataFrame, keyed: DataFrame, max_bits: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(links between those of first(id, fp) that share a key and differ in max_bits or fewer, what to release after them)"""
     met = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_keys, "id long, key long"))
-    most = max(2, block_bytes // (8 * SMALL))
-    dealt = _in_parts_of(met, met.groupBy("key").agg(F.ceil(F.count("*") / most).cast("int").alias("m")).where("m > 1"))
-    sets = dealt.join(small, "id").select("g", "id", "s", "hs")
-    return sets.repartition("g").sortWithinPartitions("g").mapInArrow(_similar, "src long, dst long")
+    dealt = _in_parts_of(met, met.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("m")).where("m > 1"))
+    near = dealt.join(first.select("id", "fp"), "id").select("id", "g", "fp").repartition("g").sortWithinPartitions("g", "id")
+    return near.mapInArrow(_reached(max_bits), "src long, dst long"), met
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, group: int = GROUP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_hash, component_id, kept: groups linked by a word-shingle Jaccard of 0.8 or more.
 
-    Texts of equal shingle sets are one node. Sets of SMALL shingles or fewer meet where they share one of their rarest, which
-    no two similar ones fail to do. For larger ones bits propose: 0.8 is some 15 % differing bits of 1024, and nodes that
-    agree in one of 192 samples of 24 bits and differ in at most max_bits belong to one cluster. Under a key each node is
+    Texts of equal shingle sets are one node. Bits propose: 0.8 is some 15 % differing bits of 1024, and nodes that agree in
+    one of 192 samples of 24 bits and differ in at most max_bits belong to one cluster. Of sets of SMALL shingles or fewer the
+    bits vary more, so these meet where they share one of their rarest shingles, which no two similar ones fail to do, and
+    may differ in SMALL_BITS: two sets of 0.8 differ in some 200 bits, with a deviation of 13, however small. Under a key each node is
     told once, by the first that reaches it, so a key of n nodes gives n rows and no pairs. The shingle sets of a cluster
     then meet once, and every pair in it that is similar by the sets themselves links; again only what joins two parts is told.
     A key of more than ``group`` nodes and a cluster of more than ``block_bytes`` of sets are met in parts, each with each.
@@ -279,34 +282,30 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = MAX
     texts are judged each by its text; repeated rows come out repeated. An empty table gives an empty result.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    level = _shingle_levels(docs, shingle)
 
     def run(batches: Batches) -> Batches:
         for rows in in_parts(batches):
             sets = [shingle_set(t, shingle) for t in rows.column(1).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
-            sizes = np.array([len(x) for x in sets], np.int64)
-            small = pa.array([x.tobytes() if 0 < len(x) * SIMILAR <= SMALL else None for x in sets], pa.binary())
-            large = sizes > SMALL
-            fps = _fixed(wide_fingerprints([x for x, big in zip(sets, large) if big])) if large.any() else pa.array([], pa.binary())
-            where = pa.array(np.cumsum(large) - 1, mask=~large)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), same, pa.array(sizes), fps.take(where), small], names=["doc_id", "th", "same", "n", "fp", "hs"])
+            small = [_prefix_keys(x, level).tobytes() if 0 < len(x) * SIMILAR <= SMALL else None for x in sets]
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), same, sizes, _fixed(wide_fingerprints(sets)), pa.array(small, pa.binary())], names=["doc_id", "th", "same", "n", "fp", "keys"])
 
     def sets_of(batches: Batches) -> Batches:
         for rows in in_parts(batches):
             sets = pa.array([shingle_set(t, shingle).tobytes() for t in rows.column(0).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*rows.columns[1:], sets], names=["id", "c", "m", "hs"])
 
-    rows = durable(hashed.mapInArrow(run, "doc_id long, th long, same binary, n long, fp binary, hs binary"))
+    rows = durable(hashed.mapInArrow(run, "doc_id long, th long, same binary, n long, fp binary, keys binary"))
     live = rows.where("doc_id is not null and same is not null")
-    first = live.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("hs").alias("hs"))
-    first = durable(first.select(F.monotonically_increasing_id().alias("id"), "same", F.col("x.doc_id").alias("low"), F.col("x.th").alias("th"), "n", "fp", "hs"))
-    large = first.where("fp is not null")
-    keyed = large.select("id", "fp").mapInArrow(_sampled_keys, "id long, key long")
-    met = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_keys, "id long, key long"))
-    dealt = _in_parts_of(met, met.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("m")).where("m > 1"))
-    near = dealt.join(large.select("id", "fp"), "id").select("id", "g", "fp").repartition("g").sortWithinPartitions("g", "id").mapInArrow(_reached(max_bits), "src long, dst long")
-    cluster = connected_components(near)
-    release(met)
+    first = live.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    first = durable(first.select(F.monotonically_increasing_id().alias("id"), "same", F.col("x.doc_id").alias("low"), F.col("x.th").alias("th"), "n", "fp", "keys"))
+    by_bits = first.where(F.col("n") > SMALL).select("id", "fp").mapInArrow(_sampled_keys, "id long, key long")
+    by_shingles = first.where("keys is not null").select("id", "keys").mapInArrow(_unpacked, "id long, key long")
+    near, met = zip(_near(first, by_bits, max_bits, group), _near(first, by_shingles, SMALL_BITS, group))
+    cluster = connected_components(near[0].union(near[1]))
+    release(*met)
     members = cluster.join(first.select("id", "n", "low", F.col("th").alias("of")), F.col("node") == F.col("id"))
     sizes = members.groupBy(F.col("component").alias("c")).agg(F.ceil(F.sum(8 * F.col("n")) / block_bytes).cast("int").alias("m"))
     wanted = members.join(sizes, F.col("component") == F.col("c")).select("id", "low", "of", "c", "m")
@@ -314,8 +313,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = MAX
     sets = texts.mapInArrow(sets_of, "id long, c long, m int, hs binary").withColumn("s", F.pmod(F.xxhash64("id"), "m").cast("int"))
     sets = sets.select("id", "hs", "c", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     sets = sets.select(F.xxhash64("c", F.least("s", "x"), F.greatest("s", "x")).alias("g"), "id", "s", "hs")
-    alike = sets.repartition("g").sortWithinPartitions("g").mapInArrow(_similar, "src long, dst long")
-    final = connected_components(alike.union(_small_links(first.where("hs is not null").select("id", "hs"), block_bytes)))
+    final = connected_components(sets.repartition("g").sortWithinPartitions("g").mapInArrow(_similar, "src long, dst long"))
     named = first.join(final, first.id == final.node, "left").select("same", "low", "th", F.coalesce("component", "id").alias("c"))
     head = named.groupBy("c").agg(F.min(F.struct("low", "th")).alias("head"))
     named = named.join(head, "c").select(F.col("same").alias("of"), "head")
@@ -326,14 +324,13 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, max_bits: int = MAX
 
 
 def _in_parts_of(met: DataFrame, large: DataFrame) -> DataFrame:
-    """met(id, key) -> id, g, s: the ids of a key meet in one place, those of a large(key, m) key in m parts, each with each.
-    s: the part an id comes from."""
+    """met(id, key) -> id, g: the ids of a key meet in one place, those of a large(key, m) key in m parts, each with each."""
     large = durable(large)
     if large.isEmpty():
-        return met.select("id", F.col("key").alias("g"), F.lit(0).alias("s"))
+        return met.select("id", F.col("key").alias("g"))
     homes = met.join(large, "key", "left").select("id", "key", F.coalesce("m", F.lit(1)).alias("m")).withColumn("s", F.pmod(F.xxhash64("id"), "m").cast("int"))
     homes = homes.select("id", "key", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
-    return homes.select("id", F.xxhash64("key", F.least("s", "x"), F.greatest("s", "x")).alias("g"), "s")
+    return homes.select("id", F.xxhash64("key", F.least("s", "x"), F.greatest("s", "x")).alias("g"))
 
 
 def _shared_keys(batches: Batches) -> Batches:
