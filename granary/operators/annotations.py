@@ -1,4 +1,8 @@
-"""Annotated sequence records. Features: (record_id, feature_no, type, location, qualifiers map<string,array<string>>)."""
+"""Annotated sequence records. Features: (record_id, feature_no, type, location, qualifiers map<string,array<string>>).
+
+A record is known by record_id, or, where features have them, by file, record_no and record_id together: accessions repeat.
+Results carry the same columns.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,11 @@ REGULATORY = ("regulatory", "promoter", "enhancer", "terminator", "RBS", "TATA_s
 RNA = ("rRNA", "tRNA", "mRNA", "ncRNA", "misc_RNA")
 
 
+def key_of(*frames: DataFrame) -> list[str]:
+    """The columns that know a record in all of these."""
+    return [c for c in ("file", "record_no", "record_id") if all(c in f.columns for f in frames)]
+
+
 def first_of(*names: str) -> Column:
     """The first value of the first qualifier that is there."""
     return F.coalesce(*[F.get(F.col("qualifiers")[n], F.lit(0)) for n in names])
@@ -25,29 +34,29 @@ def with_strand(features: DataFrame) -> DataFrame:
 
 
 def feature_type_counts(features: DataFrame) -> DataFrame:
-    """record_id, type, n."""
-    return features.groupBy("record_id", "type").agg(F.count("*").alias("n"))
+    """The record's key, type, n."""
+    return features.groupBy(*key_of(features), "type").agg(F.count("*").alias("n"))
 
 
 def genes(features: DataFrame) -> DataFrame:
     """H03"""
-    return with_strand(features.where("type = 'gene'")).select("record_id", "feature_no", "location", "strand", first_of("gene").alias("gene"), first_of("locus_tag").alias("locus_tag"), first_of("note").alias("note"))
+    return with_strand(features.where("type = 'gene'")).select(*key_of(features), "feature_no", "location", "strand", first_of("gene").alias("gene"), first_of("locus_tag").alias("locus_tag"), first_of("note").alias("note"))
 
 
 def coding_products(features: DataFrame) -> DataFrame:
     """With the length of the translation."""
     names = ("product", "gene", "protein_id", "function", "note")
-    return features.where("type = 'CDS'").select("record_id", "feature_no", *[first_of(n).alias(n) for n in names], F.length(first_of("translation")).cast("long").alias("translation_length"))
+    return features.where("type = 'CDS'").select(*key_of(features), "feature_no", *[first_of(n).alias(n) for n in names], F.length(first_of("translation")).cast("long").alias("translation_length"))
 
 
 def regulatory_elements(features: DataFrame) -> DataFrame:
     """H05"""
-    return features.where(F.col("type").isin(*REGULATORY)).select("record_id", "feature_no", "type", "location", first_of("regulatory_class").alias("regulatory_class"), first_of("note").alias("note"))
+    return features.where(F.col("type").isin(*REGULATORY)).select(*key_of(features), "feature_no", "type", "location", first_of("regulatory_class").alias("regulatory_class"), first_of("note").alias("note"))
 
 
 def rna_features(features: DataFrame) -> DataFrame:
     """H06"""
-    return features.where(F.col("type").isin(*RNA)).select("record_id", "feature_no", "type", first_of("product").alias("product"), first_of("gene").alias("gene"))
+    return features.where(F.col("type").isin(*RNA)).select(*key_of(features), "feature_no", "type", first_of("product").alias("product"), first_of("gene").alias("gene"))
 
 
 def _firsts(condition: Column, value: Column, n: int) -> Column:
@@ -58,20 +67,20 @@ def _firsts(condition: Column, value: Column, n: int) -> Column:
 def feature_summary(features: DataFrame, n: int = 10) -> DataFrame:
     """Counts by group and the first n gene names and products of each record."""
     t = F.col("type")
-    return features.groupBy("record_id").agg(
+    return features.groupBy(*key_of(features)).agg(
         F.count("*").alias("features"), F.count_if(t == "gene").alias("genes"), F.count_if(t == "CDS").alias("cds"), F.count_if(t.isin(*REGULATORY)).alias("regulatory"), F.count_if(t.isin(*RNA)).alias("rna"),
         _firsts(t == "gene", first_of("gene", "locus_tag"), n).alias("gene_names"), _firsts(t == "CDS", first_of("product"), n).alias("products"),
     )
 
 
 def organisms(features: DataFrame) -> DataFrame:
-    """record_id, sorted distinct organisms of its source features."""
-    return features.where("type = 'source'").groupBy("record_id").agg(F.array_sort(F.collect_set(first_of("organism"))).alias("organisms"))
+    """The record's key, sorted distinct organisms of its source features."""
+    return features.where("type = 'source'").groupBy(*key_of(features)).agg(F.array_sort(F.collect_set(first_of("organism"))).alias("organisms"))
 
 
 def scalar_annotations(records: DataFrame) -> DataFrame:
     """records(record_id, annotations map) -> record_id, name, value of the non-empty ones, one line long."""
-    return records.select("record_id", F.explode(F.map_filter("annotations", lambda k, v: v.isNotNull() & (v != "") & ~v.contains("\n"))).alias("name", "value"))
+    return records.select(*key_of(records), F.explode(F.map_filter("annotations", lambda k, v: v.isNotNull() & (v != "") & ~v.contains("\n"))).alias("name", "value"))
 
 
 def taxonomy_refs(records: DataFrame) -> DataFrame:
@@ -83,14 +92,14 @@ def describe_record(records: DataFrame, features: DataFrame, lang: str = "en") -
     """A description of records(record_id, organism, length, gc_content, taxonomy array, reference_count) and their
     features: organism, length with GC, genes and coding sequences, products of the first three of these, RNAs by type in
     order of appearance, regulatory elements, taxonomy and references. A clause without its value is left out."""
-    t, kind = RECORD_TEXT[lang], F.col("type")
+    t, kind, key = RECORD_TEXT[lang], F.col("type"), key_of(records, features)
     say = lambda key, *cols: F.format_string(t[key], *cols)
     listed = lambda condition, value: F.array_sort(F.collect_list(F.when(condition, F.struct("feature_no", value.alias("x")))))
-    found = features.groupBy("record_id").agg(
+    found = features.groupBy(*key).agg(
         F.count_if(kind == "gene").alias("genes"), F.count_if(kind == "CDS").alias("cds"), F.count_if(kind.isin(*REGULATORY)).alias("regulatory"),
         listed(kind == "CDS", first_of("product")).alias("coding"), F.transform(listed(kind.isin(*RNA), kind), lambda i: i["x"]).alias("rna"),
     )
-    r = records.join(found, "record_id", "left")
+    r = records.join(found, key, "left")
     products = F.filter(F.transform(F.slice("coding", 1, 3), lambda i: i["x"]), lambda x: x.isNotNull() & (x != ""))
     by_type = F.transform(F.array_distinct("rna"), lambda name: F.concat(F.size(F.filter("rna", lambda x: x == name)).cast("string"), F.lit(" "), name))
     size, gc = F.format_number("length", 0), F.col("gc_content") * 100
@@ -109,8 +118,9 @@ def describe_record(records: DataFrame, features: DataFrame, lang: str = "en") -
 
 def record_totals(records: DataFrame, features: DataFrame, by: str = "file") -> DataFrame:
     """Records, total length and features of each file of records(record_id, file, length)."""
-    n = features.groupBy("record_id").agg(F.count("*").alias("f"))
-    return records.join(n, "record_id", "left").groupBy(by).agg(F.count("*").alias("records"), F.sum("length").alias("total_length"), F.sum(F.coalesce("f", F.lit(0))).alias("features"))
+    key = key_of(records, features)
+    n = features.groupBy(*key).agg(F.count("*").alias("f"))
+    return records.join(n, key, "left").groupBy(by).agg(F.count("*").alias("records"), F.sum("length").alias("total_length"), F.sum(F.coalesce("f", F.lit(0))).alias("features"))
 
 
 def record_json(summary: DataFrame) -> DataFrame:

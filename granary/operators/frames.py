@@ -3,41 +3,62 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from granary.functions.shared import written
+from granary.operators.halo import with_previous
 from granary.operators.transcripts import format_timestamp
 
 
 def frame_diff(frames: DataFrame) -> DataFrame:
-    """Mean absolute difference to the frame before; null for the first."""
-    before = F.lag("gray").over(W.partitionBy("video_id").orderBy("frame_number"))
-    gaps = F.zip_with("gray", "before", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    """Mean absolute difference to the frame before; null for the first. A video is in as many tasks as its size asks for."""
+    both = with_previous(frames.select("video_id", "frame_number", "gray"), ["video_id"], ["frame_number"], ["gray"])
+    gaps = F.zip_with("gray", "previous_gray", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
     total = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x) / F.size("gray")
-    return frames.withColumn("before", before).select("video_id", "frame_number", F.when(F.col("before").isNotNull(), total).alias("diff"))
+    return both.select("video_id", "frame_number", F.when(F.col("previous_gray").isNotNull(), total).alias("diff"))
 
 
-def _kept(items: Column, last: Column, far: Column | None, ok) -> Column:
-    """Fold over items in order, keeping those that stand far enough from the last kept."""
-    start = F.struct(last.alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    return F.aggregate(items, start, lambda a, x: F.when(ok(a["last"], x), F.struct(x["v"].alias("last"), F.concat(a["kept"], F.array(x["n"])).alias("kept"))).otherwise(a))["kept"]
+def _followed(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """steps(video_id, at, next) and start(video_id, at) -> all (video_id, at) that one comes to from the starts.
+
+    Each round knows where twice as many steps lead, so the rounds grow with the logarithm of the longest way."""
+    reached, jump = written(start.distinct(), "reached"), steps.where("next is not null")
+    n = reached.count()
+    while True:
+        led = reached.join(jump, ["video_id", "at"]).select("video_id", F.col("next").alias("at"))
+        reached = written(reached.union(led).distinct(), "reached")
+        m = reached.count()
+        if m == n:
+            return reached
+        n = m
+        after = jump.select("video_id", F.col("at").alias("next"), F.col("next").alias("then"))
+        jump = written(jump.join(after, ["video_id", "next"]).select("video_id", "at", F.col("then").alias("next")), "jump")
 
 
 def scene_cuts(diffs: DataFrame, threshold: float = 30.0, min_seconds: float = 1.0, fps: float = 25.0) -> DataFrame:
     """video_id, frame_number, ts of the cuts: a large difference, and far enough from the last cut (at first frame 0).
 
-    Candidates are filtered first; only their numbers are gathered for the fold, never pixels.
+    Each candidate's next cut, were it one, is the first candidate far enough on; the cuts are those that the first leads to.
+    Only numbers of candidates are sorted and joined, never pixels, and no array holds a video.
     """
     gap = int(min_seconds * fps)
-    c = diffs.where(F.col("diff") > threshold).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("frame_number").cast("bigint").alias("v"), F.col("frame_number").cast("bigint").alias("n")))).alias("items"))
-    kept = c.select("video_id", F.explode(_kept(F.col("items"), F.lit(0).cast("bigint"), None, lambda last, x: x["v"] - last >= gap)).alias("frame_number"))
-    return kept.withColumn("ts", F.col("frame_number") / fps)
+    c = diffs.where(F.col("diff") > threshold).select("video_id", F.col("frame_number").cast("long").alias("at")).distinct()
+    asks = c.select("video_id", F.col("at").alias("of"), (F.col("at") + gap).alias("at")).union(c.select("video_id").distinct().select("video_id", F.lit(-1).cast("long"), F.lit(gap).cast("long")))
+    both = c.select("video_id", F.lit(None).cast("long").alias("of"), "at").union(asks)
+    onward = W.partitionBy("video_id").orderBy(F.desc("at"), F.col("of").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    step = both.withColumn("next", F.min(F.when(F.col("of").isNull(), F.col("at"))).over(onward)).where("of is not null and next <> of or of = -1")
+    steps = written(step.select("video_id", F.col("of").alias("at"), "next"), "steps")
+    found = _followed(steps, steps.where("at = -1").select("video_id", "at")).where("at >= 0")
+    return found.select("video_id", F.col("at").alias("frame_number"), (F.col("at") / fps).alias("ts"))
 
 
 def fixed_interval(videos: DataFrame, cuts: DataFrame, seconds: int = 10) -> DataFrame:
@@ -79,10 +100,24 @@ def with_hash(frames: DataFrame) -> DataFrame:
 
 
 def phash_dedup(frames: DataFrame, max_bits: int = 5) -> DataFrame:
-    """video_id, frame_number of the frames that differ from the last kept one in more than max_bits of their hash."""
-    items = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("frame_number").cast("bigint").alias("n"), F.col("phash").alias("v")))).alias("items"))
-    kept = _kept(F.col("items"), F.lit(None).cast("bigint"), None, lambda last, x: last.isNull() | (F.bit_count(last.bitwiseXOR(x["v"])) > max_bits))
-    return items.select("video_id", F.explode(kept).alias("frame_number"))
+    """video_id, frame_number of the frames that differ from the last kept one in more than max_bits of their hash.
+
+    What stays depends on what stayed, so a video's hashes, 16 bytes a frame, go by in order in one task, which holds the last
+    kept one alone."""
+    kind = dict(frames.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, last = object(), 0
+        for b in batches:
+            keep = []
+            for k, (v, h) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                if h is not None and (v != video or ((last ^ h) & (1 << 64) - 1).bit_count() > max_bits):
+                    video, last = v, h
+                    keep.append(k)
+            yield b.take(pa.array(keep, pa.int64())).select(["video_id", "frame_number"])
+
+    rows = frames.select("video_id", F.col("frame_number").cast("long").alias("frame_number"), F.col("phash").cast("long").alias("phash"))
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame_number").mapInArrow(run, f"video_id {kind['video_id']}, frame_number long")
 
 
 def text_near_dup(frames: DataFrame, ratio: float = 0.9) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.constants import STATUSES
+from granary.operators.halo import with_previous
 
 
 def append_tasks(requests: DataFrame, submitted_at: dt.datetime) -> DataFrame:
@@ -155,8 +156,8 @@ def status_split(tasks: DataFrame, key: str) -> DataFrame:
 
 def snapshot_change(snapshots: DataFrame) -> DataFrame:
     """Whether each status' count differs from the snapshot before."""
-    before = F.lag("n").over(W.partitionBy("status").orderBy("snap_at"))
-    return snapshots.withColumn("changed", ~before.eqNullSafe(F.col("n")))
+    both = with_previous(snapshots, ["status"], ["snap_at"], ["n"])
+    return both.withColumn("changed", ~F.col("previous_n").eqNullSafe(F.col("n"))).drop("previous_n")
 
 
 def worker_parts(tasks: DataFrame) -> DataFrame:

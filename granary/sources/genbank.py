@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.sources.splits import numbered, split_text
+
 
 def read_genbank(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """(records, features) of .gb files; records are read in parallel, split on their end mark."""
-    raw = spark.read.option("lineSep", "\n//").text(paths)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
-    return parse_genbank(raw)
+    """(records, features) of .gb files; records are read, and numbered within their file, in parallel, split on their end mark."""
+    rows = numbered(split_text(spark, paths, "\n//"), F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    return parse_genbank(rows.select("file", F.col("ord").alias("record_no"), "value"))
 
 
 def _field(key: str):
@@ -25,29 +26,32 @@ def _field(key: str):
 
 
 def parse_genbank(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """raw(file, value), one record each -> records(record_id, file, name, description, sequence, length, organism, taxonomy, references), features.
+    """raw(file, record_no, value), one record each -> records(file, record_no, record_id, name, description, sequence, length,
+    organism, taxonomy, references), features(file, record_no, record_id, feature_no, type, location, qualifiers).
 
-    Features carry their record's file and accession; records of one accession, in several files or one, are kept apart.
+    A record is known by its file and its number there, so records of one accession, in several files or one, stay apart. Without
+    a record_no in raw, records are numbered as they come.
     """
-    raw = raw.withColumn("value", F.regexp_replace("value", "\r", "")).withColumn("record_no", F.monotonically_increasing_id())
+    raw = raw.withColumn("value", F.regexp_replace("value", "\r", ""))
+    raw = raw if "record_no" in raw.columns else raw.withColumn("record_no", F.monotonically_increasing_id())
     accession = F.coalesce(F.substring_index(_field("VERSION"), " ", 1), F.substring_index(_field("ACCESSION"), " ", 1), F.substring_index(_field("LOCUS"), " ", 1))
     origin = F.regexp_extract("value", r"(?s)\nORIGIN[^\n]*\n(.*)", 1)
     source = F.regexp_extract("value", r"(?s)\n +ORGANISM +([^\n]*)((?:\n {12}[^\n]*)*)", 2)
     records = raw.select(
-        accession.alias("record_id"), "file", F.substring_index(_field("LOCUS"), " ", 1).alias("name"), _field("DEFINITION").alias("description"),
+        "file", "record_no", accession.alias("record_id"), F.substring_index(_field("LOCUS"), " ", 1).alias("name"), _field("DEFINITION").alias("description"),
         F.upper(F.regexp_replace(origin, "[^A-Za-z]", "")).alias("sequence"),
         F.nullif(F.regexp_extract("value", r"\n +ORGANISM +([^\n]*)", 1), F.lit("")).alias("organism"),
         F.filter(F.split(F.trim(F.regexp_replace(F.regexp_replace(source, r"\.\s*$", ""), r"\s+", " ")), r"\s*;\s*"), lambda x: x != "").alias("taxonomy"),
         F.regexp_count("value", F.lit(r"(?:^|\n)REFERENCE ")).cast("long").alias("references"),
     ).withColumn("length", F.length("sequence").cast("long"))
     table = F.regexp_extract("value", r"(?s)\nFEATURES[^\n]*\n(.*?)(?=\n\S|\z)", 1)
-    lines = raw.select("record_no", "file", accession.alias("record_id"), F.posexplode(F.split(table, "\n")).alias("k", "line")).where(F.trim("line") != "")
+    lines = raw.select("file", "record_no", accession.alias("record_id"), F.posexplode(F.split(table, "\n")).alias("k", "line")).where(F.trim("line") != "")
     key = F.trim(F.substring("line", 6, 15))
-    w = W.partitionBy("record_no").orderBy("k")
+    w = W.partitionBy("file", "record_no").orderBy("k")
     lines = lines.withColumn("type", F.nullif(key, F.lit(""))).withColumn("feature_no", F.sum(F.when(F.col("type").isNotNull(), 1).otherwise(0)).over(w))
     rest = F.trim(F.expr("substr(line, 22)"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", rest.alias("x")))), lambda x: x["x"]), "\n")
-    whole = lines.groupBy("record_no", "feature_no").agg(F.first("file").alias("file"), F.first("record_id").alias("record_id"), F.max("type").alias("type"), text.alias("text"))
+    whole = lines.groupBy("file", "record_no", "feature_no").agg(F.first("record_id").alias("record_id"), F.max("type").alias("type"), text.alias("text"))
     parts = F.split("text", r"\n(?=/)")
     entry = lambda x: F.struct(F.regexp_extract(x, r"^/([^=\n]+)", 1).alias("key"), F.regexp_replace(F.regexp_replace(F.regexp_extract(x, r"(?s)=(.*)$", 1), r'^"|"$', ""), r"\n", " ").alias("value"))
     items = F.transform(F.filter(F.slice(parts, 2, 1000000), lambda x: x.startswith("/")), entry)
@@ -55,6 +59,6 @@ def parse_genbank(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.array_distinct(F.transform(items, lambda e: e["key"]))
     values = F.transform("names", lambda n: F.transform(F.filter("items", lambda e: e["key"] == n), tidy))
     location = F.replace(F.get(parts, F.lit(0)), F.lit("\n"), F.lit(""))
-    features = whole.select("file", "record_id", F.col("feature_no").cast("long").alias("feature_no"), "type", location.alias("location"), items.alias("items"), names.alias("names"))
-    features = features.select("file", "record_id", "feature_no", "type", "location", F.map_from_arrays("names", values).alias("qualifiers"))
+    features = whole.select("file", "record_no", "record_id", F.col("feature_no").cast("long").alias("feature_no"), "type", location.alias("location"), items.alias("items"), names.alias("names"))
+    features = features.select("file", "record_no", "record_id", "feature_no", "type", "location", F.map_from_arrays("names", values).alias("qualifiers"))
     return records, features
