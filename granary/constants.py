@@ -54,6 +54,16 @@ ENGINES = {
     "pipeline": (".pdf", ".png", ".jpg", ".jpeg"),
     "markitdown": (".docx", ".xlsx", ".pptx", ".doc", ".xls", ".ppt", ".html", ".txt", ".csv"),
 }
+# Category, shown name and description of the engines.
+ENGINE_INFO = {
+    "pipeline": ("document", "MinerU Pipeline", "默认的 PDF/图片解析引擎，支持公式、表格等复杂结构"),
+    "markitdown": ("office", "MarkItDown", "Office 文档和文本文件转换引擎"),
+    "paddleocr_vl": ("ocr", "PaddleOCR-VL", "PaddlePaddle 视觉语言 OCR 引擎"),
+    "sensevoice": ("audio", "SenseVoice", "语音识别引擎，支持多语言自动检测"),
+    "video": ("video", "Video Processing", "视频处理引擎，支持关键帧提取和音频转录"),
+    "fasta": ("format", "FASTA", "生物序列格式 (DNA/RNA/蛋白质)"),
+    "genbank": ("format", "GENBANK", "GenBank 注释序列格式"),
+}
 EXPLICIT_BACKENDS = ("sensevoice", "video", "paddleocr-vl", "pipeline")
 
 # Transcript tags and their symbols.
@@ -179,3 +189,6 @@ REPORT_TEXT = {
         "structure": "二级结构预测",
     },
 }
+
+# Title of a report on annotated records.
+RECORD_TITLE = {"en": "GenBank Sequence Analysis Results", "zh": "GenBank 序列解析结果"}

@@ -7,11 +7,11 @@ Results carry the same columns.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.constants import RECORD_TEXT
+from granary.constants import RECORD_TEXT, RECORD_TITLE, REPORT_TEXT
 from granary.functions.text import sentence
+from granary.operators.halo import with_number
 
 # Feature types of each group.
 REGULATORY = ("regulatory", "promoter", "enhancer", "terminator", "RBS", "TATA_signal", "polyA_signal")
@@ -123,13 +123,76 @@ def record_totals(records: DataFrame, features: DataFrame, by: str = "file") ->
     return records.join(n, key, "left").groupBy(by).agg(F.count("*").alias("records"), F.sum("length").alias("total_length"), F.sum(F.coalesce("f", F.lit(0))).alias("features"))
 
 
-def record_json(summary: DataFrame) -> DataFrame:
-    return summary.select("record_id", F.to_json(F.struct(*summary.columns)).alias("json"))
-
-
-def record_markdown(features: DataFrame, n: int = 10) -> DataFrame:
-    """A section for each record: its types by count, then its first n features."""
-    counts = feature_type_counts(features).groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "type", "n"))), lambda x: F.concat(F.lit("- "), x["type"], F.lit(": "), x["n"].cast("string"))).alias("counts"))
-    rank = F.row_number().over(W.partitionBy("record_id").orderBy("feature_no"))
-    lines = features.withColumn("k", rank).where(F.col("k") <= n).groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("1. "), "type", F.lit(" "), "location").alias("x")))), lambda x: x["x"]).alias("lines"))
-    return counts.join(lines, "record_id").select("record_id", F.concat(F.lit("## Record "), F.col("record_id").cast("string"), F.lit("\n\n"), F.array_join("counts", "\n"), F.lit("\n\n"), F.array_join("lines", "\n")).alias("markdown"))
+def _types(features: DataFrame, key: list[str]) -> DataFrame:
+    """The record's key, n features and types (type, n), the most frequent first, ties by first appearance."""
+    each = features.groupBy(*key, "type").agg(F.count("*").alias("n"), F.min("feature_no").alias("first"))
+    item = F.struct((-F.col("n")).alias("order"), "first", "type", "n")
+    return each.groupBy(*key).agg(F.sum("n").alias("feature_count"), F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["type"].alias("type"), x["n"].alias("n"))).alias("types"))
+
+
+# What the head of a collection names.
+ANALYSIS_VERSION = "1.0"
+RECORD_FEATURES = ("feature_extraction", "gene_annotation", "protein_annotation", "regulatory_elements", "rna_features", "semantic_description")
+
+
+def record_json(records: DataFrame, features: DataFrame, include_full: bool = True, include_features: bool = True, first: int = 10) -> DataFrame:
+    """The record's key, json: id, name, description, length and what there is of annotations, sequence, gc_content and
+    meaning (as semantic_description) of records; with features, each of them, their number by type, and a summary with the
+    first genes and proteins. What is null is left out; a record without features has none of these."""
+    key, have = key_of(records, features), set(records.columns)
+    fields = [F.col("record_id").alias("id"), *(F.col(c) for c in ("name", "description", "length", "annotations") if c in have)]
+    fields += [F.col("sequence")] if include_full and "sequence" in have else []
+    fields += [F.col("gc_content")] if "gc_content" in have else []
+    fields += [F.nullif("meaning", F.lit("")).alias("semantic_description")] if "meaning" in have else []
+    if not include_features:
+        return records.select(*key, F.to_json(F.struct(*fields)).alias("json"))
+    f, kind = with_strand(features), F.col("type")
+    ordered = lambda condition, *values: F.transform(F.sort_array(F.collect_list(F.when(condition, F.struct("feature_no", F.struct(*values).alias("x"))))), lambda i: i["x"])
+    name = lambda *of: first_of(*of)
+    gene = ("location", "strand", name("gene").alias("name"), name("locus_tag").alias("locus_tag"), name("note").alias("note"))
+    protein = ("location", "strand", *(name(n).alias(n) for n in ("product", "gene", "protein_id", "function", "note")), F.nullif(F.length(name("translation")), F.lit(0)).alias("translation_length"))
+    whole = lambda x: F.struct(x["type"].alias("type"), x["location"].alias("location"), x["strand"].alias("strand"), F.map_from_entries(x["q"]).alias("qualifiers"))
+    told = f.groupBy(*key).agg(
+        F.transform(ordered(F.lit(True), "location", "type", "strand", F.map_entries("qualifiers").alias("q")), whole).alias("features"), ordered(kind == "gene", *gene).alias("genes"), ordered(kind == "CDS", *protein).alias("proteins"),
+        F.count_if(kind.isin(*REGULATORY)).alias("regulatory_count"), F.count_if(kind.isin(*RNA)).alias("rna_count"),
+    )
+    both = records.join(told, key, "left").join(_types(features, key), key, "left")
+    by_type = F.map_from_entries("types").alias("feature_types")
+    summary = F.struct(F.size("genes").alias("gene_count"), F.size("proteins").alias("cds_count"), "regulatory_count", "rna_count", F.slice("genes", 1, first).alias("genes"), F.slice("proteins", 1, first).alias("proteins"))
+    return both.select(*key, F.to_json(F.struct(*fields, "features", by_type, F.when(F.col("features").isNotNull(), summary).alias("feature_summary"))).alias("json"))
+
+
+def records_json_head(records: DataFrame, by: str = "file") -> DataFrame:
+    """The head of each collection's JSON; its records are the rows of record_json()."""
+    totals = records.groupBy(by).agg(F.count("*").alias("total_count"), F.sum("length").alias("total_length"))
+    return totals.select(by, F.to_json(F.struct("total_count", "total_length", F.lit(ANALYSIS_VERSION).alias("analysis_version"), F.array(*[F.lit(x) for x in RECORD_FEATURES]).alias("genbank_features"))).alias("json"))
+
+
+def record_markdown(records: DataFrame, features: DataFrame, by: str = "file", preview: int = 100, lang: str = "en") -> DataFrame:
+    """A Markdown report of each collection as rows (by, part, markdown): part 0 is the head with the totals, each further
+    part a record's section, in order of record_no, or record_id where there is none. A section has the basic information and
+    what there is of annotations (map), features with their types, sequence, gc_content and meaning."""
+    t, key, have = REPORT_TEXT[lang], key_of(records, features), set(records.columns)
+    whole = lambda c: F.format_number(F.coalesce(c, F.lit(0)), 0)
+    lit = lambda x: F.lit(x)
+    stats = records.groupBy(by).agg(F.count("*").alias("n"), F.sum("length").alias("sum"))
+    head = F.concat(lit(f"# {RECORD_TITLE[lang]}\n\n## 📊 {t['statistics']}\n\n- **{t['count']}**: "), F.col("n").cast("string"), lit(f"\n- **{t['total']}**: "), whole(F.col("sum")), lit(f" bp\n\n## 🧬 {t['details']}\n"))
+    numbered = with_number(records.join(_types(features, key), key, "left"), [by], ["record_no" if "record_no" in have else "record_id"], "part")
+    id = F.col("record_id").cast("string")
+    name = F.col("name") if "name" in have else id
+    about = F.coalesce(F.col("description"), lit("")) if "description" in have else lit("")
+    basic = F.concat(lit("**Basic Information**:\n- ID: `"), id, lit("`\n- Name: `"), F.coalesce(name, lit("")), lit("`\n- Description: "), about, lit("\n- Length: "), whole(F.col("length")), lit(" bp\n"))
+    notes = F.lit(None).cast("string")
+    if "annotations" in have:
+        pairs = F.transform(F.map_entries("annotations"), lambda e: F.concat(lit("- "), e["key"], lit(": "), e["value"]))
+        notes = F.when(F.size("annotations") > 0, F.concat(lit("**Annotations**:\n"), F.array_join(F.concat(pairs, F.array(lit(""))), "\n")))
+    each = F.transform("types", lambda x: F.concat(lit("- "), x["type"], lit(": "), x["n"].cast("string")))
+    counted = F.when(F.col("types").isNotNull(), F.concat(lit("**Feature Count**: "), F.col("feature_count").cast("string"), lit("\n**Feature Types**:\n"), F.array_join(each, "\n"), lit("\n")))
+    letters = F.col("sequence") if "sequence" in have else F.lit(None).cast("string")
+    shown = F.concat(lit(f"**{t['preview']}**:\n```\n"), F.substring(letters, 1, preview), F.when(F.length(letters) > preview, "...").otherwise(""), lit("\n```\n"))
+    gc = F.format_string(f"**{t['gc']}**: %.2f%%\n", F.round(F.col("gc_content") * 100 + 1e-9, 2)) if "gc_content" in have else F.lit(None).cast("string")
+    gc = F.when(F.col("gc_content").isNotNull(), gc) if "gc_content" in have else gc
+    meaning = F.when(F.col("meaning") != "", F.concat(lit(f"**🔬 {t['meaning']}**:\n"), F.col("meaning"), lit("\n"))) if "meaning" in have else F.lit(None).cast("string")
+    title = F.concat(lit("### "), F.col("part").cast("string"), lit(". "), F.coalesce(F.nullif(name, lit("")), id), lit("\n"))
+    section = F.concat_ws("\n", title, basic, notes, counted, shown, gc, meaning)
+    return stats.select(by, F.lit(0).cast("long").alias("part"), head.alias("markdown")).union(numbered.select(by, "part", section))

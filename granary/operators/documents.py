@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.constants import BACKEND_LABELS
+from granary.functions.shared import written
 from granary.functions.text import lookup
 
 PAGE_BREAK = "\n\n---\n\n"
@@ -111,43 +108,85 @@ def formulas(docs: DataFrame, col: str = "text") -> DataFrame:
     return docs.select("doc_id", F.inline(F.concat(found("block", F.col(col), _BLOCK), found("inline", rest, _INLINE))))
 
 
-def containers(text: str | None) -> list[tuple[str, int]]:
-    """(path, depth) of every object and array of one JSON text, dot-joined; none for bad JSON or a scalar."""
-    try:
-        todo, out = [("", 0, json.loads(text or ""))], []
-    except (ValueError, RecursionError):
-        return []
-    while todo:
-        path, depth, v = todo.pop()
-        if isinstance(v, (dict, list)):
-            out.append((path, depth))
-            items = v.items() if isinstance(v, dict) else enumerate(v)
-            todo += [(f"{path}.{k}" if depth else str(k), depth + 1, x) for k, x in items]
-    return out
+_NO_VALUE = "cast(null as variant)"
+LEVELS, MOST_LEVELS = 4, 32
 
 
-def json_paths(docs: DataFrame, id: str = "id", col: str = "json") -> DataFrame:
-    """Id, path, depth of every object and array of a JSON text, dot-joined, at every level.
+def _children(v: Column, path: Column, depth: Column) -> Column:
+    """The objects and arrays right below one: (path, depth, v)."""
+    fields = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, k: F.struct(k.cast("string").alias("key"), x.alias("value")))
+    under = lambda e: F.struct(F.when(depth == 0, e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])).alias("path"), (depth + 1).alias("depth"), e["value"].alias("v"))
+    return F.filter(F.transform(F.coalesce(fields, items), under), lambda x: _is_container(x["v"]))
 
-    One narrow pass; bad JSON has no paths, and nesting too deep for a JSON reader (thousands of levels) is bad JSON.
-    """
-    kind = dict(docs.dtypes)[id]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, *x) for i, text in zip(b["id"], b["json"]) for x in containers(text)], columns=["id", "path", "depth"])
+def _is_container(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>").isNotNull() | F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit(False))
 
-    return docs.select(F.col(id).alias("id"), F.col(col).cast("string").alias("json")).mapInPandas(run, f"id {kind}, path string, depth long")
 
+def json_paths(docs: DataFrame, id: str = "id", col: str = "json", max_level: int | None = None) -> DataFrame:
+    """Id, path, depth, error of every object and array of a JSON text, dot-joined, down to max_level if given.
 
-def json_shape(docs: DataFrame, id: str = "id", col: str = "json", width: int = 20) -> DataFrame:
-    """Id, kind (object, array, scalar, invalid), n keys or items, preview."""
-    v = F.try_parse_json(col)
-    shape = F.schema_of_variant(v)
-    kind = F.when(v.isNull(), "invalid").when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("scalar")
-    n = F.when(kind == "object", F.size(F.json_object_keys(col))).when(kind == "array", F.json_array_length(col)).otherwise(0)
-    text = F.when(F.length(col) > width, F.concat(F.substring(col, 1, width), F.lit("..."))).otherwise(F.col(col))
-    return docs.select(F.col(id).alias("id"), kind.alias("kind"), n.cast("long").alias("n"), text.alias("preview"))
+    Levels are opened from the outside in, LEVELS at first and twice as many each round up to MOST_LEVELS, until none is left:
+    rounds grow with the depth of the deepest text, not with the number of texts. What follows a whole value is not looked at.
+    A text that Spark's reader does not take (bad JSON, a key twice in an object, more than
+    its thousand levels) is one row with an error and no path. A null text and a scalar have no rows.
+    """
+    spark = docs.sparkSession
+    parsed = docs.select(F.col(id).alias("id"), F.col(col).cast("string").alias("text")).where("text is not null").withColumn("v", F.try_parse_json("text"))
+    bad = parsed.where("v is null").select("id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("depth"), F.lit("not JSON that can be read").alias("error"))
+    open_ = parsed.where(_is_container(F.col("v"))).select("id", F.lit("").alias("path"), F.lit(0).cast("long").alias("depth"), "v")
+    none, done, level, many = F.expr(_NO_VALUE), [], 0, LEVELS
+    while True:
+        rows = open_
+        steps = many if max_level is None else min(many, max_level - level)
+        for _ in range(steps):
+            own = F.array(F.struct("path", "depth", none.alias("v")))
+            below = F.when(F.col("v").isNotNull(), _children(F.col("v"), F.col("path"), F.col("depth")))
+            rows = rows.select("id", F.inline(F.concat(own, F.coalesce(below, F.slice(own, 1, 0)))))
+        level, many = level + steps, min(2 * many, MOST_LEVELS)
+        last = max_level is not None and level >= max_level
+        rows = rows.withColumn("json", F.to_json("v")).drop("v") if not last else rows.drop("v").withColumn("json", F.lit(None).cast("string"))
+        rows = written(rows, "levels")
+        done.append(rows.where("json is null").select("id", "path", "depth") if not last else rows.select("id", "path", "depth"))
+        left = rows.where("json is not null")
+        if last or left.isEmpty():
+            break
+        open_ = left.select("id", "path", "depth", F.try_parse_json("json").alias("v"))
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+    return found.withColumn("error", F.lit(None).cast("string")).union(bad)
+
+
+def _value_preview(v: Column, width: int) -> Column:
+    """One value as it is shown: strings in quotes, cut at a width, containers by their size."""
+    n_fields = F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+    n_items = F.size(F.try_variant_get(v, "$", "array<variant>"))
+    text = F.try_variant_get(v, "$", "string")
+    number = F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1")
+    shown = F.when(F.length(text) > width, F.concat(F.lit('"'), F.substring(text, 1, width), F.lit('..."'))).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(F.is_variant_null(v), "null").when(kind.startswith("OBJECT"), F.format_string("Object(%d)", n_fields)).when(kind.startswith("ARRAY"), F.format_string("Array(%d)", n_items))
+        .when(kind == "STRING", shown).when(kind.startswith("DECIMAL"), F.regexp_replace(number, r"\.$", "")).otherwise(text)
+    )
+
+
+def json_shape(docs: DataFrame, id: str = "id", col: str = "json", width: int = 20, first: int = 3) -> DataFrame:
+    """Id, kind (object, array, scalar, invalid), n keys or items, preview: of an object the first keys with their values,
+    of an array the first items, in order of the text, with dots if there are more; of a scalar itself."""
+    d = docs.select(F.col(id).alias("id"), F.col(col).cast("string").alias("text")).withColumn("v", F.try_parse_json("text"))
+    shape = F.schema_of_variant("v")
+    kind = F.when(F.col("v").isNull(), "invalid").when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("scalar")
+    d = d.withColumn("kind", kind).withColumn("keys", F.when(F.col("kind") == "object", F.json_object_keys("text")))
+    d = d.withColumn("items", F.try_variant_get("v", "$", "array<variant>")).withColumn("fields", F.try_variant_get("v", "$", "map<string,variant>"))
+    n = F.when(F.col("kind") == "object", F.size("keys")).when(F.col("kind") == "array", F.size("items")).otherwise(0)
+    pairs = F.transform(F.slice("keys", 1, first), lambda k: F.concat(k, F.lit(": "), _value_preview(F.try_element_at("fields", k), width)))
+    values = F.transform(F.slice("items", 1, first), lambda x: _value_preview(x, width))
+    listed = F.array_join(F.coalesce(pairs, values), ", ")
+    preview = F.when(F.col("kind").isin("object", "array"), F.concat(listed, F.when(n > first, ", ...").otherwise(""))).when(F.col("kind") == "scalar", _value_preview(F.col("v"), width))
+    return d.select("id", "kind", n.cast("long").alias("n"), preview.alias("preview"))
 
 
 UNITS = ("B", "KB", "MB", "GB", "TB")

@@ -68,6 +68,37 @@ def with_previous(df: DataFrame, by: list[str], order: list[str], take: list[str
     return seen.where("not first_").select(*df.columns, *(f"previous_{c}" for c in take)).union(begin)
 
 
+def with_number(df: DataFrame, by: list[str], order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """df with each row's place in its group, from 1, as column name. A group of any size is in as many tasks as its size asks
+    for; each task tells how many rows of each group it has, and running sums over these give where its numbers begin."""
+    spark, fields = df.sparkSession, dict(df.dtypes)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("part_", F.spark_partition_id().cast("long"))
+    rows = kept_in_order(rows)
+    names = rows.columns
+    of = [names.index(c) for c in by]
+
+    def run(batches: Batches) -> Batches:
+        last, at = None, 0
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in of)))
+            number = np.empty(len(keys), np.int64)
+            for k, key in enumerate(keys):
+                at = at + 1 if key == last else 1
+                last, number[k] = key, at
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number)], names=[*names, "own_"])
+
+    schema = ", ".join([*(f"`{c}` {fields.get(c, 'long')}" for c in rows.columns), "own_ long"])
+    counts = rows.groupBy("part_", *by).agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(W.partitionBy(*by).orderBy("part_").rowsBetween(W.unboundedPreceding, -1))  # a number a task
+    begin = small_side(counts.select(F.col("part_").alias("of_"), *(F.col(c).alias(f"by_{k}_") for k, c in enumerate(by)), F.coalesce(before, F.lit(0)).alias("before_")))
+    numbered = rows.mapInArrow(run, schema)
+    same = F.col("part_") == F.col("of_")
+    for k, c in enumerate(by):
+        same = same & numbered[c].eqNullSafe(F.col(f"by_{k}_"))
+    return numbered.join(begin, same).select(*df.columns, (F.col("before_") + F.col("own_")).alias(name))
+
+
 def _equal(a: pa.Array, b: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

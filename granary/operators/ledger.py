@@ -15,10 +15,10 @@ from granary.constants import STATUSES
 from granary.operators.halo import with_previous
 
 
-def append_tasks(requests: DataFrame, submitted_at: dt.datetime) -> DataFrame:
+def append_tasks(requests: DataFrame, submitted_at: dt.datetime | Column) -> DataFrame:
     """Submission events of requests(file_name, file_path[, backend, options, priority, user_id]); ids follow from path and time."""
     have = lambda c, default: F.coalesce(F.col(c), default) if c in requests.columns else default
-    at = F.lit(submitted_at).cast("timestamp")
+    at = (submitted_at if isinstance(submitted_at, Column) else F.lit(submitted_at)).cast("timestamp")
     return requests.select(
         F.sha2(F.concat_ws("|", "file_path", at.cast("string")), 256).alias("task_id"), "file_name", "file_path",
         F.lit("pending").alias("status"), have("priority", F.lit(0)).cast("int").alias("priority"), have("backend", F.lit("pipeline")).alias("backend"),

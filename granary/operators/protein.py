@@ -118,10 +118,6 @@ def residue_classes(seqs: DataFrame) -> DataFrame:
     return seqs.withColumns({k: F.coalesce(_share(v), F.lit(0.0)) for k, v in sets.items()})
 
 
-def _site(kind: str):
-    return lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("i"))
-
-
 def ptm_sites(seqs: DataFrame, cap: int = 15) -> DataFrame:
     """seq_id, kind, position (from 1), residue, context (two letters either side), score; the first cap of each kind.
 
@@ -136,14 +132,19 @@ def ptm_sites(seqs: DataFrame, cap: int = 15) -> DataFrame:
         "glycosylation": lambda i: (at(i) == "N") & (at(i + 1) != "P") & at(i + 2).isin("S", "T"),
     }
     places = F.sequence(F.lit(0), F.size("letters") - 1)
-    found = [F.transform(F.slice(F.filter(places, here), 1, cap), _site(kind)) for kind, here in kinds.items()]
-    sites = seqs.select("seq_id", "letters", F.explode(F.concat(*found)).alias("site")).select("seq_id", "letters", "site.kind", "site.i")
-    i = F.col("i")
-    first = F.greatest(i - 2, F.lit(0))
-    context = F.array_join(F.slice("letters", first + 1, i + 3 - first), "")
-    motif = F.when(F.col("kind") == "glycosylation", F.array_join(F.slice("letters", i + 1, 3), ""))
-    score = F.when(F.col("kind") == "phosphorylation", F.when(at(i + 1) == "P", 2.0).otherwise(1.0))
-    return sites.select("seq_id", "kind", (i + 1).cast("long").alias("position"), at(i).alias("residue"), context.alias("context"), motif.alias("motif"), score.alias("score"))
+
+    def site(kind: str):
+        def one(i: Column) -> Column:
+            first = F.greatest(i - 2, F.lit(0))
+            context = F.array_join(F.slice("letters", first + 1, i + 3 - first), "")
+            motif = F.array_join(F.slice("letters", i + 1, F.lit(3)), "") if kind == "glycosylation" else F.lit(None).cast("string")
+            score = F.when(at(i + 1) == "P", 2.0).otherwise(1.0) if kind == "phosphorylation" else F.lit(None).cast("double")
+            return F.struct(F.lit(kind).alias("kind"), (i + 1).cast("long").alias("position"), at(i).alias("residue"), context.alias("context"), motif.alias("motif"), score.alias("score"))
+
+        return one
+
+    found = [F.transform(F.slice(F.filter(places, here), 1, cap), site(kind)) for kind, here in kinds.items()]
+    return seqs.select("seq_id", F.inline(F.concat(*found)))  # right above the letters: a projection between would split them anew for each
 
 
 def ptm_counts(seqs: DataFrame, cap: int = 15) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.constants import REPORT_TEXT, SUMMARY_TEXT
+from granary.operators.halo import with_number
+from granary.operators.nucleotide import cpg_islands, find_orfs
 
 
 def collection_stats(seqs: DataFrame, by: str = "file") -> DataFrame:
@@ -27,22 +29,72 @@ def collection_summary(stats: DataFrame, lang: str = "en") -> DataFrame:
     return stats.withColumn("summary", F.when(F.col("n") == 0, t["empty"]).otherwise(text))
 
 
+def sequence_details(seqs: DataFrame, profile: DataFrame, top: int = 5) -> DataFrame:
+    """profile with orfs (the first ``top`` reading frames in order of frame and start) and islands (all CpG islands) as arrays."""
+    place = F.row_number().over(W.partitionBy("seq_id").orderBy("frame", "start"))
+    first = find_orfs(seqs).withColumn("k", place).where(F.col("k") <= top)
+    orfs = first.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("frame", "start", "end", "length", "strand"))).alias("orfs"))
+    islands = cpg_islands(seqs).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "gc_content", "cpg_ratio"))).alias("islands"))
+    return profile.join(orfs, "seq_id", "left").join(islands, "seq_id", "left")
+
+
+# What the head of a collection names.
+ANALYSIS_VERSION = "1.0"
+SEQUENCE_FEATURES = ("sequence_type_detection", "gc_content_analysis", "orf_prediction", "cpg_island_detection", "protein_properties", "secondary_structure", "ptm_site_prediction", "semantic_description")
+
+
 def sequence_json(profile: DataFrame, include_full: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The profile of each sequence as JSON; null metrics are left out."""
-    fields = [c for c in profile.columns if include_full or c != "sequence"]
-    return profile.select("seq_id", *keep, F.to_json(F.struct(*fields)).alias("json"))
+    """seq_id, json: each sequence as an object of its type, with an analysis object; what is null is left out.
+
+    profile: seq_id, length and what there is of name, seq_description, sequence, sequence_type (nucleotide if there is none),
+    description (its meaning) and the metrics. A nucleotide has its reading frames and CpG islands, where profile has orfs and
+    islands; a protein its secondary structure, residue classes and numbers of modification sites.
+    """
+    have = set(profile.columns)
+    col = lambda name, kind="double": F.col(name) if name in have else F.lit(None).cast(kind)
+    count = lambda name: F.coalesce(col(name, "long"), F.lit(0)).cast("long")
+    some = lambda name: F.when(F.size(name) > 0, F.col(name)) if name in have else F.lit(None).cast("array<string>")
+    group = lambda names: F.when(F.col(names[0]).isNotNull(), F.struct(*names)) if names[0] in have else F.lit(None).cast("string")
+    named = F.coalesce(col("name", "string"), F.col("seq_id").cast("string"))
+    head = [F.col("seq_id").alias("id"), named.alias("name"), F.coalesce(col("seq_description", "string"), named).alias("description"), F.col("length")]
+    kind = F.col("sequence_type") if "sequence_type" in have else F.lit("nucleotide")
+    meaning = F.nullif(col("description", "string"), F.lit("")).alias("semantic_description")
+    whole = [F.col("sequence")] if include_full and "sequence" in have else []
+    bases = F.struct(
+        col("gc_content").alias("gc_content"), col("gc_skew").alias("gc_skew"), col("at_skew").alias("at_skew"), col("dna_weight").alias("molecular_weight"), col("entropy").alias("sequence_entropy"),
+        count("longest_orf").alias("longest_orf_length"), count("orf_count").alias("orf_count"), count("cpg_count").alias("cpg_island_count"), count("repeat_count").alias("repeat_count"),
+    )
+    residues = F.struct(
+        col("protein_weight").alias("molecular_weight"), col("isoelectric_point").alias("isoelectric_point"), col("aromaticity").alias("aromaticity"), col("instability_index").alias("instability_index"),
+        col("stability_class", "string").alias("stability_class"), col("gravy").alias("gravy"), col("charge").alias("charge_at_ph7"),
+    )
+    sites = F.struct(count("phosphorylation_sites").alias("phosphorylation_count"), count("glycosylation_sites").alias("glycosylation_count"), count("acetylation_sites").alias("acetylation_count"))
+    sites = F.when(count("phosphorylation_sites") + count("glycosylation_sites") + count("acetylation_sites") > 0, sites)
+    dna = F.to_json(F.struct(*head, kind.alias("sequence_type"), meaning, bases.alias("analysis"), some("orfs").alias("top_orfs"), some("islands").alias("cpg_islands"), *whole))
+    protein = F.to_json(F.struct(*head, kind.alias("sequence_type"), meaning, residues.alias("analysis"), group(["helix", "turn", "sheet"]).alias("secondary_structure"), group(["hydrophobic", "polar", "positive", "negative", "aromatic"]).alias("amino_acid_classes"), sites.alias("ptm_sites_summary"), *whole))
+    other = F.to_json(F.struct(*head, kind.alias("sequence_type"), meaning, *whole))
+    return profile.select("seq_id", *keep, F.when(kind == "nucleotide", dna).when(kind == "protein", protein).otherwise(other).alias("json"))
+
+
+def collection_json(profile: DataFrame, by: str = "file") -> DataFrame:
+    """The head of each collection's JSON: total_count, total_length, the version and features of the analysis. Its
+    sequences are the rows of sequence_json(), so that no collection meets in one cell."""
+    totals = profile.groupBy(by).agg(F.count("*").alias("total_count"), F.sum("length").alias("total_length"))
+    features = F.array(*[F.lit(x) for x in SEQUENCE_FEATURES])
+    return totals.select(by, F.to_json(F.struct("total_count", "total_length", F.lit(ANALYSIS_VERSION).alias("analysis_version"), features.alias("bioinformatics_features"))).alias("json"))
 
 
 def sequence_markdown(profile: DataFrame, by: str = "file", preview: int = 100, number: Column | None = None, lang: str = "en") -> DataFrame:
     """A Markdown report of each collection as rows (by, part, markdown): part 0 is the head with the statistics, each
-    further part a sequence's section, so a report in order of part is whole and no collection meets in one cell.
+    further part a sequence's section, so a report in order of part is whole and no collection meets in one cell or task.
 
     profile: seq_id, length, sequence, and what there is of sequence_type, seq_description, description (its meaning) and
     the metrics; a metric that is null or not there is left out. number: place of a sequence in its collection, by default
     by rank of seq_id.
     """
     t, have = REPORT_TEXT[lang], set(profile.columns)
-    number = F.row_number().over(W.partitionBy(by).orderBy("seq_id")) if number is None else number
+    if number is None:
+        profile = with_number(profile, [by], ["seq_id"], "part")
     stats = profile.groupBy(by).agg(F.count("*").alias("n"), F.sum("length").alias("sum"), F.avg("length").alias("avg"), F.min("length").alias("min"), F.max("length").alias("max"))
     whole = lambda c: F.format_number(F.coalesce(c, F.lit(0)), 0)
     head = F.concat(
@@ -63,7 +115,8 @@ def sequence_markdown(profile: DataFrame, by: str = "file", preview: int = 100,
         line("gravy", "%.2f", F.round(col("gravy") + F.signum(col("gravy")) * 1e-9, 2)), line("structure", "α-helix %.1f%%, β-sheet %.1f%%", F.round(col("helix") * 100 + 1e-9, 1), F.round(col("sheet") * 100 + 1e-9, 1)),
     ]
     metrics = F.when(kind == "nucleotide", F.concat_ws("\n", *bases, F.lit(""))).when(kind == "protein", F.concat_ws("\n", *residues, F.lit("")))
-    p = sequence_preview(profile, preview).withColumn("part", number.cast("long"))
+    p = sequence_preview(profile, preview)
+    p = p if number is None else p.withColumn("part", number.cast("long"))
     about = F.col("seq_description") if "seq_description" in have else F.col("seq_id").cast("string")
     meaning = F.when(word("description") != "", F.concat(F.lit(f"**🔬 {t['meaning']}**:\n"), word("description"), F.lit("\n")))
     section = F.concat_ws(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.constants import ENGINES, EXPLICIT_BACKENDS
+from granary.constants import ENGINE_INFO, ENGINES, EXPLICIT_BACKENDS
 
 
 def engine_registrations(spark: SparkSession) -> DataFrame:
@@ -40,8 +41,18 @@ def route_engine(tasks: DataFrame, registrations: DataFrame) -> DataFrame:
 
 
 def engine_catalogue(registrations: DataFrame) -> DataFrame:
-    """Each engine with its sorted extensions."""
-    return registrations.groupBy("engine").agg(F.array_sort(F.collect_set("ext")).alias("extensions"), F.count_distinct("ext").alias("n"))
+    """Category, engine, display_name, description, extensions (sorted), n of each engine. One without a known entry is a
+    format of its own name, in capitals, without description."""
+    about = registrations.sparkSession.createDataFrame([(e, *x) for e, x in ENGINE_INFO.items()], "named string, category string, display_name string, description string")
+    own = registrations.groupBy("engine").agg(F.array_sort(F.collect_set("ext")).alias("extensions"), F.count_distinct("ext").alias("n"))
+    both = own.join(F.broadcast(about), F.col("engine") == F.col("named"), "left")
+    return both.select(F.coalesce("category", F.lit("format")).alias("category"), "engine", F.coalesce("display_name", F.upper("engine")).alias("display_name"), "description", "extensions", "n")
+
+
+def catalogue_by_category(catalogue: DataFrame) -> DataFrame:
+    """The engines of each category as an array."""
+    item = F.struct("engine", "display_name", "description", "extensions")
+    return catalogue.groupBy("category").agg(F.array_sort(F.collect_list(item)).alias("engines"))
 
 
 # Option defaults.
@@ -106,3 +117,16 @@ class FormatRegistry:
         for p in paths:
             groups.setdefault(self.format_of(p), []).append(p)
         return {n: self.readers[n][1](spark, ps, options or {}) for n, ps in groups.items()}
+
+
+def default_registry() -> FormatRegistry:
+    """The formats of this library."""
+    from granary.sources.fasta import read_fasta
+    from granary.sources.files import read_plain
+    from granary.sources.genbank_source import records_source
+
+    registry = FormatRegistry()
+    registry.register("fasta", ENGINES["fasta"], lambda spark, paths, options: read_fasta(spark, paths))
+    registry.register("genbank", ENGINES["genbank"], lambda spark, paths, options: functools.reduce(DataFrame.union, (records_source(spark, p, options) for p in paths)))
+    registry.register("text", (".txt", ".md"), lambda spark, paths, options: read_plain(spark, paths))
+    return registry

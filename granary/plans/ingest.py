@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from granary.operators import annotations as H
-from granary.plans.views import duck, table, v_seq
+from granary.operators.routing import default_registry, split_errors
+from granary.plans.views import duck, table, v_seq, v_tasks
 from granary.functions.shared import shared_folder
 from granary.sources import fasta as FA
 from granary.sources import files as A
 from granary.sources.genbank import parse_genbank
 from granary.sources.html import html_blocks, html_to_markdown
+from granary.sources.results import ResultStore
+
+
+AS_OF = dt.datetime(1998, 8, 1)
 
 
 def _files(s, d):
@@ -52,6 +59,29 @@ def a03_features(s, d):
     return H.with_strand(parse_genbank(_flat_files(s, d))[1]).select("record_id", "feature_no", "type", "location", "strand", H.first_of("gene").alias("gene"), H.first_of("product").alias("product"))
 
 
+def _malformed(s, d):
+    """Delimited files in the shared folder; of some lines a number is none, some lack a value."""
+    path = shared_folder(s, "csv")
+    line = F.expr("concat_ws(',', l_orderkey, l_linenumber, case when l_partkey % 97 = 0 then 'many' else cast(cast(l_quantity as int) as string) end, case when l_partkey % 89 <> 0 then concat('\"a, ', l_returnflag, '\"') end)")
+    table(s, d, "lineitem").select(line.alias("value")).write.text(path)
+    return A.read_delimited(s, path, "orderkey long, line int, quantity int, mode string", header=False)
+
+
+def a11(s, d):
+    store = ResultStore(s, shared_folder(s, "results"))
+    store.write(v_tasks(s, d).select("task_id", F.when(F.col("key") % 2 == 0, "md").otherwise("json").alias("format"), "status", "completed_at", "result_path"))
+    store.expire_files(AS_OF, 7)
+    store.expire_records(AS_OF, 30)
+    return store.read().select("task_id", "format", "status", "result_path")
+
+
+def b08(s, d):
+    path = shared_folder(s, "flat")
+    _flat_files(s, d).select(F.concat("value", F.lit("\n//")).alias("value")).write.text(path)
+    rows = default_registry().readers["genbank"][1](s, [path], {"split": 200_000})
+    return parse_genbank(rows)[1].select("record_id", "feature_no", "type", "location", H.first_of("gene").alias("gene"), H.first_of("product").alias("product"))
+
+
 def a05(s, d):
     raw = table(s, d, "documents").select("doc_id", F.to_json(F.struct(F.split("text", "\n").alias("pages"), F.size(F.split("text", "\n")).alias("total_pages"))).alias("value"))
     return A.parse_ocr_pages(raw).select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.md5("page").alias("page_md5"), "total_pages")
@@ -68,6 +98,10 @@ QUERIES = {
     "a05_ocr_pages": a05,
     "a06_html_blocks": lambda s, d: html_blocks(table(s, d, "pages")).groupBy("page_id").agg(F.count_if((F.col("kind") == "heading") & (F.col("level") == 1)).alias("h1"), F.count_if(F.col("kind") == "item").alias("items")),
     "a06_html_to_markdown": lambda s, d: html_to_markdown(table(s, d, "pages")),
+    "a07_read_delimited": lambda s, d: split_errors(_malformed(s, d))[0],
+    "a07_malformed_rows": lambda s, d: split_errors(_malformed(s, d))[1].select("status", F.md5("error_message").alias("message_md5")),
+    "a11_results_after_retention": a11,
+    "b08_genbank_source": b08,
     "a08_decode_base64": lambda s, d: A.decode_base64(table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "***").otherwise(F.base64("text")).alias("b64")), "b64").select("doc_id", F.md5("payload").alias("payload_md5"), "error"),
     "a09_size_limit": lambda s, d: A.size_limit(_files(s, d), 3000)[1].select("doc_id", "length", "size_mb"),
     "a10_filename_from_source": lambda s, d: A.filename_from_source(table(s, d, "pages").select("page_id", "url", F.expr("case when page_id % 3 = 0 then concat('attachment; filename=\"p', page_id, '.html\"') end").alias("disposition"))).select("page_id", "file_name"),
@@ -82,7 +116,11 @@ ORACLES = {
     "a03_genbank_records": "select distinct 'V' || l_orderkey || '.1' record_id, 'L' || l_orderkey name, 'order ' || l_orderkey || ' of items' description, 'ACGTACGTACGT' sequence, 12::bigint length, 'Some thing' organism, 'Bacteria>Alpha>Beta' taxonomy, 1::bigint \"references\" from lineitem",
     "a04_transcripts": "select conv_id file_id, cast(sum(case when turn % 3 = 0 then 0 else length(text) end) as bigint) chars, count(*) n from conversations group by 1",
     "a05_ocr_pages": "with p as (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) page_no, unnest(string_split(text, chr(10))) page from documents) select doc_id, page_no, md5(page) page_md5, count(*) over (partition by doc_id) total_pages from p",
+    "a07_read_delimited": "select l_orderkey orderkey, l_linenumber line, cast(l_quantity as int) quantity, 'a, ' || l_returnflag as mode from lineitem where l_partkey % 97 > 0 and l_partkey % 89 > 0",
+    "a07_malformed_rows": "select 'failed' status, md5('MalformedRow: ' || concat_ws(',', l_orderkey, l_linenumber, case when l_partkey % 97 = 0 then 'many' else cast(cast(l_quantity as int) as varchar) end, case when l_partkey % 89 <> 0 then '\"a, ' || l_returnflag || '\"' end)) message_md5 from lineitem where l_partkey % 97 = 0 or l_partkey % 89 = 0",
+    "a11_results_after_retention": duck("select task_id, case when key % 2 = 0 then 'md' else 'json' end format, status, case when completed_at < timestamp '1998-08-01 00:00:00' - interval 7 day and status in ('completed', 'failed') then null else result_path end result_path from v_tasks where not coalesce(completed_at < timestamp '1998-08-01 00:00:00' - interval 30 day and status in ('completed', 'failed'), false)", "v_tasks"),
     "a08_decode_base64": "select doc_id, case when doc_id % 4 <> 0 then md5(text) end payload_md5, case when doc_id % 4 = 0 then 'invalid base64' end error from documents",
     "a09_size_limit": "select doc_id, strlen(text) length, round(strlen(text) / 1048576, 2) size_mb from documents where strlen(text) > 3000",
     "a10_filename_from_source": "with p as (select *, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/')[-1] last from pages) select page_id, case when page_id % 3 = 0 then 'p' || page_id || '.html' when last <> '' then last else 'downloaded_file' end file_name from p",
 }
+ORACLES["b08_genbank_source"] = f"select * exclude (strand) from ({ORACLES['a03_genbank_features']})"

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from granary.constants import RECORD_TEXT
+from granary.constants import RECORD_TEXT, RECORD_TITLE, REPORT_TEXT
 from granary.operators import annotations as H
 from granary.operators import documents as K
 from granary.operators import frames as J
@@ -56,6 +56,10 @@ def _files(s, d):
     return t.select("task_id", F.explode(paths).alias("path")).where("path is not null")
 
 
+_SHAPES = """case event_id % 5 when 0 then props when 1 then concat('[', event_id, ',"', repeat(event_type, 6), '",null,true]')
+  when 2 then concat('{"z":"', event_type, '","a":[1,2],"m":{"x":1},"b":', event_id, '}') when 3 then concat('"', event_type, '"') else concat('{', event_type) end"""
+
+
 def _math(s, d):
     return table(s, d, "documents").select("doc_id", F.concat(F.lit("$$x"), F.col("doc_id") % 7, F.lit("$$ and $y$ or \\(z\\) \\[w"), "doc_id", F.lit("\\] "), F.regexp_replace("text", r"[$\\]", "")).alias("text"))
 
@@ -67,6 +71,34 @@ def _records(s, d):
     )
 
 
+def k02(s, d):
+    """What the JSON of each document's pages says, read back from it."""
+    got = F.from_json("json", "pages array<struct<page_no:long,page_text:string>>, total_pages long")
+    return K.combine_page_json(v_doc_pages(s, d)).select(
+        "doc_id", F.aggregate(got["pages"], F.lit(0).cast("long"), lambda a, x: a + x["page_no"]).alias("numbers"), F.size(got["pages"]).cast("long").alias("pages"), got["total_pages"].alias("total_pages"),
+        F.md5(F.array_join(F.transform(got["pages"], lambda x: x["page_text"]), "|")).alias("texts_md5"),
+    )
+
+
+def _full_records(s, d):
+    more = table(s, d, "orders").selectExpr(
+        "o_orderkey record_id", "o_orderpriority file", "case when o_orderkey % 4 > 0 then concat('L', o_orderkey) else '' end name", "concat('order ', o_orderkey) description", "repeat('ACGTT', cast(o_orderkey % 30 as int)) sequence",
+        "case when o_orderkey % 3 > 0 then map('priority', o_orderpriority, 'status', o_orderstatus) end annotations", "case when o_orderkey % 2 = 0 then concat('says ', o_orderkey) end meaning",
+    )
+    return _records(s, d).select("record_id", "length", "gc_content").join(more, "record_id")
+
+
+def h12_json(s, d):
+    """What the JSON of each record says, read back from it."""
+    j = H.record_json(_full_records(s, d), v_features(s, d))
+    at = lambda path, kind="string": F.get_json_object("json", f"$.{path}").cast(kind)
+    return j.select(
+        "record_id", F.array_join(F.json_object_keys("json"), ",").alias("keys"), at("annotations.status").alias("status"), F.json_array_length(at("features")).cast("long").alias("features"), at("feature_types.gene", "long").alias("gene_type"),
+        at("feature_summary.gene_count", "long").alias("genes"), at("feature_summary.cds_count", "long").alias("cds"), at("feature_summary.regulatory_count", "long").alias("regulatory"), at("feature_summary.rna_count", "long").alias("rna"),
+        at("feature_summary.genes[0].locus_tag").alias("first_gene"), at("feature_summary.proteins[0].product").alias("first_product"),
+    )
+
+
 QUERIES = {
     "h01_features_strand": lambda s, d: H.with_strand(v_features(s, d)).select("record_id", "feature_no", "type", "location", "strand"),
     "h02_feature_type_counts": lambda s, d: H.feature_type_counts(v_features(s, d)),
@@ -81,8 +113,8 @@ QUERIES = {
     "h11_describe_record": lambda s, d: H.describe_record(_records(s, d), v_features(s, d)).select("record_id", "description"),
     "h11_describe_record_zh": lambda s, d: H.describe_record(_records(s, d), v_features(s, d), "zh").select("record_id", "description"),
     "h12_record_totals": lambda s, d: H.record_totals(table(s, d, "orders").selectExpr("o_orderkey record_id", "o_orderpriority file", "cast(o_totalprice as bigint) length"), v_features(s, d)),
-    "h12_record_json": lambda s, d: H.record_json(H.feature_summary(v_features(s, d))),
-    "h12_record_markdown": lambda s, d: H.record_markdown(v_features(s, d)),
+    "h12_record_json": h12_json,
+    "h12_record_markdown": lambda s, d: H.record_markdown(_full_records(s, d), v_features(s, d)).select("file", "part", F.md5("markdown").alias("markdown_md5")),
     "i01_normalize_segments": lambda s, d: T.normalize_segments(_transcripts(s, d)),
     "i03_parse_tags": lambda s, d: T.parse_tags(v_segments(s, d)).select("file_id", "id", "language", "emotion", "event"),
     "i04_detect_language": lambda s, d: T.detect_language(v_segments(s, d)).select("file_id", "id", "detected"),
@@ -99,11 +131,11 @@ QUERIES = {
     "j04_quality_filter": lambda s, d: J.quality_filter(v_frames(s, d), 8, 0.1, -0.02, 0.02).select("video_id", "frame_number", R6("quality_score")),
     "j05_phash_dedup": lambda s, d: J.phash_dedup(J.with_hash(v_frames(s, d)), 28),
     "j06_text_near_dup": lambda s, d: J.text_near_dup(_ocr(s, d)),
-    "j07_keyframes_report": lambda s, d: J.keyframes_report(_ocr(s, d)),
+    "j07_keyframes_report": lambda s, d: J.keyframes_report(_ocr(s, d)).select("video_id", "markdown", "total_keyframes"),
     "j08_merge_video": j08,
     "j09_media_fields": j09,
     "k01_merge_pages": lambda s, d: K.merge_pages(v_doc_pages(s, d)).select("doc_id", F.md5("markdown").alias("markdown_md5")),
-    "k02_combine_page_json": lambda s, d: K.combine_page_json(v_doc_pages(s, d)),
+    "k02_combine_page_json": k02,
     "k03_editable_or_scanned": lambda s, d: K.editable_or_scanned(v_doc_pages(s, d)),
     "k04_redact_keywords": lambda s, d: K.redact_keywords(v_doc_pages(s, d), ["the", "ou", "en"]).select("doc_id", "page_no", F.md5("redacted").alias("redacted_md5"), "removed"),
     "k05_image_refs": lambda s, d: K.image_refs(_images(s, d)),
@@ -113,8 +145,8 @@ QUERIES = {
     "k08_dilate_boxes": lambda s, d: K.dilate_boxes(v_boxes(s, d), w=530, h=500),
     "k09_sweep": lambda s, d: K.sweep(v_boxes(s, d)),
     "k10_formulas": lambda s, d: K.formulas(_math(s, d)),
-    "k11_json_paths": lambda s, d: K.json_paths(table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a":{"b":[1,{"c":2}]},"p":'), "props", F.lit("}")).alias("json"))),
-    "k12_json_shape": lambda s, d: K.json_shape(table(s, d, "events"), "event_id", "props"),
+    "k11_json_paths": lambda s, d: K.json_paths(table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a":{"b":[1,{"c":2}]},"p":'), "props", F.lit("}")).alias("json"))).where("error is null").drop("error"),
+    "k12_json_shape": lambda s, d: K.json_shape(table(s, d, "events").select("event_id", F.expr(_SHAPES).alias("json")), "event_id"),
     "k13_format_bytes": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", K.format_bytes(F.pow(F.lit(7.0), F.col("l_linenumber")).cast("bigint") * F.col("l_partkey")).alias("bytes_text")),
     "k14_format_duration": lambda s, d: v_tasks(s, d).select("task_id", K.format_duration("started_at", "completed_at").alias("duration")),
     "k15_display_times": lambda s, d: v_tasks(s, d).select("task_id", K.display_time("started_at", "Asia/Shanghai").alias("shown"), K.relative_time("created_at", dt.datetime(1998, 8, 2)).alias("ago")),
@@ -196,3 +228,42 @@ ORACLES = {
     "k11_json_paths": "with e as (select event_id id, props::json p from events), t as (select id, unnest(['', 'a', 'a.b', 'a.b.1', 'p']) path, unnest([0, 1, 2, 3, 1]::bigint[]) depth from e), "
     "k as (select id, p, unnest(json_keys(p)) k from e) select * from t union all select id, 'p.' || k, 2 from k where json_type(p, '$.\"' || k || '\"') in ('OBJECT', 'ARRAY')",
 }
+_RT, _NL = REPORT_TEXT["en"], "chr(10)"
+ORACLES["k12_json_shape"] = """select event_id id, ['object', 'array', 'object', 'scalar', 'invalid'][event_id % 5 + 1] kind, cast([1, 4, 4, 0, 0][event_id % 5 + 1] as bigint) n,
+  case event_id % 5 when 0 then replace(replace(replace(props, '{"', ''), '":', ':'), '}', '') when 1 then event_id || ', "' || case when length(repeat(event_type, 6)) > 20 then substr(repeat(event_type, 6), 1, 20) || '...' else repeat(event_type, 6) end || '", null, ...'
+  when 2 then 'z: "' || event_type || '", a: Array(2), m: Object(1), ...' when 3 then '"' || event_type || '"' end preview from events"""
+_RECORD = """with r as (select o_orderkey record_id, o_orderpriority file, case when o_orderkey % 4 > 0 then 'L' || o_orderkey else '' end as name, 'order ' || o_orderkey description, repeat('ACGTT', cast(o_orderkey % 30 as int)) sequence, o_orderkey % 3 > 0 noted, o_orderstatus,
+  case when o_orderkey % 2 = 0 then 'says ' || o_orderkey end meaning, cast(floor(o_totalprice) as bigint) length, case when o_orderkey % 7 > 0 then (o_orderkey % 1000) / 1000::double end gc from orders),
+n as (select record_id, type, count(*) n, min(feature_no) k from v_features group by 1, 2), t as (select record_id, cast(sum(n) as bigint) n, string_agg('- ' || type || ': ' || n, chr(10) order by n desc, k, type) types from n group by 1) """
+ORACLES["h12_record_json"] = duck(_RECORD + f""", g as (select record_id, count(*) features, count(*) filter (where type = 'gene') genes, count(*) filter (where type = 'CDS') cds, count(*) filter (where type in {_REG}) regulatory, count(*) filter (where type in {_RNA}) rna,
+  list(q_locus order by feature_no, location, q_gene, q_locus) filter (where type = 'gene') gs, list(q_product order by feature_no, location, q_product) filter (where type = 'CDS') ps from v_features group by 1)
+select r.record_id, concat_ws(',', 'id,name,description,length', case when noted then 'annotations' end, 'sequence', case when gc is not null then 'gc_content' end, case when meaning is not null then 'semantic_description' end, case when g.record_id is not null then 'features,feature_types,feature_summary' end) keys,
+  case when noted then o_orderstatus end status, features, nullif(genes, 0) gene_type, genes, cds, regulatory, rna, gs[1] first_gene, ps[1] first_product from r left join g using (record_id)""", "v_features")
+ORACLES["h12_record_markdown"] = duck(_RECORD + f"""select file, 0::bigint part, md5('# {RECORD_TITLE["en"]}' || {_NL} || {_NL} || '## 📊 {_RT["statistics"]}' || {_NL} || {_NL} || '- **{_RT["count"]}**: ' || count(*) || {_NL} || '- **{_RT["total"]}**: ' || format('{{:,}}', cast(sum(length) as bigint)) || ' bp' || {_NL} || {_NL} || '## 🧬 {_RT["details"]}' || {_NL}) markdown_md5 from r group by 1
+union all select file, row_number() over (partition by file order by record_id) part, md5(concat_ws({_NL}, '### ' || row_number() over (partition by file order by record_id) || '. ' || coalesce(nullif(name, ''), record_id || '') || {_NL},
+  '**Basic Information**:' || {_NL} || '- ID: `' || record_id || '`' || {_NL} || '- Name: `' || name || '`' || {_NL} || '- Description: ' || description || {_NL} || '- Length: ' || format('{{:,}}', length) || ' bp' || {_NL},
+  case when noted then '**Annotations**:' || {_NL} || '- priority: ' || file || {_NL} || '- status: ' || o_orderstatus || {_NL} end,
+  '**Feature Count**: ' || t.n || {_NL} || '**Feature Types**:' || {_NL} || types || {_NL}, '**{_RT["preview"]}**:' || {_NL} || '```' || {_NL} || substr(sequence, 1, 100) || case when length(sequence) > 100 then '...' else '' end || {_NL} || '```' || {_NL},
+  case when gc is not null then printf('**{_RT["gc"]}**: %.2f%%', round(gc * 100 + 1e-9, 2)) || {_NL} end, case when meaning is not null then '**🔬 {_RT["meaning"]}**:' || {_NL} || meaning || {_NL} end)) from r left join t using (record_id)""", "v_features")
+_MMSS = "lpad((cast(floor({0}) as int) // 60 % 60)::varchar, 2, '0') || ':' || lpad((cast(floor({0}) as int) % 60)::varchar, 2, '0')"
+_AT = "case when floor({0}) >= 3600 then lpad((cast(floor({0}) as int) // 3600)::varchar, 2, '0') || ':' else '' end || " + _MMSS
+ORACLES["i11_transcript_markdown"] = duck(f"""with s as (select *, {_CLEAN} clean, case turn4 when 0 then '😊' when 1 then '🎵' else '' end mark, case turn4 when 0 then 'en' when 1 then nullif('de', 'de') end lang from (select *, id % 4 turn4 from v_segments)),
+l as (select *, trim('[' || {_AT.format("start_s")} || '] ' || mark || ' ' || clean) line, coalesce(speaker, 'SPEAKER_00') who, lag(coalesce(speaker, 'SPEAKER_00')) over (partition by file_id order by id) was from s)
+select file_id, concat_ws(chr(10), '# Transcript ' || file_id, '', '**Language**: ' || coalesce(case when arg_min(lang, id) filter (where lang is not null) = 'en' then '{T.LANGUAGE_NAMES["en"]}' end, 'auto'), '**Number of speakers**: ' || count(distinct speaker),
+  case when count(speaker) > 0 then '**Speakers**: ' || string_agg(distinct speaker, ', ' order by speaker) end, '', '## Text', '', string_agg(clean, ' ' order by id), '', '## Segments',
+  string_agg(case when was is null or was <> who then chr(10) || '**' || who || '**:' || chr(10) || chr(10) || line else line end, chr(10) order by id)) markdown from l group by file_id""", "v_segments")
+_FRAMES_OF = "with o as (select conv_id video_id, turn frame_number, cast(turn * 1.5 as double) ts, case when turn % 5 = 4 then '' when turn % 3 = 2 then text || ' ' else text end ocr_text from conversations) "
+_KEYFRAMES = f"""select video_id, '## Key frames' || chr(10) || chr(10) || string_agg('### [' || {_AT.format("ts")} || '] (' || printf('%.2f', ts) || 's)' || chr(10) || chr(10) || coalesce(nullif(trim(ocr_text), ''), '*no text*') || chr(10), chr(10) order by frame_number) markdown, count(*) total_keyframes from o group by 1"""
+ORACLES["j07_keyframes_report"] = f"{_FRAMES_OF}{_KEYFRAMES}"
+ORACLES["j08_merge_video"] = ORACLES["i11_transcript_markdown"].replace("with v_segments", _FRAMES_OF + f", k as ({_KEYFRAMES}), v_segments", 1).replace("select file_id, concat_ws(chr(10), '# Transcript '", ", md as (select file_id, concat_ws(chr(10), '# Transcript '", 1) + """)
+select file_id video_id, 'video' as type, 'video' file_type, 'mp4' video_format, file_id || '.mp4' original_filename,
+  substr(m.markdown, 1, strpos(m.markdown, chr(10) || chr(10)) - 1) || chr(10) || '**Source file**: ' || file_id || '.mp4 (video)' || chr(10) || '**Video format**: MP4' || chr(10) || case when k.markdown is not null then '**Key-frame OCR**: enabled (' || k.total_keyframes || ' frames)' else '**Key-frame OCR**: not enabled' end || chr(10)
+  || substr(m.markdown, strpos(m.markdown, chr(10) || chr(10))) || case when k.markdown is not null then chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Key frames of the video' || chr(10) || chr(10) || '> ' || k.total_keyframes || ' key frames were taken from the video and read' || chr(10) || chr(10) || substr(k.markdown, length('## Key frames') + 3) else '' end markdown,
+  k.markdown is not null keyframes_enabled, coalesce(k.total_keyframes, 0) total_keyframes from md m left join k on k.video_id = m.file_id"""
+ORACLES["j03_fixed_interval"] = ORACLES["j02_scene_cuts"].replace("select video_id, frame_number, ts from cuts", "select video_id, frame_number, ts from cuts union all select video_id, cast(floor(step * 0.5) as bigint), step::double from (select video_id, unnest(range(0, total * 2, 10)) step from (select video_id, count(*) total from v_frames group by 1) where video_id not in (select video_id from cuts))")
+_SHARP = """with g as (select video_id, frame_number, list_transform(gray, lambda x: x::double) g from v_frames), b as (select *, list_sum(g) / 64 lit from g),
+p as (select video_id, frame_number, list_transform(range(0, 64), lambda k: g[(case when k // 8 = 0 then 1 else k // 8 - 1 end) * 8 + k % 8 + 1] + g[(case when k // 8 = 7 then 6 else k // 8 + 1 end) * 8 + k % 8 + 1]
+  + g[k // 8 * 8 + (case when k % 8 = 0 then 1 else k % 8 - 1 end) + 1] + g[k // 8 * 8 + (case when k % 8 = 7 then 6 else k % 8 + 1 end) + 1] - 4 * g[k + 1]) l from b where lit between -0.02 and 0.02),
+q as (select video_id, frame_number, list_var_pop(l) quality_score from p) select video_id, frame_number, round(quality_score, 6) quality_score from q where quality_score >= 0.1"""
+ORACLES["j04_quality_filter"] = duck(_SHARP, "v_frames")
+ORACLES["k02_combine_page_json"] = duck("select doc_id, cast(sum(page_no) as bigint) numbers, count(*) pages, count(*) total_pages, md5(string_agg(page_text, '|' order by page_no)) texts_md5 from v_doc_pages group by 1", "v_doc_pages")

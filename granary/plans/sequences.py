@@ -51,7 +51,30 @@ def protein_profile(s, d, lang="en"):
 
 def report(s, d):
     p = N.describe_nucleotide(N.nucleotide_profile(v_seq(s, d)))
-    return R.sequence_markdown(p, number=F.col("seq_id") + 1).select("file", "part", F.md5("markdown").alias("markdown_md5"))
+    return R.sequence_markdown(p).select("file", "part", F.md5("markdown").alias("markdown_md5"))
+
+
+def nucleotide_json(s, d):
+    """What the JSON of each sequence says, read back from it."""
+    seqs = v_seq(s, d)
+    j = R.sequence_json(R.sequence_details(seqs, N.describe_nucleotide(N.nucleotide_profile(seqs))))
+    at = lambda path, kind="string": F.get_json_object("json", f"$.{path}").cast(kind)
+    return j.select(
+        "seq_id", F.array_join(F.json_object_keys("json"), ",").alias("keys"), at("name").alias("name"), F.round(at("analysis.gc_content", "double"), 6).alias("gc"), at("analysis.orf_count", "long").alias("orfs"),
+        F.json_array_length(at("top_orfs")).cast("long").alias("top"), at("top_orfs[0].start", "long").alias("first_start"), F.json_array_length(at("cpg_islands")).cast("long").alias("islands"), F.md5(at("sequence")).alias("sequence_md5"),
+    )
+
+
+def protein_json(s, d):
+    p = v_prot(s, d).withColumns({"sequence_type": F.lit("protein"), "length": F.length("sequence").cast("long")})
+    for f in (P.gravy, P.secondary_structure, P.residue_classes, P.ptm_counts):
+        p = f(p)
+    j = R.sequence_json(P.stability_class(P.instability_index(p, pair_weights(s))), include_full=False)
+    at = lambda path, kind: F.get_json_object("json", f"$.{path}").cast(kind)
+    return j.select(
+        "seq_id", F.array_join(F.json_object_keys("json"), ",").alias("keys"), F.round(at("analysis.gravy", "double"), 6).alias("gravy"), F.round(at("secondary_structure.helix", "double"), 6).alias("helix"),
+        F.round(at("amino_acid_classes.polar", "double"), 6).alias("polar"), at("ptm_sites_summary.phosphorylation_count", "long").alias("phosphorylation"),
+    )
 
 
 QUERIES = {
@@ -93,7 +116,9 @@ QUERIES = {
     "g01_collection_stats": lambda s, d: R.collection_stats(v_seq(s, d)).withColumn("avg_length", F.round("avg_length", 6)),
     "g02_sequence_preview": lambda s, d: R.sequence_preview(v_seq(s, d)).select("seq_id", "preview"),
     "g03_collection_summary": lambda s, d: R.collection_summary(R.collection_stats(v_seq(s, d))).select("file", "summary"),
-    "g04_sequence_json": lambda s, d: R.sequence_json(N.nucleotide_profile(v_seq(s, d))),
+    "g04_sequence_json": nucleotide_json,
+    "g04_protein_json": protein_json,
+    "g04_collection_json": lambda s, d: R.collection_json(v_seq(s, d).withColumn("length", F.length("sequence"))).select("file", F.get_json_object("json", "$.total_count").cast("long").alias("n"), F.get_json_object("json", "$.total_length").cast("long").alias("total"), F.get_json_object("json", "$.bioinformatics_features[7]").alias("last")),
     "g05_sequence_markdown": report,
 }
 
@@ -203,11 +228,11 @@ _RT = REPORT_TEXT["en"]
 _REPORT = f"""select file, 0::bigint part, md5('# {_RT['title']}' || chr(10) || chr(10) || '## 📊 {_RT['statistics']}' || chr(10) || chr(10) || '- **{_RT['count']}**: ' || count(*) || chr(10) || '- **{_RT['total']}**: ' || format('{{:,}}', cast(sum(length(sequence)) as bigint)) || ' bp' || chr(10)
   || '- **{_RT['average']}**: ' || cast(cast(round_even(avg(length(sequence)), 0) as bigint) as varchar) || ' bp' || chr(10) || '- **{_RT['shortest']}**: ' || format('{{:,}}', min(length(sequence))) || ' bp' || chr(10) || '- **{_RT['longest']}**: ' || format('{{:,}}', max(length(sequence))) || ' bp'
   || chr(10) || chr(10) || '## 🧬 {_RT['details']}' || chr(10)) markdown_md5 from v_seq group by 1
-union all select file, seq_id + 1, md5(concat_ws(chr(10), '### ' || (seq_id + 1) || '. ' || seq_id || chr(10), '**Description**: ' || seq_id || chr(10), '**Length**: ' || format('{{:,}}', length(sequence)) || ' bp' || chr(10),
+union all select file, part, md5(concat_ws(chr(10), '### ' || part || '. ' || seq_id || chr(10), '**Description**: ' || seq_id || chr(10), '**Length**: ' || format('{{:,}}', length(sequence)) || ' bp' || chr(10),
   '**{_RT['preview']}**:' || chr(10) || '```' || chr(10) || case when length(sequence) > 100 then substr(sequence, 1, 100) || '...' else sequence end || chr(10) || '```' || chr(10),
   '**🔬 {_RT['meaning']}**:' || chr(10) || description || chr(10), printf('**{_RT['gc']}**: %.2f%%', round(gc_content * 100 + 1e-9, 2)), case when longest_orf > 0 then '**{_RT['orf']}**: ' || longest_orf || ' bp' end,
   case when cpg_count > 0 then '**{_RT['cpg']}**: ' || cpg_count end, case when entropy > 0 then printf('**{_RT['complexity']}**: %.2f', round(entropy + 1e-9, 2)) end, ''))
-from (select p.*, file, sequence, description from profile p join v_seq using (seq_id) join ({_DESCRIBE}) using (seq_id))"""
+from (select p.*, file, sequence, description, row_number() over (partition by file order by seq_id) part from profile p join v_seq using (seq_id) join ({_DESCRIBE}) using (seq_id))"""
 
 
 ORACLES = {
@@ -257,3 +282,8 @@ from k where kind is not null qualify row_number() over (partition by seq_id, ki
 
 # chunks change nothing
 ORACLES |= {"e06_orfs_of_chunks": ORACLES["e06_find_orfs"], "e11_runs_of_chunks": ORACLES["e11_tandem_runs"], "e11_repeats_of_chunks": ORACLES["e11_tandem_repeats"], "e12_islands_of_chunks": ORACLES["e12_cpg_islands"], "e15_profile_of_chunks": ORACLES["e15_nucleotide_profile"]}
+ORACLES["g04_collection_json"] = duck("select file, count(*) n, cast(sum(length(sequence)) as bigint) total, 'semantic_description' as last from v_seq group by 1", "v_seq")
+_TOP = "t as (select seq_id, least(count(*), 5) top, min_by(\"start\", (frame, \"start\")) first_start from o group by 1)"
+ORACLES["g04_sequence_json"] = _profile_sql(f"""select p.seq_id, concat_ws(',', 'id,name,description,length,sequence_type,semantic_description,analysis', case when f.top > 0 then 'top_orfs' end, case when cpg_count > 0 then 'cpg_islands' end, 'sequence') keys,
+  cast(p.seq_id as varchar) as name, round(gc_content, 6) gc, orf_count orfs, f.top, f.first_start, case when cpg_count > 0 then cpg_count end islands, md5(sequence) sequence_md5
+from profile p join v_seq using (seq_id) left join (select seq_id, least(count(*), 5) top, min_by("start", frame * 1000000000 + "start") first_start from o group by 1) f on f.seq_id = p.seq_id""")

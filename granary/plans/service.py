@@ -6,11 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from granary.constants import PERMISSIONS, STATUSES
+from granary.constants import ENGINE_INFO, ENGINES, PERMISSIONS, STATUSES
 from granary.operators import access as D
 from granary.operators import ledger as C
 from granary.operators import routing as B
 from granary.plans.views import duck, stream_table, table, tasks_of, v_keys, v_snapshots, v_tasks, v_users
+from granary.functions.shared import shared_folder
+from granary.sources.results import append_stream
 from granary.streaming.lifecycle import drain, task_lifecycle
 from granary.streaming.monitor import queue_monitor
 
@@ -39,6 +41,13 @@ def _requests(tasks):
     return tasks.select("task_id", "worker_id", F.inline(F.array_compact(F.array(start, end))))
 
 
+def c01_stream(s, d):
+    top = shared_folder(s, "c01")
+    asked = tasks_of(stream_table(s, d, "orders")).select("file_name", F.concat(F.lit("/in/"), "task_id").alias("file_path"), "priority", "backend", F.col("created_at").alias("submitted_at"))
+    append_stream(asked.union(asked), f"{top}/log", f"{top}/progress").awaitTermination()
+    return s.read.parquet(f"{top}/log").select("file_path", "status", F.col("priority").cast("long").alias("priority"), "backend", "created_at")
+
+
 def c03_stream(s, d):
     moves = drain(task_lifecycle(_log(s, d, stream_table(s, d, "events")), "1 day", None, None), "c03")
     return moves.select("task_id", "seq", "accepted", "status")
@@ -70,6 +79,8 @@ QUERIES = {
     "b01_route_engine": lambda s, d: B.route_engine(v_tasks(s, d), B.engine_registrations(s)).select("task_id", "engine", "route_error"),
     "b02_lookup_engine": lambda s, d: B.lookup_engine(v_tasks(s, d), B.engine_registrations(s)).select("task_id", "ext", "engine", "supported"),
     "b03_files_by_engine": lambda s, d: B.lookup_engine(v_tasks(s, d), B.engine_registrations(s)).join(F.broadcast(B.engine_catalogue(B.engine_registrations(s))), "engine").groupBy("engine", F.array_join("extensions", ",").alias("extensions")).agg(F.count("*").alias("n")),
+    "b03_catalogue": lambda s, d: B.engine_catalogue(B.engine_registrations(s)).join(B.lookup_engine(v_tasks(s, d), B.engine_registrations(s)).groupBy("engine").agg(F.count("*").alias("files")), "engine").select("category", "engine", "display_name", "description", F.array_join("extensions", ",").alias("extensions"), "n", "files"),
+    "c01_append_stream": c01_stream,
     "b04_option_defaults": lambda s, d: B.apply_option_defaults(_options(s, d)).select("task_id", "lang", "method", "table_enable", "remove_watermark", "watermark_dilation", "document_lang"),
     "b05_project_options": lambda s, d: B.project_options(_options(s, d), ["watermark_dilation", "method"], {"watermark_dilation": "dilation"}).select("task_id", F.explode("options_map").alias("option", "value")),
     "b06_split_errors": lambda s, d: B.split_errors(B.route_engine(v_tasks(s, d), B.engine_registrations(s)).withColumn("error_type", F.when(F.col("route_error").isNotNull(), "ValueError")), message="route_error")[1].select("task_id", "status", "error_message"),
@@ -127,7 +138,12 @@ from (select e.*, w.status, w.worker, req not in ('completed', 'failed') or (w.s
 select task_id, seq, accepted, status from w where k > 0"""
 _OPT = "with o as (select task_id, key % 4 m, key % 20 w from v_tasks) "
 
+_ENGINE_ROWS = ", ".join(f"('{e}', '{c}', '{n}', '{t}', '{','.join(sorted(ENGINES[e]))}', {len(set(ENGINES[e]))}::bigint)" for e, (c, n, t) in ENGINE_INFO.items() if e in ENGINES)
+
 ORACLES = {
+    "b03_files_by_engine": duck(_T + f", i(engine, category, display_name, description, extensions, n) as (values {_ENGINE_ROWS}) select engine, extensions, count(*) n from (select by_ext engine from y) join i using (engine) group by 1, 2", "v_tasks"),
+    "b03_catalogue": duck(_T + f", i(engine, category, display_name, description, extensions, n) as (values {_ENGINE_ROWS}) select category, engine, display_name, description, extensions, n, count(*) files from (select by_ext engine from y) join i using (engine) group by all", "v_tasks"),
+    "c01_append_stream": duck("select '/in/' || task_id file_path, 'pending' status, priority::bigint priority, backend, created_at from v_tasks", "v_tasks"),
     "b01_route_engine": duck(_T + "select * from r", "v_tasks"),
     "b02_lookup_engine": duck(_T + "select task_id, ext, by_ext engine, by_ext is not null supported from y", "v_tasks"),
     "b04_option_defaults": duck(_OPT + "select task_id, case when m = 1 then 'en' else 'auto' end lang, case when m = 2 then 'ocr' else 'auto' end \"method\", m <> 1 table_enable, m = 2 remove_watermark, cast(case when m = 2 then w else 10 end as int) watermark_dilation, case when m = 1 then 'en' else 'ch' end document_lang from o", "v_tasks"),

@@ -30,7 +30,7 @@ def v_tasks(spark, d):
 def tasks_of(orders: DataFrame) -> DataFrame:
     return orders.selectExpr(
         "cast(o_orderkey as string) task_id",
-        "concat('f', o_orderkey, case o_orderkey % 6 when 0 then '.pdf' when 1 then '.fasta' when 2 then '.wav' when 3 then '.mp4' when 4 then '.docx' else '.xyz' end) file_name",
+        "concat('f', o_orderkey, case when o_orderkey % 13 = 0 then '.xyz' else case o_orderkey % 6 when 0 then '.pdf' when 1 then '.fasta' when 2 then '.wav' when 3 then '.mp4' when 4 then '.docx' else '.xyz' end end) file_name",
         "case when o_orderstatus = 'O' then 'pending' when o_orderstatus = 'P' then 'processing' when o_orderkey % 17 = 0 then 'failed' when o_orderkey % 19 = 0 then 'cancelled' else 'completed' end status",
         "5 - cast(substr(o_orderpriority, 1, 1) as int) priority",
         "o_custkey user_id",
@@ -87,7 +87,7 @@ DUCK = {
     "v_seq": "select doc_id seq_id, upper(regexp_replace(text,'[^ACGTacgt]','','g')) sequence, source file from documents",
     "v_prot": "select doc_id seq_id, upper(regexp_replace(text,'[^A-Za-z]|[BJOUXZbjouxz]','','g')) sequence from documents",
     "v_tasks": """select cast(o_orderkey as varchar) task_id,
-  concat('f',o_orderkey,case o_orderkey%6 when 0 then '.pdf' when 1 then '.fasta' when 2 then '.wav' when 3 then '.mp4' when 4 then '.docx' else '.xyz' end) file_name,
+  concat('f',o_orderkey,case when o_orderkey%13=0 then '.xyz' else case o_orderkey%6 when 0 then '.pdf' when 1 then '.fasta' when 2 then '.wav' when 3 then '.mp4' when 4 then '.docx' else '.xyz' end end) file_name,
   case when o_orderstatus='O' then 'pending' when o_orderstatus='P' then 'processing' when o_orderkey%17=0 then 'failed' when o_orderkey%19=0 then 'cancelled' else 'completed' end status,
   5-cast(substr(o_orderpriority,1,1) as int) priority, o_custkey user_id, o_orderdate created_at,
   case when o_orderstatus<>'O' then o_orderdate + (o_orderkey%90) * interval '1' minute end started_at,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.transcripts import ITEM
+from granary.sources.splits import numbered, split_text
 
 
 def file_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -47,8 +48,15 @@ def parse_ocr_pages(raw: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """The schema is given, so files are read once."""
-    return spark.read.schema(schema).option("sep", sep).option("header", header).csv(paths)
+    """The schema's columns, with error_type and error, both null for a row that fits the schema. A row with a value of
+    another kind, or too few or many values, is kept with what could be read; error is its line. split_errors() parts the two.
+    Lines are read in parallel and each is judged whole, whatever columns a query asks for; blank lines and, with a header,
+    each file's first line are left out."""
+    lines = split_text(spark, paths)
+    lines = numbered(lines, F.lit(True)).where("ord > 1") if header else lines
+    parsed = F.from_csv("value", f"{schema}, error string", {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "error"})
+    rows = lines.where(F.trim("value") != "").select(parsed.alias("row")).select("row.*")
+    return rows.withColumn("error_type", F.when(F.col("error").isNotNull(), "MalformedRow"))
 
 
 def read_plain(spark: SparkSession, paths) -> DataFrame:
@@ -74,9 +82,3 @@ def filename_from_source(df: DataFrame, url: str = "url", disposition: str = "di
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/?#]*", ""), r"[?#].*$", "")
     last = F.nullif(F.element_at(F.split(path, "/"), -1), F.lit(""))
     return df.withColumn("file_name", F.coalesce(named, last, F.lit("downloaded_file")))
-
-
-def write_results(df: DataFrame, path: str, format: str = "parquet", by: str | None = "format", mode: str = "error") -> None:
-    """One dataset, split by a column; no file per row."""
-    writer = df.write.mode(mode).format(format)
-    (writer.partitionBy(by) if by and by in df.columns else writer).save(path)
