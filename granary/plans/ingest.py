@@ -124,3 +124,5 @@ ORACLES = {
     "a10_filename_from_source": "with p as (select *, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/')[-1] last from pages) select page_id, case when page_id % 3 = 0 then 'p' || page_id || '.html' when last <> '' then last else 'downloaded_file' end file_name from p",
 }
 ORACLES["b08_genbank_source"] = f"select * exclude (strand) from ({ORACLES['a03_genbank_features']})"
+ORACLES["a06_html_blocks"] = """with p as (select page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript|template)[^>]*>.*?</(script|style|noscript|template)>', '', 'gs'), '<!--.*?-->', '', 'gs') h from pages)
+select page_id, len(regexp_extract_all(h, '<h1[ >]')) h1, len(regexp_extract_all(h, '<li[ >]')) items from p"""

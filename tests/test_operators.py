@@ -159,7 +159,7 @@ def test_display_helpers(spark):
 def test_json_paths_and_shape(spark):
     d = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":2}]},"d":[]}'), (2, "7"), (3, "{bad"), (4, None)], "id long, json string")
     paths = {(r.id, r.path, r.depth) for r in documents.json_paths(d).collect()}
-    assert paths == {(1, "", 0), (1, "a", 1), (1, "a.b", 2), (1, "a.b.1", 3), (1, "d", 1)}
+    assert paths == {(1, "", 0), (1, "a", 1), (1, "a.b", 2), (1, "a.b.1", 3), (1, "d", 1), (3, None, None)}  # bad JSON is a row with an error
     assert {r.id: (r.kind, r.n) for r in documents.json_shape(d).collect()} == {1: ("object", 2), 2: ("scalar", 0), 3: ("invalid", 0), 4: ("invalid", 0)}
 
 
@@ -249,7 +249,8 @@ def test_records_of_one_accession_stay_apart(spark):
 def test_json_paths_at_any_depth(spark):
     deep = "[" * 60 + "1" + "]" * 60
     got = documents.json_paths(spark.createDataFrame([(1, deep), (2, "{"), (3, None), (4, "5")], "id long, json string"))
-    assert sorted(r.depth for r in got.collect()) == list(range(60))
+    assert sorted(r.depth for r in got.where("error is null").collect()) == list(range(60))
+    assert [r.id for r in got.where("error is not null").collect()] == [2]
 
 
 def test_describe_record_and_protein_clauses(spark):
