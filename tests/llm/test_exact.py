@@ -144,8 +144,10 @@ def test_top_k_of_odd_vectors(spark):
     want = [(i, -s) for (s, i), n in sorted(pairs.items()) for _ in n][:12]
     got = vafile.top_k(df, F.col("vec_id") == 0, k=12).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == want
+    large = [(0, [1e9]), (1, [1e9])]  # a component of any size is fine; their score leaves 64 bits
+    assert vafile.top_k(spark.createDataFrame(large[:1], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).count() == 0
     with pytest.raises(Exception, match="beyond"):
-        vafile.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+        vafile.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
 
 
 def test_bounds_hold():
