@@ -103,7 +103,7 @@ QUERIES = {
     "f02_aromaticity": lambda s, d: P.aromaticity(v_prot(s, d)).select("seq_id", R6("aromaticity")),
     "f03_instability_index": lambda s, d: P.instability_index(v_prot(s, d), pair_weights(s)).select("seq_id", R6("instability_index")),
     "f04_isoelectric_point": lambda s, d: P.isoelectric_point(v_prot(s, d)).select("seq_id", F.round("isoelectric_point", 2).alias("isoelectric_point")),
-    "f05_residue_percent": lambda s, d: P.residue_percent(v_prot(s, d)).select("seq_id", F.explode("residue_percent").alias("residue", "share")).select("seq_id", "residue", R6("share")),
+    "f05_residue_percent": lambda s, d: P.residue_percent(v_prot(s, d)).select("seq_id", F.explode_outer("residue_percent").alias("residue", "share")).select("seq_id", "residue", R6("share")),
     "f06_secondary_structure": lambda s, d: P.secondary_structure(v_prot(s, d)).select("seq_id", R6("helix"), R6("turn"), R6("sheet")),
     "f07_gravy": lambda s, d: P.gravy(v_prot(s, d)).select("seq_id", R6("gravy")),
     "f08_flexibility_mean": lambda s, d: P.flexibility_mean(v_prot(s, d)).select("seq_id", R6("flexibility_mean")),

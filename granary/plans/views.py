@@ -16,11 +16,11 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_seq(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("sequence"), F.col("source").alias("file"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("sequence"), F.col("source").alias("file"))
 
 
 def v_prot(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]|[BJOUXZbjouxz]", "")).alias("sequence"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^AC-IK-NP-TVWYac-ik-np-tvwy]+", "")).alias("sequence"))
 
 
 def v_tasks(spark, d):
