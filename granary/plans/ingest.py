@@ -50,8 +50,8 @@ def a02_chunks(s, d):
 
 def _flat_files(s, d):
     """A flat-file record for each order, its line items as features."""
-    f = table(s, d, "lineitem").selectExpr("l_orderkey k", "l_linenumber n", "concat(rpad(concat('     ', case l_linenumber % 3 when 0 then 'CDS' when 1 then 'gene' else 'tRNA' end), 21, ' '), case when l_suppkey % 2 = 0 then concat('complement(', l_partkey, '..', l_partkey + 90, ')') else concat(l_partkey, '..', l_partkey + 90) end, '\n                     /gene=\"g', l_suppkey, '\"\n                     /product=\"a long\n                     name ', l_partkey, '\"') t")
-    body = f.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "\n").alias("body"))
+    f = table(s, d, "lineitem").selectExpr("l_orderkey k", "struct(l_linenumber n, l_suppkey s, l_partkey p) x").groupBy("k").agg(F.collect_list("x").alias("items"))  # numbers are shuffled, texts made from them
+    body = f.withColumn("features", F.expr("transform(items, x -> struct(x.n as n, concat(rpad(concat('     ', case x.n % 3 when 0 then 'CDS' when 1 then 'gene' else 'tRNA' end), 21, ' '), case when x.s % 2 = 0 then concat('complement(', x.p, '..', x.p + 90, ')') else concat(x.p, '..', x.p + 90) end, '\n                     /gene=\"g', x.s, '\"\n                     /product=\"a long\n                     name ', x.p, '\"') as t))")).select("k", F.array_join(F.transform(F.array_sort("features"), lambda x: x["t"]), "\n").alias("body"))
     return body.select(F.lit("orders.gb").alias("file"), F.concat(F.lit("LOCUS       L"), "k", F.lit(" 12 bp DNA\nDEFINITION  order "), "k", F.lit("\n            of items\nVERSION     V"), "k", F.lit(".1\n  ORGANISM  Some thing\n            Bacteria; Alpha; Beta.\nREFERENCE   1\nFEATURES             Location/Qualifiers\n"), "body", F.lit("\nORIGIN\n        1 acgtac gtacgt\n")).alias("value"))
 
 

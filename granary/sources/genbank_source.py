@@ -7,6 +7,7 @@ paths and addresses that these know; read_genbank() reads whatever Spark itself
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT = 64 << 20
 READ = 4 << 20
+AHEAD = 64 << 10
 BATCH = 8 << 20
-_ENDS = (b"\n//\n", b"\n//\r\n")
+TASKS = 96
+_END = re.compile(rb"\n//\r?\n")
 _SCHEMA = "file string, record_no long, value string"
 
 
@@ -42,7 +45,8 @@ class FlatFileReader(DataSourceReader):
         files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(inner, recursive=True))
         scheme = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
         named = [f for f in files if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
-        return [Range(scheme + f.path, at, min(f.size, at + self.split)) for f in sorted(named, key=lambda f: f.path) for at in range(0, f.size, self.split)]
+        step = max(self.split, min(SPLIT, sum(f.size for f in named) // TASKS))
+        return [Range(scheme + f.path, at, min(f.size, at + step)) for f in sorted(named, key=lambda f: f.path) for at in range(0, f.size, step)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -68,17 +72,17 @@ def records_of(part: Range) -> Iterator[tuple[int, bytes]]:
         held, base, begin = b"", part.start - back, 0 if part.start == 0 else None
         looked = 0
         while True:
-            more = f.read(READ)
+            more = f.read(min(READ, max(part.end - base - len(held), len(held)) + AHEAD))
             held += more
             while True:
-                found = [(k, len(e)) for e in _ENDS if (k := held.find(e, looked)) >= 0]
+                found = _END.search(held, looked)  # both ends at once: a search for one that never comes goes to the end for each record
                 if not found:
                     looked = max(0, len(held) - 5)
                     break
-                k, n = min(found)
+                k = found.start()
                 if begin is not None and held[begin:k].strip():
                     yield base + begin, held[begin:k]
-                begin = looked = k + n
+                begin = looked = found.end()
                 if base + begin < part.start:
                     begin = None
                 elif base + begin >= part.end:
@@ -92,7 +96,7 @@ def records_of(part: Range) -> Iterator[tuple[int, bytes]]:
 
 
 class FlatFiles(DataSource):
-    """Option split: bytes of a range."""
+    """Option split: bytes of a range, at least; ranges are longer, up to 64 MB, where there would be more than 96: each range is a task, which starts a worker."""
 
     @classmethod
     def name(cls) -> str:
