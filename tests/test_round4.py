@@ -55,3 +55,13 @@ def test_many_short_records_are_read_in_linear_time(tmp_path, monkeypatch):
     monkeypatch.setattr(genbank_source, "TASKS", 10)
     parts = FlatFileReader({"path": str(tmp_path / "x.gb"), "split": "1000"}).partitions()
     assert len(parts) <= 11 and sum(1 for p in parts for _ in records_of(p)) == 150_000
+
+
+def test_neighbours_are_walked_without_arrays(spark):
+    plan = plan_of(P.instability_index(P.flexibility_mean(v_prot(spark, SMALL)), sequences.pair_weights(spark)))
+    assert "transform(" not in plan and "zip_with" not in plan and "split(" not in plan
+
+
+def test_a_pair_with_two_weights_is_an_error(spark):
+    with pytest.raises(ValueError, match="two weights"):
+        P.instability_index(v_prot(spark, SMALL), spark.createDataFrame([("AA", 1.0), ("AA", 2.0)], "pair string, weight double"))
