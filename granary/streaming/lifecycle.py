@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -79,31 +83,62 @@ class Rules:
         return task.status, task.worker, task.retries
 
 
-def _frame(task_id: str, out: list[tuple]) -> pd.DataFrame:
-    rows = [(task_id, seq, pd.Timestamp(at, unit="ms"), event, ok, status, worker, retries) for seq, at, event, ok, status, worker, retries in out]
-    return pd.DataFrame(rows, columns=_COLUMNS).astype({"seq": "Int64"})
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    """Rows of OUT, with at in milliseconds."""
+    frame = pd.DataFrame(out, columns=_COLUMNS).astype({"seq": "Int64"})
+    return frame.assign(at=pd.to_datetime(frame["at"], unit="ms", utc=True))
 
 
-def _text(x) -> str | None:
-    return None if x is None or pd.isna(x) else str(x)
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.timestamp("ms", "UTC"), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32()))]
+    columns[2] = columns[2].cast(pa.timestamp("us", "UTC"))
+    return pa.RecordBatch.from_arrays(columns, names=_COLUMNS)
+
+
+_WAITING = pa.schema([("task_id", pa.string()), ("seq", pa.int64()), ("at_ms", pa.int64()), ("requested_status", pa.string()), ("worker_id", pa.string())])
+_TASKS = pa.schema([("task_id", pa.string()), ("status", pa.string()), ("worker", pa.string()), ("started", pa.int64()), ("finished", pa.int64()), ("retries", pa.int64())])
+PART_ROWS = 1 << 16
+
+
+def _parts(table: pa.Table) -> list[tuple[bytes]]:
+    """A table as elements of a list state, each an Arrow stream of so many rows at most: a call for each row of the state would take more time than its events."""
+    out = []
+    for at in range(0, table.num_rows, PART_ROWS):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table.slice(at, PART_ROWS))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _table(state, schema: pa.Schema) -> pa.Table:
+    parts = [pa.ipc.open_stream(bytes(x[0])).read_all() for x in state.get()] if state.exists() else []
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
+def _put(state, table: pa.Table) -> None:
+    if table.num_rows:
+        state.put(_parts(table))
+    elif state.exists():
+        state.clear()
 
 
 class Lifecycle(StatefulProcessor):
-    """State of a task: what is known of it, events the watermark has not passed, and the one timer that is set."""
+    """State of a group of tasks: what is known of each, events the watermark has not passed, and the one timer that is set."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", "status string, worker string, started long, finished long, retries int")
-        self.waiting = handle.getListState("waiting", "seq long, at long, requested string, worker string")
+        self.tasks = handle.getListState("tasks", "part binary")
+        self.waiting = handle.getListState("waiting", "part binary")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(r.seq), int(r.at_ms), r.requested_status, _text(r.worker_id)) for part in rows for r in part.itertuples(index=False)]
-        self.waiting.appendList(new)
-        at = min(x[1] for x in new) + 1
+        new = pa.concat_tables(pa.Table.from_pandas(x, _WAITING, preserve_index=False) for x in rows)
+        self.waiting.appendList(_parts(new))
+        at = pc.min(new["at_ms"]).as_py() + 1
         set_to = self.timer.get()[0] if self.timer.exists() else NEVER
         if at < set_to:
             self.set_timer(set_to, at)
@@ -111,21 +146,26 @@ class Lifecycle(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, later = [x for x in waiting if x[1] < now], [x for x in waiting if x[1] >= now]
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-        known = Task(*self.task.get()) if self.task.exists() else Task()
-        task, out = self.rules.run(known, ready, now)
-        if task == Task() and not later:
-            self.task.clear()
-        else:
-            self.task.update(astuple(task))
+        waiting = _table(self.waiting, _WAITING)
+        early = pc.less(waiting["at_ms"], now)
+        ready, later = waiting.filter(early), waiting.filter(pc.invert(early))
+        if ready.num_rows:
+            _put(self.waiting, later)
+        known = {row[0]: Task(*row[1:]) for row in _rows(_table(self.tasks, _TASKS))}
+        asked = {task_id: [x[1:] for x in events] for task_id, events in groupby(_rows(ready.sort_by([(c, "ascending") for c in _WAITING.names])), itemgetter(0))}
+        out: list[tuple] = []
+        for task_id in [*asked, *(k for k, task in known.items() if k not in asked and self.rules.due(task) < now)]:
+            task, told = self.rules.run(known.pop(task_id, Task()), asked.get(task_id, []), now)
+            out += [(task_id, *x) for x in told]
+            if task != Task():
+                known[task_id] = task
+        if out:
+            _put(self.tasks, pa.table(list(map(list, zip(*((k, *astuple(v)) for k, v in known.items())))) or [[]] * len(_TASKS), schema=_TASKS))
         self.timer.clear()
-        due = min([self.rules.due(task), *(x[1] for x in later)])
+        due = min([NEVER, *map(self.rules.due, known.values()), *later["at_ms"].to_pylist()])
         if due < NEVER:
             self.set_timer(NEVER, due + 1)
-        return iter((_frame(key[0], out),)) if out else iter(())
+        return (_frame(out[k : k + PART_ROWS]) for k in range(0, len(out), PART_ROWS))
 
     def set_timer(self, old: int, at: int) -> None:
         """A timer fires once the watermark has come to it, so one for what must be before the watermark is a moment later."""
@@ -138,11 +178,15 @@ class Lifecycle(StatefulProcessor):
         pass
 
 
+def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in table.columns))
+
+
 def _minutes(n: float | None) -> int | None:
     return None if n is None else int(n * 60_000)
 
 
-def task_lifecycle(events: DataFrame, watermark: str = "1 hour", timeout_minutes: float | None = 60, keep_days: float | None = 30) -> DataFrame:
+def task_lifecycle(events: DataFrame, watermark: str = "1 hour", timeout_minutes: float | None = 60, keep_days: float | None = 30, groups: int = 1024) -> DataFrame:
     """A stream of (task_id, seq, ts, requested_status, worker_id) -> what becomes of each task:
     task_id, seq, at, event (request, reset, dropped), accepted, status, worker_id, retry_count.
 
@@ -150,12 +194,15 @@ def task_lifecycle(events: DataFrame, watermark: str = "1 hour", timeout_minutes
     it; seq and ts must agree in order. Requests later than the watermark are lost, as in any event-time stream. A task in
     process for more than timeout_minutes is reset at that moment, its worker taken and its retries counted (C10); keep_days
     after it was completed or failed it is dropped (C09) and its state with it; a later request begins it anew. State holds
-    what waits, and tasks that are not dropped. Rows with a null task_id, seq, ts or requested_status are left out. Start the
-    stream with drain(), or with the RocksDB state store as provider.
+    what waits, and tasks that are not dropped. It is kept by groups of tasks, each read and written whole by one task of Spark,
+    as state and timers of each ledger task alone cost more than its events do; groups is how many, and stays as it is for a
+    stream's checkpoint. Rows with a null task_id, seq, ts or requested_status are left out. Start the stream with drain(), or
+    with the RocksDB state store as provider.
     """
     rules = Rules(_minutes(timeout_minutes), None if keep_days is None else _minutes(keep_days * 1440))
     timed = _requests(events).withWatermark("ts", watermark)
-    return timed.groupBy("task_id").transformWithStateInPandas(Lifecycle(rules), OUT, "Append", "EventTime")
+    of_group = timed.withColumn("group", F.pmod(F.xxhash64("task_id"), F.lit(groups)).cast("int"))
+    return of_group.groupBy("group").transformWithStateInPandas(Lifecycle(rules), OUT, "Append", "EventTime")
 
 
 def _requests(events: DataFrame) -> DataFrame:
@@ -170,22 +217,19 @@ def lifecycle_batch(events: DataFrame, now, timeout_minutes: float | None = 60,
     rules = Rules(_minutes(timeout_minutes), None if keep_days is None else _minutes(keep_days * 1440))
     at = int(pd.Timestamp(now).timestamp() * 1000)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if r.task_id != key and held:
-                    out = rules.run(Task(), held, at)[1]
-                    held = []
-                    if out:
-                        yield _frame(key, out)
-                key = r.task_id
-                held.append((int(r.seq), int(r.at_ms), r.requested_status, _text(r.worker_id)))
-        if held and (out := rules.run(Task(), held, at)[1]):
-            yield _frame(key, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in _rows(b))
+        out: list[tuple] = []
+        for task_id, events in groupby(rows, itemgetter(0)):
+            out += [(task_id, *x) for x in rules.run(Task(), [x[1:] for x in events], at)[1]]
+            if len(out) >= PART_ROWS:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
 
     rows = _requests(events).where(F.col("at_ms") < at).repartition("task_id").sortWithinPartitions("task_id", "seq")
-    return rows.select("task_id", "seq", "at_ms", "requested_status", "worker_id").mapInPandas(run, OUT)
+    return rows.select("task_id", "seq", "at_ms", "requested_status", "worker_id").mapInArrow(run, OUT)
 
 
 def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
