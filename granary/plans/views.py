@@ -20,7 +20,8 @@ def v_seq(spark, d):
 
 
 def v_prot(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^AC-IK-NP-TVWYac-ik-np-tvwy]+", "")).alias("sequence"))
+    letters = "ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy"  # one by one: Java looks these up in a table, but walks ranges one after the other for each character
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", f"[^{letters}]+", "")).alias("sequence"))
 
 
 def v_tasks(spark, d):
