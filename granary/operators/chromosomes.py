@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.constants import DNA_MASS, WATER
 from granary.functions.shared import written
-from granary.operators.nucleotide import _positions
+from granary.operators.nucleotide import _positions, blocks_of, matching_runs
 
 CHUNK = 1_000_000
 HALO = 256
@@ -66,16 +67,17 @@ def chunk_pieces(pieces: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def _each(chunks: DataFrame, work, schema: str) -> DataFrame:
-    """work(chunk number, start, text, ahead) -> columns without the id, one chunk at a time."""
+    """work(chunk number, start, text, ahead) -> columns without the id, one chunk at a time; a block's rows go on together."""
     kind, names = dict(chunks.dtypes)["seq_id"], [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            for k in range(b.num_rows):
-                columns = work(*(b.column(c)[k].as_py() for c in range(1, 5)))
-                n = len(columns[0])
-                ids = b.column(0).slice(k, 1).take(pa.array(np.zeros(n, np.int32)))
-                yield pa.RecordBatch.from_arrays([ids, *(x if isinstance(x, pa.Array) else pa.array(x) for x in columns)], names=["seq_id", *names])
+            for x, y in blocks_of(pc.binary_length(b.column(3)).to_pylist()):
+                parts = [work(*row) for row in zip(*(c.slice(x, y - x).to_pylist() for c in b.columns[1:]))]
+                row = np.repeat(np.arange(x, y), [len(p[0]) for p in parts])
+                columns = [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else pa.array(np.concatenate(c)) for c in zip(*parts)]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *columns], names=["seq_id", *names])
 
     return chunks.select("seq_id", "chunk", "start", "text", "ahead").mapInArrow(run, f"seq_id {kind}, {schema}")
 
@@ -109,33 +111,34 @@ def find_orfs(chunks: DataFrame, min_length: int = 100) -> DataFrame:
     return orfs.where(size >= min_length).select("seq_id", F.col("a").alias("start"), (F.col("b") + 3).alias("end"), size.alias("length"), "frame", F.lit("+").alias("strand"))
 
 
-def _segments(min_length: int, max_length: int):
-    def work(chunk: int, start: int, text: str, ahead: str):
-        """Stretches in which each letter equals the one a period later; held: whether one touches an edge it may cross.
-        head: the letters of a stretch's first two periods and one more."""
-        codes, n = np.frombuffer((text + ahead).encode("utf-32-le"), np.uint32), len(text)
-        longest = max_length if chunk or ahead else min(max_length, n // 3)
-        out = []
-        for period in range(min_length, longest + 1):
-            m = min(n, len(codes) - period)
-            if m <= 0:
-                continue
-            same = np.r_[False, codes[:m] == codes[period : period + m], False]
-            edge = np.flatnonzero(same[1:] != same[:-1])
-            s, size = edge[::2], edge[1::2] - edge[::2]
-            held = ((s == 0) & (chunk > 0)) | ((s + size == n) & (len(ahead) > 0))
-            pick = held | (size >= period)
-            out += [(period, int(a) + start, int(k), bool(h), (text + ahead)[a : a + 2 * period]) for a, k, h in zip(s[pick], size[pick], held[pick])]
-        return [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))]
+def _segments(chunks: DataFrame, min_length: int, max_length: int) -> DataFrame:
+    """Stretches in which each letter equals the one a period later; held: whether one touches an edge it may cross.
+    head: the letters of a stretch's first two periods and one more."""
+    kind, names = dict(chunks.dtypes)["seq_id"], ["seq_id", "period", "start", "matches", "held", "head"]
 
-    return work
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            for x, y in blocks_of(pc.binary_length(b.column(3)).to_pylist()):
+                ids, number, begin, text, ahead = (b.column(c).slice(x, y - x) for c in range(5))
+                number, begin, text, more = np.asarray(number), np.asarray(begin), text.to_pylist(), ahead.to_pylist()
+                own, goes_on, whole = np.array([len(t) for t in text]), np.array([len(t) > 0 for t in more]), [t + m for t, m in zip(text, more)]
+                longest = np.where((number > 0) | goes_on, max_length, np.minimum(max_length, own // 3))
+                for period, row, at, size in matching_runs(whole, own, min_length, max_length, edges=True):
+                    held = ((at == 0) & (number[row] > 0)) | ((at + size == own[row]) & goes_on[row])
+                    pick = (held | (size >= period)) & (longest[row] >= period)
+                    row, at, size, held = row[pick], at[pick], size[pick], held[pick]
+                    if len(row):
+                        heads = [whole[k][a : a + 2 * period] for k, a in zip(row.tolist(), at.tolist())]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(np.full(len(row), period)), pa.array(begin[row] + at), pa.array(size), pa.array(held), pa.array(heads, pa.string())], names=names)
+
+    return chunks.select("seq_id", "chunk", "start", "text", "ahead").mapInArrow(run, f"seq_id {kind}, period long, start long, matches long, held boolean, head string")
 
 
 def _runs(chunks: DataFrame, min_length: int, max_length: int) -> DataFrame:
     """seq_id, period, start, matches, head of the maximal runs of a period's length and more."""
     if max_length * 2 > HALO:
         raise ValueError(f"max_length must be {HALO // 2} at most")
-    found = written(_each(chunks, _segments(min_length, max_length), "period long, start long, matches long, held boolean, head string"), "runs")
+    found = written(_segments(chunks, min_length, max_length), "runs")
     own = W.partitionBy("seq_id", "period").orderBy("start")  # what touches an edge: two rows a chunk and period at most
     end = F.col("start") + F.col("matches")
     held = found.where("held").withColumn("new", (F.coalesce(F.lag(end).over(own), F.lit(-1)) != F.col("start")).cast("int"))
@@ -200,7 +203,8 @@ def composition(chunks: DataFrame) -> DataFrame:
 
 
 def nucleotide_profile(chunks: DataFrame) -> DataFrame:
-    """E15 on chunks: seq_id and the metrics of nucleotide.nucleotide_profile."""
+    """E15 on chunks: seq_id and the metrics of nucleotide.nucleotide_profile. The chunks are made once, for five readers."""
+    chunks = written(chunks, "chunks")
     many = lambda letters: F.sum(F.when(F.upper("letter").isin(*letters), F.col("n")).otherwise(0))
     counts = {c: many(c) for c in "ACGTU"}
     mass = sum((counts[c] * w for c, w in DNA_MASS.items()), F.lit(0.0))

@@ -139,40 +139,92 @@ def entropy(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("entropy", F.when(n == 0, 0.0).otherwise(0.0 - F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
 
 
-def runs_of_period(codes: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the maximal runs in which each letter equals the one a period later, at least a period long."""
-    same = np.r_[False, codes[:-period] == codes[period:], False] if len(codes) > period else np.zeros(2, bool)
-    edge = np.flatnonzero(same[1:] != same[:-1])
-    start, size = edge[::2], edge[1::2] - edge[::2]
-    keep = size >= period
-    return start[keep], size[keep]
+def matching_runs(texts: list[str], own: list[int], min_length: int, max_length: int, edges: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each period: (period, rows, starts, sizes) of the maximal runs, among the first own letters of each text, in which each letter
+    equals the one a period later, at least a period long; with edges, also shorter ones that touch either end of these letters.
+
+    The texts are compared as one array, so a short text costs its letters, not calls; after each comes what equals no letter."""
+    whole, size = "".join(texts), np.array([len(x) for x in texts], np.int64)
+    data = np.frombuffer(whole.encode("ascii"), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    base = np.cumsum(size + max_length) - size - max_length
+    at = place + np.repeat(base, size)
+    codes = np.full(len(data) + len(texts) * max_length, np.iinfo(data.dtype).max, data.dtype)
+    codes[at] = data
+    count = np.asarray(own, np.int64)
+    inside, touched = np.zeros(len(codes), bool), np.zeros(len(codes), np.int8)
+    inside[at[place < np.repeat(count, size)]] = True
+    begin, last = base[count > 0], (base + count - 1)[count > 0]
+    touched[begin] |= 1
+    touched[last] |= 2
+    for period in range(min_length, max_length + 1):
+        m = len(codes) - period
+        if m <= 0:
+            return
+        same = np.zeros(m + 2, bool)
+        np.logical_and(codes[:m] == codes[period:], inside[:m], out=same[1:-1])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        start, length = edge[::2], edge[1::2] - edge[::2]
+        keep = length >= period
+        if edges:
+            keep |= ((touched[start] & 1) | (touched[start + length - 1] & 2)) > 0
+        start, length = start[keep], length[keep]
+        row = np.searchsorted(base, start, "right") - 1
+        yield period, row, start - base[row], length
+
+
+BLOCK_LETTERS = 1 << 18
+
+
+def blocks_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Where to cut rows of these sizes, so that a block has so many letters at most, or is one row."""
+    first, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and total + n > BLOCK_LETTERS:
+            yield first, k
+            first, total = k, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def runs_of_texts(texts: list[str], min_length: int, max_length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """matching_runs() over whole texts, in blocks, for periods up to a third of each text."""
+    sizes = [len(x) for x in texts]
+    third = np.array(sizes, np.int64) // 3
+    for a, b in blocks_of(sizes):
+        for period, row, start, length in matching_runs(texts[a:b], sizes[a:b], min_length, max_length):
+            fine = third[a + row] >= period
+            yield period, a + row[fine], start[fine], length[fine]
 
 
 def tandem_runs(seqs: DataFrame, min_length: int = 10, max_length: int = 50) -> DataFrame:
     """E11, the runs: seq_id, period, start, matches, for every period from min_length to a third of the sequence."""
+    kind = dict(seqs.dtypes)["seq_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, text in zip(b["seq_id"], b["sequence"]):
-                codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
-                for period in range(min_length, min(max_length, len(codes) // 3) + 1):
-                    rows += [(i, period, int(s), int(n)) for s, n in zip(*runs_of_period(codes, period))]
-            yield pd.DataFrame(rows, columns=["seq_id", "period", "start", "matches"])
+            for period, row, start, size in runs_of_texts([x or "" for x in b.column(1).to_pylist()], min_length, max_length):
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.full(len(row), period)), pa.array(start), pa.array(size)], names=["seq_id", "period", "start", "matches"])
 
-    kind = dict(seqs.dtypes)["seq_id"]
-    return seqs.select("seq_id", "sequence").mapInPandas(run, f"seq_id {kind}, period long, start long, matches long")
-
-
-def repeat_units(text: str, min_length: int, max_length: int, cap: int) -> list[tuple]:
-    """(rank, position, length, repeat_count, pattern) of one sequence, as tandem_repeats gives them."""
-    codes, found = np.frombuffer(text.encode("utf-32-le"), np.uint32), {}
-    for period in range(min(max_length, len(codes) // 3), min_length - 1, -1):
-        for start, size in zip(*runs_of_period(codes, period)):
-            for at in range(start, min(start + size - period, start + period) + 1):
-                found.setdefault(text[at : at + period], (int(at), period, int((start + size - at) // period + 1)))
-                if len(found) == cap:
-                    break
+    return seqs.select("seq_id", "sequence").mapInArrow(run, f"seq_id {kind}, period long, start long, matches long")
+
+
+def repeat_units(texts: list[str], min_length: int, max_length: int, cap: int) -> list[list[tuple]]:
+    """(rank, position, length, repeat_count, pattern) of each sequence, as tandem_repeats gives them."""
+    runs: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for period, row, start, size in runs_of_texts(texts, min_length, max_length):
+        for k, a, n in zip(row.tolist(), start.tolist(), size.tolist()):
+            runs[k].append((-period, a, n))
+    return [_units(text, sorted(found), cap) if found else [] for text, found in zip(texts, runs)]
+
+
+def _units(text: str, runs: list[tuple[int, int, int]], cap: int) -> list[tuple]:
+    found: dict[str, tuple[int, int, int]] = {}
+    for period, start, size in ((-p, a, n) for p, a, n in runs):
+        for at in range(start, min(start + size - period, start + period) + 1):
+            found.setdefault(text[at : at + period], (at, period, (start + size - at) // period + 1))
             if len(found) == cap:
                 break
         if len(found) == cap:
@@ -191,7 +243,8 @@ def tandem_repeats(seqs: DataFrame, min_length: int = 10, max_length: int = 50,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *x) for i, text in zip(b["seq_id"], b["sequence"]) for x in repeat_units(text or "", min_length, max_length, cap)]
+            units = repeat_units([x or "" for x in b["sequence"]], min_length, max_length, cap)
+            rows = [(i, *x) for i, found in zip(b["seq_id"], units) for x in found]
             yield pd.DataFrame(rows, columns=["seq_id", "rank", "position", "length", "repeat_count", "pattern"])
 
     kind = dict(seqs.dtypes)["seq_id"]
@@ -234,9 +287,10 @@ def nucleotide_profile(seqs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for text in b.column(at).to_pylist():
-                orfs = orfs_of(text or "", 100)
-                found.append((max((e - s for s, e, _ in orfs), default=0), len(orfs), island_count(text or ""), len(repeat_units(text or "", 10, 50, 15))))
+            texts = [x or "" for x in b.column(at).to_pylist()]
+            for text, units in zip(texts, repeat_units(texts, 10, 50, 15)):
+                orfs = orfs_of(text, 100)
+                found.append((max((e - s for s, e, _ in orfs), default=0), len(orfs), island_count(text), len(units)))
             counts = [pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 4)]
             yield pa.RecordBatch.from_arrays([*b.columns, *counts], names=[*b.schema.names, *names])
 
