@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.constants import REPORT_TEXT, SUMMARY_TEXT
+from granary.functions.shared import written
 from granary.operators.halo import with_number
 from granary.operators.nucleotide import cpg_islands, find_orfs
 
@@ -93,8 +94,9 @@ def sequence_markdown(profile: DataFrame, by: str = "file", preview: int = 100,
     by rank of seq_id.
     """
     t, have = REPORT_TEXT[lang], set(profile.columns)
-    if number is None:
-        profile = with_number(profile, [by], ["seq_id"], "part")
+    profile = sequence_preview(profile, preview).drop("sequence")
+    if number is None:  # dealing out by ranges reads its rows twice, so the profile is worked out before
+        profile = with_number(written(profile, "profile"), [by], ["seq_id"], "part")
     stats = profile.groupBy(by).agg(F.count("*").alias("n"), F.sum("length").alias("sum"), F.avg("length").alias("avg"), F.min("length").alias("min"), F.max("length").alias("max"))
     whole = lambda c: F.format_number(F.coalesce(c, F.lit(0)), 0)
     head = F.concat(
@@ -115,8 +117,7 @@ def sequence_markdown(profile: DataFrame, by: str = "file", preview: int = 100,
         line("gravy", "%.2f", F.round(col("gravy") + F.signum(col("gravy")) * 1e-9, 2)), line("structure", "α-helix %.1f%%, β-sheet %.1f%%", F.round(col("helix") * 100 + 1e-9, 1), F.round(col("sheet") * 100 + 1e-9, 1)),
     ]
     metrics = F.when(kind == "nucleotide", F.concat_ws("\n", *bases, F.lit(""))).when(kind == "protein", F.concat_ws("\n", *residues, F.lit("")))
-    p = sequence_preview(profile, preview)
-    p = p if number is None else p.withColumn("part", number.cast("long"))
+    p = profile if number is None else profile.withColumn("part", number.cast("long"))
     about = F.col("seq_description") if "seq_description" in have else F.col("seq_id").cast("string")
     meaning = F.when(word("description") != "", F.concat(F.lit(f"**🔬 {t['meaning']}**:\n"), word("description"), F.lit("\n")))
     section = F.concat_ws(
