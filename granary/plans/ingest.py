@@ -68,7 +68,7 @@ def _malformed(s, d):
 
 
 def a11(s, d):
-    store = ResultStore(s, shared_folder(s, "results"))
+    store = ResultStore(s, shared_folder(s, "results"), "month")
     store.write(v_tasks(s, d).select("task_id", F.when(F.col("key") % 2 == 0, "md").otherwise("json").alias("format"), "status", "completed_at", "result_path"))
     store.expire_files(AS_OF, 7)
     store.expire_records(AS_OF, 30)

@@ -18,20 +18,31 @@ def write_results(df: DataFrame, path: str, format: str = "parquet", by: str | N
     (writer.partitionBy(by) if by and by in df.columns else writer).save(path)
 
 
+FILE_ROWS = 1 << 19
+
+
 class ResultStore:
     """Results in folders by the day they were done and their format: done_on=2024-01-31/format=md.
 
     rows: task_id, format, status, completed_at, result_path and any more. Rows without completed_at lie in a folder of their own.
+    unit: day, week, month, quarter or year; done_on is the first day of it. Each folder costs files and calls to the file system
+    whatever it holds, so years of few results a day lie better by month; retention then rewrites the unit its moment falls in.
     """
 
     KEYS = ("done_on", "format")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, unit: str = "day"):
+        self.spark, self.path, self.unit = spark, path.rstrip("/"), unit
 
     def write(self, rows: DataFrame) -> None:
-        """Add results. They are dealt out by folder, and a large folder over several files, by a hash of the task."""
-        spread = rows.withColumn("done_on", F.to_date("completed_at")).repartition(*self.KEYS, F.pmod(F.xxhash64("task_id"), F.lit(8)))
+        """Add results. They are dealt out by folder, and a large folder over as many files as its rows ask for, by a hash of the task."""
+        day = F.to_date("completed_at")
+        dated = rows.withColumn("done_on", day if self.unit == "day" else F.trunc(day, self.unit))
+        large = dated.groupBy(*self.KEYS).agg(F.ceil(F.count("*") / FILE_ROWS).alias("files_")).where("files_ > 1")
+        large = large.select(F.col("done_on").alias("on_"), F.col("format").alias("as_"), "files_")
+        spread = dated.join(F.broadcast(large), F.col("done_on").eqNullSafe(F.col("on_")) & F.col("format").eqNullSafe(F.col("as_")), "left")  # folders: some per day
+        place = F.when(F.col("files_").isNotNull(), F.pmod(F.xxhash64("task_id"), F.col("files_")))
+        spread = spread.repartition(*self.KEYS, place).select(*dated.columns)
         spread.write.mode("append").partitionBy(*self.KEYS).parquet(self.path)
 
     def read(self) -> DataFrame:
