@@ -148,14 +148,17 @@ def record_json(records: DataFrame, features: DataFrame, include_full: bool = Tr
         return records.select(*key, F.to_json(F.struct(*fields)).alias("json"))
     f, kind = with_strand(features), F.col("type")
     ordered = lambda condition, *values: F.transform(F.sort_array(F.collect_list(F.when(condition, F.struct("feature_no", F.struct(*values).alias("x"))))), lambda i: i["x"])
-    name = lambda *of: first_of(*of)
-    gene = ("location", "strand", name("gene").alias("name"), name("locus_tag").alias("locus_tag"), name("note").alias("note"))
-    protein = ("location", "strand", *(name(n).alias(n) for n in ("product", "gene", "protein_id", "function", "note")), F.nullif(F.length(name("translation")), F.lit(0)).alias("translation_length"))
+    name = lambda x, *of: F.coalesce(*[F.get(x["qualifiers"][n], F.lit(0)) for n in of])
+    named = lambda x, *of: [name(x, n).alias(n) for n in of]
+    gene = lambda x: F.struct(x["location"].alias("location"), x["strand"].alias("strand"), name(x, "gene").alias("name"), *named(x, "locus_tag", "note"))
+    protein = lambda x: F.struct(x["location"].alias("location"), x["strand"].alias("strand"), *named(x, "product", "gene", "protein_id", "function", "note"), F.nullif(F.length(name(x, "translation")), F.lit(0)).alias("translation_length"))
     whole = lambda x: F.struct(x["type"].alias("type"), x["location"].alias("location"), x["strand"].alias("strand"), F.map_from_entries(x["q"]).alias("qualifiers"))
     told = f.groupBy(*key).agg(
-        F.transform(ordered(F.lit(True), "location", "type", "strand", F.map_entries("qualifiers").alias("q")), whole).alias("features"), ordered(kind == "gene", *gene).alias("genes"), ordered(kind == "CDS", *protein).alias("proteins"),
+        F.transform(ordered(F.lit(True), "location", "type", "strand", F.map_entries("qualifiers").alias("q")), whole).alias("features"),
         F.count_if(kind.isin(*REGULATORY)).alias("regulatory_count"), F.count_if(kind.isin(*RNA)).alias("rna_count"),
     )
+    of_type = lambda wanted, item: F.transform(F.filter("features", lambda x: x["type"] == wanted), item)
+    told = told.withColumns({"genes": of_type("gene", gene), "proteins": of_type("CDS", protein)})  # a feature is shuffled once, not once a list
     both = records.join(told, key, "left").join(_types(features, key), key, "left")
     by_type = F.map_from_entries("types").alias("feature_types")
     summary = F.struct(F.size("genes").alias("gene_count"), F.size("proteins").alias("cds_count"), "regulatory_count", "rna_count", F.slice("genes", 1, first).alias("genes"), F.slice("proteins", 1, first).alias("proteins"))
