@@ -66,29 +66,55 @@ def _positions(codes: np.ndarray, words: tuple[str, ...]) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-def orfs_of(sequence: str, min_length: int) -> list[tuple[int, int, int]]:
-    """(start, end, frame): every start codon with the next stop in its frame, in order of frame and start."""
-    codes = np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)
-    starts, stops, out = _positions(codes, ("ATG",)), _positions(codes, ("TAA", "TAG", "TGA")), []
-    for frame in range(3):
-        s, e = starts[starts % 3 == frame], stops[stops % 3 == frame]
-        at = np.searchsorted(e, s, "right")
-        s, at = s[at < len(e)], at[at < len(e)]
-        long = e[at] + 3 - s >= min_length
-        out += [(int(a), int(b) + 3, frame) for a, b in zip(s[long], e[at[long]])]
-    return out
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' characters as one byte each, with one between that is in no word, and where each text begins and how long it is."""
+    size = np.array([len(x) for x in texts], np.int64)
+    return np.frombuffer("\0".join(texts).encode("latin-1", "replace"), np.uint8), np.cumsum(size + 1) - size - 1, size
+
+
+def _by_block(texts: list[str], work, kinds: tuple) -> list[np.ndarray]:
+    """work(texts of a block) -> row within the block and further arrays, for all blocks together."""
+    parts = [(first, work(texts[first:last])) for first, last in blocks_of([len(x) for x in texts])]
+    rows = np.concatenate([np.empty(0, np.int64), *(first + found[0] for first, found in parts)])
+    return [rows, *(np.concatenate([np.empty(0, kind), *(found[k] for _, found in parts)]) for k, kind in enumerate(kinds, 1))]
+
+
+def orfs_of_texts(texts: list[str], min_length: int) -> list[np.ndarray]:
+    """row, start, end, frame of every start codon with the next stop in its frame, in order of row, frame and start; a block of
+    texts is searched as one array, so a short text costs its letters, not calls."""
+
+    def work(block: list[str]) -> tuple[np.ndarray, ...]:
+        codes, base, size = _joined(block)
+        span = int(size.max()) + 1
+
+        def found(words: tuple[str, ...]) -> np.ndarray:
+            at = _positions(codes, words)
+            row = np.searchsorted(base, at, "right") - 1
+            place = at - base[row]
+            return np.sort((row * 3 + place % 3) * span + place)
+
+        starts, stops = found(("ATG",)), found(("TAA", "TAG", "TGA"))
+        at = np.searchsorted(stops, starts, "right")
+        starts, at = starts[at < len(stops)], at[at < len(stops)]
+        stops = stops[at]
+        fine = (starts // span == stops // span) & (stops + 3 - starts >= min_length)
+        starts, stops = starts[fine], stops[fine]
+        return starts // span // 3, starts % span, stops % span + 3, starts // span % 3
+
+    return _by_block(texts, work, (np.int64,) * 3)
 
 
 def find_orfs(seqs: DataFrame, min_length: int = 100) -> DataFrame:
     """seq_id, start, end, length, frame, strand of the forward reading frames, nested ones included; case matters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, s, e, e - s, f, "+") for i, text in zip(b["seq_id"], b["sequence"]) if text for s, e, f in orfs_of(text, min_length)]
-            yield pd.DataFrame(rows, columns=["seq_id", "start", "end", "length", "frame", "strand"])
+            row, start, end, frame = orfs_of_texts([x or "" for x in b.column(1).to_pylist()], min_length)
+            columns = [b.column(0).take(pa.array(row)), *map(pa.array, (start, end, end - start, frame)), pa.array(["+"] * len(row), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "start", "end", "length", "frame", "strand"])
 
     kind = dict(seqs.dtypes)["seq_id"]
-    return seqs.select("seq_id", "sequence").mapInPandas(run, f"seq_id {kind}, start long, end long, length long, frame long, strand string")
+    return seqs.select("seq_id", "sequence").mapInArrow(run, f"seq_id {kind}, start long, end long, length long, frame long, strand string")
 
 
 def orf_summary(orfs: DataFrame, top: int = 5) -> DataFrame:
@@ -251,15 +277,24 @@ def tandem_repeats(seqs: DataFrame, min_length: int = 10, max_length: int = 50,
     return seqs.select("seq_id", "sequence").mapInPandas(run, f"seq_id {kind}, rank long, position long, length long, repeat_count long, pattern string")
 
 
-def island_count(text: str, window: int = 200, step: int = 50, gc: float = 0.6, ratio: float = 0.6) -> int:
-    """How many windows of one sequence cpg_islands lists."""
-    codes = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    at = np.arange(0, max(0, len(codes) - window), step)
-    sums = lambda hit: np.r_[0, np.cumsum(hit)]
-    c, g, cg = sums(codes == ord("C")), sums(codes == ord("G")), sums((codes[:-1] == ord("C")) & (codes[1:] == ord("G")))
-    n_c, n_g, n = c[at + window] - c[at], g[at + window] - g[at], cg[at + window - 1] - cg[at]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return int((((n_c + n_g) / window >= gc) & (n > 0) & (n / (n_c * n_g / window) >= ratio)).sum())
+def islands_of_texts(texts: list[str], window: int = 200, step: int = 50, gc: float = 0.6, ratio: float = 0.6) -> list[np.ndarray]:
+    """row, start, gc_content and cpg_ratio of the windows that cpg_islands lists, in order of row and start; a block of texts at a time."""
+
+    def work(block: list[str]) -> tuple[np.ndarray, ...]:
+        codes, base, size = _joined(block)
+        many = np.maximum(0, -((window - size) // step))  # a window that ends with the sequence is no candidate
+        row = np.repeat(np.arange(len(block)), many)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * step
+        at = base[row] + place
+        sums = lambda hit: np.r_[0, np.cumsum(hit)]
+        c, g, cg = sums(codes == ord("C")), sums(codes == ord("G")), sums((codes[:-1] == ord("C")) & (codes[1:] == ord("G")))
+        n_c, n_g, n = c[at + window] - c[at], g[at + window] - g[at], cg[at + window - 1] - cg[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share, odds = (n_c + n_g) / window, n / (n_c * n_g / window)
+        hit = (share >= gc) & (n > 0) & (odds >= ratio)
+        return row[hit], place[hit], share[hit], odds[hit]
+
+    return _by_block(texts, work, (np.int64, np.float64, np.float64))
 
 
 def cpg_islands(seqs: DataFrame, window: int = 200, step: int = 50, gc: float = 0.6, ratio: float = 0.6) -> DataFrame:
@@ -286,12 +321,13 @@ def nucleotide_profile(seqs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
             texts = [x or "" for x in b.column(at).to_pylist()]
-            for text, units in zip(texts, repeat_units(texts, 10, 50, 15)):
-                orfs = orfs_of(text, 100)
-                found.append((max((e - s for s, e, _ in orfs), default=0), len(orfs), island_count(text), len(units)))
-            counts = [pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 4)]
+            row, start, end, _ = orfs_of_texts(texts, 100)
+            longest = np.zeros(len(texts), np.int64)
+            np.maximum.at(longest, row, end - start)
+            many = lambda rows: np.bincount(rows, minlength=len(texts))
+            found = (longest, many(row), many(islands_of_texts(texts)[0]), [len(x) for x in repeat_units(texts, 10, 50, 15)])
+            counts = [pa.array(c, pa.int64()) for c in found]
             yield pa.RecordBatch.from_arrays([*b.columns, *counts], names=[*b.schema.names, *names])
 
     schema = T.StructType([*base.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])

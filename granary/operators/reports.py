@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from granary.constants import REPORT_TEXT, SUMMARY_TEXT
 from granary.functions.shared import written
 from granary.operators.halo import with_number
-from granary.operators.nucleotide import cpg_islands, find_orfs
+from granary.operators.nucleotide import islands_of_texts, orfs_of_texts
 
 
 def collection_stats(seqs: DataFrame, by: str = "file") -> DataFrame:
@@ -30,13 +32,29 @@ def collection_summary(stats: DataFrame, lang: str = "en") -> DataFrame:
     return stats.withColumn("summary", F.when(F.col("n") == 0, t["empty"]).otherwise(text))
 
 
-def sequence_details(seqs: DataFrame, profile: DataFrame, top: int = 5) -> DataFrame:
-    """profile with orfs (the first ``top`` reading frames in order of frame and start) and islands (all CpG islands) as arrays."""
-    place = F.row_number().over(W.partitionBy("seq_id").orderBy("frame", "start"))
-    first = find_orfs(seqs).withColumn("k", place).where(F.col("k") <= top)
-    orfs = first.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("frame", "start", "end", "length", "strand"))).alias("orfs"))
-    islands = cpg_islands(seqs).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "gc_content", "cpg_ratio"))).alias("islands"))
-    return profile.join(orfs, "seq_id", "left").join(islands, "seq_id", "left")
+def _lists(n: int, row: np.ndarray, fields: dict) -> pa.Array:
+    """The values of each of n rows, which come in order of row, as a list of structs; null where there are none."""
+    many = np.bincount(row, minlength=n)
+    items = pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), items, mask=pa.array(many == 0))
+
+
+def with_details(seqs: DataFrame, top: int = 5) -> DataFrame:
+    """seqs with orfs (the first ``top`` reading frames in order of frame and start) and islands (all CpG islands) as arrays,
+    null where there are none. Both are found within the row, so no sequence is shuffled."""
+
+    @arrow_udf("struct<orfs:array<struct<frame:long,start:long,end:long,length:long,strand:string>>,islands:array<struct<start:long,end:long,gc_content:double,cpg_ratio:double>>>")
+    def details(texts: pa.Array) -> pa.Array:
+        whole = [x or "" for x in texts.to_pylist()]
+        found = orfs_of_texts(whole, 100)
+        row, start, end, frame = (x[np.arange(len(found[0])) - np.searchsorted(found[0], found[0]) < top] for x in found)
+        orfs = _lists(len(whole), row, {"frame": frame, "start": start, "end": end, "length": end - start, "strand": np.full(len(row), "+")})
+        row, start, share, odds = islands_of_texts(whole)
+        islands = _lists(len(whole), row, {"start": start, "end": start + 200, "gc_content": share, "cpg_ratio": odds})
+        return pa.StructArray.from_arrays([orfs, islands], ["orfs", "islands"])
+
+    out = seqs.withColumn("details", details("sequence"))
+    return out.withColumns({"orfs": F.col("details.orfs"), "islands": F.col("details.islands")}).drop("details")
 
 
 # What the head of a collection names.

@@ -56,8 +56,7 @@ def report(s, d):
 
 def nucleotide_json(s, d):
     """What the JSON of each sequence says, read back from it."""
-    seqs = v_seq(s, d)
-    j = R.sequence_json(R.sequence_details(seqs, N.describe_nucleotide(N.nucleotide_profile(seqs))))
+    j = R.sequence_json(N.describe_nucleotide(R.with_details(N.nucleotide_profile(v_seq(s, d)))))
     at = lambda path, kind="string": F.get_json_object("json", f"$.{path}").cast(kind)
     return j.select(
         "seq_id", F.array_join(F.json_object_keys("json"), ",").alias("keys"), at("name").alias("name"), F.round(at("analysis.gc_content", "double"), 6).alias("gc"), at("analysis.orf_count", "long").alias("orfs"),
